@@ -9,10 +9,10 @@
    2 ** -b, so the similarity is estimated as (agreement - 2 ** -b) / (1 - 2 ** -b), by bit counts over the exclusive or.
    The bound lies six standard deviations under the threshold.
 3. Candidate pairs are confirmed on their full shingle sets: 100 * intersection >= threshold * union.
-4. Connected components of the confirmed links. A bucket whose members now lie in several components is looked at again:
-   each pair of members of different components (by signature inside the join, nothing is emitted for the others) is
-   confirmed too, and joins components. So a link is lost only if its documents share no band key (under 1e-6 at the
-   threshold), and members already known to belong together are not paired again.
+4. Connected components of the confirmed links. Where a star's other members lie in several components, they are compared
+   with each other, in blocks of `BLOCK` by `BLOCK` members: first their signatures, then the full sets of those members
+   that have a partner. No pair leaves a block; what leaves it are links that join components, fewer than it has members.
+   So a link is lost only if its documents share no band key (under 1e-6 at the threshold), however large a group is.
 
 Defined results: words are runs of non-white-space (ASCII), A-Z in lower case; a text of one to four words has one shingle,
 its whole sequence; a null text or one without words has the empty set and is linked with nothing; repeated rows give
@@ -37,6 +37,8 @@ HASHES = 128
 LONGS = HASHES * BITS // 64
 #: Differing minima allowed among HASHES: at similarity 0.85 their number has mean 14.4 and deviation 3.6.
 MOST_DIFFERENT = 36
+#: Members in a block; bits of the bitmap of wanted ids (16 MB).
+BLOCK, MOST_BITS = 512, 1 << 27
 
 _UPPER = bytes.maketrans(b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"abcdefghijklmnopqrstuvwxyz")
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -129,12 +131,6 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_shingles", "key", "bands", *[f"s{k}" for k in range(LONGS)]])
 
 
-def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        sets = [signed(shingles(words_of(text))) for text in batch.column(1).to_pylist()]
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
-
-
 def signatures(documents: DataFrame) -> DataFrame:
     needed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return materialize(needed.mapInArrow(_sign, FIELDS), "signatures")
@@ -153,13 +149,34 @@ def estimate(a: str, b: str) -> str:
     return f"((1 - ({differing(a, b)}) / {HASHES}.0) - {chance}) / {1 - chance}"
 
 
+def sets_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
+    """doc_id, shingles of the wanted documents (doc_id, distinct). Texts aren't shuffled: a bitmap of the ids' hashes, of at
+    most MOST_BITS bits, goes to all tasks, which make sets of what it lets through; a full bitmap lets all through."""
+    n = wanted.count()
+    bits = min(MOST_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
+    words = wanted.select((place / 64).cast("int").alias("w"), F.expr(f"shiftleft(1L, cast(pmod(pmod(xxhash64(doc_id), {bits}), 64) as int))").alias("b")).groupBy("w").agg(F.expr("bit_or(b)").alias("b")).toArrow()
+    bitmap = np.zeros(bits // 64, np.int64)
+    bitmap[words["w"].to_numpy()] = words["b"].to_numpy()
+    shared = documents.sparkSession.sparkContext.broadcast(bitmap)
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.column(2).to_numpy(zero_copy_only=False)
+            own = np.flatnonzero(shared.value[at >> 6] >> (at & 63) & 1)
+            part = batch.take(pa.array(own))
+            sets = [signed(shingles(words_of(text))) for text in part.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["doc_id", "shingles"])
+
+    texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    likely = texts.withColumn("place", place.cast("int")).mapInArrow(made, "doc_id bigint, shingles array<bigint>")
+    return materialize(likely, "sets").join(wanted, "doc_id", "left_semi")
+
+
 def confirmed(pairs: DataFrame, documents: DataFrame, threshold: int) -> DataFrame:
-    """Those of the pairs (a, b) whose full shingle sets reach the threshold. Sets are made for the documents in pairs only."""
+    """Those of the pairs (a, b) whose full shingle sets reach the threshold."""
     pairs = materialize(pairs, "pairs")
-    wanted = pairs.select(F.col("a").alias("wanted")).union(pairs.select("b")).distinct()
-    texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    texts = texts.join(wanted, texts["doc_id"] == wanted["wanted"], "left_semi")
-    sets = materialize(texts.mapInArrow(_sets, "doc_id bigint, shingles array<bigint>"), "sets")
+    sets = sets_of(documents, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
     both = pairs.join(right, "b").join(left, "a")
@@ -167,6 +184,81 @@ def confirmed(pairs: DataFrame, documents: DataFrame, threshold: int) -> DataFra
     return materialize(both.where(100 * shared >= threshold * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "confirmed")
 
 
+def blocked(members: DataFrame) -> DataFrame:
+    """members (hub, doc_id, ...) once per pair of blocks (i, j) of their hub's group; side tells whether a row is of block
+    i, j or both."""
+    sizes = members.groupBy("hub").agg(F.count(F.lit(1)).alias("_m")).withColumn("_k", F.ceil(F.col("_m") / BLOCK).cast("int"))
+    dealt = members.join(sizes, "hub").withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.col("_k")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda other: F.struct(F.least("_own", other).alias("i"), F.greatest("_own", other).alias("j")))
+    return dealt.withColumn("_p", F.explode(pairs)).withColumns({"i": F.col("_p.i"), "j": F.col("_p.j"), "side": F.col("_own")}).drop("_m", "_k", "_own", "_p")
+
+
+def _sides(table: pa.Table, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
+    side = table["side"].to_numpy()
+    return np.flatnonzero(side == i), np.flatnonzero(side == j)
+
+
+def _suspects(threshold: int):
+    odd = np.uint64(0x5555555555555555)
+
+    def found(key: tuple, table: pa.Table) -> pa.Table:
+        """hub, doc_id of members with a likely partner in another component."""
+        left, right = _sides(table, key[1].as_py(), key[2].as_py())
+        component, sizes, ids = table["component"].to_numpy(), table["n_shingles"].to_numpy(), table["doc_id"].to_numpy()
+        signs = np.column_stack([table[f"s{k}"].to_numpy() for k in range(LONGS)]).view(np.uint64)
+        hit = np.zeros(len(ids), bool)
+        for x in left.tolist():
+            far = right[(component[right] != component[x]) & (100 * np.minimum(sizes[right], sizes[x]) >= threshold * np.maximum(sizes[right], sizes[x]))]
+            if len(far):
+                differ = signs[far] ^ signs[x]
+                near = far[np.bitwise_count((differ | (differ >> np.uint64(1))) & odd).sum(axis=1) <= MOST_DIFFERENT]
+                hit[near] = True
+                hit[x] |= len(near) > 0
+        own = ids[hit]
+        return pa.table({"hub": pa.array(np.full(len(own), key[0].as_py(), np.int64)), "doc_id": pa.array(own)})
+
+    return found
+
+
+def _joining(threshold: int):
+    def found(key: tuple, table: pa.Table) -> pa.Table:
+        """Links (a, b) that join the components of a block pair: full sets, as products of membership matrices."""
+        left, right = _sides(table, key[1].as_py(), key[2].as_py())
+        component, ids = table["component"].to_numpy(), table["doc_id"].to_numpy()
+        sets = table["shingles"].combine_chunks()
+        values, ends = sets.flatten().to_numpy(), np.concatenate([[0], np.cumsum(sets.value_lengths().to_numpy())])
+        sizes, owner = np.diff(ends), np.repeat(np.arange(len(ids)), np.diff(ends))
+        _, column, times = np.unique(values, return_inverse=True, return_counts=True)
+        shared = times > 1
+        number = np.cumsum(shared) - 1
+        keep = shared[column]
+        owner, column = owner[keep], number[column[keep]]
+        common = np.zeros((len(left), len(right)), np.float32)
+        for at in range(0, int(shared.sum()), 8192):
+            part = (column >= at) & (column < at + 8192)
+            member = np.zeros((len(ids), 8192), np.float32)
+            member[owner[part], column[part] - at] = 1
+            common += member[left] @ member[right].T
+        union = sizes[left][:, None] + sizes[right][None, :] - common
+        x, y = np.nonzero((100 * common >= threshold * union) & (component[left][:, None] != component[right][None, :]))
+        root: dict[int, int] = {}
+
+        def top(c: int) -> int:
+            while root.setdefault(c, c) != c:
+                c = root[c] = root[root[c]]
+            return c
+
+        links = []
+        for p, q in zip(left[x].tolist(), right[y].tolist(), strict=True):
+            one, two = top(int(component[p])), top(int(component[q]))
+            if one != two:
+                root[max(one, two)] = min(one, two)
+                links.append((int(ids[p]), int(ids[q])))
+        return pa.table({"a": pa.array([p for p, _ in links], pa.int64()), "b": pa.array([q for _, q in links], pa.int64())})
+
+    return found
+
+
 def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """node, component (the smallest node reachable) of every node of the links (a, b). Every round each node takes the
     smallest label around it and then that label's own label; sums of minima are partial before each shuffle."""
@@ -202,15 +294,19 @@ def cluster(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     links = confirmed(pairs, documents, threshold)
     labels = components(links)
 
-    # Buckets over several components: their pairs across components.
-    labelled = crowded.join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = labelled.groupBy("band", "bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("band", "bucket")
-    left = materialize(labelled.join(mixed, ["band", "bucket"], "left_semi"), "mixed")
-    across = left.alias("x").join(left.alias("y"), F.expr(f"x.band = y.band and x.bucket = y.bucket and x.doc_id < y.doc_id and x.component != y.component and {alike}"))
-    more = across.select(F.col("x.doc_id").alias("a"), F.col("y.doc_id").alias("b")).distinct()
-    extra = confirmed(more, documents, threshold)
-    if extra.limit(1).count():
-        labels = components(links.union(extra))
+    # Stars whose members lie in several components: members against each other.
+    known = labels.withColumnRenamed("node", "doc_id")
+    members = stars.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
+    mixed = members.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("hub")
+    members = materialize(members.join(mixed, "hub", "left_semi"), "mixed")
+    suspects = blocked(members).groupBy("hub", "i", "j").applyInArrow(_suspects(threshold), "hub bigint, doc_id bigint")
+    suspects = materialize(suspects.distinct(), "suspects")
+    if not suspects.isEmpty():
+        sets = sets_of(documents, suspects.select("doc_id").distinct())
+        doubtful = members.join(suspects, ["hub", "doc_id"], "left_semi").select("hub", "doc_id", "component").join(sets, "doc_id")
+        extra = materialize(blocked(doubtful).groupBy("hub", "i", "j").applyInArrow(_joining(threshold), "a bigint, b bigint"), "across")
+        if not extra.isEmpty():
+            labels = components(links.union(extra))
 
     named = classes.join(labels.withColumnRenamed("node", "first"), "first", "left").select(F.col("key").alias("k"), F.coalesce("component", "first").alias("found"))
     out = signed_docs.select("doc_id", "n_shingles", "key").join(named, F.col("key") == F.col("k"), "left")
