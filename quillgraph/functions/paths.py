@@ -29,6 +29,12 @@ def value_at(record: Column, path: str) -> Column:
     return F.to_json(F.try_variant_get(record, f"${steps}", "variant"))
 
 
+def is_path(path: str) -> bool:
+    """Whether a path leads into the record, rather than being a constant."""
+    path = path.strip()
+    return not (path in ("true", "false", "null") or _NUMBER.match(path) or path[:1] in "\"'")
+
+
 def variant_at(record: Column, path: str | None) -> Column:
     if path is None or path.strip() == "$":
         return record

@@ -43,9 +43,9 @@ def flt_compare(spark, sf_dir):
     return out(sets.ids(sets.where(m.parts, test)))
 
 
-@query("SELECT 'bm:thing:p' || p_partkey AS id FROM part WHERE contains(p_type, 'E') AND starts_with(p_brand, 'Brand#') AND regexp_matches(p_name, '[0-9]*[13579]$')")
+@query("SELECT 'bm:thing:p' || p_partkey AS id FROM part WHERE contains(p_type, 'E') AND starts_with(p_brand, 'Brand#') AND regexp_matches(p_name, '^[a-z]+ .*[gt]$')")
 def flt_text(spark, sf_dir):
-    test = sets.all_of(sets.text_test("type", "contains", "E"), sets.text_test("brand", "startsWith", "Brand#"), sets.text_test("name", "regex", "[0-9]*[13579]$"))
+    test = sets.all_of(sets.text_test("type", "contains", "E"), sets.text_test("brand", "startsWith", "Brand#"), sets.text_test("name", "regex", "^[a-z]+ .*[gt]$"))
     return out(sets.ids(sets.where(Model(spark, sf_dir).parts, test)))
 
 

@@ -43,7 +43,9 @@ def with_ctes(names: str, body: str, recursive: bool = False) -> str:
     body = body.strip()
     glue = ", " if parts and body[:5].upper() == "WITH " else " "
     rest = body[5:] if glue == ", " else body
-    return ("WITH RECURSIVE " if recursive else "WITH ") + parts + glue + rest if parts else body
+    if not parts:
+        return f"WITH RECURSIVE {body[5:]}" if recursive else body
+    return ("WITH RECURSIVE " if recursive else "WITH ") + parts + glue + rest
 
 
 def query(sql: str | None = None, ctes: str = "", recursive: bool = False):

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgraph.functions import json_text
-from quillgraph.functions.paths import value_at, variant_at
+from quillgraph.functions.paths import is_path, value_at, variant_at
 from quillgraph.functions.transforms import Registry
 
 
@@ -94,9 +94,9 @@ def mapped_links(mapped: DataFrame) -> DataFrame:
 
 
 def payload(mapping: Mapping) -> Column:
-    """The source's form of an instance as JSON text; a field goes to the last step of its path, undefined ones without a
-    default are left out."""
-    values = {spec.source.split(".")[-1]: F.coalesce(F.element_at("fields", F.lit(name)), F.lit(spec.default)) for name, spec in mapping.fields.items()}
+    """The source's form of an instance as JSON text; a field goes to the last step of its path, constants and undefined
+    values without a default are left out."""
+    values = {spec.source.split(".")[-1]: F.coalesce(F.element_at("fields", F.lit(name)), F.lit(spec.default)) for name, spec in mapping.fields.items() if is_path(spec.source)}
     parts = [F.when(v.isNotNull(), F.concat(F.lit(f'"{n}":'), v)) for n, v in sorted(values.items())]
     return F.concat(F.lit("{"), F.concat_ws(",", *parts), F.lit("}"))
 

@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.sources.files import durable
+
 KEY = ["kind", "uri"]
 PLACED = ("container_uri", "class_id", "name")
 
@@ -105,7 +107,7 @@ def cascade_remove(tree: DataFrame, contexts: DataFrame, entities: DataFrame, li
     went. tree: node, ancestor, depth, each node its own ancestor at depth 0."""
     places = tree.join(gone.withColumnRenamed("uri", "ancestor"), "ancestor", "left_semi").select(F.col("node").alias("uri")).distinct()
     contents = entities.join(places.withColumnRenamed("uri", "container_uri"), "container_uri", "left_semi").select("uri")
-    dead = places.union(contents).distinct()
+    dead = durable(places.union(contents).distinct(), "removed")
     kept = links.join(dead.withColumnRenamed("uri", "source_uri"), "source_uri", "left_anti").join(dead.withColumnRenamed("uri", "target_uri"), "target_uri", "left_anti")
     pruned = links.join(dead.withColumnRenamed("uri", "source_uri"), "source_uri", "left_semi").unionByName(links.join(dead.withColumnRenamed("uri", "source_uri"), "source_uri", "left_anti").join(dead.withColumnRenamed("uri", "target_uri"), "target_uri", "left_semi"))
     return contexts.join(places, "uri", "left_anti"), entities.join(dead, "uri", "left_anti"), kept, pruned
