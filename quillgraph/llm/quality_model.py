@@ -5,7 +5,8 @@
    of the index vectors of its units' neighbours. The sums are of integers, hence equal in every run and on any cluster.
    Tasks sum their own documents first; what is shuffled is at most `buckets` rows per task, whatever the texts' length.
 2. Pooling. A document's features are the mean context vector of its units, the mean over its distinct units (the two
-   differ where a text repeats itself), and the log of its length.
+   differ where a text repeats itself), the log of its length, and the shares of units that are distinct and that equal
+   the unit before them.
 3. A network of one hidden layer is fitted by numpy on the driver, on at most `max_rows` labelled rows (the parameter
    bounds what reaches the driver), then a temperature is fitted on a part held back from the gradient.
 4. All documents are scored with the weights and vectors broadcast; both have a fixed size (buckets * dims).
@@ -29,6 +30,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import materialize
 
 BUCKETS, DIMS, NONZERO, REACH = 1 << 14, 32, 4, 2
+WIDTH = 2 * DIMS + 3
 MAX_ROWS = 20_000
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 0.01, 1e-4
 
@@ -120,11 +122,12 @@ def word_vectors(documents: DataFrame) -> np.ndarray:
 def pooled(text: str | None, vectors: np.ndarray) -> np.ndarray:
     rows = rows_of(text)
     if not len(rows):
-        return np.zeros(2 * DIMS + 1, np.float32)
+        return np.zeros(WIDTH, np.float32)
     counts = np.bincount(rows, minlength=0)
     distinct = np.flatnonzero(counts)
     known = vectors[distinct]
-    return np.concatenate([counts[distinct].astype(np.float32) @ known / len(rows), known.mean(axis=0), [np.log1p(len(rows)) / 10]]).astype(np.float32)
+    again = float((rows[1:] == rows[:-1]).mean()) if len(rows) > 1 else 0.0
+    return np.concatenate([counts[distinct].astype(np.float32) @ known / len(rows), known.mean(axis=0), [np.log1p(len(rows)) / 10, len(distinct) / len(rows), again]]).astype(np.float32)
 
 
 @dataclass
@@ -173,7 +176,7 @@ def fit(x: np.ndarray, y: np.ndarray, seed: int = 7) -> Model:
                 v[k] = 0.999 * v[k] + 0.001 * g * g
                 p[k] = p[k] - RATE * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.999**step)) + 1e-8)
     model = Model(mean, scale, p[0], p[1], p[2], float(p[3][0]), 1.0)
-    logits, heat = model.logits(x[held]), np.geomspace(0.25, 8, 60)
+    logits, heat = model.logits(x[held]), np.geomspace(0.5, 8, 60)
     losses = [np.mean(np.logaddexp(0, logits / t) - y[held] * logits / t) for t in heat]
     model.temperature = float(heat[int(np.argmin(losses))])
     return model
@@ -204,7 +207,7 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")  # at most max_rows ids
     got = joined.mapInArrow(features, "doc_id bigint, label int, x array<float>").orderBy("doc_id", "x").limit(2 * max_rows).toArrow()
-    x = np.array(got["x"].to_pylist(), np.float64).reshape(-1, 2 * DIMS + 1)
+    x = np.array(got["x"].to_pylist(), np.float64).reshape(-1, WIDTH)
     return vectors, fit(x, got["label"].to_numpy().astype(np.float64))
 
 
@@ -215,7 +218,7 @@ def score(documents: DataFrame, vectors: np.ndarray, model: Model) -> DataFrame:
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, model = shared.value
         for batch in batches:
-            x = np.array([pooled(text, vectors) for text in batch.column(1).to_pylist()], np.float64).reshape(-1, 2 * DIMS + 1)
+            x = np.array([pooled(text, vectors) for text in batch.column(1).to_pylist()], np.float64).reshape(-1, WIDTH)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x), pa.float64())], names=["doc_id", "score"])
 
     needed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -229,7 +232,7 @@ def keep_good(documents: DataFrame, vectors: np.ndarray, model: Model, threshold
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, model = shared.value
         for batch in batches:
-            x = np.array([pooled(text, vectors) for text in batch.column(at).to_pylist()], np.float64).reshape(-1, 2 * DIMS + 1)
+            x = np.array([pooled(text, vectors) for text in batch.column(at).to_pylist()], np.float64).reshape(-1, WIDTH)
             yield batch.filter(pa.array(model.scores(x) >= threshold, pa.bool_()))
 
     return documents.mapInArrow(kept, documents.schema)
