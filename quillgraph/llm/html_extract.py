@@ -231,7 +231,7 @@ def article_path(wrapper: list) -> list[str]:
 
 
 def text_at(html: str, path: list[str]) -> str:
-    """The blocks under the path (in a page without it: under an article or main element, else under the body)."""
+    """The blocks under the path; in a page without any there, under an article or main element; in one without these, all."""
     regions: dict[str, list[str]] = {"path": [], "article": [], "main": [], "body": []}
     inside: dict[str, int] = dict.fromkeys(regions, 0)
     matched, stack, skip, parts = 0, [], 0, []
@@ -247,7 +247,7 @@ def text_at(html: str, path: list[str]) -> str:
                     if depth or name == "body":
                         regions[name].append(text)
 
-    header = 0
+    header, seen = 0, False
     for kind, value, never in events(html):
         if kind == "text":
             if not skip and not (header and not any(s.split(".")[0] in HEADINGS for s in stack)):
@@ -257,7 +257,8 @@ def text_at(html: str, path: list[str]) -> str:
         if tag in BLOCKS or never:
             flush()
         if kind == "open":
-            if skip or never:
+            # A header inside the article gives its headings, any other nothing.
+            if skip or never or tag == "header" and not any(inside.values()):
                 skip += 1
                 continue
             stack.append(value)
@@ -269,6 +270,7 @@ def text_at(html: str, path: list[str]) -> str:
                     inside["path"] += 1
             if tag in ("article", "main"):
                 inside[tag] += 1
+            seen = seen or any(inside.values())
         elif skip:
             skip -= 1
         else:
@@ -281,10 +283,8 @@ def text_at(html: str, path: list[str]) -> str:
             if tag in ("article", "main"):
                 inside[tag] -= 1
     flush()
-    for name in ("path", "article", "main", "body"):
-        if regions[name]:
-            return "\n\n".join(regions[name])
-    return ""
+    found = next((regions[name] for name in ("path", "article", "main") if regions[name]), [])
+    return "\n\n".join(found or ([] if seen else regions["body"]))
 
 
 def dump(wrapper: list) -> str:
