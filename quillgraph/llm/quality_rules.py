@@ -6,7 +6,7 @@ the ledger and never reads a text again.
 
 Measurements: words are maximal runs of non-white-space (ASCII white space); word_chars their code points; n_symbols the
 characters of [#*$%&|<>]; n_dup_lines the lines with a word that equal an earlier line; n_repeat_words the words inside
-a three-word window found twice or more in the same text, first occurrence included; n_lines the lines with a word.
+a three-word window found twice or more in the same text, first occurrence included; n_lines the lines with a word; n_capitals the letters A-Z.
 
 Defined results: a null or empty text has no words (all measurements 0) and fails the base rules; repeated rows give
 repeated rows; other columns are not read.
@@ -24,21 +24,23 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import SPACE
 
 SYMBOLS = "#*$%&|<>"
-MEASURES = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint"
+CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+MEASURES = "doc_id bigint, n_words bigint, word_chars bigint, n_symbols bigint, n_dup_lines bigint, n_repeat_words bigint, n_lines bigint, n_capitals bigint"
 
 #: Bit, name, failure condition over the measurements. Bits never change their meaning; new rules get new bits.
 RULES: tuple[tuple[int, str, str], ...] = (
     (0, "few_words", "n_words < 50"),
     (1, "repeated_windows", "100 * n_repeat_words > 50 * n_words"),
-    (2, "symbols", "5 * n_symbols > word_chars"),
+    (2, "symbols", "10 * n_symbols > word_chars"),
     (3, "duplicate_lines", "n_dup_lines >= 4 and 10 * n_dup_lines > 3 * n_lines"),
     (4, "long_words", "word_chars > 20 * n_words and n_words > 0"),
     (5, "short_words", "word_chars < 2 * n_words"),
+    (6, "capitals", "10 * n_capitals > 4 * word_chars"),
 )
 #: Version -> names of the rules that it enforces.
 POLICIES: dict[str, tuple[str, ...]] = {
     "base": ("few_words", "repeated_windows"),
-    "v1": ("few_words", "repeated_windows", "symbols", "duplicate_lines", "long_words", "short_words"),
+    "v1": ("few_words", "repeated_windows", "symbols", "duplicate_lines", "long_words", "short_words", "capitals"),
 }
 
 
@@ -77,11 +79,12 @@ def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = []
         for text in batch.column(1).to_pylist():
             text = text or ""
-            words = text.encode().split()
+            raw = text.encode()
+            words = raw.split()
             lines = [line for line in text.split("\n") if line.strip(SPACE)]
             chars = len(text) - sum(text.count(c) for c in SPACE)
-            rows.append((len(words), chars, sum(text.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeated_words(words), len(lines)))
-        columns = [pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 6
+            rows.append((len(words), chars, sum(text.count(c) for c in SYMBOLS), len(lines) - len(set(lines)), repeated_words(words), len(lines), len(raw) - len(raw.translate(None, CAPITALS))))
+        columns = [pa.array(list(c), pa.int64()) for c in zip(*rows, strict=True)] if rows else [pa.array([], pa.int64())] * 7
         yield pa.RecordBatch.from_arrays([batch.column(0), *columns], names=names)
 
 

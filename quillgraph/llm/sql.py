@@ -15,15 +15,17 @@ m AS (
          CAST(length(regexp_replace(text, '[\x20\x09-\x0D]', '', 'g')) AS BIGINT) AS word_chars,
          CAST(length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')) AS BIGINT) AS n_symbols,
          CAST(coalesce(n_dup, 0) AS BIGINT) AS n_dup_lines, CAST(coalesce(rep.n, 0) AS BIGINT) AS n_repeat_words,
-         CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines
+         CAST(coalesce(n_lines, 0) AS BIGINT) AS n_lines,
+         CAST(length(text) - length(regexp_replace(text, '[A-Z]', '', 'g')) AS BIGINT) AS n_capitals
   FROM w LEFT JOIN ls USING (doc_id) LEFT JOIN rep USING (doc_id)),
 f AS (
-  SELECT *, n_words < 50 AS f0, 100 * n_repeat_words > 50 * n_words AS f1, 5 * n_symbols > word_chars AS f2,
-         n_dup_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines AS f3, word_chars > 20 * n_words AND n_words > 0 AS f4, word_chars < 2 * n_words AS f5
+  SELECT *, n_words < 50 AS f0, 100 * n_repeat_words > 50 * n_words AS f1, 10 * n_symbols > word_chars AS f2,
+         n_dup_lines >= 4 AND 10 * n_dup_lines > 3 * n_lines AS f3, word_chars > 20 * n_words AND n_words > 0 AS f4, word_chars < 2 * n_words AS f5,
+         10 * n_capitals > 4 * word_chars AS f6
   FROM m)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, f0 OR f1 AS base_failed,
-       NOT (f0 OR f1 OR f2 OR f3 OR f4 OR f5) AS kept,
-       CAST(f0::INT + 2 * f1::INT + 4 * f2::INT + 8 * f3::INT + 16 * f4::INT + 32 * f5::INT AS BIGINT) AS failed_bits
+       NOT (f0 OR f1 OR f2 OR f3 OR f4 OR f5 OR f6) AS kept,
+       CAST(f0::INT + 2 * f1::INT + 4 * f2::INT + 8 * f3::INT + 16 * f4::INT + 32 * f5::INT + 64 * f6::INT AS BIGINT) AS failed_bits
 FROM f
 """
 
