@@ -42,10 +42,24 @@ def traverse(spark, sf_dir):
     return graph.traverse(start, m.links, "*", "out", 3).select("id", "depth")
 
 
-@query("""WITH T AS (SELECT uri AS node, uri AS ancestor, 0 AS depth FROM C UNION ALL SELECT T.node, C.parent_uri, T.depth + 1 FROM T JOIN C ON C.uri = T.ancestor WHERE C.parent_uri IS NOT NULL)
-  SELECT node, ancestor, CAST(depth AS INTEGER) AS depth FROM T""", "C", True)
+PLACES = """P AS (SELECT 'bm:ctx:p' || p_partkey AS uri, CASE WHEN p_partkey >= 10 THEN 'bm:ctx:p' || (p_partkey // 10) END AS parent_uri, p_size FROM part)"""
+
+
+def places(m: Model):
+    """Every part as a container inside the one with a tenth of its key."""
+    up = F.when(F.col("p_partkey") >= 10, F.concat(F.lit("bm:ctx:p"), F.expr("p_partkey div 10").cast("string")))
+    return m.table("part").select(F.lit("tpch").alias("map_id"), uri("ctx:p", "p_partkey").alias("uri"), up.alias("parent_uri"), "p_size")
+
+
+@query(f"""WITH {PLACES}, T AS (SELECT uri AS node, uri AS ancestor, 0 AS depth FROM P UNION ALL SELECT T.node, P.parent_uri, T.depth + 1 FROM T JOIN P ON P.uri = T.ancestor WHERE P.parent_uri IS NOT NULL)
+  SELECT node, ancestor, CAST(depth AS INTEGER) AS depth FROM T""", recursive=True)
 def context_tree(spark, sf_dir):
-    return graph.context_tree(Model(spark, sf_dir).contexts)
+    return graph.context_tree(places(Model(spark, sf_dir)))
+
+
+@query(f"WITH {PLACES} SELECT uri AS id FROM P WHERE p_size % 7 <> 0 AND parent_uri IN (SELECT uri FROM P WHERE p_size % 7 = 0)")
+def orphan_contexts(spark, sf_dir):
+    return joins.orphan_contexts(places(Model(spark, sf_dir)).where("p_size % 7 != 0")).select(F.col("uri").alias("id"))
 
 
 @query("""WITH B AS (SELECT source_uri AS a, target_uri AS b FROM L WHERE predicate IN ('extends', 'stewards') UNION SELECT target_uri, source_uri FROM L WHERE predicate IN ('extends', 'stewards')), S0 AS (SELECT 'bm:thing:p77' AS id),
@@ -80,9 +94,14 @@ def circular_extends(spark, sf_dir):
     return graph.circular_extends(Model(spark, sf_dir).extends.select(F.col("source_uri").alias("src"), F.col("target_uri").alias("dst")))
 
 
-@query("""WITH W AS (SELECT source_uri AS a, target_uri AS b FROM V UNION SELECT W.a, V.target_uri FROM W JOIN V ON V.source_uri = W.b) SELECT DISTINCT a AS id FROM W WHERE a = b""", "V", True)
+@query("""WITH D AS (SELECT s_suppkey AS a, s_suppkey + 1 AS b FROM supplier WHERE s_suppkey % 10 < 6 UNION SELECT s_suppkey, s_suppkey - 3 FROM supplier WHERE s_suppkey % 10 = 5 UNION SELECT s_suppkey, s_suppkey + 10 FROM supplier WHERE s_suppkey % 10 IN (0, 3)
+    UNION SELECT s_suppkey, s_suppkey FROM supplier WHERE s_suppkey % 10 = 8),
+  W AS (SELECT a, b FROM D UNION SELECT W.a, D.b FROM W JOIN D ON D.a = W.b) SELECT DISTINCT a AS id FROM W WHERE a = b""", recursive=True)
 def value_stream_cycles(spark, sf_dir):
-    return graph.cyclic_nodes(Model(spark, sf_dir).value_streams.select(F.col("source_uri").alias("src"), F.col("target_uri").alias("dst")))
+    """Suppliers in chains over tens, with a ring of four in every ten and a loop of one."""
+    s, k = Model(spark, sf_dir).table("supplier"), F.col("s_suppkey")
+    steps = F.concat(*[F.when(test, F.array(k + step)).otherwise(F.array().cast("array<bigint>")) for test, step in ((k % 10 < 6, 1), (k % 10 == 5, -3), ((k % 10).isin(0, 3), 10), (k % 10 == 8, 0))])
+    return graph.cyclic_nodes(s.select(k.alias("src"), F.explode(steps).alias("dst")))
 
 
 @query("""WITH U AS (SELECT c_custkey AS u, c_custkey % 40 AS p FROM customer), W AS (SELECT u, p FROM U UNION SELECT u, p // 3 FROM W WHERE p > 0),

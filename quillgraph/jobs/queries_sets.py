@@ -198,12 +198,6 @@ def prune_retyped_links(spark, sf_dir):
     return joins.prune_retyped(m.links, changed, spark).select("source_uri", "predicate", "target_uri")
 
 
-@query("SELECT uri AS id FROM C WHERE uri LIKE 'bm:ctx:n%' AND parent_uri IN ('bm:ctx:r1', 'bm:ctx:r3')", "C")
-def orphan_contexts(spark, sf_dir):
-    contexts = Model(spark, sf_dir).contexts.where("uri not in ('bm:ctx:r1', 'bm:ctx:r3')")
-    return joins.orphan_contexts(contexts).select(F.col("uri").alias("id"))
-
-
 @query("SELECT CAST(count(*) AS DOUBLE) AS value FROM customer WHERE c_acctbal < 0")
 def agg_count(spark, sf_dir):
     return sets.aggregate(Model(spark, sf_dir).customers.where(sets.compare("acctbal", "lt", 0)), "count")

@@ -104,10 +104,43 @@ def circular_extends(extends: DataFrame) -> DataFrame:
     return trim(extends, False).select(F.col("src").alias("id")).distinct()
 
 
+def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """id, label: the largest label among a node and all nodes it can be reached from."""
+    while True:
+        near = edges.join(labels.withColumnRenamed("id", "src"), "src").groupBy(F.col("dst").alias("id")).agg(F.max("label").alias("near"))
+        new = durable(labels.join(near, "id", "left").select("id", F.greatest("label", F.coalesce("near", "label")).alias("label"), F.col("label").alias("old")), "labels")
+        labels = new.select("id", "label")
+        if new.where("label != old").isEmpty():
+            return labels
+
+
 def cyclic_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes on any cycle: sources and sinks are trimmed off, then the rest is closed and nodes that reach themselves stay."""
-    core = trim(edges, True)
-    return closure(core.select(F.col("src").alias("node"), F.col("dst").alias("up"))).where("node = ancestor").select(F.col("node").alias("id"))
+    """Nodes on any cycle (edges: src, dst), by rounds of colouring.
+
+    Sources and sinks are trimmed off. Every node takes the largest label that reaches it; a node that keeps its own is a
+    root, and those of its colour that reach it back are its strongly connected component: on a cycle, all of them, if
+    they have an edge among them. They leave, and the rest goes on. Each round is joins over the edges that are left;
+    pairs of nodes are never made.
+    """
+    found, core = None, trim(edges, True)
+    while not core.isEmpty():
+        nodes = core.select(F.col("src").alias("id")).union(core.select("dst")).distinct()
+        colour = _spread(nodes.withColumn("label", F.col("id")), core)
+        inner = core.join(colour.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
+        inner = durable(inner.select("src", "dst"), "inner")
+        frontier = durable(colour.where("id = label").select("id"), "roots")
+        own = frontier
+        while not frontier.isEmpty():
+            back = inner.join(frontier.withColumnRenamed("id", "dst"), "dst", "left_semi").select(F.col("src").alias("id")).distinct()
+            frontier = durable(back.join(own, "id", "left_anti"), "roots")
+            own = own.unionByName(frontier)
+        on = inner.join(own.withColumnRenamed("id", "src"), "src", "left_semi").join(own.withColumnRenamed("id", "dst"), "dst", "left_semi")
+        on = on.select(F.col("src").alias("id")).distinct()
+        found = on if found is None else found.unionByName(on)
+        gone = own.withColumnRenamed("id", "src")
+        rest = core.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst")
+        core = trim(rest, True)
+    return edges.select(F.col("src").alias("id")).where("false") if found is None else found.distinct()
 
 
 # Capabilities from weak to strong.
