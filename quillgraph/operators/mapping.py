@@ -10,7 +10,6 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillgraph.functions import json_text
 from quillgraph.functions.paths import is_path, value_at, variant_at

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions.json_text import field, is_blank, is_string, loose_string, number_of, string_of
 from quillgraph.functions.vocab import DATATYPES, VALUE_TYPES, default_rules
 from quillgraph.operators.joins import link_counts
+from quillgraph.sources.files import durable
 
 NUMBERS = ("integer", "decimal", "percentage", "money", "quantity")
 
@@ -123,7 +124,8 @@ def requires_tag(model, tag: str) -> DataFrame:
 def requires_entity_links(entities: DataFrame, counts: DataFrame, rules: DataFrame, least: int = 1) -> DataFrame:
     """Entities with fewer links than `least` for a rule (predicate, direction, classes); rules are a small dimension, the
     counts are joined once for all of them."""
-    wanted = entities.select("map_id", F.col("uri").alias("id"), "class_id").join(F.broadcast(rules), F.array_contains("classes", F.col("class_id")))
+    by_class = F.broadcast(rules.select("predicate", "direction", F.explode("classes").alias("class_id")))
+    wanted = entities.select("map_id", F.col("uri").alias("id"), "class_id").join(by_class, "class_id")
     joined = wanted.join(counts, ["map_id", "id", "predicate", "direction"], "left").where(F.coalesce("n", F.lit(0)) < least)
     return gap(joined, "id", "entity-links", F.concat_ws(" ", F.lit("no"), "direction", "predicate"))
 
@@ -163,9 +165,9 @@ def rollup(gaps: DataFrame, entities: DataFrame) -> DataFrame:
 def top_gaps(gaps: DataFrame, n: int = 5) -> DataFrame:
     """The first n gaps by severity, rule, entity and message, with the number of the rest."""
     rank = F.when(F.col("severity") == "error", 0).when(F.col("severity") == "warning", 1).otherwise(2)
-    total = gaps.agg(F.greatest(F.count(F.lit(1)) - n, F.lit(0)).alias("more"))
+    gaps = durable(gaps, "gaps")
     first = gaps.withColumn("_rank", rank).orderBy("_rank", "rule", "entity", "message").limit(n).drop("_rank")
-    return first.join(F.broadcast(total))  # one row
+    return first.withColumn("more", F.lit(max(gaps.count() - n, 0)).cast("long"))
 
 
 def orphan_entities(entities: DataFrame, links: DataFrame) -> DataFrame:

@@ -259,11 +259,10 @@ def test_links_checks(spark):
 def test_late_points_are_dropped(spark, tmp_path):
     points = lambda *ts: spark.createDataFrame([("m", "d", t, 1.0) for t in ts], "measure_id string, dimension string, ts string, value double").withColumn("ts", F.to_timestamp("ts"))
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
-    for k, part in enumerate((("2024-01-01 00:10", "2024-01-01 05:00"), ("2024-01-01 00:20", "2024-01-01 06:00"), ("2024-01-01 09:00",))):
+    for part in (("2024-01-01 00:10", "2024-01-01 05:00"), ("2024-01-01 00:20", "2024-01-01 06:00"), ("2024-01-01 09:00",)):
         points(*part).coalesce(1).write.mode("append").parquet(source)
         stream = streams.measure_windows(streams.files(spark, source, "measure_id string, dimension string, ts timestamp, value double"), "1 hour")
         stream.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", str(tmp_path / "progress")).trigger(availableNow=True).start().awaitTermination()
-        del k
     rows = {str(r.start): r.n for r in spark.read.parquet(out).collect()}
     assert rows["2024-01-01 00:00:00"] == 1 and rows["2024-01-01 05:00:00"] == 1
 
