@@ -5,7 +5,9 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -49,9 +51,8 @@ def drop_path(spark: SparkSession, path: str) -> None:
     where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
 
 
-def chunks(spark: SparkSession) -> int:
-    """How many slices a hot key is cut into for prefix sums; grows with the cluster's shuffle setting."""
-    return max(8, 4 * int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
+#: Slices that a key is cut into for prefix sums: the same everywhere, so that an order never depends on a session's settings.
+SLICES = 8192
 
 
 def running_start(df: DataFrame, key: str, amount: str, order: list[str], out: str) -> DataFrame:
@@ -61,7 +62,7 @@ def running_start(df: DataFrame, key: str, amount: str, order: list[str], out: s
     holds a third of all rows is still spread over all slices: the sums within slices are windows over (key, slice),
     the sums over slices a window over one row per (key, slice).
     """
-    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(chunks(df.sparkSession))).cast("int"))
+    sliced = df.withColumn("_slice", F.pmod(F.xxhash64(*order), F.lit(SLICES)).cast("int"))
     totals = sliced.groupBy(key, "_slice").agg(F.sum(amount).alias("_total"))
     before = Window.partitionBy(key).orderBy("_slice").rowsBetween(Window.unboundedPreceding, -1)
     base = totals.select(F.col(key).alias("_key"), F.col("_slice").alias("_in"), F.coalesce(F.sum("_total").over(before), F.lit(0)).cast("long").alias("_base"))
@@ -69,3 +70,10 @@ def running_start(df: DataFrame, key: str, amount: str, order: list[str], out: s
     inner = sliced.withColumn("_within", F.coalesce(F.sum(amount).over(within), F.lit(0)).cast("long"))
     joined = inner.join(base, inner[key].eqNullSafe(base["_key"]) & (inner["_slice"] == base["_in"]))
     return joined.withColumn(out, F.col("_base") + F.col("_within")).drop("_slice", "_within", "_key", "_in", "_base")
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """Parts of at most `rows` rows: Python objects are made for one part at a time."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import materialize
+from quillgraph.llm.common import materialize, slices
 from quillgraph.llm.url_filter import host_of
 
 GROUP, SALTS, SHARE = 4, 64, 0.6
@@ -298,7 +298,7 @@ def _fold_pages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def out() -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(known), pa.string()), pa.array([dump(w) for w in known.values()], pa.string())], names=["host", "wrapper"])
 
-    for batch in batches:
+    for batch in slices(batches):
         for host, html in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             page = tree(html or "")
             known[host] = align(known[host], page) if host in known else page
@@ -328,7 +328,7 @@ def article_paths(wrappers: DataFrame) -> DataFrame:
     """host, path (JSON list of signs)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             paths = [json.dumps(article_path(json.loads(x))) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], names=["host", "path"])
 
@@ -341,7 +341,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parsed: dict[str | None, list[str]] = {None: []}
-        for batch in batches:
+        for batch in slices(batches):
             texts = []
             for html, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if path not in parsed:

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm.common import SPACE, materialize
+from quillgraph.llm.common import SPACE, materialize, slices
 
 LONG_WORDS, SHORT_WORDS, WINDOW = 50, 10, 3
 _ID, _ROW, _TEXT = "_qg_id", "_qg_row", "_qg_text"
@@ -82,7 +82,7 @@ def _rebuild(joined: DataFrame, documents: DataFrame) -> DataFrame:
     schema = T.StructType([*documents.schema.fields, T.StructField("_n_lines", T.LongType()), T.StructField("_n_removed", T.LongType())])
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             texts, counts, removed = [], [], []
             for text, gone in zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), strict=True):
                 drop, out, n = set(gone or ()), [], 0

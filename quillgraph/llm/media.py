@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.common import slices
+
 STEP, FRAME, HOP, RATE = 192, 192, 96, 8000
 NEAR, FAN, SPAN, BLOCK = 4, 3, 64, 8192
 _HANN = np.hanning(FRAME).astype(np.float32)
@@ -91,7 +93,7 @@ def fingerprint(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in FIELDS.split(", ")]
-    for batch in batches:
+    for batch in slices(batches):
         out: list[list] = [[] for _ in names[1:]]
         for text in batch.column(1).to_pylist():
             n_bytes = len((text or "").encode())
@@ -114,7 +116,7 @@ def media_files(documents: DataFrame) -> DataFrame:
     """doc_id, media binary: the WAV files themselves, as a column to be written where the caller wants them."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([to_wav(payload_of(t)) for t in part.column(1).to_pylist()], pa.binary())], names=["doc_id", "media"])

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import materialize
+from quillgraph.llm.common import materialize, slices
 
 SHINGLE, THRESHOLD = 5, 85
 BANDS, ROWS, BITS = 25, 5, 2
@@ -50,10 +50,10 @@ _BAND_FACTORS = _draw.integers(0, 1 << 63, ROWS, np.uint64) * np.uint64(2) + np.
 
 
 class _Words(dict):
-    """Word -> 64-bit hash, remembered for at most 500,000 words."""
+    """Word -> 64-bit hash, remembered for at most 200,000 words."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) >= 500_000:
+        if len(self) >= 200_000:
             self.clear()
         made = self[word] = int.from_bytes(hashlib.blake2b(word, digest_size=8).digest(), "little")
         return made
@@ -116,7 +116,7 @@ FIELDS = "doc_id bigint, n_shingles bigint, key binary, bands array<bigint>, " +
 
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches):
         sizes, keys, bands, signs = [], [], [], []
         for text in batch.column(1).to_pylist():
             words = words_of(text)
@@ -161,7 +161,7 @@ def sets_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     shared = documents.sparkSession.sparkContext.broadcast(bitmap)
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             at = batch.column(2).to_numpy(zero_copy_only=False)
             own = np.flatnonzero(shared.value[at >> 6] >> (at & 63) & 1)
             part = batch.take(pa.array(own))

@@ -23,6 +23,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.llm.common import slices
+
 KINDS = ("email", "ip", "card", "phone", "iban", "login", "secret")
 BASE = KINDS[:4]
 SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, n_iban bigint, n_login bigint, n_secret bigint"
@@ -121,7 +123,7 @@ def spans_of(text: str, anchors: ahocorasick.Automaton) -> list[tuple[int, int,
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     anchors = automaton()
-    for batch in batches:
+    for batch in slices(batches):
         counts, digests, spans = [[] for _ in KINDS], [], []
         for text in batch.column(1).to_pylist():
             found = spans_of(text or "", anchors)
@@ -157,7 +159,7 @@ def mask_pii(documents: DataFrame) -> DataFrame:
                     at = end
             return "".join(parts) + text[at:]
 
-        for batch in batches:
+        for batch in slices(batches):
             texts = pa.array([masked(text) for text in batch.column(at_column).to_pylist()], pa.string())
             yield batch.set_column(at_column, "text", texts)
 

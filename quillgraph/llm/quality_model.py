@@ -27,10 +27,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import materialize
+from quillgraph.llm.common import materialize, slices
 
 BUCKETS, DIMS, NONZERO, REACH = 1 << 14, 32, 4, 2
 WIDTH = 2 * DIMS + 3
+#: Units whose contexts are summed at a time.
+PART = 1 << 15
 MAX_ROWS = 20_000
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 0.01, 1e-4
 
@@ -38,10 +40,10 @@ _UNIT = re.compile(r"[^\W\d_]+|[0-9]|[^\w\x09-\x0D\x20]+|_+")
 
 
 class _Buckets(dict):
-    """Unit -> bucket, remembered for at most a million units."""
+    """Unit -> bucket, remembered for at most 200,000 units."""
 
     def __missing__(self, unit: str) -> int:
-        if len(self) >= 1_000_000:
+        if len(self) >= 200_000:
             self.clear()
         shape = "A" if unit.isupper() and len(unit) > 1 else "a"
         row = self[unit] = zlib.crc32((shape + unit.lower()).encode("utf-8", "surrogatepass")) % BUCKETS
@@ -68,9 +70,9 @@ def index_vectors() -> np.ndarray:
 
 def _add_contexts(total: np.ndarray, seen: np.ndarray, rows: np.ndarray, index: np.ndarray) -> None:
     """Adds to `total` the index vectors around each of `rows`; a gap of REACH rows of the zero vector parts two texts."""
-    for at in range(0, len(rows), 1 << 18):  # bounded memory for any length
-        part = rows[max(0, at - REACH) : at + (1 << 18) + REACH]
-        own = slice(at - max(0, at - REACH), at - max(0, at - REACH) + min(1 << 18, len(rows) - at))
+    for at in range(0, len(rows), PART):  # bounded memory for any length
+        part = rows[max(0, at - REACH) : at + PART + REACH]
+        own = slice(at - max(0, at - REACH), at - max(0, at - REACH) + min(PART, len(rows) - at))
         near = index[part]
         context = np.zeros_like(near)
         for shift in range(1, REACH + 1):
@@ -92,12 +94,12 @@ def context_sums(documents: DataFrame) -> DataFrame:
         index = np.vstack([index_vectors(), np.zeros((1, DIMS), np.int32)])
         total, seen = np.zeros((BUCKETS + 1, DIMS), np.int64), np.zeros(BUCKETS + 1, np.int64)
         gap = np.full(REACH, BUCKETS, np.int32)
-        for batch in batches:
+        for batch in slices(batches):
             waiting, length = [], 0
             for text in batch.column(0).to_pylist():
                 waiting += [rows_of(text), gap]
                 length += len(waiting[-2])
-                if length > 1 << 18:
+                if length > PART:
                     _add_contexts(total, seen, np.concatenate(waiting), index)
                     waiting, length = [], 0
             if waiting:
@@ -199,7 +201,7 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     shared = spark.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             x = [pooled(text, shared.value).tolist() for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float32()))], names=["doc_id", "label", "x"])
 
@@ -217,7 +219,7 @@ def score(documents: DataFrame, vectors: np.ndarray, model: Model) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([pooled(text, vectors) for text in batch.column(1).to_pylist()], np.float64).reshape(-1, WIDTH)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x), pa.float64())], names=["doc_id", "score"])
 
@@ -231,7 +233,7 @@ def keep_good(documents: DataFrame, vectors: np.ndarray, model: Model, threshold
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             x = np.array([pooled(text, vectors) for text in batch.column(at).to_pylist()], np.float64).reshape(-1, WIDTH)
             yield batch.filter(pa.array(model.scores(x) >= threshold, pa.bool_()))
 

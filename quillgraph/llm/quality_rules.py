@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import SPACE
+from quillgraph.llm.common import SPACE, slices
 
 SYMBOLS = "#*$%&|<>"
 CAPITALS = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -75,7 +75,7 @@ def repeated_words(words: list[bytes]) -> int:
 
 def _measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [x.split()[0] for x in MEASURES.split(", ")]
-    for batch in batches:
+    for batch in slices(batches):
         rows = []
         for text in batch.column(1).to_pylist():
             text = text or ""
