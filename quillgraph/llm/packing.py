@@ -31,9 +31,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.llm.common import materialize
+from quillgraph.llm.common import materialize, slices
 
-LENGTH, END_ID, QUANTUM, MAX_QUEUES = 4096, 2, 128, 4096
+LENGTH, END_ID, QUANTUM, MAX_QUEUES, MOST_BASES = 4096, 2, 128, 4096, 500_000
 PIECES = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 #: Texts of these characters (ASCII and the letters of Latin-1) go through a cache of pretokens: there, lower case is one
@@ -60,9 +60,13 @@ class Encoder:
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark's tasks are the parallelism
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
+        # For pretokens: they are normalized and cut already, and nobody asks for their offsets.
+        self.words = Tokenizer.from_file(path)
+        self.words.normalizer = None
+        self.words.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.width = 2 if self.tokenizer.get_vocab_size() <= 1 << 16 else 4
         self.cache: dict[str, bytes] = {}
         # The cache knows one way of cutting words; other tokenizers get their texts whole.
@@ -91,7 +95,7 @@ class Encoder:
             if len(cache) > CACHED:
                 cache.clear()
             fresh = list({w for w in words if w not in cache})
-            cache.update(zip(fresh, (self.pack(e.ids) for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)), strict=True))
+            cache.update(zip(fresh, (self.pack(e.ids) for e in self.words.encode_batch_fast(fresh, add_special_tokens=False)), strict=True))
             return b"".join([cache[w] for w in words])
 
 
@@ -101,15 +105,13 @@ def tokenized(documents: DataFrame, tokenizer: str, end_id: int = END_ID, max_qu
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, places = Encoder.of(tokenizer), {}
         end, width, task = encoder.pack([end_id]), encoder.width, TaskContext.get().partitionId()
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                ids = [encoder.encode(text or "") + end for text in part.column(2).to_pylist()]
-                n, place = [len(x) // width for x in ids], []
-                for queue, size in zip(part.column(1).to_pylist(), n, strict=True):
-                    place.append(places.get(queue, 0))
-                    places[queue] = place[-1] + size
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([task] * len(n), pa.int32()), pa.array(place, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "queue", "task", "place", "n", "ids"])
+        for part in slices(batches):
+            ids = [encoder.encode(text or "") + end for text in part.column(2).to_pylist()]
+            n, place = [len(x) // width for x in ids], []
+            for queue, size in zip(part.column(1).to_pylist(), n, strict=True):
+                place.append(places.get(queue, 0))
+                places[queue] = place[-1] + size
+            yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array([task] * len(n), pa.int32()), pa.array(place, pa.int64()), pa.array(n, pa.int64()), pa.array(ids, pa.binary())], names=["doc_id", "queue", "task", "place", "n", "ids"])
 
     queue = F.col("source").cast("string")
     if documents.select(queue.alias("queue")).distinct().limit(max_queues + 1).count() > max_queues:
@@ -178,7 +180,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None, length: int = LENGT
     """The pieces of all documents; with_ids adds their ids (array<int>)."""
     tokenizer = tokenizer or default_tokenizer()
     stored = tokenized(documents, tokenizer, end_id)
-    sums = stored.groupBy("queue", "task").agg(F.sum("n").alias("n"))
+    sums = materialize(stored.groupBy("queue", "task").agg(F.sum("n").alias("n")), "sums")
     earlier = Window.partitionBy("queue").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     bases = sums.select(F.col("queue").alias("_queue"), F.col("task").alias("_task"), F.coalesce(F.sum("n").over(earlier), F.lit(0)).cast("long").alias("_base"))
     queues = sums.groupBy("queue").agg(F.sum("n").alias("n")).orderBy(F.col("queue").asc_nulls_last()).collect()  # at most max_queues rows
@@ -186,7 +188,7 @@ def pack(documents: DataFrame, tokenizer: str | None = None, length: int = LENGT
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         width = Encoder.of(tokenizer).width
-        for batch in batches:
+        for batch in slices(batches):
             own = np.array([names[q] for q in batch.column(1).to_pylist()], np.int64)
             sizes = batch.column(3).to_numpy(zero_copy_only=False)
             got = pieces_of(batch.column(2).to_numpy(zero_copy_only=False), sizes, own, lengths, quantum, length)
@@ -197,6 +199,8 @@ def pack(documents: DataFrame, tokenizer: str | None = None, length: int = LENGT
                 columns.append(pa.array([p.astype(np.int32) for p in parts], pa.list_(pa.int32())))
             yield pa.RecordBatch.from_arrays(columns, names=[x.split()[0] for x in PIECES.split(", ")] + ["ids"] * with_ids)
 
+    if sums.count() <= MOST_BASES:  # one row per task and source; beyond that, the join shuffles the ids
+        bases = F.broadcast(bases)
     placed = stored.join(bases, stored["queue"].eqNullSafe(bases["_queue"]) & (stored["task"] == bases["_task"]))
     ready = placed.select("doc_id", "queue", (F.col("_base") + F.col("place")).alias("start"), "n", "ids")
     return ready.mapInArrow(rows, PIECES + ", ids array<int>" * with_ids)
