@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import WORD, materialize, running_start
+from quillgraph.llm.common import WORD, materialize, running_start, slices
 
 WEIGHTS, MOST, BLOCK, SHARDS, SEED = (5, 2, 1), 3, 128, 64, 20240607
 MAX_SOURCES, PIECE = 100_000, 1 << 20
@@ -153,7 +153,8 @@ class Mix:
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken of every document."""
         times = self.slots().groupBy("s", "block").agg(F.count(F.lit(1)).alias("times"))
-        found = self.parts().join(times, ["s", "block"], "left")
+        # Spark takes the slots' size for that of the ranges they are made from; a merge join needs no such guess.
+        found = self.parts().join(times.hint("merge"), ["s", "block"], "left")
         words = F.sum((F.col("high") - F.col("low")) * F.coalesce("times", F.lit(0))).cast("long")
         whole = found.groupBy(_ID, "s", "start", "size", "source_size", "target").agg(words.alias("taken")).select(_ID, "size", "source_size", "target", "taken")
         named = self.sized.where("size = 0").join(F.broadcast(self.sources), F.col("source").eqNullSafe(F.col("name")))
@@ -169,7 +170,7 @@ def mix_texts(documents: DataFrame, **options) -> DataFrame:
     """The mix as rows in the columns of documents: for every round through its source's blocks in which some of a
     document's words are taken, a row with these words (the whole text if all are), white space between them as it was."""
     mix = Mix(documents, **options)
-    found = mix.parts().join(mix.slots().select("s", "block", "round"), ["s", "block"])
+    found = mix.parts().join(mix.slots().select("s", "block", "round").hint("merge"), ["s", "block"])
     pieces = found.groupBy(_ID, _ROW).agg(F.first("size").alias("size"), F.collect_list(F.struct("start", "round", "low", "high")).alias("pieces"))
     pieces = pieces.select(F.col(_ID).alias("_qg_i"), F.col(_ROW).alias("_qg_r"), "size", F.sort_array("pieces").alias("pieces"))
     keyed = documents.withColumns({_ID: F.col("doc_id").cast("long"), _ROW: row_key(documents)})
@@ -182,7 +183,7 @@ def mix_texts(documents: DataFrame, **options) -> DataFrame:
     words = re.compile(WORD)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches):
             own, texts = [], []
             for k, (text, size, got) in enumerate(zip(batch.column(at).to_pylist(), batch.column(len(columns)).to_pylist(), batch.column(len(columns) + 1).to_pylist(), strict=True)):
                 spans, runs = None, {}
