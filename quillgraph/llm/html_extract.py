@@ -7,8 +7,9 @@
    differ between pages slots, while equal ones stay constants. Aligning two wrappers is the same operation, so tasks
    fold their own pages per host, and partial wrappers are folded over (host, salt) and then over hosts; no task sees a
    host's pages together, however many there are.
-3. The wrapper tells where the host keeps its article: an article or main element, else the node that the host's varying
-   text gathers in. Pages meet their host's path by a join on the host.
+3. The wrapper tells where the host keeps its articles: all outermost article and main elements with the h1 that vary
+   outside them, else the deepest container outside which every text is the same on all pages. Shares of text decide
+   nothing, and only plain containers are gone into. Pages meet their host's places by a join on the host.
 4. A page's text is what stands there, block by block, without the elements that never belong to an article.
 
 Defined results: a null or empty html gives an empty text, a null url the host ''; truncated pages end all open elements;
@@ -31,7 +32,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import materialize, slices
 from quillgraph.llm.url_filter import host_of
 
-GROUP, SALTS, SHARE = 4, 64, 0.6
+GROUP, SALTS = 4, 64
 
 # Kinds of elements.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,6 +45,8 @@ NEVER = frozenset("nav footer aside form dialog menu head".split())
 #: An opening tag of the first kind ends an open element of the second kind.
 ENDS_P = BLOCKS - {"html", "body", "caption", "td", "th", "tr", "tbody", "thead", "tfoot", "dd", "dt", "li", "legend", "summary"}
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+#: What the search for an article's place goes into.
+CONTAINERS = frozenset("html body div section center".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"))
 #: Words in a class or id that mark what isn't the article.
 NAMES = frozenset(
@@ -121,7 +124,11 @@ def events(html: str) -> Iterator[tuple[str, str, bool]]:
         yield "close", stack.pop()[1], False
 
 
-# A wrapper node: [sign, pages, optional, repeated, smallest and largest text hash, characters of text, children].
+# A wrapper node: [sign, pages, optional, repeated, smallest and largest text hash, characters of text, children]. Optional is
+# True for nodes that pages lack, ROUNDS for those that only rounds within a page lack; a page's rounds share one hash.
+ROUNDS = 2
+
+
 def node(sign: str) -> list:
     return [sign, 1, False, False, 0, 0, 0, []]
 
@@ -172,7 +179,10 @@ def fold_repeats(top: list) -> None:
 def align(a: list, b: list, same_page: bool = False) -> list:
     """The wrapper of all pages of both."""
     pages = max(a[1], b[1]) if same_page else a[1] + b[1]
-    out = [a[0], pages, a[2] or b[2], a[3] or b[3], min(a[4], b[4]), max(a[5], b[5]), a[6] + b[6], []]
+    lack = True in (a[2], b[2]) or a[2] or b[2]
+    out = [a[0], pages, lack, a[3] or b[3], min(a[4], b[4]), max(a[5], b[5]), a[6] + b[6], []]
+    if same_page and (a[4] or b[4]):
+        out[4] = out[5] = zlib.crc32(b[4].to_bytes(4, "big"), a[4])
     left, right = a[7], b[7]
     names, others = [x[0] for x in left], [x[0] for x in right]
     if names == others:
@@ -180,7 +190,7 @@ def align(a: list, b: list, same_page: bool = False) -> list:
         return out
 
     def optional(x: list) -> list:
-        return [x[0], x[1], True, *x[3:]]
+        return [x[0], x[1], (x[2] or ROUNDS) if same_page else True, *x[3:]]
 
     for op, i, j, k, m in SequenceMatcher(None, names, others, autojunk=False).get_opcodes():
         if op == "equal":
@@ -190,7 +200,7 @@ def align(a: list, b: list, same_page: bool = False) -> list:
     merged: list = []
     for child in out[7]:  # options of one sign side by side are one repeated option
         if merged and merged[-1][0] == child[0] and merged[-1][2] and child[2]:
-            merged[-1] = align(merged[-1], child)
+            merged[-1] = align(merged[-1], child, same_page)
             merged[-1][3] = True
         else:
             merged.append(child)
@@ -198,44 +208,58 @@ def align(a: list, b: list, same_page: bool = False) -> list:
     return out
 
 
-def varying(top: list) -> int:
-    """Characters in slots: texts that differ between pages or rounds."""
-    return (top[6] if top[4] != top[5] or top[3] else 0) + sum(varying(x) for x in top[7])
-
-
-def article_path(wrapper: list) -> list[str]:
-    """Signs from the root down to where the article stands."""
-    for wanted in ("article", "main"):
-        queue: list[tuple[list[str], list]] = [([], wrapper)]
-        best: tuple[int, list[str]] | None = None
-        while queue:
-            path, top = queue.pop()
-            for child in top[7]:
-                here = [*path, child[0]]
-                if child[0].split(".")[0] == wanted:
-                    found = varying(child) + child[6]
-                    if best is None or (found, here) > best:
-                        best = (found, here)
-                else:
-                    queue.append((here, child))
-        if best:
-            return best[1]
+def has_text(top: list) -> bool:
+    return top[6] > 0 or any(has_text(x) for x in top[7])
+
+
+def own_differs(top: list) -> bool:
+    return top[6] > 0 and top[4] != top[5]
+
+
+def differs(top: list) -> bool:
+    """Whether any text of the node is a slot: not the same on all pages, or missing on some."""
+    return own_differs(top) or top[2] is True and has_text(top) or any(differs(x) for x in top[7])
+
+
+def nodes(top: list, stop: frozenset[str]) -> Iterator[tuple[list[str], list]]:
+    """Path and node of all below, but for what is below those of the tags in stop."""
+    queue: list[tuple[list[str], list]] = [([], top)]
+    while queue:
+        path, at = queue.pop()
+        for child in at[7]:
+            here = [*path, child[0]]
+            yield here, child
+            if child[0].split(".")[0] not in stop:
+                queue.append((here, child))
+
+
+def article_places(wrapper: list) -> dict[str, list[list[str]]]:
+    """Signs from the root down to what holds the articles, and to titles outside; none if nothing tells (one page)."""
+    found = list(nodes(wrapper, frozenset(("article", "main"))))
+    articles = {tuple(path) for path, _ in found if path[-1].split(".")[0] in ("article", "main")}
+    if articles:
+        titles = {tuple(path) for path, top in found if path[-1].split(".")[0] == "h1" and differs(top)}
+        return {"articles": [list(x) for x in sorted(articles)], "titles": [list(x) for x in sorted(titles)]}
+    if not differs(wrapper):
+        return {"articles": [], "titles": []}
     path, top = [], wrapper
-    while top[7]:
-        best_child = max(top[7], key=lambda x: (varying(x), x[0]))
-        if best_child[0].split(".")[0] in HEADINGS | {"p"} or varying(best_child) <= SHARE * varying(top):
+    while not own_differs(top):
+        slots = [x for x in top[7] if differs(x)]
+        if len(slots) != 1 or slots[0][0].split(".")[0] not in CONTAINERS:
             break
-        path.append(best_child[0])
-        top = best_child
-    return path
+        path.append(slots[0][0])
+        top = slots[0]
+    return {"articles": [path], "titles": []}
 
 
-def text_at(html: str, path: list[str]) -> str:
-    """The blocks under the path; in a page without any there, under an article or main element; in one without these, all."""
-    regions: dict[str, list[str]] = {"path": [], "article": [], "main": [], "body": []}
-    inside: dict[str, int] = dict.fromkeys(regions, 0)
-    matched, stack, skip, parts = 0, [], 0, []
-    goal = len(path)
+def text_at(html: str, places: dict[str, list[list[str]]]) -> str:
+    """The blocks at all places; in a page without any, under article or main elements; in one without these, all."""
+    articles, titles = ({"/".join(x) for x in places.get(name, [])} for name in ("articles", "titles"))
+    above, above_titles = ({"/".join(x[:k]) for x in places.get(name, []) for k in range(1, len(x))} for name in ("articles", "titles"))
+    inside = {"place": int("" in articles), "title": 0, "element": 0}
+    blocks: list[tuple[str, bool, bool, bool]] = []
+    stack: list[tuple[str, str, str, bool]] = []  # tag, path, what of inside it is counted in besides element, whether as a header
+    skip, parts, header, seen = 0, [], 0, False
 
     def flush() -> None:
         nonlocal parts
@@ -243,48 +267,43 @@ def text_at(html: str, path: list[str]) -> str:
             text = _SPACES.sub(" ", "".join(parts)).strip()
             parts = []
             if text:
-                for name, depth in inside.items():
-                    if depth or name == "body":
-                        regions[name].append(text)
+                blocks.append((text, inside["place"] > 0, inside["title"] > 0, inside["element"] > 0))
 
-    header, seen = 0, False
     for kind, value, never in events(html):
         if kind == "text":
-            if not skip and not (header and not any(s.split(".")[0] in HEADINGS for s in stack)):
+            if not skip and not (header and not any(x[0] in HEADINGS for x in stack)):
                 parts.append(unescape(value))
             continue
         tag = value.split(".")[0]
         if tag in BLOCKS or never:
             flush()
         if kind == "open":
-            # A header inside the article gives its headings, any other nothing.
-            if skip or never or tag == "header" and not any(inside.values()):
+            here = f"{stack[-1][1]}/{value}" if stack else value
+            # A header inside the article, or with a title, gives its headings, any other nothing.
+            if skip or never or tag == "header" and not any(inside.values()) and here not in above and here not in above_titles:
                 skip += 1
                 continue
-            stack.append(value)
-            if tag == "header":
-                header += 1
-            if matched == len(stack) - 1 and matched < goal and path[matched] == value:
-                matched += 1
-                if matched == goal:
-                    inside["path"] += 1
-            if tag in ("article", "main"):
-                inside[tag] += 1
-            seen = seen or any(inside.values())
+            counted = "place" if here in articles else "title" if here in titles else ""
+            stack.append((tag, here, counted, tag == "header" and here not in above))
+            header += stack[-1][3]
+            if counted:
+                inside[counted] += 1
+            inside["element"] += tag in ("article", "main")
+            seen = seen or inside["place"] > 0 or inside["element"] > 0
         elif skip:
             skip -= 1
         else:
-            if goal and len(stack) == goal == matched:
-                inside["path"] -= 1
-            stack.pop()
-            matched = min(matched, len(stack))
-            if tag == "header":
-                header -= 1
-            if tag in ("article", "main"):
-                inside[tag] -= 1
+            tag, _, counted, as_header = stack.pop()
+            header -= as_header
+            if counted:
+                inside[counted] -= 1
+            inside["element"] -= tag in ("article", "main")
     flush()
-    found = next((regions[name] for name in ("path", "article", "main") if regions[name]), [])
-    return "\n\n".join(found or ([] if seen else regions["body"]))
+    if any(x[1] for x in blocks):
+        return "\n\n".join(text for text, place, title, _ in blocks if place or title)
+    if seen:
+        return "\n\n".join(text for text, _, title, element in blocks if element or title)
+    return "\n\n".join(x[0] for x in blocks)
 
 
 def dump(wrapper: list) -> str:
@@ -325,11 +344,11 @@ def infer_wrappers(pages: DataFrame) -> DataFrame:
 
 
 def article_paths(wrappers: DataFrame) -> DataFrame:
-    """host, path (JSON list of signs)."""
+    """host, path (JSON of article_places)."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches):
-            paths = [json.dumps(article_path(json.loads(x))) for x in batch.column(1).to_pylist()]
+            paths = [json.dumps(article_places(json.loads(x))) for x in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(paths, pa.string())], names=["host", "path"])
 
     return wrappers.mapInArrow(rows, "host string, path string")
@@ -340,7 +359,7 @@ def extract(pages: DataFrame) -> DataFrame:
     paths = materialize(article_paths(infer_wrappers(pages)), "paths")
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parsed: dict[str | None, list[str]] = {None: []}
+        parsed: dict[str | None, dict[str, list[list[str]]]] = {None: {}}
         for batch in slices(batches):
             texts = []
             for html, path in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):

@@ -419,6 +419,43 @@ def test_wrapper_finds_the_article_without_tags(spark):
         assert r.text.startswith(f"Title {r.page_id}\n\nStory {r.page_id} ") and "Imprint" not in r.text and "Welcome" not in r.text
 
 
+def texts_of(spark, pages):
+    rows = spark.createDataFrame([(k, "http://plain.example/x", page) for k, page in enumerate(pages)], "page_id int, url string, html string").repartition(2)
+    return [r.text for r in html_extract.extract(rows).orderBy("page_id").collect()]
+
+
+@pytest.mark.parametrize(
+    "body, want",
+    [
+        # the title, and a lead, outside the body's container
+        ("<div class='wrap'><h1>Title {k}</h1><p>lead {k}</p><div class='entry'><p>{long}</p></div></div>", "Title {k}\n\nlead {k}\n\n{long}"),
+        # a long list in an article
+        ("<div class='content'><h1>Title {k}</h1><p>p {k}</p><ul><li>{long}</li><li>x {k}</li></ul></div>", "Title {k}\n\np {k}\n\n{long}\n\nx {k}"),
+        ("<div class='content'><ul><li>{long}</li><li>x {k}</li></ul></div>", "{long}\n\nx {k}"),
+        # two parts side by side; the text of the container itself
+        ("<div class='one'><p>{long}</p></div><div class='two'><p>rest {k}</p></div>", "{long}\n\nrest {k}"),
+        ("<div class='one'>own {k}<div class='two'><p>{long}</p></div></div>", "own {k}\n\n{long}"),
+        # a list that is the same on all pages is left behind
+        ("<div class='links'><ul><li><a>Home</a></li><li>About</li></ul></div><div class='one'><p>{long}</p></div>", "{long}"),
+        # all articles of a page, and its title outside them; a heading of the site isn't one
+        ("<div class='a'><article><p>{long}</p></article></div><div class='b'><article><p>second {k}</p></article></div>", "{long}\n\nsecond {k}"),
+        ("<h1>Site</h1><header><h1>Title {k}</h1><p>by</p></header><article><p>{long}</p></article>", "Title {k}\n\n{long}"),
+        ("<main><h1>Title {k}</h1><article><p>{long}</p></article></main>", "Title {k}\n\n{long}"),
+    ],
+)
+def test_nothing_of_an_article_is_left_behind(spark, body, want):
+    values = [{"k": k, "long": " ".join(f"w{k}{j}" for j in range(60))} for k in range(4)]
+    page = "<html><body><div class='top'><p>Welcome</p></div>%s<div class='bottom'>Imprint</div></body></html>" % body
+    want = want if "one'><p>" not in body or "two" not in body else f"Welcome\n\n{want}\n\nImprint"
+    assert texts_of(spark, [page.format(**v) for v in values]) == [want.format(**v) for v in values]
+
+
+def test_a_lead_that_some_pages_lack_stays(spark):
+    page = "<body><div class='wrap'>%s<div class='entry'><p>story {0} {0}{0}</p></div></div></body>"
+    got = texts_of(spark, [(page % ("<h1>Only here</h1>" if k == 2 else "")).format(k) for k in range(4)])
+    assert got == [("Only here\n\n" if k == 2 else "") + f"story {k} {k}{k}" for k in range(4)]
+
+
 def test_alignment_makes_options_and_repeats():
     one = html_extract.tree("<div><p>a</p><p>b</p><ul><li>x</li></ul></div>")
     two = html_extract.tree("<div><h2>t</h2><p>c</p></div>")
