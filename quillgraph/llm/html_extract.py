@@ -48,13 +48,20 @@ SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td"
 #: What the search for an article's place goes into.
 CONTAINERS = frozenset("html body div section center".split())
 HEADINGS = frozenset(("h1", "h2", "h3", "h4", "h5", "h6", "hgroup"))
-#: Words in a class or id that mark what isn't the article.
+#: Whole classes or ids of what isn't an article. Those in MAYBE also name parts of articles: they count where a host's wrapper
+#: shows the same text on all pages. A heading, article, main, body or html is never judged by its names.
 NAMES = frozenset(
-    "ad ads advert adverts advertisement advertising adsense sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notices alert "
-    "sidebar side comment comments commentlist discussion disqus reply replies respond share sharing social related recommended newsletter subscribe "
-    "subscription signup login breadcrumb breadcrumbs menu nav navbar navigation footer masthead popup modal overlay widget pagination pager skip "
-    "paywall toolbar".split()
+    "ad ads advert adverts advertisement advertising adsense adsbygoogle ad-slot ad-banner ad-container sponsored cookie cookies cookie-notice cookie-banner "
+    "cookie-consent cookie-bar consent gdpr sidebar sidebar-left sidebar-right left-sidebar right-sidebar comments commentlist comment-list comments-area "
+    "comments-section disqus_thread share-buttons social-share social-links related-posts related-articles newsletter newsletter-signup signup login "
+    "breadcrumb breadcrumbs nav navbar navigation main-menu menu footer masthead popup modal pagination".split()
 )
+MAYBE = frozenset(
+    "alert banner comment discussion disqus notice notices overlay pager paywall promo promotion recommended related replies reply respond share sharing side "
+    "skip skip-link social sponsor subscribe subscription toolbar widget".split()
+)
+UNNAMED = HEADINGS | {"html", "body", "main", "article"}
+ROLES = frozenset("complementary navigation banner menu".split())
 
 _TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([A-Za-z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|[^<]+|<""", re.S)
 _NAMED = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
@@ -63,15 +70,24 @@ _SPACES = re.compile(r"[\s\xa0]+")
 
 
 def signs(tag: str, attributes: str) -> tuple[str, bool]:
-    """The sign of an element (tag.first-class) and whether its names say that it isn't part of an article."""
-    first, never = "", tag in NEVER
+    """The sign of an element (tag.first-class, !! behind it for one of NAMES, ! for one of MAYBE) and whether it can't be part of an article."""
+    first, mark, never = "", "", tag in NEVER
     if attributes:
         for m in _NAMED.finditer(attributes):
-            words = [w.lower() for w in _WORD.findall(m[2] or m[3] or m[4] or "")]
-            if m[1].lower() == "class" and words and not first:
-                first = "." + words[0]
-            never = never or any(w in NAMES for w in words) or m[1].lower() == "role" and "complementary" in words
-    return tag + first, never
+            kind, value = m[1].lower(), (m[2] or m[3] or m[4] or "").lower()
+            if kind == "class" and not first and (word := _WORD.search(value)):
+                first = "." + word[0]
+            if tag in UNNAMED:
+                continue
+            names = [value.strip()] if kind == "id" else value.split()
+            if kind == "role":
+                never = never or any(x in ROLES for x in names)
+            elif any(x in NAMES for x in names):
+                # A section's id is its title's anchor.
+                mark = "!" if kind == "id" and tag == "section" and not mark else "!!"
+            elif any(x in MAYBE for x in names):
+                mark = mark or "!"
+    return tag + (first or mark and ".") + mark, never
 
 
 def events(html: str) -> Iterator[tuple[str, str, bool]]:
@@ -233,8 +249,53 @@ def nodes(top: list, stop: frozenset[str]) -> Iterator[tuple[list[str], list]]:
                 queue.append((here, child))
 
 
+def pruned(top: list, keep: set[str] | None, gone: dict[str, bool], path: str = "", always: bool = True) -> list:
+    """Without what names say isn't an article: one of NAMES unless in keep (None: all are), one of MAYBE if it is the same
+    on all pages and they differ elsewhere. gone: for each of the latter whether all at its path are so."""
+    children = []
+    for child in top[7]:
+        here = f"{path}/{child[0]}" if path else child[0]
+        on_all = always and child[2] is not True
+        if child[0].endswith("!!"):
+            if keep is not None and here not in keep:
+                continue
+        elif child[0].endswith("!"):
+            same = on_all and not differs(child) and not any(x[-1].split(".")[0] in ("article", "main") for x, _ in nodes(child, frozenset()))
+            gone[here] = same and gone.get(here, True)
+            if same:
+                continue
+        children.append(pruned(child, keep, gone, here, on_all))
+    return [*top[:7], children]
+
+
 def article_places(wrapper: list) -> dict[str, list[list[str]]]:
-    """Signs from the root down to what holds the articles, and to titles outside; none if nothing tells (one page)."""
+    """Signs from the root down to what holds the articles, and to titles outside; none if nothing tells (one page).
+
+    keep: elements of NAMES that stay, as the host has its article there; gone: elements of MAYBE that go.
+    """
+    several = differs(wrapper)
+    gone: dict[str, bool] = {}
+
+    def tells(top: list) -> bool:
+        return differs(top) if several else has_text(top)
+
+    def without(keep: set[str] | None) -> list:
+        return pruned(wrapper, keep, gone, always=several)
+
+    clean = without(set())
+    found = search(clean)
+    keep: set[str] | None = set()
+    elements = any(path[-1].split(".")[0] in ("article", "main") for path, _ in nodes(clean, frozenset()))
+    if not elements and not tells(clean):
+        whole = without(None)
+        found = search(whole)
+        keep = {"/".join(x[:k]) for places in found.values() for x in places for k in range(1, len(x) + 1) if x[k - 1].endswith("!!")}
+        if not tells(without(keep)):
+            keep = {"/".join(path) for path, _ in nodes(whole, frozenset()) if path[-1].endswith("!!")}
+    return {**found, "keep": [x.split("/") for x in sorted(keep)], "gone": [x.split("/") for x, same in sorted(gone.items()) if same]}
+
+
+def search(wrapper: list) -> dict[str, list[list[str]]]:
     found = list(nodes(wrapper, frozenset(("article", "main"))))
     articles = {tuple(path) for path, _ in found if path[-1].split(".")[0] in ("article", "main")}
     if articles:
@@ -254,7 +315,7 @@ def article_places(wrapper: list) -> dict[str, list[list[str]]]:
 
 def text_at(html: str, places: dict[str, list[list[str]]]) -> str:
     """The blocks at all places; in a page without any, under article or main elements; in one without these, all."""
-    articles, titles = ({"/".join(x) for x in places.get(name, [])} for name in ("articles", "titles"))
+    articles, titles, keep, gone = ({"/".join(x) for x in places.get(name, [])} for name in ("articles", "titles", "keep", "gone"))
     above, above_titles = ({"/".join(x[:k]) for x in places.get(name, []) for k in range(1, len(x))} for name in ("articles", "titles"))
     inside = {"place": int("" in articles), "title": 0, "element": 0}
     blocks: list[tuple[str, bool, bool, bool]] = []
@@ -275,10 +336,12 @@ def text_at(html: str, places: dict[str, list[list[str]]]) -> str:
                 parts.append(unescape(value))
             continue
         tag = value.split(".")[0]
+        if kind == "open" and not skip:
+            here = f"{stack[-1][1]}/{value}" if stack else value
+            never = never or (here not in keep if value.endswith("!!") else value.endswith("!") and here in gone)
         if tag in BLOCKS or never:
             flush()
         if kind == "open":
-            here = f"{stack[-1][1]}/{value}" if stack else value
             # A header inside the article, or with a title, gives its headings, any other nothing.
             if skip or never or tag == "header" and not any(inside.values()) and here not in above and here not in above_titles:
                 skip += 1

@@ -456,6 +456,33 @@ def test_a_lead_that_some_pages_lack_stays(spark):
     assert got == [("Only here\n\n" if k == 2 else "") + f"story {k} {k}{k}" for k in range(4)]
 
 
+@pytest.mark.parametrize(
+    "page, want",
+    [
+        # names of what holds the article, and of its headings, sections and paragraphs
+        ("<html><body class='post no-sidebar'><p>story {k}</p></body></html>", "story {k}"),
+        ("<body class='sidebar' id='menu'><p>story {k}</p></body>", "story {k}"),
+        ("<body><main class='content has-sidebar ad'><p>story {k}</p></main></body>", "story {k}"),
+        ("<body><article class='comments'><h2 id='side-effects'>S {k}</h2><h2 id='related-work'>R {k}</h2><h2 class='ad'>A {k}</h2></article></body>", "S {k}\n\nR {k}\n\nA {k}"),
+        ("<body><article><section id='discussion'><p>d {k}</p></section><p class='alert'>mind {k}</p><section id='login'>l {k}</section></article></body>", "d {k}\n\nmind {k}\n\nl {k}"),
+        ("<body><div id='menu'><article><p>story {k}</p><div class='ad'>buy {k}</div></article></div></body>", "story {k}"),
+        ("<body><div class='popup'><p>story {k}</p></div><div class='end'>Imprint</div></body>", "story {k}"),
+        # what isn't an article goes whole, and what only may be none if it is the same on all pages
+        ("<body><article><p>story {k}</p><div class='ad'>buy {k}</div><div class='x comments'>c {k}</div><div class='share'>Share this</div></article></body>", "story {k}"),
+        ("<body><div class='one'><p>story {k}</p></div><div class='sidebar'>see {k}</div><div class='widget'>Hello</div></body>", "story {k}"),
+    ],
+)
+def test_names_take_nothing_from_an_article(spark, page, want):
+    assert texts_of(spark, [page.format(k=k) for k in range(3)]) == [want.format(k=k) for k in range(3)]
+
+
+def test_names_on_a_host_of_one_page(spark):
+    assert texts_of(spark, ["<body class='no-sidebar'><p>a</p><p class='alert'>b</p><div class='ad'>buy</div></body>"]) == ["a\n\nb"]
+    assert texts_of(spark, ["<body><div class='modal'><p>a</p></div></body>"]) == ["a"]
+    # a page that is there twice confirms nothing
+    assert texts_of(spark, ["<body><p>a</p><p class='alert'>b</p></body>"] * 2 + ["<body><p>c</p></body>"]) == ["a\n\nb"] * 2 + ["c"]
+
+
 def test_alignment_makes_options_and_repeats():
     one = html_extract.tree("<div><p>a</p><p>b</p><ul><li>x</li></ul></div>")
     two = html_extract.tree("<div><h2>t</h2><p>c</p></div>")
