@@ -92,7 +92,7 @@ def blocks(texts: DataFrame, key: str = "uri", text: str = "content") -> DataFra
     )
     checked = F.when(F.col("kind") == "task", F.when(line.rlike(r"^[-*] \[[xX]\]"), "x").otherwise("o"))
     level = F.when(F.col("kind") == "heading", F.length(F.regexp_extract(line, "^(#+)", 1)))
-    language = F.when(fence & (F.col("_fences") % 2 == 1), F.nullif(F.trim(F.substring(line, 4, 1000)), F.lit("")))
+    language = F.when(fence & (F.col("_fences") % 2 == 1), F.nullif(F.trim(line.substr(F.lit(4), F.length(line))), F.lit("")))
     grouped = lines.select(key, "block_index", "n", "kind", plain.alias("_text"), checked.alias("_checked"), level.alias("_level"), language.alias("_language")).groupBy(key, "block_index").agg(
         F.first("kind").alias("block_type"),
         F.max("_level").alias("level"),

@@ -370,7 +370,7 @@ def triple_lookup(spark, sf_dir):
     return joins.lookup(found, p="stewards", o="bm:thing:p5").unionByName(joins.lookup(found, p="hasTag", o="tag:Brand#2"))
 
 
-# Texts: notes made of documents' first words, with marks of every kind.
+# Texts: a small fixed note per document (its source, lang and id filled in) with marks of every kind.
 NOTE = """concat_ws(chr(10), '# ' || source, '', 'See @[Thing:Part ' || (doc_id % 9) || ':p' || (doc_id % 50) || '] and @[Old](thing:p' || (doc_id % 7) || ')', 'more', '- one', '- two', '1. first', '3. second', '> said', '---', '- [x] done', '- [ ] open', '```py', '# code', '', '```', lang)"""
 
 
@@ -426,6 +426,79 @@ def doc_triples(spark, sf_dir):
     return texts.doc_triples(texts.blocks(rows), texts.mentions(rows)).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
 
 
+# The same over the documents' whole texts: every line as it is, marks before or between them.
+MARKS = ["# ", "", "", "- ", "- ", "1. ", "2. ", "> ", "@[Thing:Part 3:p5] ", "- [x] ", "- [ ] ", "```", "", "---\n", "@[Old](thing:p7) ", "## "]
+CANON = r"@\[[^:\[\]]+:[^:\[\]]*:[^:\[\]]+(?::[^:\[\]]+)?\]"
+OLD = r"@\[[^\[\]]+\]\([a-zA-Z]+:[^()\s]+\)"
+WHOLE = """S AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents),
+  W AS (SELECT 'bm:symbol:d' || doc_id AS uri, string_agg(([%s])[CAST((doc_id + i - 1) %% 16 AS INTEGER) + 1] || line, chr(10) ORDER BY i) AS x FROM S GROUP BY doc_id)""" % ", ".join("'---' || chr(10)" if "\n" in x else f"'{x}'" for x in MARKS)
+PIECES = """%(name)s AS (SELECT uri, 2 * i AS j, part AS value FROM (SELECT uri, unnest(string_split_regex(x, '%(of)s')) AS part, generate_subscripts(string_split_regex(x, '%(of)s'), 1) AS i FROM W)
+  UNION ALL SELECT uri, 2 * i + 1, token FROM (SELECT uri, unnest(regexp_extract_all(x, '%(of)s')) AS token, generate_subscripts(regexp_extract_all(x, '%(of)s'), 1) AS i FROM W))"""
+FOUND = f"""{WHOLE}, {PIECES % {"name": "PC", "of": CANON}}, {PIECES % {"name": "PO", "of": OLD}},
+  M AS (SELECT uri, CAST(before + 1 AS INTEGER) AS start, value AS token, j FROM (SELECT *, sum(length(value)) OVER (PARTITION BY uri ORDER BY j) - length(value) AS before FROM PC) WHERE j % 2 = 1),
+  MO AS (SELECT uri, CAST(before + 1 AS INTEGER) AS start, value AS token, j FROM (SELECT *, sum(length(value)) OVER (PARTITION BY uri ORDER BY j) - length(value) AS before FROM PO) WHERE j % 2 = 1)"""
+SPLIT = WHOLE + """,
+  S1 AS (SELECT uri, unnest(string_split(x, chr(10))) AS line, generate_subscripts(string_split(x, chr(10)), 1) AS n FROM W),
+  S2 AS (SELECT *, starts_with(line, '```') AS fence, CAST(sum(CASE WHEN starts_with(line, '```') THEN 1 ELSE 0 END) OVER (PARTITION BY uri ORDER BY n) AS BIGINT) AS fences FROM S1),
+  S3 AS (SELECT *, CASE WHEN fences % 2 = 1 OR fence THEN 'code' WHEN regexp_matches(line, '^#{1,3} ') THEN 'heading' WHEN regexp_matches(line, '^-{3,}\\s*$') THEN 'rule' WHEN starts_with(line, '>') THEN 'quote'
+    WHEN regexp_matches(line, '^[-*] \\[[ xX]\\] ') THEN 'task' WHEN regexp_matches(line, '^[-*] ') THEN 'bullet' WHEN regexp_matches(line, '^[0-9]+\\. ') THEN 'ordered' WHEN trim(line) = '' THEN 'blank' ELSE 'paragraph' END AS kind FROM S2),
+  S4 AS (SELECT *, CASE WHEN kind = 'code' THEN (fences + 1) // 2 END AS code FROM S3),
+  S5 AS (SELECT *, lag(kind) OVER (PARTITION BY uri ORDER BY n) AS kind0, lag(code) OVER (PARTITION BY uri ORDER BY n) AS code0 FROM S4),
+  S6 AS (SELECT *, CAST(sum(CASE WHEN n = 1 OR kind IN ('heading', 'rule', 'blank') OR kind <> kind0 OR code <> code0 THEN 1 ELSE 0 END) OVER (PARTITION BY uri ORDER BY n) - 1 AS INTEGER) AS block_index,
+    CASE WHEN fence THEN NULL WHEN kind IN ('rule', 'blank') THEN '' WHEN kind IN ('code', 'paragraph') THEN line WHEN kind = 'quote' THEN regexp_replace(line, '^> ?', '') WHEN kind = 'task' THEN substr(line, 7)
+      WHEN kind = 'bullet' THEN substr(line, 3) ELSE substr(line, instr(line, ' ') + 1) END AS plain FROM S5),
+  B AS (SELECT uri, block_index, CASE min(kind) WHEN 'blank' THEN 'paragraph' ELSE min(kind) END AS block_type, CAST(max(CASE WHEN kind = 'heading' THEN instr(line, ' ') - 1 END) AS INTEGER) AS level,
+    max(CASE WHEN fence AND fences % 2 = 1 THEN nullif(trim(substr(line, 4)), '') END) AS language, nullif(string_agg(CASE WHEN kind = 'task' THEN CASE WHEN substr(line, 4, 1) = ' ' THEN 'o' ELSE 'x' END END, '' ORDER BY n), '') AS checked,
+    coalesce(string_agg(plain, chr(10) ORDER BY n), '') AS text FROM S6 GROUP BY 1, 2)"""
+
+
+def whole(m: Model):
+    c = F.col
+    marks = F.array(*[F.lit(x) for x in MARKS])
+    lines = F.transform(F.split("text", "\n", -1), lambda x, i: F.concat(F.element_at(marks, ((c("doc_id") + i) % len(MARKS) + 1).cast("int")), x))
+    return m.table("documents").select(uri("symbol:d", "doc_id").alias("uri"), F.array_join(lines, "\n").alias("content"))
+
+
+@query(f"""WITH {FOUND} SELECT uri, start, token, regexp_extract(token, '^@.([^:]+):', 1) AS kind, split_part(token, ':', 2) AS label, regexp_extract(token, ':([^:]+).$', 1) AS id FROM M
+  UNION ALL SELECT uri, start, token, 'thing', 'Old', 'p7' FROM MO""")
+def whole_mentions(spark, sf_dir):
+    return texts.mentions(whole(Model(spark, sf_dir))).select("uri", "start", "token", "kind", "label", "id")
+
+
+@query(f"WITH {FOUND} SELECT uri, token FROM M UNION ALL SELECT uri, '@[thing:Old:p7]' FROM MO")
+def whole_tokens(spark, sf_dir):
+    found = texts.mentions(whole(Model(spark, sf_dir)))
+    return found.select("uri", texts.mention_token(F.col("kind"), F.col("label"), F.col("id"), F.col("context")).alias("token"))
+
+
+@query(f"WITH {FOUND} SELECT uri, CAST(row_number() OVER (PARTITION BY uri ORDER BY j) - 1 AS INTEGER) AS position, CASE j % 2 WHEN 1 THEN 'mention' ELSE 'text' END AS kind, value FROM PC WHERE value <> ''")
+def whole_segments(spark, sf_dir):
+    return texts.segments(whole(Model(spark, sf_dir)))
+
+
+@query(f"WITH {SPLIT} SELECT * FROM B")
+def whole_blocks(spark, sf_dir):
+    return texts.blocks(whole(Model(spark, sf_dir)))
+
+
+@query(f"""WITH {SPLIT}, R AS (SELECT uri, n, block_index, CASE WHEN fence AND fences % 2 = 1 THEN '```' || trim(substr(line, 4)) || CASE WHEN lead(block_index) OVER (PARTITION BY uri ORDER BY n) = block_index AND NOT lead(fence) OVER (PARTITION BY uri ORDER BY n) THEN '' ELSE chr(10) END
+    WHEN fence THEN '```' WHEN kind = 'rule' THEN '---' WHEN kind = 'quote' THEN '> ' || plain WHEN kind = 'bullet' THEN '- ' || plain WHEN kind = 'task' THEN CASE WHEN substr(line, 4, 1) = ' ' THEN '- [ ] ' ELSE '- [x] ' END || plain
+    WHEN kind = 'ordered' THEN row_number() OVER (PARTITION BY uri, block_index ORDER BY n) || '. ' || plain WHEN kind = 'blank' THEN '' ELSE line END
+    || CASE WHEN kind = 'code' AND lead(n) OVER (PARTITION BY uri ORDER BY n) IS NULL AND fences % 2 = 1 THEN chr(10) || '```' ELSE '' END AS made FROM S6)
+  SELECT uri, string_agg(made, chr(10) ORDER BY n) AS content FROM R GROUP BY 1""")
+def whole_blocks_to_text(spark, sf_dir):
+    return texts.blocks_to_text(texts.blocks(whole(Model(spark, sf_dir))))
+
+
+@query(f"""WITH {SPLIT}, {FOUND[len(WHOLE) + 2:]} SELECT uri AS s, 'hasPart' AS p, uri || '#' || block_index AS o FROM B UNION ALL SELECT uri || '#' || block_index, 'blockIndex', CAST(block_index AS VARCHAR) FROM B UNION ALL SELECT uri || '#' || block_index, 'blockType', block_type FROM B
+  UNION ALL SELECT uri || '#' || block_index, 'blockLevel', CAST(level AS VARCHAR) FROM B WHERE level IS NOT NULL UNION ALL SELECT uri || '#' || block_index, 'blockLanguage', language FROM B WHERE language IS NOT NULL
+  UNION ALL SELECT uri || '#' || block_index, 'blockChecked', checked FROM B WHERE checked IS NOT NULL UNION ALL SELECT uri || '#' || block_index, 'blockText', text FROM B WHERE text <> ''
+  UNION ALL SELECT DISTINCT uri, 'mentions', regexp_extract(token, ':([^:]+).$', 1) FROM (SELECT uri, token FROM M UNION ALL SELECT uri, token FROM MO)""")
+def whole_doc_triples(spark, sf_dir):
+    rows = whole(Model(spark, sf_dir))
+    return texts.doc_triples(texts.blocks(rows), texts.mentions(rows))
+
+
 @query("""SELECT p_partkey AS id, replace(replace(replace(replace(url_encode(p_type || ' (' || p_name || ')' || '*~!'''), '%28', '('), '%29', ')'), '%27', ''''), '%21', '!') AS encoded FROM part""".replace("url_encode(p_type", "replace(url_encode(p_type").replace("'*~!''')", "'*~!'''), '%2A', '*')"))
 def iri_encode(spark, sf_dir):
     text = F.concat("p_type", F.lit(" ("), "p_name", F.lit(")*~!'"))

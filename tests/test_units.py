@@ -278,3 +278,23 @@ def test_gate_order(spark):
 def test_vocabulary():
     assert len(vocab.CLASSES) == 15 and len(vocab.PREDICATES) == 51 and len(vocab.DATATYPES) == 19 and len({p for p, *_ in vocab.PREDICATES}) == 51
     assert all(set(d.split()) | set(r.split()) <= set(vocab.CLASSES) for _, d, r, _ in vocab.PREDICATES)
+
+
+def test_whole_texts_keep_long_lines_and_open_fences(spark):
+    long = " ".join(f"w{k}" for k in range(5000))
+    content = f"# {long}\n```{long}\n# {long}\n- no list"
+    rows = spark.createDataFrame([("u", content)], "uri string, content string")
+    got = text.blocks(rows).orderBy("block_index").collect()
+    assert [(r.block_type, r.text, r.language) for r in got] == [("heading", long, None), ("code", f"# {long}\n- no list", long)]
+    assert one(text.blocks_to_text(text.blocks(rows))).content == content + "\n```"
+
+
+def test_whole_texts_are_read_whole(spark):
+    from quillgraph.jobs import queries_graph
+    from quillgraph.jobs.model import Model
+
+    m = Model(spark, "/root/testdata/sf0.001")
+    got = {r.uri: r.content for r in queries_graph.whole(m).collect()}
+    marks = queries_graph.MARKS
+    for r in m.table("documents").select("doc_id", "text").collect():
+        assert got[f"bm:symbol:d{r.doc_id}"] == "\n".join(marks[(r.doc_id + i) % len(marks)] + line for i, line in enumerate(r.text.split("\n")))
