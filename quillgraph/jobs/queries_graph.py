@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quillgraph.functions import text as texts
 from quillgraph.functions.json_text import field, number_of, quoted, string_of
 from quillgraph.jobs.model import Model, uri
-from quillgraph.jobs.queries_mapping import EV, MAPPING, responses
+from quillgraph.jobs.queries_mapping import EV, MAPPING, records_of, responses
 from quillgraph.jobs.registry import query
 from quillgraph.operators import actions, graph, joins, log, mapping, quality, sets, triples, versions
 from quillgraph.sources import files
@@ -25,7 +25,7 @@ def flagship(spark, sf_dir):
 @query(f"""WITH {EV}, B AS (SELECT user_id % 50 AS customer, arg_max(upper(event_type), event_id) AS kind, count(*) AS n, round(sum(value), 2) AS amount FROM EV WHERE status = 'ok' AND value < 100 GROUP BY 1) SELECT customer, kind, n, amount FROM B""")
 def etl(spark, sf_dir):
     """Responses to records, mapped, validated, reduced per key with the newest kind: the whole path of a source."""
-    rows = mapping.run_mapping(mapping.iterate(responses(Model(spark, sf_dir)), MAPPING.iterate), MAPPING).where("status = 'ok'")
+    rows = mapping.run_mapping(records_of(Model(spark, sf_dir), MAPPING.iterate), MAPPING).where("status = 'ok'")
     fault = quality.constraint_fault(field("amount"), high=100.0)
     valid = rows.where(fault.isNull() & (number_of(field("amount")) < 100)).withColumn("event_id", F.substring("external_id", 3, 20).cast("long"))
     kind = F.max_by(string_of(field("kind")), "event_id").alias("kind")
@@ -561,7 +561,7 @@ def stream_pipeline(spark, sf_dir):
     m = Model(spark, sf_dir)
     landed, out, checkpoint = files.scratch(spark, "landed"), files.scratch(spark, "out"), files.scratch(spark, "progress")
     responses(m).write.parquet(landed)
-    stream = streams.files(spark, landed, "user_id bigint, body string", 4)
+    stream = streams.files(spark, landed, "user_id bigint, page int, body string", 4)
     streams.pipeline(stream, lambda batch: mapping.run_mapping(mapping.iterate(batch, MAPPING.iterate), MAPPING).where("status = 'ok'"), out, checkpoint).awaitTermination()
     rows = streams.latest(spark.read.parquet(out), ["type_uri", "external_id"])
     return rows.select("external_id", string_of(field("kind")).alias("kind"), number_of(field("amount")).alias("amount"))

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillgraph.functions import json_text, paths
 from quillgraph.functions.json_text import field, number_of, string_of
@@ -22,20 +23,42 @@ MAPPING = mapping.Mapping(
 )
 
 
-def responses(m: Model):
-    """One JSON response per user: its events as records; every 13th lacks its id, every 17th its meta."""
+#: Records of a response; ids of a range that is counted at once.
+PAGE, RANGE = 500, 100_000
+
+
+def numbered(events, range_: int = RANGE):
+    """events with n, their number among their user's by event_id, from 0: ranges of ids are counted first, so that no task
+    sorts all events of a user."""
+    ranged = events.withColumn("_range", F.floor(F.col("event_id") / range_))
+    counts = ranged.groupBy("user_id", "_range").agg(F.count(F.lit(1)).alias("_count"))
+    before = Window.partitionBy("user_id").orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = counts.select("user_id", "_range", F.coalesce(F.sum("_count").over(before), F.lit(0)).alias("_start"))
+    own = Window.partitionBy("user_id", "_range").orderBy("event_id")
+    return ranged.withColumn("_own", F.row_number().over(own) - 1).join(starts, ["user_id", "_range"]).withColumn("n", F.col("_start") + F.col("_own")).drop("_range", "_own", "_start")
+
+
+def responses(m: Model, page: int = PAGE):
+    """JSON responses of users, each a page of at most PAGE of a user's events as records; every 13th lacks its id, every 17th
+    its meta; page counts from 0."""
     c = F.col
     record = F.struct(
         F.when(c("event_id") % 13 != 0, F.concat(F.lit("ev"), c("event_id").cast("string"))).alias("id"), c("event_type").alias("type"), c("value"),
         (c("event_type") != "error").alias("flag"), c("user_id").cast("string").alias("user"),
         F.when(c("event_id") % 17 != 0, F.struct(F.get_json_object("props", "$.k").cast("int").alias("k"), F.when(c("event_id") % 3 == 0, F.lit("gold")).alias("note"))).alias("meta"),
     )
-    rows = m.table("events").groupBy("user_id").agg(F.sort_array(F.collect_list(F.struct("event_id", record.alias("r")))).alias("rows"))
-    return rows.select("user_id", F.to_json(F.struct(F.transform("rows", lambda x: x["r"]).alias("data"), (c("user_id") % 2 == 0).alias("more"))).alias("body"))
+    paged = numbered(m.table("events")).withColumn("page", F.floor(c("n") / page).cast("int"))
+    rows = paged.groupBy("user_id", "page").agg(F.sort_array(F.collect_list(F.struct("event_id", record.alias("r")))).alias("rows"))
+    return rows.select("user_id", "page", F.to_json(F.struct(F.transform("rows", lambda x: x["r"]).alias("data"), (c("user_id") % 2 == 0).alias("more"))).alias("body"))
+
+
+def records_of(m: Model, path: str, page: int = PAGE):
+    """user_id, record_index, record of all pages of a user, counted through."""
+    return mapping.iterate(responses(m, page), path).withColumn("record_index", (F.col("page") * page + F.col("record_index")).cast("int")).drop("page")
 
 
 def mapped(m: Model):
-    return mapping.run_mapping(mapping.iterate(responses(m), MAPPING.iterate), MAPPING)
+    return mapping.run_mapping(records_of(m, MAPPING.iterate), MAPPING)
 
 
 EV = """EV AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY event_id) - 1 AS INTEGER) AS record_index,
@@ -44,11 +67,16 @@ EV = """EV AS (SELECT *, CAST(row_number() OVER (PARTITION BY user_id ORDER BY e
   CASE WHEN event_id % 3 = 0 AND event_id % 17 <> 0 THEN 'gold' ELSE 'none' END AS tier FROM events)"""
 
 
+def bucketed(customers, width: int = 25_000):
+    """customers with bucket: ranges of their keys, so that a document holds at most so many, however large a nation is."""
+    return customers.withColumn("bucket", F.floor(F.col("c_custkey") / width))
+
+
 @query("SELECT c_nationkey AS nation, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer GROUP BY 1")
 def src_json(spark, sf_dir):
     path = files.scratch(spark, "json")
-    rows = Model(spark, sf_dir).table("customer").groupBy("c_nationkey").agg(F.to_json(F.struct(F.first("c_nationkey").alias("nation"), F.collect_list(F.struct("c_custkey", "c_acctbal")).alias("customers"))).alias("body"))
-    rows.coalesce(1).write.partitionBy("c_nationkey").text(path)
+    rows = bucketed(Model(spark, sf_dir).table("customer")).groupBy("c_nationkey", "bucket").agg(F.to_json(F.struct(F.first("c_nationkey").alias("nation"), F.collect_list(F.struct("c_custkey", "c_acctbal")).alias("customers"))).alias("body"))
+    rows.write.partitionBy("c_nationkey", "bucket").text(path)
     records = mapping.iterate(files.read_json(spark, path).withColumn("nation", F.get_json_object("body", "$.nation").cast("int")), "$.customers")
     return records.groupBy("nation").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum(number_of(paths.value_at(F.col("record"), "c_acctbal"))), 2).alias("total"))
 
@@ -68,8 +96,7 @@ def src_csv(spark, sf_dir):
     path = files.scratch(spark, "csv")
     part = Model(spark, sf_dir).table("part")
     line = F.concat_ws(",", F.concat(F.lit("  "), F.col("p_partkey").cast("string")), F.concat(F.col("p_name"), F.lit(" ")), F.when(F.col("p_size") <= 25, F.col("p_size").cast("string")))
-    header = spark.range(1).select(F.lit("id,name,size").alias("value"), F.lit(-1).alias("o"))
-    header.unionByName(part.select(line.alias("value"), F.col("p_partkey").cast("int").alias("o"))).coalesce(1).sortWithinPartitions("o").select("value").write.text(path)
+    files.write_csv_lines(part.select(line.alias("value")), path, "id,name,size")
     return files.read_csv(spark, path, ["id", "name", "size"])
 
 
@@ -83,12 +110,13 @@ def src_text(spark, sf_dir):
     return lines.groupBy("source").agg(F.sum(chars).alias("chars"), F.count(F.lit(1)).alias("n"))
 
 
-def model_documents(m: Model):
-    """One model document per nation: its customers as personas, links to their orders' count as tags."""
+def model_documents(m: Model, width: int = 25_000):
+    """Model documents of nations, each with a range of a nation's customers as personas; the nation's context, the root and
+    their link are in all of them."""
     person = F.create_map(F.lit("uri"), uri("persona:c", "c_custkey"), F.lit("name"), F.col("c_name"), F.lit("segment"), F.col("c_mktsegment"))
     place = F.struct(uri("ctx:n", "c_nationkey").alias("uri"), F.lit("bm:ctx:root").alias("parentUri"), F.first("c_nationkey").cast("string").alias("name"), F.struct(F.collect_list(person).alias("personas")).alias("facets"))
     root = F.struct(F.lit("bm:ctx:root").alias("uri"), F.lit("root").alias("name"), F.create_map(uri("ctx:n", "c_nationkey"), place).alias("contexts"), F.array(F.struct(F.lit("l1").alias("uri"), F.lit("childOf").alias("predicate"), uri("ctx:n", "c_nationkey").alias("sourceUri"), F.lit("bm:ctx:root").alias("targetUri"))).alias("links"))
-    return m.table("customer").groupBy("c_nationkey").agg(F.to_json(root).alias("body")).select(F.concat(F.lit("map"), F.col("c_nationkey").cast("string")).alias("map_id"), "body")
+    return bucketed(m.table("customer"), width).groupBy("c_nationkey", "bucket").agg(F.to_json(root).alias("body")).select(F.concat(F.lit("map"), F.col("c_nationkey").cast("string")).alias("map_id"), "body")
 
 
 @query("""SELECT 'map' || c_nationkey AS map_id, 'entity' AS kind, 'bm:persona:c' || c_custkey AS uri, 'bm:ctx:n' || c_nationkey AS place, c_mktsegment AS info FROM customer
@@ -98,8 +126,8 @@ def model_documents(m: Model):
 def src_model(spark, sf_dir):
     contexts, entities, links = files.flatten_models(model_documents(Model(spark, sf_dir)))
     rows = entities.select("map_id", F.lit("entity").alias("kind"), "uri", F.col("container_uri").alias("place"), F.col("fields")["segment"].alias("info"))
-    rows = rows.union(contexts.select("map_id", F.lit("context"), "uri", "parent_uri", "name"))
-    return rows.union(links.select("map_id", F.lit("link"), "source_uri", "target_uri", "predicate"))
+    rows = rows.union(contexts.select("map_id", F.lit("context"), "uri", "parent_uri", "name").distinct())
+    return rows.union(links.select("map_id", F.lit("link"), "source_uri", "target_uri", "predicate").distinct())
 
 
 @query("""SELECT 'entities' AS kind, 'bm:inst:' || c_custkey AS id, c_acctbal AS value FROM customer
@@ -167,15 +195,16 @@ def sink_trig(spark, sf_dir):
 # Mapping.
 @query(f"WITH {EV} SELECT event_id, event_type AS type, k, CASE WHEN event_id % 13 <> 0 THEN 'ev' || event_id END AS id, 7.0 AS seven FROM EV")
 def eval_path(spark, sf_dir):
-    records = mapping.iterate(responses(Model(spark, sf_dir)), "$.data")
+    records = records_of(Model(spark, sf_dir), "$.data")
     at = lambda p: paths.value_at(F.col("record"), p)
-    ids = Model(spark, sf_dir).table("events").select("event_id", "user_id", F.expr("cast(row_number() over (partition by user_id order by event_id) - 1 as int)").alias("record_index"))
+    ids = Model(spark, sf_dir).table("events").select("event_id", "user_id")
+    ids = numbered(ids).select("event_id", "user_id", F.col("n").cast("int").alias("record_index"))
     return records.join(ids, ["user_id", "record_index"]).select("event_id", string_of(at("$.type")).alias("type"), number_of(at("meta.k")).alias("k"), string_of(at("id")).alias("id"), number_of(at("7")).alias("seven"))
 
 
 @query("SELECT user_id, count(*) AS n, CAST(max(event_id) % 2 AS BIGINT) * 0 + count(*) - 1 AS last_index FROM events GROUP BY 1 UNION ALL SELECT user_id, 1, 0 FROM events GROUP BY 1")
 def map_iterate(spark, sf_dir):
-    both = mapping.iterate(responses(Model(spark, sf_dir)), "$.data").unionByName(mapping.iterate(responses(Model(spark, sf_dir)), "$.more").withColumn("user_id", F.col("user_id") + 1_000_000))
+    both = records_of(Model(spark, sf_dir), "$.data").unionByName(records_of(Model(spark, sf_dir), "$.more").where("record_index = 0").withColumn("user_id", F.col("user_id") + 1_000_000))
     counts = both.groupBy("user_id").agg(F.count(F.lit(1)).alias("n"), F.max("record_index").cast("long").alias("last_index"))
     return counts.withColumn("user_id", F.col("user_id") % 1_000_000)
 

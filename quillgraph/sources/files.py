@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,21 @@ def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])
 
 
+def write_csv_lines(lines: DataFrame, path: str, header: str) -> None:
+    """Lines (value) as text files, each file with the header first; tasks write their own files."""
+
+    def headed(batches):
+        first = True
+        for batch in batches:
+            values = batch.column(0)
+            if first:
+                yield pa.RecordBatch.from_arrays([pa.array([header], pa.string())], names=["value"])
+                first = False
+            yield pa.RecordBatch.from_arrays([values.cast(pa.string())], names=["value"])
+
+    lines.select(F.col("value").cast("string").alias("value")).mapInArrow(headed, "value string").write.text(path)
+
+
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).select(F.input_file_name().alias("path"), F.col("value").alias("body"))
 

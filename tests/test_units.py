@@ -298,3 +298,30 @@ def test_whole_texts_are_read_whole(spark):
     marks = queries_graph.MARKS
     for r in m.table("documents").select("doc_id", "text").collect():
         assert got[f"bm:symbol:d{r.doc_id}"] == "\n".join(marks[(r.doc_id + i) % len(marks)] + line for i, line in enumerate(r.text.split("\n")))
+
+
+def test_responses_and_documents_are_bounded(spark):
+    from quillgraph.jobs import queries_mapping
+    from quillgraph.jobs.model import Model
+
+    m = Model(spark, "/root/testdata/sf0.001")
+    bodies = queries_mapping.responses(m, 3).select(F.size(F.from_json("body", "data array<string>, more boolean")["data"]).alias("n")).collect()
+    assert max(r.n for r in bodies) <= 3 and sum(r.n for r in bodies) == m.table("events").count()
+    own = "cast(row_number() over (partition by user_id order by event_id) - 1 as int)"
+    want = m.table("events").selectExpr("user_id", f"{own} as record_index", "event_type")
+    got = queries_mapping.records_of(m, "$.data", 3).select("user_id", "record_index", json_text.string_of(paths.value_at(F.col("record"), "type")).alias("event_type"))
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty()
+    assert queries_mapping.numbered(m.table("events"), 7).selectExpr("user_id", "cast(n as int)", "event_type").exceptAll(want).isEmpty()
+    customers = m.table("customer")
+    assert queries_mapping.bucketed(customers, 10).groupBy("c_nationkey", "bucket").count().where("count > 10").isEmpty()
+    people = lambda rows: files.flatten_models(rows)[1]
+    documents = queries_mapping.model_documents(m, 10)
+    assert documents.count() > 25 and people(documents).count() == customers.count()
+
+
+def test_csv_files_have_a_header_each(spark):
+    path = files.scratch(spark, "csv")
+    files.write_csv_lines(spark.range(0, 100, 1, 4).selectExpr("concat(id, ',x') AS value"), path, "id,name")
+    heads = spark.read.text(path, wholetext=True).selectExpr("split(value, '\n')[0] AS head").collect()
+    assert [r["head"] for r in heads] == ["id,name"] * 4
+    assert {int(r.id) for r in files.read_csv(spark, path, ["id", "name"]).collect()} == set(range(100))
