@@ -6,12 +6,16 @@ round; the driver only asks whether a frontier is empty.
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgraph.sources.files import durable
 
+MERGE = 16
+
 
 def edges_of(links: DataFrame, predicate: str = "*", direction: str = "out") -> DataFrame:
     """map_id, src, dst, predicate in walking direction."""
@@ -46,18 +50,21 @@ def traverse(start: DataFrame, links: DataFrame, predicate: str = "*", direction
     return found if found is not None else begin.where("false").withColumn("depth", F.lit(0))
 
 
-def closure(edges: DataFrame, most: int = 64) -> DataFrame:
-    """node, ancestor, depth (>= 1) of a graph of edges (node, up): pairs are followed up one level a round; a pair that has
-    been reached before ends its walk, so cycles end too."""
+def closure(edges: DataFrame) -> DataFrame:
+    """node, ancestor, depth (>= 1) of a graph of edges (node, up): pairs are followed up one level a round, however
+    many there are; a pair that has been reached before ends its walk, so cycles end too. Pairs reached are gathered in the
+    shared folder every MERGE rounds, so that plans stay small."""
     edges = durable(edges.select("node", "up").distinct(), "edges")
     frontier = edges.select("node", F.col("up").alias("ancestor")).distinct().withColumn("depth", F.lit(1))
     seen = frontier
-    for level in range(2, most + 1):
+    for level in count(2):
         step = frontier.select("node", F.col("ancestor").alias("_at")).join(edges.select(F.col("node").alias("_at"), F.col("up").alias("ancestor")), "_at").select("node", "ancestor").distinct()
         frontier = durable(step.join(seen.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(level)), "closure")
         if frontier.isEmpty():
             break
         seen = seen.unionByName(frontier)
+        if level % MERGE == 0:
+            seen = durable(seen, "seen")
     return seen
 
 

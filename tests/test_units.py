@@ -325,3 +325,11 @@ def test_csv_files_have_a_header_each(spark):
     heads = spark.read.text(path, wholetext=True).selectExpr("split(value, '\n')[0] AS head").collect()
     assert [r["head"] for r in heads] == ["id,name"] * 4
     assert {int(r.id) for r in files.read_csv(spark, path, ["id", "name"]).collect()} == set(range(100))
+
+
+def test_closure_has_no_bound(spark):
+    chain = spark.range(70).selectExpr("concat('n', id) AS node", "concat('n', id + 1) AS up")
+    ring = spark.createDataFrame([("a", "b"), ("b", "a")], "node string, up string")
+    got = {(r.node, r.ancestor): r.depth for r in graph.closure(chain.union(ring)).collect()}
+    want = {(f"n{a}", f"n{b}"): b - a for a in range(70) for b in range(a + 1, 71)}
+    assert got == want | {("a", "b"): 1, ("b", "a"): 1, ("a", "a"): 2, ("b", "b"): 2}
