@@ -72,6 +72,20 @@ def running_start(df: DataFrame, key: str, amount: str, order: list[str], out: s
     return joined.withColumn(out, F.col("_base") + F.col("_within")).drop("_slice", "_within", "_key", "_in", "_base")
 
 
+#: Parts that the rows of a hot key are dealt to in meet(): bits of a long.
+PARTS = 64
+
+
+def meet(rows: DataFrame, one: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
+    """rows, any number for a key, joined with `one`, at most one row for a key. The rows of a key are dealt to PARTS parts by
+    a hash of `by`, and the key's row in `one` is copied to those parts that occur (kept as the bits of a long), so a key
+    with a third of all rows is spread over PARTS tasks while a key of few rows costs few copies."""
+    dealt = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int"))
+    used = dealt.groupBy(*keys).agg(F.expr("bit_or(shiftleft(1L, _part))").alias("_bits"))
+    copies = F.expr(f"explode(filter(sequence(0, {PARTS - 1}), i -> (shiftrightunsigned(_bits, i) & 1L) = 1L))")
+    return dealt.join(one.join(used, keys).withColumn("_part", copies).drop("_bits"), [*keys, "_part"], how).drop("_part")
+
+
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
     """Parts of at most `rows` rows: Python objects are made for one part at a time."""
     for batch in batches:

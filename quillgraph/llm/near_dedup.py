@@ -9,10 +9,13 @@
    2 ** -b, so the similarity is estimated as (agreement - 2 ** -b) / (1 - 2 ** -b), by bit counts over the exclusive or.
    The bound lies six standard deviations under the threshold.
 3. Candidate pairs are confirmed on their full shingle sets: 100 * intersection >= threshold * union.
-4. Connected components of the confirmed links. Where a star's other members lie in several components, they are compared
-   with each other, in blocks of `BLOCK` by `BLOCK` members: first their signatures, then the full sets of those members
-   that have a partner. No pair leaves a block; what leaves it are links that join components, fewer than it has members.
-   So a link is lost only if its documents share no band key (under 1e-6 at the threshold), however large a group is.
+4. Connected components of the confirmed links. Where a star's other members lie in several components, members of one
+   component are compared with those of others, in blocks of `BLOCK` by `BLOCK` members: first their signatures, then the
+   full sets of those members that have a partner. No pair leaves a block; what leaves it are links that join components,
+   fewer than it has members. So a link is lost only if its documents share no band key (under 1e-6 at the threshold),
+   however large a group is.
+
+Joins on a hub, a bucket, a class or a label, any of which may be that of very many rows, are salted (common.meet).
 
 Defined results: words are runs of non-white-space (ASCII), A-Z in lower case; a text of one to four words has one shingle,
 its whole sequence; a null text or one without words has the empty set and is linked with nothing; repeated rows give
@@ -29,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import materialize, slices
+from quillgraph.llm.common import materialize, meet, slices
 
 SHINGLE, THRESHOLD = 5, 85
 BANDS, ROWS, BITS = 25, 5, 2
 HASHES = 128
 LONGS = HASHES * BITS // 64
-#: Differing minima allowed among HASHES: at similarity 0.85 their number has mean 14.4 and deviation 3.6.
-MOST_DIFFERENT = 36
+#: Deviations of the estimate that a candidate may lie under the threshold.
+DEVIATIONS = 6
 #: Members in a block; bits of the bitmap of wanted ids (16 MB).
 BLOCK, MOST_BITS = 512, 1 << 27
 
@@ -149,6 +152,21 @@ def estimate(a: str, b: str) -> str:
     return f"((1 - ({differing(a, b)}) / {HASHES}.0) - {chance}) / {1 - chance}"
 
 
+def least_estimate(threshold: int) -> float:
+    """DEVIATIONS standard deviations of the estimate under the threshold."""
+    chance, t = 2.0**-BITS, threshold / 100
+    agree = t + (1 - t) * chance
+    return t - DEVIATIONS * (agree * (1 - agree) / HASHES) ** 0.5 / (1 - chance)
+
+
+def estimates(signs: np.ndarray, one: np.ndarray) -> np.ndarray:
+    """The same estimate of signatures (rows of uint64) with one signature."""
+    odd, chance = np.uint64(0x5555555555555555), 2.0**-BITS
+    differ = signs ^ one
+    different = np.bitwise_count((differ | (differ >> np.uint64(1))) & odd).sum(axis=1)
+    return ((1 - different / HASHES) - chance) / (1 - chance)
+
+
 def sets_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, shingles of the wanted documents (doc_id, distinct). Texts aren't shuffled: a bitmap of the ids' hashes, of at
     most MOST_BITS bits, goes to all tasks, which make sets of what it lets through; a full bitmap lets all through."""
@@ -179,27 +197,49 @@ def confirmed(pairs: DataFrame, documents: DataFrame, threshold: int) -> DataFra
     sets = sets_of(documents, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = pairs.join(right, "b").join(left, "a")
+    both = meet(pairs.join(right, "b"), left, ["a"], "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return materialize(both.where(100 * shared >= threshold * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "confirmed")
 
 
 def blocked(members: DataFrame) -> DataFrame:
-    """members (hub, doc_id, ...) once per pair of blocks (i, j) of their hub's group; side tells whether a row is of block
-    i, j or both."""
-    sizes = members.groupBy("hub").agg(F.count(F.lit(1)).alias("_m")).withColumn("_k", F.ceil(F.col("_m") / BLOCK).cast("int"))
-    dealt = members.join(sizes, "hub").withColumn("_own", F.pmod(F.xxhash64("doc_id"), F.col("_k")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("_k") - 1), lambda other: F.struct(F.least("_own", other).alias("i"), F.greatest("_own", other).alias("j")))
-    return dealt.withColumn("_p", F.explode(pairs)).withColumns({"i": F.col("_p.i"), "j": F.col("_p.j"), "side": F.col("_own")}).drop("_m", "_k", "_own", "_p")
-
-
-def _sides(table: pa.Table, i: int, j: int) -> tuple[np.ndarray, np.ndarray]:
-    side = table["side"].to_numpy()
+    """members (hub, doc_id, component, ...) once per pair of blocks (i, j) of their hub's group that holds two components;
+    side tells whether a row is of block i, j or both.
+
+    A component of more than BLOCK members has blocks of its own, smaller ones share blocks. Blocks of one component are
+    never paired, so a star with one stray costs its members once, not once for each of its blocks.
+    """
+    sizes = members.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("_m"))
+    large = sizes.where(F.col("_m") > BLOCK).select("hub", "component", F.ceil(F.col("_m") / BLOCK).cast("int").alias("_k"))
+    small = sizes.where(F.col("_m") <= BLOCK).groupBy("hub").agg(F.ceil(F.sum("_m") / BLOCK).cast("int").alias("_n"))
+    # A block is (component, number); the shared ones are of component null, written as 'x'.
+    name = lambda component, number: F.concat_ws(":", component.cast("string"), number.cast("string"))
+    counted = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
+    shared = F.lit("x")
+    among = small.select("hub", F.explode(counted("_n")).alias("p"), "_n").select("hub", "p", F.explode(F.expr("sequence(p, _n - 1)")).alias("q"))
+    pairs = among.select("hub", name(shared, F.col("p")).alias("i"), name(shared, F.col("q")).alias("j"))
+    beside = large.join(small, "hub").select("hub", "component", F.explode(counted("_k")).alias("p"), "_n").select("hub", "component", "p", F.explode(counted("_n")).alias("q"))
+    pairs = pairs.union(beside.select("hub", name(F.col("component"), F.col("p")), name(shared, F.col("q"))))
+    other = large.select("hub", F.col("component").alias("_c"), F.col("_k").alias("_o"))
+    apart = large.join(other, "hub").where(F.col("component") < F.col("_c")).select("hub", "component", "_c", F.explode(counted("_k")).alias("p"), "_o").select("hub", "component", "_c", "p", F.explode(counted("_o")).alias("q"))
+    pairs = pairs.union(apart.select("hub", name(F.col("component"), F.col("p")), name(F.col("_c"), F.col("q"))))
+
+    known = sizes.join(large, ["hub", "component"], "left").join(small, "hub", "left").drop("_m")
+    placed = meet(members, known, ["hub", "component"], "doc_id")
+    number = lambda key, k: F.pmod(F.xxhash64(key), F.col(k))
+    own = F.when(F.col("_k").isNotNull(), name(F.col("component"), number("doc_id", "_k"))).otherwise(name(shared, number("component", "_n")))
+    placed = placed.withColumn("side", own).drop("_k", "_n")
+    either = pairs.select("hub", F.col("i").alias("side"), "i", "j").union(pairs.where("i != j").select("hub", F.col("j"), "i", "j"))
+    return placed.join(either, ["hub", "side"])
+
+
+def _sides(table: pa.Table, i: str, j: str) -> tuple[np.ndarray, np.ndarray]:
+    side = np.array(table["side"].to_pylist(), object)
     return np.flatnonzero(side == i), np.flatnonzero(side == j)
 
 
 def _suspects(threshold: int):
-    odd = np.uint64(0x5555555555555555)
+    least = least_estimate(threshold)
 
     def found(key: tuple, table: pa.Table) -> pa.Table:
         """hub, doc_id of members with a likely partner in another component."""
@@ -210,8 +250,7 @@ def _suspects(threshold: int):
         for x in left.tolist():
             far = right[(component[right] != component[x]) & (100 * np.minimum(sizes[right], sizes[x]) >= threshold * np.maximum(sizes[right], sizes[x]))]
             if len(far):
-                differ = signs[far] ^ signs[x]
-                near = far[np.bitwise_count((differ | (differ >> np.uint64(1))) & odd).sum(axis=1) <= MOST_DIFFERENT]
+                near = far[estimates(signs[far], signs[x]) >= least]
                 hit[near] = True
                 hit[x] |= len(near) > 0
         own = ids[hit]
@@ -265,10 +304,10 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     both = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
     while True:
-        around = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
+        around = meet(both, labels.withColumnRenamed("node", "b"), ["b"], "a").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         closer = labels.join(around, "node").select("node", F.least("component", "near").alias("via"), F.col("component").alias("old"))
         roots = labels.select(F.col("node").alias("via"), F.col("component").alias("far"))
-        new = materialize(closer.join(roots, "via", "left").select("node", F.least(F.col("via"), F.coalesce("far", "via")).alias("component"), "old"), "labels")
+        new = materialize(meet(closer, roots, ["via"], "node", "left").select("node", F.least(F.col("via"), F.coalesce("far", "via")).alias("component"), "old"), "labels")
         labels = new.select("node", "component")
         if not new.where("component != old").limit(1).count():
             return labels
@@ -284,12 +323,13 @@ def cluster(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     firsts = firsts.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in ("key", "n_shingles", "bands", *signature)])
     members = firsts.select("doc_id", "n_shingles", *signature, F.posexplode("bands").alias("band", "bucket"))
     sizes = members.groupBy("band", "bucket").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    crowded = materialize(members.join(sizes.drop("m"), ["band", "bucket"]), "buckets")
+    crowded = materialize(meet(members, sizes.drop("m"), ["band", "bucket"], "doc_id"), "buckets")
 
     hubs = crowded.where("doc_id = hub").select("hub", "n_shingles", *signature).dropDuplicates(["hub"])
     stars = crowded.where("doc_id != hub").select("hub", "doc_id", "n_shingles", *signature).dropDuplicates(["hub", "doc_id"])
-    alike = f"{differing('x', 'y')} <= {MOST_DIFFERENT} and 100 * least(x.n_shingles, y.n_shingles) >= {threshold} * greatest(x.n_shingles, y.n_shingles)"
-    pairs = stars.alias("x").join(hubs.alias("y"), F.expr("x.hub = y.hub")).where(alike).select(F.col("y.hub").alias("a"), F.col("x.doc_id").alias("b"))
+    alike = f"{estimate('x', 'y')} >= {least_estimate(threshold)} and 100 * least(x.n_shingles, y.n_shingles) >= {threshold} * greatest(x.n_shingles, y.n_shingles)"
+    center = hubs.select("hub", F.struct("n_shingles", *signature).alias("y"))
+    pairs = meet(stars.select("hub", "doc_id", F.struct("n_shingles", *signature).alias("x")), center, ["hub"], "doc_id").where(alike).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
 
     links = confirmed(pairs, documents, threshold)
     labels = components(links)
@@ -298,7 +338,7 @@ def cluster(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     known = labels.withColumnRenamed("node", "doc_id")
     members = stars.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
     mixed = members.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("hub")
-    members = materialize(members.join(mixed, "hub", "left_semi"), "mixed")
+    members = materialize(meet(members, mixed, ["hub"], "doc_id"), "mixed")
     suspects = blocked(members).groupBy("hub", "i", "j").applyInArrow(_suspects(threshold), "hub bigint, doc_id bigint")
     suspects = materialize(suspects.distinct(), "suspects")
     if not suspects.isEmpty():
@@ -308,8 +348,8 @@ def cluster(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         if not extra.isEmpty():
             labels = components(links.union(extra))
 
-    named = classes.join(labels.withColumnRenamed("node", "first"), "first", "left").select(F.col("key").alias("k"), F.coalesce("component", "first").alias("found"))
-    out = signed_docs.select("doc_id", "n_shingles", "key").join(named, F.col("key") == F.col("k"), "left")
+    named = classes.join(labels.withColumnRenamed("node", "first"), "first", "left").select("key", F.coalesce("component", "first").alias("found"))
+    out = meet(signed_docs.select("doc_id", "n_shingles", "key"), named, ["key"], "doc_id", "left")
     component = F.coalesce("found", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
