@@ -1,26 +1,38 @@
 """URL verdicts by rules that are indexed by their rarest literal token. DataFrame functions only.
 
 A rule is a regular expression over host + path with the literal tokens (runs of letters and digits) that any URL it fits
-must hold. How often those tokens occur is counted over all URLs; a rule is filed under its rarest one, in a hash table of
-`slots` lists that is a literal of the plan. A URL's tokens fetch the rules filed under them, and only these run their
-expression. No shuffle: rows with the same id, and rows of a hot host, are judged where they are.
+must hold; rules are a parameter, a list or a table of them (columns of RULE). How often their tokens occur is counted over all URLs;
+a rule is filed under its rarest one. A URL's tokens fetch the rules filed under them, and only these run their expression;
+a rule without a token is fetched by all. Up to `most` rules the index is a hash table of `slots` lists that is one literal of
+the plan: no shuffle, rows with the same id and rows of a hot host are judged where they are. More rules are a table that
+the tokens of the distinct places (host, path) are joined with; both ways give the same rows.
 
 Prefix rules (host, path) fit the host and its subdomains where the URL's path starts with the rule's; the longest that
 fits decides. A URL that no prefix rule fits is blocked if one of the pattern rules fits it, else allowed.
 
+The pattern rules in force come from word lists of this module and from no table: names of gambling, adult, drug, spam and
+tracking sites, words that only together make one ("cheap" with "pills", "ads" with "track"; every pair in both orders), and
+names of paths that are only called by adverts or attacks.
+
 Defined results: host is what follows the first :// up to /, ?, # or the end, A-Z in lower case, path what follows up to
 ?, # or the end; a null URL or one without :// has both empty, no rule, and is allowed; repeated rows give repeated rows;
-other columns are not read. At most MAX_RULES rules, since the table is part of the plan.
+other columns are not read; no rules allow everything; of two prefix rules of one host and path that differ in verdict, block holds.
 """
 
 from __future__ import annotations
 
+import json
 from dataclasses import dataclass
+from itertools import product
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_RULES, SLOTS = 5000, 256
+from quillgraph.llm.common import meet
+
+#: Rules that are a literal of the plan at most, and its slots.
+MOST_RULES, SLOTS = 20_000, 1024
+RULE = "pattern string, tokens array<string>, verdict string, prefix string"
 
 
 @dataclass(frozen=True)
@@ -44,9 +56,13 @@ def prefix_rule(verdict: str, host: str, path: str) -> Rule:
 
 
 def site_rule(*names: str) -> Rule:
-    """Blocks hosts with a label made of these words, joined by hyphens."""
-    joined = "-".join(names)
-    return Rule(f"^(?:[^/?#]*\\.)?{joined}\\.[^/]", tuple(names), "block")
+    """Blocks hosts with a label that holds these words in this order, parted by hyphens from each other and from the rest."""
+    return Rule(f"^(?:[^/]*[.-])?{'(?:-[^./:]*)?-'.join(names)}(?:[.:-][^/]*)?(?:/|$)", names, "block")
+
+
+def path_rule(*names: str) -> Rule:
+    """Blocks URLs whose path has a segment made of these words, hyphens between them, with or without an extension."""
+    return Rule(f"/{'-'.join(names)}(?:[.][a-z]+)?(?:/|$)", names, "block")
 
 
 #: The prefix rules in force.
@@ -57,14 +73,31 @@ PREFIX_RULES = (
     prefix_rule("allow", "com", "/fr/"),
     prefix_rule("block", "com", "/de/"),
 )
-#: Hosts of spam, betting, adult and tracking sites.
+# Words in names of hosts and paths.
+GAMBLING = tuple("bets betting blackjack bookmaker bookmakers casino casinos gambling jackpot lottery poker roulette slots sportsbook wager".split())
+ADULT = tuple("adult adults camgirls erotic escort escorts hentai milf nude nudes porn porno sex sexy xxx".split())
+DRUGS = tuple("cialis levitra tramadol viagra xanax".split())
+SPAM = tuple("spam spambot spammer spammers".split())
+ADVERTS = tuple("adserv adserver adservers adsystem doubleclick popads popunder".split())
+PATHS = (("adclick",), ("adserver",), ("popunder",), ("xmlrpc",), ("wp", "login"), ("cgi", "bin"))
+#: Words that make such a site together with one of the words beside them.
+BAITS = tuple("bargain best bonus bulk buy cheap discount easy fake fast free generic instant online order quick secret wholesale".split())
+GOODS = tuple(
+    "backlinks cash cheats credits cracks diplomas drugs followers giveaways handbags iphones keygens keys likes loan loans meds money offers "
+    "pharma pharmacy pills prescriptions prizes replica replicas rolex rx serials steroids supplements torrents traffic warez watches".split()
+)
+CLICKS = tuple("ad ads adverts affiliate banner banners click clicks pixel pixels popup popups".split())
+TRACKERS = tuple("beacon collect count counter exchange metrics network serve server servers stats sync track tracker trackers tracking".split())
+
+
+def pairs(one: tuple[str, ...], two: tuple[str, ...]) -> list[tuple[str, str]]:
+    return [*product(one, two), *product(two, one)]
+
+
 PATTERN_RULES = (
-    site_rule("spam", "farm"),
-    site_rule("cheap", "pills"),
-    site_rule("casino", "win"),
-    site_rule("free", "bets"),
-    site_rule("adult", "x"),
-    site_rule("ads", "track"),
+    *(site_rule(name) for name in (*GAMBLING, *ADULT, *DRUGS, *SPAM, *ADVERTS)),
+    *(site_rule(*pair) for pair in (*pairs(BAITS, GOODS), *pairs(CLICKS, TRACKERS))),
+    *(path_rule(*names) for names in PATHS),
 )
 
 
@@ -81,48 +114,76 @@ def tokens_of(place: Column) -> Column:
     return F.array_distinct(F.regexp_extract_all(place, F.lit("[A-Za-z0-9]+"), 0))
 
 
-def token_counts(pages: DataFrame, rules: tuple[Rule, ...]) -> dict[str, int]:
-    """In how many URLs each of the rules' tokens occurs: at most as many rows as the rules have tokens."""
-    known = sorted({t for rule in rules for t in rule.tokens})
+def rule_table(spark: SparkSession, rules: list[Rule] | tuple[Rule, ...]) -> DataFrame:
+    return spark.createDataFrame([(r.pattern, list(r.tokens), r.verdict, r.prefix) for r in rules], RULE)
+
+
+def filed(pages: DataFrame, rules: DataFrame) -> DataFrame:
+    """The rules with their rarest token (null without one), by the number of URLs that hold it."""
     place = F.concat(host_of(F.col("url")), path_of(F.col("url")))
-    own = F.array_intersect(tokens_of(place), F.array(*[F.lit(t) for t in known]).cast("array<string>"))
-    rows = pages.select(F.explode(own).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).collect()
-    return dict.fromkeys(known, 0) | {row["token"]: row["n"] for row in rows}
-
-
-def index(pages: DataFrame, rules: tuple[Rule, ...], slots: int = SLOTS) -> Column:
-    """array<array<struct<token, pattern, verdict, prefix>>>: the rules by the slot of their rarest token."""
-    if len(rules) > MAX_RULES:
-        raise ValueError(f"{len(rules)} rules; the plan holds at most {MAX_RULES}")
-    counts = token_counts(pages, rules)
-    filed = {rule: min(rule.tokens, key=lambda t: (counts[t], t)) for rule in rules}
-    wanted = sorted(set(filed.values()))
-    spark = pages.sparkSession
-    slot = {t: k for t, k in spark.createDataFrame([(t,) for t in wanted], "token string").select("token", F.pmod(F.xxhash64("token"), F.lit(slots))).collect()}
-    entry = lambda rule: F.struct(F.lit(filed[rule]).alias("token"), F.lit(rule.pattern).alias("pattern"), F.lit(rule.verdict).alias("verdict"), F.lit(rule.prefix).cast("string").alias("prefix"))
-    kind = "array<struct<token: string, pattern: string, verdict: string, prefix: string>>"
-    return F.array(*[F.array(*[entry(rule) for rule in rules if slot[filed[rule]] == k]).cast(kind) for k in range(slots)])
-
-
-def judge(pages: DataFrame, rules: tuple[Rule, ...] = PREFIX_RULES + PATTERN_RULES, slots: int = SLOTS) -> DataFrame:
-    """page_id, host, path, rule, verdict; then candidates (rules fetched) and matched (patterns that fit)."""
-    table = index(pages, rules, slots)
-    urls = pages.select("page_id", F.col("url").cast("string").alias("url"))
-    placed = urls.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    tokens = tokens_of(F.concat("host", "path"))
-    fetched = F.flatten(F.transform(tokens, lambda t: F.filter(F.get(table, F.pmod(F.xxhash64(t), F.lit(slots)).cast("int")), lambda r: r["token"] == t)))
-    judged = placed.withColumn("fetched", fetched).withColumn("fits", F.filter("fetched", lambda r: F.rlike(F.concat("host", "path"), r["pattern"])))
+    seen = pages.select(F.explode(tokens_of(place)).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    own = rules.select("*", F.explode_outer("tokens").alias("token"))
+    known = own.select("token").distinct().join(seen, "token", "left")
+    rated = own.join(known, "token", "left")
+    rarest = F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "token"))["token"]
+    return rated.groupBy("pattern", "verdict", "prefix").agg(rarest.alias("token"))
+
+
+RULES_KIND = "array<struct<token: string, pattern: string, verdict: string, prefix: string>>"
+
+
+def index(rows: list, slots: int) -> Column:
+    """The filed rules by the slot of their token, as one literal; the last slot holds those without a token."""
+    lists: list[list[dict]] = [[] for _ in range(slots + 1)]
+    for row in sorted(rows, key=lambda r: (r["pattern"], r["verdict"], r["prefix"] or "")):
+        lists[slots if row["token"] is None else row["slot"]].append({k: row[k] for k in ("token", "pattern", "verdict", "prefix")})
+    return F.from_json(F.lit(json.dumps(lists)), f"array<{RULES_KIND}>")
+
+
+def decided(place: DataFrame, fetched: Column, *columns: str) -> DataFrame:
+    """The columns, then rule, verdict, candidates, matched by the fetched rules (an array)."""
+    judged = place.withColumn("fetched", fetched).withColumn("fits", F.filter("fetched", lambda r: F.rlike(F.concat("host", "path"), r["pattern"])))
     prefixes = F.filter("fits", lambda r: r["prefix"].isNotNull())
     best = F.array_max(F.transform(prefixes, lambda r: F.struct(F.length(r["prefix"]).alias("n"), r["prefix"].alias("prefix"), r["verdict"].alias("verdict"))))
     blocked = F.exists("fits", lambda r: r["prefix"].isNull() & (r["verdict"] == "block"))
     return judged.withColumn("best", best).select(
-        "page_id", "host", "path", F.col("best.prefix").alias("rule"),
+        *columns, F.col("best.prefix").alias("rule"),
         F.coalesce(F.col("best.verdict"), F.when(blocked, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
         F.size("fetched").cast("long").alias("candidates"), F.size("fits").cast("long").alias("matched"),
     )
 
 
-SQL = r"""
+def judge(pages: DataFrame, rules: DataFrame | tuple[Rule, ...] | list[Rule] = PREFIX_RULES + PATTERN_RULES, slots: int = SLOTS, most: int = MOST_RULES) -> DataFrame:
+    """page_id, host, path, rule, verdict; then candidates (rules fetched) and matched (patterns that fit)."""
+    rules = (rules if isinstance(rules, DataFrame) else rule_table(pages.sparkSession, rules)).dropDuplicates(["pattern", "verdict", "prefix"])
+    urls = pages.select("page_id", F.col("url").cast("string").alias("url"))
+    placed = urls.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    found = filed(urls, rules)
+    slot = lambda token: F.pmod(F.xxhash64(token), F.lit(slots)).cast("int")
+    rows = found.withColumn("slot", slot("token")).limit(most + 1).collect()  # at most most + 1 rules
+    tokens = tokens_of(F.concat("host", "path"))
+    if len(rows) <= most:
+        table = index(rows, slots)
+        own = F.flatten(F.transform(tokens, lambda t: F.filter(F.get(table, slot(t)), lambda r: r["token"] == t)))
+        return decided(placed, F.concat(own, F.get(table, F.lit(slots))), "page_id", "host", "path")
+    # Beyond: the distinct places' tokens meet the rules by token, '' standing for none.
+    asking = placed.select("host", "path").distinct().withColumn("token", F.explode(F.array_append(tokens, F.lit(""))))
+    both = meet(asking, found.withColumn("token", F.coalesce("token", F.lit(""))), ["token"], "path")
+    both = both.withColumn("fits", F.rlike(F.concat("host", "path"), F.col("pattern")))
+    prefix = F.when(F.col("fits") & F.col("prefix").isNotNull(), F.struct(F.length("prefix").alias("n"), "prefix", "verdict"))
+    blocked = F.max(F.when(F.col("fits") & F.col("prefix").isNull() & (F.col("verdict") == "block"), F.lit("block")))
+    whole = both.groupBy("host", "path").agg(F.max(prefix).alias("best"), blocked.alias("blocked"), F.count(F.lit(1)).alias("candidates"), F.count_if("fits").alias("matched"))
+    return meet(placed, whole, ["host", "path"], "page_id", "left").select(
+        "page_id", "host", "path", F.col("best.prefix").alias("rule"), F.coalesce(F.col("best.verdict"), F.col("blocked"), F.lit("allow")).alias("verdict"),
+        F.coalesce("candidates", F.lit(0)).cast("long").alias("candidates"), F.coalesce("matched", F.lit(0)).cast("long").alias("matched"),
+    )
+
+
+def _any(names: tuple[str, ...]) -> str:
+    return "|".join(names)
+
+
+SQL = rf"""
 WITH u AS (
   SELECT page_id,
          coalesce(translate(regexp_extract(url, '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
@@ -133,9 +194,17 @@ r(n, rule, rhost, rpath, v) AS (VALUES (1, 'org/', 'org', '/', 'allow'), (2, 'ex
 best AS (
   SELECT u.page_id, arg_max(r.rule, length(r.rule)) AS rule, arg_max(r.v, length(r.rule)) AS v, count(*) AS n
   FROM u JOIN r ON (u.host = r.rhost OR ends_with(u.host, '.' || r.rhost)) AND starts_with(u.path, r.rpath) GROUP BY u.page_id),
+l AS (
+  SELECT page_id, string_split(label, '-') AS ws
+  FROM (SELECT page_id, unnest(string_split(regexp_replace(host, ':.*$', '', 's'), '.')) AS label FROM u)),
+one AS (SELECT DISTINCT page_id FROM (SELECT page_id, unnest(ws) AS w FROM l) WHERE regexp_full_match(w, '{_any(GAMBLING + ADULT + DRUGS + SPAM + ADVERTS)}')),
+two AS (
+  SELECT DISTINCT page_id FROM l WHERE len(ws) > 1 AND (
+    list_has_any(ws, {list(BAITS)}) AND list_has_any(ws, {list(GOODS)}) OR list_has_any(ws, {list(CLICKS)}) AND list_has_any(ws, {list(TRACKERS)}))),
 p AS (
   SELECT page_id, host, path,
-         cast(regexp_matches(host || path, '^(?:[^/?#]*\.)?(?:spam-farm|cheap-pills|casino-win|free-bets|adult-x|ads-track)\.[^/]') AS BIGINT) AS m
+         cast(page_id IN (SELECT page_id FROM one) OR page_id IN (SELECT page_id FROM two)
+              OR regexp_matches(path, '/(?:{_any(tuple("-".join(x) for x in PATHS))})(?:[.][a-z]+)?(?:/|$)') AS BIGINT) AS m
   FROM u)
 SELECT p.page_id, p.host, p.path, best.rule, coalesce(best.v, CASE WHEN p.m = 1 THEN 'block' ELSE 'allow' END) AS verdict
 FROM p LEFT JOIN best USING (page_id)

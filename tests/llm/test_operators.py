@@ -18,7 +18,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quillgraph.llm import html_extract, line_dedup, media, mixing, near_dedup, packing, pii, quality_model, quality_rules, url_filter
+from quillgraph.llm import common, html_extract, line_dedup, media, mixing, near_dedup, packing, pii, quality_model, quality_rules, url_filter
 from quillgraph.llm.queries import ORACLES, QUERIES
 from tests.compare import rows_of, rows_of_sql
 
@@ -311,6 +311,35 @@ def test_near_dedup(spark, texts, words):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {c for _, c in want.values()}
 
 
+def test_a_large_star_with_one_stray_costs_its_members_once(spark):
+    """Blocks are paired across components only."""
+    n = 50_000
+    members = spark.range(n).select(F.lit(-1).cast("long").alias("hub"), F.col("id").alias("doc_id"), F.when(F.col("id") == 7, F.lit(7)).otherwise(F.lit(0)).cast("long").alias("component"))
+    rows = near_dedup.blocked(members)
+    assert rows.count() <= n + n // near_dedup.BLOCK + 2
+    assert rows.groupBy("hub", "i", "j").count().agg(F.max("count")).first()[0] <= 2 * near_dedup.BLOCK
+    # every pair of different components meets in a block pair
+    small = spark.createDataFrame([(1, k, k % 3 if k % 7 else k) for k in range(60)], "hub bigint, doc_id bigint, component bigint")
+    block, near_dedup.BLOCK = near_dedup.BLOCK, 8
+    try:
+        met = defaultdict(list)
+        for r in near_dedup.blocked(small).collect():
+            met[r.i, r.j].append((r.side, r.doc_id, r.component))
+    finally:
+        near_dedup.BLOCK = block
+    pairs = Counter(tuple(sorted((x[1], y[1]))) for (i, j), own in met.items() for x in own if x[0] == i for y in own if y[0] == j and x[2] != y[2] and (i != j or x[1] < y[1]))
+    want = {tuple(sorted((a, b))) for a in range(60) for b in range(a) if (a % 3 if a % 7 else a) != (b % 3 if b % 7 else b)}
+    assert set(pairs) == want and set(pairs.values()) == {1}
+
+
+def test_meet(spark):
+    rows = spark.createDataFrame([(k % 3 if k % 10 else None, k) for k in range(200)], "key int, id int")
+    one = spark.createDataFrame([(0, "a"), (1, "b"), (9, "c")], "key int, name string")
+    assert sorted(common.meet(rows, one, ["key"], "id").select("key", "id", "name").collect()) == sorted(rows.join(one, "key").select("key", "id", "name").collect())
+    order = lambda df: sorted(tuple(map(str, r)) for r in df.select("key", "id", "name").collect())
+    assert order(common.meet(rows, one, ["key"], "id", "left")) == order(rows.join(one, "key", "left"))
+
+
 def test_near_dedup_odd_rows(spark, texts):
     rows = near_dedup.cluster(frame(spark, texts)).collect()
     assert len(rows) == len(texts)
@@ -345,17 +374,56 @@ def verdict_brute(url):
     fits = [(len(h + p), h + p, v) for h, p, v in rules if (host == h or host.endswith("." + h)) and path.startswith(p)]
     if fits:
         return host, path, max(fits)[1], max(fits)[2]
-    bad = any(label in ("spam-farm", "cheap-pills", "casino-win", "free-bets", "adult-x", "ads-track") for label in host.split(".")[:-1])
-    return host, path, None, "block" if bad else "allow"
-
-
-def test_url_filter(spark):
-    urls = [None, "", "nothing", "http://", "://", "HTTP://EXAMPLE.ORG/es/1", "http://a.example.org/en/12?x", "http://aexample.org/en/1", "http://org/", "http://org", "http://x.ORG#a", "http://x.com/fr/", "http://x.com/fr", "http://Q.com/de/?/fr/",
-            "http://x.cheap-pills.net/a", "http://xcheap-pills.net/", "http://spam-farm.net", "http://a.org/x://b.com/de/", "http://é.com/de/ü", "http://u:p@x.com:80/fr/1\n2", "http://free-bets.org/x", "http://adult-x.io/1", "http://adult-y.io/1"]
-    pages = spark.createDataFrame([(k, u, "h", "r") for k, u in enumerate(urls + urls[:2])], "page_id int, url string, host string, rule string")
-    got = [(r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages).orderBy("page_id").collect()]
-    assert got == [verdict_brute(u) for u in urls + urls[:2]]
-    assert url_filter.judge(pages.where("false")).count() == 0
+    return host, path, None, "block" if blocked_brute(host, path) else "allow"
+
+
+def blocked_brute(host, path):
+    """By labels and segments, without expressions."""
+    u = url_filter
+    for label in re.split(r":", host)[0].split("."):
+        own = label.split("-")
+        if any(w in (*u.GAMBLING, *u.ADULT, *u.DRUGS, *u.SPAM, *u.ADVERTS) for w in own):
+            return True
+        for one, two in ((u.BAITS, u.GOODS), (u.CLICKS, u.TRACKERS)):
+            if any(w in one for w in own) and any(w in two for w in own):
+                return True
+    for segment in path.split("/")[1:]:
+        name, dot, kind = segment.partition(".")
+        if tuple(name.split("-")) in u.PATHS and (not dot or kind and all("a" <= c <= "z" for c in kind)):
+            return True
+    return False
+
+
+URLS = [None, "", "nothing", "http://", "://", "HTTP://EXAMPLE.ORG/es/1", "http://a.example.org/en/12?x", "http://aexample.org/en/1", "http://org/", "http://org", "http://x.ORG#a", "http://x.com/fr/", "http://x.com/fr", "http://Q.com/de/?/fr/",
+        "http://x.cheap-pills.net/a", "http://xcheap-pills.net/", "http://spam-farm.net", "http://a.org/x://b.com/de/", "http://é.com/de/ü", "http://u:p@x.com:80/fr/1\n2", "http://free-bets.io/x", "http://adult-x.io/1", "http://adulty.io/1",
+        "http://casino.io", "http://my-casino.io:80/x", "http://x.casino", "http://casinos-of-old.io/", "http://pills-for-cheap.io", "http://cheap.pills.io", "http://x.io/wp-login.php", "http://x.io/a/cgi-bin/b", "http://x.io/wp-logins", "http://ads-x-track.io", "http://track.io/ads"]
+
+
+@pytest.mark.parametrize("most", [20_000, 0])
+def test_url_filter(spark, most):
+    pages = spark.createDataFrame([(k, u, "h", "r") for k, u in enumerate(URLS + URLS[:2])], "page_id int, url string, host string, rule string")
+    got = [(r.host, r.path, r.rule, r.verdict) for r in url_filter.judge(pages, most=most).orderBy("page_id").collect()]
+    assert got == [verdict_brute(u) for u in URLS + URLS[:2]]
+    assert url_filter.judge(pages.where("false"), most=most).count() == 0
+    assert {r.verdict for r in url_filter.judge(pages, [], most=most).collect()} == {"allow"}
+
+
+def test_url_rules_from_a_table(spark):
+    """Thousands of rules as a table, both ways alike; a rule without a token is fetched by all."""
+    draw = random.Random(6)
+    word = lambda: "".join(draw.choice("abcde") for _ in range(3))
+    rules = [url_filter.site_rule(word(), word()) for _ in range(3000)] + [url_filter.Rule(r"^[0-9]+(?:[.][0-9]+){3}(?:/|$)", (), "block"), url_filter.prefix_rule("allow", "net", "/x"), url_filter.prefix_rule("block", "net", "/x")]
+    urls = [f"http://{word()}-{word()}.{draw.choice(['net', 'io'])}/{draw.choice('xy')}/{word()}" for _ in range(300)] + ["http://10.0.0.1/", None]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id int, url string")
+    table = url_filter.rule_table(spark, rules)
+    one, two = ([tuple(r) for r in url_filter.judge(pages, table, most=most).orderBy("page_id").collect()] for most in (20_000, 100))
+    assert one == two
+    for url, row in zip(urls, one, strict=True):
+        fits = [r for r in rules if re.search(r.pattern, "".join(row[1:3]))]
+        longest = max((r for r in fits if r.prefix), key=lambda r: (len(r.prefix), r.verdict), default=None)
+        assert row[3:5] == ((longest.prefix, longest.verdict) if longest else (None, "block" if fits else "allow")), url
+        assert row[6] == len({(r.pattern, r.verdict) for r in fits}) and row[5] < 300
+    assert sum(r[4] == "block" for r in one) > 20
 
 
 # 8 media
