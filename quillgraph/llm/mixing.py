@@ -1,16 +1,19 @@
 """Mixing sources to target weights, by blocks.
 
-1. The words of a source's documents, one after another, are a stream that is cut into blocks of `block` words.
+1. The words of a source's documents, one after another, are a stream that is cut into blocks: of `block` words, or of a
+   PARTS-th of the source where that is less, so that small sources come near their targets too.
 2. Targets: sources in code-point order (null last) have the weights 5, 2, 1, repeating. They share the sum of all sizes
-   by weight; a target stops at `most` times its source's size and the excess is shared again by weight.
+   by weight; a target stops at `most` times its source's size and the excess is shared again by weight: a target is
+   min(most * size, level * weight), and the level is raised by sums over the sources until it fits.
 3. A target becomes a number of block slots. The slots of the output are dealt to `shards` output shards: every shard
-   draws its counts by source from a multinomial over what the sources still have to give, and the last takes what is
-   left, so that the draws of all shards add up to the targets.
+   draws its counts by group of sources (GROUPS groups by hash) from a multinomial over what the groups still have to give,
+   and the last takes what is left; then each group's counts are drawn from its sources alike. So the draws of all shards
+   add up to the targets.
 4. Slot j of a source holds block p(j mod n) of its n blocks, where p is a pseudorandom permutation (a Feistel network with
    cycle walking, another one for each round through the blocks): every block is taken as often as any other, or once more.
 5. Slots and blocks are joined by (source, block).
 
-Sizes, prefix sums, slots and joins are Spark's; the driver holds one row per source (at most MAX_SOURCES) and shards.
+Sources may be any number: their table, ranks, targets, slots and draws are Spark's; the driver holds the sums of GROUPS groups.
 
 Defined results: a null text counts as empty; documents without words are never taken; repeated rows are documents of
 their own; a null source is a source; an empty table gives an empty mix; reruns agree (all draws follow from `seed`).
@@ -25,49 +28,60 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from quillgraph.llm.common import WORD, materialize, running_start, slices
+from quillgraph.llm.common import WORD, materialize, meet, running_start, slices
 
 WEIGHTS, MOST, BLOCK, SHARDS, SEED = (5, 2, 1), 3, 128, 64, 20240607
-MAX_SOURCES, PIECE = 100_000, 1 << 20
+GROUPS, PARTS, PIECE = 1024, 64, 1 << 20
+#: Sources whose table is broadcast at most.
+MOST_SOURCES = 100_000
 _ID, _ROW = "_qg_id", "_qg_row"
 
 
-def targets(sizes: list[int], weights: tuple[int, ...] = WEIGHTS, most: float = MOST) -> list[float]:
-    """Targets of sources in their order."""
-    w = np.array([weights[k % len(weights)] for k in range(len(sizes))], float)
-    limit, out = most * np.array(sizes, float), np.zeros(len(sizes))
-    left, open_ = float(sum(sizes)), np.array(sizes) > 0
-    while open_.any():
-        share = left * w / w[open_].sum()
-        over = open_ & (share > limit)
-        if not over.any():
-            out[open_] = share[open_]
-            break
-        out[over] = limit[over]
-        left -= float(limit[over].sum())
-        open_ &= ~over
-    return out.tolist()
-
-
-def deal(slots: np.ndarray, shards: int, seed: int) -> np.ndarray:
-    """shards x sources: how many slots of each source every shard holds; columns add up to `slots`."""
+def ranked(sources: DataFrame) -> DataFrame:
+    """sources (source, ...) with s, their number in code-point order, null last: numbered within ranges of names, whose
+    counts are added up."""
+    late = F.col("source").isNull()
+    dealt = materialize(sources.repartitionByRange(8, late, "source").withColumn("_part", F.spark_partition_id()), "sources")
+    sizes = dealt.groupBy("_part").agg(F.count(F.lit(1)).alias("_n"))  # eight rows
+    before = sizes.select("_part", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    own = F.row_number().over(Window.partitionBy("_part").orderBy(late, "source"))
+    return dealt.join(F.broadcast(before), "_part").withColumn("s", (own + F.col("_before") - 1).cast("long")).drop("_part", "_before")
+
+
+def level_of(sources: DataFrame, most: float) -> float:
+    """The level at which the targets min(most * n, level * weight) add up to all sizes; sources: n > 0, weight."""
+    level = 0.0
+    while True:
+        full = most * F.col("n") < level * F.col("weight")
+        row = sources.agg(F.sum("n"), F.sum(F.when(full, F.col("n"))), F.sum(F.when(~full, F.col("weight")))).first()
+        if not row[2]:
+            return level
+        raised = (row[0] - most * (row[1] or 0)) / row[2]
+        if raised <= level:
+            return level
+        level = raised
+
+
+def deal(slots: np.ndarray, wanted: list[int], seed: int | list[int]) -> np.ndarray:
+    """shards x sources: how many slots of each source every shard holds; rows add up to `wanted`, columns to `slots`."""
     draw, left, out = np.random.default_rng(seed), slots.astype(np.int64).copy(), []
-    for k in range(shards, 0, -1):
+    for want in wanted:
         whole = int(left.sum())
-        want = whole // k
-        if k == 1 or not want:
-            got = left.copy() if k == 1 else np.zeros_like(left)
-        else:
-            got = np.minimum(draw.multinomial(want, left / whole), left)
-            short = want - int(got.sum())
-            for s in np.argsort(got - left, kind="stable"):  # the sources with most left make up for what was drawn twice
-                more = min(short, int(left[s] - got[s]))
-                got[s] += more
-                short -= more
+        got = np.minimum(draw.multinomial(want, left / whole), left) if want else np.zeros_like(left)
+        short = want - int(got.sum())
+        for k in np.argsort(got - left, kind="stable") if short else ():  # the sources with most left make up for what was drawn twice
+            more = min(short, int(left[k] - got[k]))
+            got[k] += more
+            short -= more
         left -= got
         out.append(got)
-    return np.array(out, np.int64).reshape(shards, len(slots))
+    return np.array(out, np.int64).reshape(len(wanted), len(slots))
+
+
+def even(total: int, shards: int) -> list[int]:
+    return [total // shards + (k < total % shards) for k in range(shards)]
 
 
 def permuted(x: np.ndarray, n: int, key: int) -> np.ndarray:
@@ -101,54 +115,70 @@ class Mix:
     """The mix of a table: its sources with targets, the documents with their places, the slots."""
 
     def __init__(self, documents: DataFrame, weights: tuple[int, ...] = WEIGHTS, most: int = MOST, block: int = BLOCK, shards: int = SHARDS, seed: int = SEED) -> None:
-        self.spark, self.block, self.seed = documents.sparkSession, block, seed
+        self.seed = seed
         sized = documents.select(F.col("doc_id").cast("long").alias(_ID), row_key(documents).alias(_ROW), F.col("source").cast("string").alias("source"), size_of(F.col("text").cast("string")).alias("size"))
         self.sized = materialize(sized, "sizes")
-        rows = self.sized.groupBy("source").agg(F.sum("size").alias("n")).orderBy(F.col("source").asc_nulls_last()).limit(MAX_SOURCES + 1).collect()
-        if len(rows) > MAX_SOURCES:
-            raise ValueError(f"more than {MAX_SOURCES} sources")
-        self.sizes = [row["n"] for row in rows]
-        self.blocks = [-(-n // block) for n in self.sizes]
-        self.targets = targets(self.sizes, weights, most)
-        slots = [min(most * b, round(b * t / n)) if n else 0 for b, t, n in zip(self.blocks, self.targets, self.sizes, strict=True)]
-        self.shards = deal(np.array(slots, np.int64), shards, seed)
-        known = [(k, row["source"], n, t) for k, (row, n, t) in enumerate(zip(rows, self.sizes, self.targets, strict=True))]
-        self.sources = self.spark.createDataFrame(known, "s int, name string, source_size long, target double").coalesce(1)
+        sizes = ranked(self.sized.groupBy("source").agg(F.sum("size").alias("n")))
+        weight = F.get(F.array(*[F.lit(w) for w in weights]), (F.col("s") % len(weights)).cast("int"))
+        sizes = materialize(sizes.withColumn("weight", weight), "weights")
+        level = level_of(sizes.where("n > 0"), most)
+        n, target = F.col("n"), F.least(most * F.col("n").cast("double"), level * F.col("weight"))
+        sources = sizes.select("s", F.col("source").alias("name"), n.alias("source_size"), target.alias("target"), F.least(F.lit(block), F.greatest(F.lit(1), (n / PARTS).cast("int"))).cast("int").alias("width"))
+        sources = sources.withColumn("blocks", F.ceil(F.col("source_size") / F.col("width")).cast("long"))
+        slots = F.when(F.col("blocks") > 0, F.least(most * F.col("blocks"), F.round(F.try_divide(F.col("blocks") * F.col("target"), F.col("source_size"))).cast("long")))
+        sources = sources.withColumn("slots", F.coalesce(slots, F.lit(0)).cast("long")).withColumn("part", F.pmod(F.xxhash64("s"), F.lit(GROUPS)).cast("int"))
+        self.sources = materialize(sources, "targets")
+        self.many = self.sources.count() > MOST_SOURCES
+        groups = self.sources.groupBy("part").agg(F.sum("slots").alias("n")).orderBy("part").collect()  # at most GROUPS rows
+        self.total = sum(row["n"] for row in groups)
+        dealt = deal(np.array([row["n"] for row in groups], np.int64), even(self.total, shards), seed)
+        self.dealt = {row["part"]: dealt[:, k].tolist() for k, row in enumerate(groups)}
+
+    def named(self, rows: DataFrame) -> DataFrame:
+        """rows with their source's s, source_size, target and width in place of source."""
+        key = lambda name: F.coalesce(F.concat(F.lit("s"), name), F.lit("none"))  # noqa: E731 - null is a source, too
+        known = self.sources.select(key(F.col("name")).alias("_key"), "s", "source_size", "target", "width")
+        keyed = rows.withColumn("_key", key(F.col("source"))).drop("source")
+        return (meet(keyed, known, ["_key"], _ID) if self.many else keyed.join(F.broadcast(known), "_key")).drop("_key")
 
     def documents(self) -> DataFrame:
-        """_qg_id, _qg_row, size, s, source_size, target, start (its words' place in the source's stream; null without words)."""
-        named = self.sized.join(F.broadcast(self.sources), self.sized["source"].eqNullSafe(self.sources["name"])).drop("source", "name")
-        placed = running_start(named.where("size > 0"), "s", "size", [_ID, "size", _ROW], "start")
-        return placed.unionByName(named.where("size = 0").withColumn("start", F.lit(None).cast("long")))
+        """_qg_id, _qg_row, size, s, source_size, target, width, start (its words' place in the source's stream)."""
+        return running_start(self.named(self.sized.where("size > 0")), "s", "size", [_ID, "size", _ROW], "start")
 
     def slots(self) -> DataFrame:
         """shard, s, j, round, block: every slot of the mix."""
-        ends = self.shards.cumsum(axis=0)
-        ranges = [(i, s, int(ends[i, s] - self.shards[i, s]), int(ends[i, s])) for i in range(len(ends)) for s in range(ends.shape[1]) if self.shards[i, s]]
-        spans = self.spark.createDataFrame(ranges, "shard int, s int, j0 long, j1 long")
-        pieces = spans.select("shard", "s", F.explode(F.expr(f"sequence(j0, j1 - 1, {PIECE}L)")).alias("at"), "j1").withColumn("to", F.least("j1", F.col("at") + PIECE)).drop("j1")
-        pieces = pieces.repartition(min(1024, max(8, sum(r[3] - r[2] for r in ranges) // PIECE)), "shard", "s", "at")
-        blocks, seed = self.blocks, self.seed
+        dealt, seed = self.dealt, self.seed
+
+        def drawn(key: tuple, table: pa.Table) -> pa.Table:
+            """The ranges of slots that shards hold of a group's sources."""
+            table = table.sort_by("s")
+            counts = deal(table["slots"].to_numpy(), dealt[key[0].as_py()], [seed, key[0].as_py()])
+            ends = counts.cumsum(axis=0)
+            shard, k = np.nonzero(counts)
+            columns = {"shard": shard.astype(np.int32), "s": table["s"].to_numpy()[k], "blocks": table["blocks"].to_numpy()[k], "j0": ends[shard, k] - counts[shard, k], "j1": ends[shard, k]}
+            return pa.table(columns)
+
+        spans = self.sources.where("slots > 0").groupBy("part").applyInArrow(drawn, "shard int, s bigint, blocks bigint, j0 bigint, j1 bigint")
+        pieces = spans.select("shard", "s", "blocks", F.explode(F.expr(f"sequence(j0, j1 - 1, {PIECE}L)")).alias("at"), "j1").withColumn("to", F.least("j1", F.col("at") + PIECE)).drop("j1")
+        pieces = pieces.repartition(min(1024, max(8, self.total // PIECE)), "shard", "s", "at")
 
         def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                for shard, s, low, high in zip(*[batch.column(k).to_pylist() for k in range(4)], strict=True):
-                    n = blocks[s]
+                for shard, s, n, low, high in zip(*[batch.column(k).to_pylist() for k in range(5)], strict=True):
                     j = np.arange(low, high, dtype=np.int64)
                     turn, at = j // n, j % n
                     block = np.empty(len(j), np.int64)
                     for r in np.unique(turn).tolist():
                         block[turn == r] = permuted(at[turn == r], n, seed + (s << 32) + r)
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), shard, np.int32)), pa.array(np.full(len(j), s, np.int32)), pa.array(j), pa.array(turn), pa.array(block)], names=["shard", "s", "j", "round", "block"])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(j), shard, np.int32)), pa.array(np.full(len(j), s, np.int64)), pa.array(j), pa.array(turn), pa.array(block)], names=["shard", "s", "j", "round", "block"])
 
-        return pieces.mapInArrow(rows, "shard int, s int, j bigint, round bigint, block bigint")
+        return pieces.mapInArrow(rows, "shard int, s bigint, j bigint, round bigint, block bigint")
 
     def parts(self) -> DataFrame:
         """One row per document and block that holds words of it: the document's columns, block, low and high (its words there)."""
-        b = self.block
-        cut = self.documents().where("size > 0").withColumn("block", F.explode(F.expr(f"sequence(start div {b}, (start + size - 1) div {b})")))
-        low = F.greatest(F.lit(0), F.col("block") * b - F.col("start"))
-        return cut.withColumn("low", low).withColumn("high", F.least("size", (F.col("block") + 1) * b - F.col("start")))
+        cut = self.documents().withColumn("block", F.explode(F.expr("sequence(start div width, (start + size - 1) div width)")))
+        low = F.greatest(F.lit(0), F.col("block") * F.col("width") - F.col("start"))
+        return cut.withColumn("low", low).withColumn("high", F.least("size", (F.col("block") + 1) * F.col("width") - F.col("start"))).drop("width")
 
     def taken(self) -> DataFrame:
         """doc_id, size, source_size, target, taken of every document."""
@@ -157,8 +187,7 @@ class Mix:
         found = self.parts().join(times.hint("merge"), ["s", "block"], "left")
         words = F.sum((F.col("high") - F.col("low")) * F.coalesce("times", F.lit(0))).cast("long")
         whole = found.groupBy(_ID, "s", "start", "size", "source_size", "target").agg(words.alias("taken")).select(_ID, "size", "source_size", "target", "taken")
-        named = self.sized.where("size = 0").join(F.broadcast(self.sources), F.col("source").eqNullSafe(F.col("name")))
-        empty = named.select(_ID, "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+        empty = self.named(self.sized.where("size = 0")).select(_ID, "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
         return whole.unionByName(empty).withColumnRenamed(_ID, "doc_id")
 
 

@@ -247,21 +247,62 @@ def test_packing(spark, texts, length, quantum):
     assert packing.pack(docs.where("false")).count() == 0
 
 
-def test_schedule_is_deficit_round_robin():
-    """`before` gives the places that serving the queue furthest behind its share gives."""
-    lengths, quantum = np.array([1000, 130, 7, 499]), 16
-    units = -(-lengths // quantum)
-    turns = sorted(((2 * k + 1) / (2 * units[s]), s, k) for s in range(4) for k in range(units[s]))
-    at = 0
-    for _, s, k in turns:
-        assert packing.before(np.array([k]), np.array([s]), lengths, quantum)[0] == at
-        at += min(quantum, lengths[s] - k * quantum)
-    shares = lengths / lengths.sum()
-    sent = np.zeros(4)
-    for n, (_, s, _) in enumerate(turns, 1):
-        sent[s] += 1
-        assert abs(sent - units * n / units.sum()).max() <= 2
-    assert abs(shares.sum() - 1) < 1e-9
+@pytest.mark.parametrize("shares", [None, [0.25, 0.5, None, None, 0.0], [0.0, 0.0, 0.7, 0.3, 0.0]])
+def test_schedule_is_deficit_round_robin(shares):
+    """Every quantum has a place of its own; windows hold the queues' shares, what is owed is carried on, and a queue has one
+    run in a window."""
+    lengths, quantum, length = np.array([100_000, 13_000, 70, 49_900, 3_333]), 16, 128
+    schedule = packing.Schedule(lengths, quantum, length, shares)
+    units, window = lengths // quantum, length // quantum
+    own = np.repeat(np.arange(5), units)
+    slots = np.concatenate([np.arange(n) for n in units])
+    places = schedule.place(own, slots)
+    assert sorted(places.tolist()) == list(range(0, int(units.sum()) * quantum, quantum))
+    order = own[np.argsort(places)]
+    # by brute force: the accounts of the queues still open, window by window
+    given = np.array([0.0 if x is None else x for x in shares or [None] * 5])
+    free = np.array([x is None for x in shares or [None] * 5])
+    weights = given + free * (1 - given.sum()) * units / max(1, units[free].sum())
+    owed, sent, open_ = np.zeros(5), np.zeros(5, int), units > 0
+    for at in range(0, len(order), window):
+        part = order[at : at + window]
+        runs = [q for k, q in enumerate(part) if k == 0 or part[k - 1] != q]
+        assert len(runs) == len(set(runs))
+        rate = np.where(open_, weights, 0)
+        rate = rate if rate.any() else np.where(open_, units, 0)
+        sent += np.bincount(part, minlength=5)
+        owed += len(part) * rate / rate.sum()
+        closing = open_ & (sent == units)
+        # at least the queues whose number stays the same keep their account within the tree's depth and one quantum of rounding
+        if not closing.any() and rate[open_].all():
+            assert np.abs(owed - sent)[open_].max() <= 3 + 1 + 5 * (shares is not None)
+        owed = np.where(closing, sent, owed)
+        if closing.any():
+            owed = sent.astype(float)
+        open_ &= ~closing
+    assert (sent == units).all()
+    assert [int(x) for x in schedule.place(np.arange(5), units)] == [int(units.sum()) * quantum + int((lengths % quantum)[:k].sum()) for k in range(5)]
+
+
+def test_packing_to_targets(spark, words):
+    draw = random.Random(4)
+    rows = [(k, " ".join(draw.choice(words) for _ in range(40)), "abc"[k % 3]) for k in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(4)
+    pieces = packing.pack(docs, length=512, quantum=32, targets={"a": 0.5, "b": 0.25, "nobody": 0.1}).join(docs, "doc_id").collect()
+    held = Counter()
+    for r in pieces:
+        held[r.source, r.sequence_id // 35] += r.length
+    total = sum(r.length for r in pieces) // 3
+    for s, want in {"a": 0.5, "b": 0.25, "c": 0.25}.items():
+        assert abs(held[s, 0] / (512 * 35) - want) < 0.03
+    # a has run out, b and c go on in equal parts
+    late = [r for r in pieces if total / 0.5 / 512 + 2 < r.sequence_id < 3 * total // 512 - 1]
+    assert {r.source for r in late} == {"b", "c"}
+    assert abs(sum(r.length for r in late if r.source == "b") / sum(r.length for r in late) - 0.5) < 0.05
+    # many small sources share a queue: nothing is lost
+    few = packing.pack(docs.withColumn("source", F.col("doc_id").cast("string")), length=512, quantum=32, small=100).collect()
+    assert sum(r.length for r in few) == sum(r.length for r in pieces)
+    assert sorted((r.doc_id, r.doc_tokens) for r in few if r.start == 0) == sorted((r.doc_id, r.doc_tokens) for r in pieces if r.start == 0)
 
 
 def test_encoder_agrees_with_tokenizer(words):
@@ -659,19 +700,62 @@ def test_names_alone_take_nothing(spark, article):
 
 
 # 10 mixing
-def test_targets():
-    assert mixing.targets([]) == []
-    assert mixing.targets([0, 0]) == [0.0, 0.0]
-    assert sum(mixing.targets([100, 100, 100, 100])) == pytest.approx(400)
-    got = mixing.targets([10, 1000, 1000])
-    assert got[0] == 30 and got[1] == pytest.approx(2 * got[2]) and sum(got) == pytest.approx(2010)
+def targets_brute(sizes, weights=mixing.WEIGHTS, most=mixing.MOST):
+    w = np.array([weights[k % len(weights)] for k in range(len(sizes))], float)
+    limit, out = most * np.array(sizes, float), np.zeros(len(sizes))
+    left, open_ = float(sum(sizes)), np.array(sizes) > 0
+    while open_.any():
+        share = left * w / w[open_].sum()
+        over = open_ & (share > limit)
+        if not over.any():
+            out[open_] = share[open_]
+            break
+        out[over] = limit[over]
+        left -= float(limit[over].sum())
+        open_ &= ~over
+    return out.tolist()
+
+
+def sources_of(spark, sizes):
+    """The table of sources of a mix of one document per source."""
+    rows = [(k, " ".join(["w"] * n), None if k == len(sizes) - 1 else f"s{k:05}") for k, n in enumerate(sizes)]
+    return mixing.Mix(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).sources
+
+
+@pytest.mark.parametrize("sizes", [[], [0, 0], [100, 100, 100, 100], [10, 1000, 1000], [1, 2, 3, 5000, 40, 0, 7, 900, 11, 12], [37] * 50])
+def test_targets(spark, sizes):
+    rows = sources_of(spark, sizes).orderBy("s").collect()
+    assert [r.source_size for r in rows] == sizes and [r.name is None for r in rows] == [k == len(sizes) - 1 for k in range(len(sizes))]
+    assert [r.target for r in rows] == pytest.approx(targets_brute(sizes))
+    assert sum(r.target for r in rows) == pytest.approx(sum(sizes))
+
+
+def test_small_sources_come_near_their_targets(spark):
+    sizes = [100, 130, 1000, 20_000, 40, 5]
+    rows = [(k, " ".join(f"w{i}" for i in range(n)), f"s{k}") for k, n in enumerate(sizes)]
+    for r in mixing.mix_counts(spark.createDataFrame(rows, "doc_id bigint, text string, source string")).collect():
+        assert abs(r.taken - r.target) <= max(1, 0.02 * r.target) and r.taken <= 3 * r.size
+
+
+def test_any_number_of_sources(spark):
+    """Beyond the broadcast the table of sources is joined; the mix is the same."""
+    rows = [(k, f"a b c {k}", f"s{k % 700}") for k in range(1000)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string")
+    want = sorted(mixing.mix_counts(docs).collect())
+    most, mixing.MOST_SOURCES = mixing.MOST_SOURCES, 10
+    try:
+        assert sorted(mixing.mix_counts(docs).collect()) == want
+    finally:
+        mixing.MOST_SOURCES = most
+    assert abs(sum(r.taken for r in want) - sum(r.size for r in want)) < 0.05 * sum(r.size for r in want)
 
 
 def test_permutation_and_deal():
     for n in (1, 2, 3, 10, 1000, 4097):
         assert sorted(mixing.permuted(np.arange(n), n, 99 + n).tolist()) == list(range(n))
-    dealt = mixing.deal(np.array([1000, 10, 0, 333]), 16, 1)
+    dealt = mixing.deal(np.array([1000, 10, 0, 333]), mixing.even(1343, 16), 1)
     assert dealt.sum(axis=0).tolist() == [1000, 10, 0, 333] and (dealt >= 0).all() and dealt.shape == (16, 4)
+    assert dealt.sum(axis=1).tolist() == mixing.even(1343, 16) and mixing.deal(np.array([], np.int64), [0, 0], 1).shape == (2, 0)
 
 
 def test_mixing(spark, texts):
