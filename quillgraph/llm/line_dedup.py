@@ -4,7 +4,8 @@ The lines of a text that hold a word, trimmed of ASCII white space, are numbered
 a window; a run of one or two lines is a window too if it has more than `long_words` words (a passage of that length
 counts however few line breaks it has), and a text of fewer than three lines is one window as a whole if it has at least
 `short_words` words. Windows are hashed to 128 bits. A window that occurs again, at a later (doc_id, row, position), is a
-repeat; the lines of a text covered by its repeats are merged and removed, the first occurrence stays.
+repeat; the lines of a text covered by its repeats are merged and removed. The first occurrence stays: where a window
+repeats itself within its own first occurrence (a line again and again), only what lies behind that is covered.
 
 Defined results: a null text stays null, an empty one empty; a text all of whose lines are removed becomes empty; blank
 lines and line breaks between kept lines stay as they are; rows of one doc_id with different texts are separate texts, rows
@@ -53,20 +54,22 @@ def windows(documents: DataFrame, long_words: int = LONG_WORDS, short_words: int
 
 
 def repeats(found: DataFrame) -> DataFrame:
-    """The windows that are not the first of their kind. Counts and first places are partial sums before the shuffle; the
+    """_qg_id, _qg_row, low, high: the lines covered by windows that are not the first of their kind. Counts and first places are partial sums before the shuffle; the
     windows meet them in a join whose one side has a row per kind, so adaptive execution may split a very common kind."""
     place = F.struct(F.col(_ID).isNull().alias("late"), F.col(_ID).alias("i"), F.col(_ROW).alias("r"), F.col("at").alias("a"))
     kinds = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
     first = kinds.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first")
     joined = found.join(first, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
-    return joined.where(~place.eqNullSafe(F.col("first"))).select(_ID, _ROW, "at", "width")
+    own = F.col(_ID).eqNullSafe(F.col("first.i")) & (F.col(_ROW) == F.col("first.r"))
+    behind = F.when(own, F.greatest("at", F.col("first.a") + F.col("width"))).otherwise(F.col("at"))
+    return joined.where(~place.eqNullSafe(F.col("first"))).select(_ID, _ROW, behind.alias("low"), (F.col("at") + F.col("width") - 1).alias("high"))
 
 
 def dedup_lines(documents: DataFrame, long_words: int = LONG_WORDS, short_words: int = SHORT_WORDS) -> DataFrame:
     """documents with repeated passages removed, in the same columns, n_chars (if there is one) counted anew, then
     _n_lines (lines with a word before) and _n_removed."""
     found = materialize(windows(documents, long_words, short_words), "windows")
-    covered = repeats(found).select(_ID, _ROW, F.explode(F.expr("sequence(at, at + width - 1)")).alias("line"))
+    covered = repeats(found).select(_ID, _ROW, F.explode(F.expr("sequence(low, high)")).alias("line"))
     gone = covered.groupBy(_ID, _ROW).agg(F.collect_set("line").alias("_qg_gone"))
     keyed = documents.withColumns({_ID: F.col("doc_id").cast("long"), _ROW: _row(documents)})
     gone = gone.select(F.col(_ID).alias("_qg_k"), F.col(_ROW).alias("_qg_r"), "_qg_gone")

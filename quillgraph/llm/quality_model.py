@@ -1,15 +1,16 @@
 """Quality classifier: random-indexing word vectors, pooled per document, then a two-layer network with a temperature.
 
-1. Random indexing. A unit (a run of letters with its case shape, a digit, a run of other signs) hashes into one of
-   `buckets` rows. Each row has a fixed sparse ternary index vector. Over all documents, a row's context vector is the sum
-   of the index vectors of its units' neighbours. The sums are of integers, hence equal in every run and on any cluster.
-   Tasks sum their own documents first; what is shuffled is at most `buckets` rows per task, whatever the texts' length.
-2. Pooling. A document's features are the mean context vector of its units, the mean over its distinct units (the two
-   differ where a text repeats itself), the log of its length, and the shares of units that are distinct and that equal
-   the unit before them.
+1. Random indexing. A word is a run of letters with its case shape, a digit or a run of other signs. Each has a sparse ternary
+   index vector, made from a hash of the word. Over all documents, a word's context vector is the sum of the index vectors of
+   its neighbours. The sums are of integers, hence equal in every run and on any cluster. Tasks sum their own documents
+   first; what is shuffled is a row per word and task. The most frequent words, at most `size`, keep their vectors: as many
+   as whole classes of frequency (eighths of a power of two) allow, so that no order among equals decides.
+2. Pooling. A document's features are the mean context vector of its words, the mean over its distinct words (the two
+   differ where a text repeats itself), the log of its length, and the shares of words that are distinct and that equal
+   the word before them. Words without a vector count as zero vectors.
 3. A network of one hidden layer is fitted by numpy on the driver, on at most `max_rows` labelled rows (the parameter
    bounds what reaches the driver), then a temperature is fitted on a part held back from the gradient.
-4. All documents are scored with the weights and vectors broadcast; both have a fixed size (buckets * dims).
+4. All documents are scored with the weights and vectors broadcast; both have a bounded size (size * dims).
 
 Scores never see labels, lang, source or doc_id. Defined results: a null or empty text has zero features and gets the
 network's score for them; no usable label of one of the classes gives the share of label 1 (0.5 without any) as score.
@@ -24,48 +25,78 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.llm.common import materialize, slices
 
-BUCKETS, DIMS, NONZERO, REACH = 1 << 14, 32, 4, 2
+SIZE, DIMS, NONZERO, REACH = 1 << 16, 32, 4, 2
 WIDTH = 2 * DIMS + 3
-#: Units whose contexts are summed at a time.
-PART = 1 << 15
+#: Words whose contexts are summed at a time; words whose sums a task holds before it passes them on; kinds of words without a vector.
+PART, HELD, OTHERS = 1 << 15, 400_000, 4096
 MAX_ROWS = 20_000
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 0.01, 1e-4
 
 _UNIT = re.compile(r"[^\W\d_]+|[0-9]|[^\w\x09-\x0D\x20]+|_+")
 
 
-class _Buckets(dict):
-    """Unit -> bucket, remembered for at most 200,000 units."""
+def word_of(unit: str) -> str:
+    return ("A" if unit.isupper() and len(unit) > 1 else "a") + unit.lower()
 
-    def __missing__(self, unit: str) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        shape = "A" if unit.isupper() and len(unit) > 1 else "a"
-        row = self[unit] = zlib.crc32((shape + unit.lower()).encode("utf-8", "surrogatepass")) % BUCKETS
-        return row
 
+def index_vectors(words: list[str]) -> np.ndarray:
+    """The sparse ternary vectors of words: NONZERO places of +1 or -1, by the bits of a hash."""
+    h = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
+    out = np.zeros((len(words), DIMS), np.int32)
+    for k in range(NONZERO):
+        place = (h >> np.uint64(8 * k)) % np.uint64(DIMS)
+        sign = (h >> np.uint64(40 + k)) & np.uint64(1)
+        np.add.at(out, (np.arange(len(words)), place.astype(np.int64)), sign.astype(np.int32) * 2 - 1)
+    return out
 
-_rows_of = _Buckets()
 
+class Sums(dict):
+    """Unit -> row of its word, and the context sums by row; row 0 stands between texts."""
 
-def rows_of(text: str | None) -> np.ndarray:
-    units = _UNIT.findall(text or "")
-    known = _rows_of
-    return np.fromiter((known[u] for u in units), np.int32, len(units))
+    def __init__(self) -> None:
+        self.words: list[str] = [""]
+        self.known: dict[str, int] = {}
+        self.index = np.zeros((1, DIMS), np.int32)
+        self.total, self.seen = np.zeros((1, DIMS), np.int64), np.zeros(1, np.int64)
 
+    def __missing__(self, unit: str) -> int:
+        word = word_of(unit)
+        row = self.known.get(word)
+        if row is None:
+            row = self.known[word] = len(self.words)
+            self.words.append(word)
+        self[unit] = row
+        return row
 
-def index_vectors() -> np.ndarray:
-    """A fixed sparse ternary vector for every bucket."""
-    draw = np.random.default_rng(20240101)
-    out = np.zeros((BUCKETS, DIMS), np.int32)
-    places = np.argsort(draw.random((BUCKETS, DIMS)), axis=1)[:, :NONZERO]
-    np.put_along_axis(out, places, draw.choice(np.array([-1, 1], np.int32), (BUCKETS, NONZERO)), axis=1)
-    return out
+    def add(self, texts: list[str | None]) -> None:
+        waiting, length, gap = [], 0, np.zeros(REACH, np.int32)
+        for text in [*texts, None]:
+            units = _UNIT.findall(text or "")
+            waiting += [np.fromiter((self[u] for u in units), np.int32, len(units)), gap]
+            length += len(units)
+            if length > PART or text is None:
+                self._sum(np.concatenate(waiting))
+                waiting, length = [], 0
+
+    def _sum(self, rows: np.ndarray) -> None:
+        have, need = len(self.index), len(self.words)
+        if need > have:
+            room = max(need, 2 * have) - have  # doubled, so that words cost their number
+            self.index = np.vstack([self.index, index_vectors(self.words[have:need]), np.zeros((room - need + have, DIMS), np.int32)])[: have + room]
+            self.total = np.vstack([self.total, np.zeros((room, DIMS), np.int64)])
+            self.seen = np.concatenate([self.seen, np.zeros(room, np.int64)])
+        _add_contexts(self.total, self.seen, rows, self.index)
+
+    def batch(self) -> pa.RecordBatch:
+        n = len(self.words)
+        columns = [pa.array(self.words[1:], pa.string()), pa.array(self.seen[1:n], pa.int64()), *[pa.array(self.total[1:n, d], pa.int64()) for d in range(DIMS)]]
+        return pa.RecordBatch.from_arrays(columns, names=["word", "n", *[f"v{d}" for d in range(DIMS)]])
 
 
 def _add_contexts(total: np.ndarray, seen: np.ndarray, rows: np.ndarray, index: np.ndarray) -> None:
@@ -88,48 +119,72 @@ def _add_contexts(total: np.ndarray, seen: np.ndarray, rows: np.ndarray, index:
 
 
 def context_sums(documents: DataFrame) -> DataFrame:
-    """bucket, n, vector array<bigint>: the random-indexing sums over all documents."""
+    """word, n, v0, v1, ...: the random-indexing sums over all documents."""
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        index = np.vstack([index_vectors(), np.zeros((1, DIMS), np.int32)])
-        total, seen = np.zeros((BUCKETS + 1, DIMS), np.int64), np.zeros(BUCKETS + 1, np.int64)
-        gap = np.full(REACH, BUCKETS, np.int32)
+        sums = Sums()
         for batch in slices(batches):
-            waiting, length = [], 0
-            for text in batch.column(0).to_pylist():
-                waiting += [rows_of(text), gap]
-                length += len(waiting[-2])
-                if length > PART:
-                    _add_contexts(total, seen, np.concatenate(waiting), index)
-                    waiting, length = [], 0
-            if waiting:
-                _add_contexts(total, seen, np.concatenate(waiting), index)
-        used = np.flatnonzero(seen[:BUCKETS])
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int32()), pa.array(seen[used], pa.int64()), *[pa.array(total[used, d], pa.int64()) for d in range(DIMS)]], names=["bucket", "n", *[f"v{d}" for d in range(DIMS)]])
-
-    parts = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(partial, "bucket int, n bigint, " + ", ".join(f"v{d} bigint" for d in range(DIMS)))
-    return parts.groupBy("bucket").agg(F.sum("n").alias("n"), *[F.sum(f"v{d}").alias(f"v{d}") for d in range(DIMS)])
-
-
-def word_vectors(documents: DataFrame) -> np.ndarray:
-    """The context vectors on the driver: a float32 array of the fixed size BUCKETS x DIMS (2 MB)."""
-    table = context_sums(documents).toArrow()
-    out = np.zeros((BUCKETS, DIMS), np.float64)
-    if table.num_rows:
-        out[table["bucket"].to_numpy()] = np.column_stack([table[f"v{d}"].to_numpy() for d in range(DIMS)])
+            sums.add(batch.column(0).to_pylist())
+            if len(sums.words) > HELD:
+                yield sums.batch()
+                sums = Sums()
+        yield sums.batch()
+
+    parts = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(partial, "word string, n bigint, " + ", ".join(f"v{d} bigint" for d in range(DIMS)))
+    return parts.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(f"v{d}").alias(f"v{d}") for d in range(DIMS)])
+
+
+@dataclass
+class Vectors:
+    """Rows of words and their vectors; behind them OTHERS rows of zeros for words without one."""
+
+    rows: dict[str, int]
+    table: np.ndarray
+
+
+def word_vectors(documents: DataFrame, size: int = SIZE) -> Vectors:
+    """The context vectors of at most `size` words on the driver."""
+    sums = materialize(context_sums(documents), "contexts")
+    level = F.floor(8 * F.log2(F.col("n"))).cast("int")
+    left, least = size, 0
+    for row in sums.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # at most 512 levels
+        left -= row["count"]
+        if left < 0:
+            least = row["level"] + 1
+            break
+    table = sums.where(level >= least).orderBy("word").toArrow()  # at most size rows
+    out = np.column_stack([table[f"v{d}"].to_numpy() for d in range(DIMS)]).astype(np.float64).reshape(-1, DIMS)
     norms = np.linalg.norm(out, axis=1, keepdims=True)
-    return np.divide(out, norms, out=np.zeros_like(out), where=norms > 0).astype(np.float32)
+    unit = np.divide(out, norms, out=np.zeros_like(out), where=norms > 0).astype(np.float32)
+    return Vectors({w: k for k, w in enumerate(table["word"].to_pylist())}, np.vstack([unit, np.zeros((OTHERS, DIMS), np.float32)]))
+
 
+class Rows(dict):
+    """Unit -> row of its word, remembered for at most 200,000 units."""
 
-def pooled(text: str | None, vectors: np.ndarray) -> np.ndarray:
-    rows = rows_of(text)
-    if not len(rows):
+    def __init__(self, vectors: Vectors) -> None:
+        self.vectors = vectors
+
+    def __missing__(self, unit: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        word = word_of(unit)
+        row = self.vectors.rows.get(word)
+        if row is None:
+            row = len(self.vectors.rows) + zlib.crc32(word.encode("utf-8", "surrogatepass")) % OTHERS
+        self[unit] = row
+        return row
+
+
+def pooled(text: str | None, known: Rows) -> np.ndarray:
+    units = _UNIT.findall(text or "")
+    if not units:
         return np.zeros(WIDTH, np.float32)
-    counts = np.bincount(rows, minlength=0)
-    distinct = np.flatnonzero(counts)
-    known = vectors[distinct]
+    rows = np.fromiter((known[u] for u in units), np.int64, len(units))
+    distinct, counts = np.unique(rows, return_counts=True)
+    vectors = known.vectors.table[distinct]
     again = float((rows[1:] == rows[:-1]).mean()) if len(rows) > 1 else 0.0
-    return np.concatenate([counts[distinct].astype(np.float32) @ known / len(rows), known.mean(axis=0), [np.log1p(len(rows)) / 10, len(distinct) / len(rows), again]]).astype(np.float32)
+    return np.concatenate([counts.astype(np.float32) @ vectors / len(rows), vectors.mean(axis=0), [np.log1p(len(rows)) / 10, len(distinct) / len(rows), again]]).astype(np.float32)
 
 
 @dataclass
@@ -195,46 +250,50 @@ def labelled_sample(labels: DataFrame, max_rows: int = MAX_ROWS) -> DataFrame:
     return one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_rows)
 
 
-def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[np.ndarray, Model]:
+def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) -> tuple[Vectors, Model]:
+    """Word vectors of all documents, and a network fitted on at most max_rows labelled rows."""
     vectors = word_vectors(documents)
     spark = documents.sparkSession
     shared = spark.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = Rows(shared.value)
         for batch in slices(batches):
-            x = [pooled(text, shared.value).tolist() for text in batch.column(2).to_pylist()]
+            x = [pooled(text, known).tolist() for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float32()))], names=["doc_id", "label", "x"])
 
     sample = materialize(labelled_sample(labels, max_rows), "labels")
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")  # at most max_rows ids
-    got = joined.mapInArrow(features, "doc_id bigint, label int, x array<float>").orderBy("doc_id", "x").limit(2 * max_rows).toArrow()
+    got = joined.mapInArrow(features, "doc_id bigint, label int, x array<float>").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(max_rows).toArrow()
     x = np.array(got["x"].to_pylist(), np.float64).reshape(-1, WIDTH)
     return vectors, fit(x, got["label"].to_numpy().astype(np.float64))
 
 
-def score(documents: DataFrame, vectors: np.ndarray, model: Model) -> DataFrame:
+def score(documents: DataFrame, vectors: Vectors, model: Model) -> DataFrame:
     """doc_id, score of every document."""
     shared = documents.sparkSession.sparkContext.broadcast((vectors, model))
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, model = shared.value
+        known = Rows(vectors)
         for batch in slices(batches):
-            x = np.array([pooled(text, vectors) for text in batch.column(1).to_pylist()], np.float64).reshape(-1, WIDTH)
+            x = np.array([pooled(text, known) for text in batch.column(1).to_pylist()], np.float64).reshape(-1, WIDTH)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x), pa.float64())], names=["doc_id", "score"])
 
     needed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     return needed.mapInArrow(scored, "doc_id bigint, score double")
 
 
-def keep_good(documents: DataFrame, vectors: np.ndarray, model: Model, threshold: float = 0.3) -> DataFrame:
+def keep_good(documents: DataFrame, vectors: Vectors, model: Model, threshold: float = 0.3) -> DataFrame:
     """The rows of documents whose score reaches the threshold, all columns as they were; one scan, no join."""
     shared, at = documents.sparkSession.sparkContext.broadcast((vectors, model)), documents.columns.index("text")
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, model = shared.value
+        known = Rows(vectors)
         for batch in slices(batches):
-            x = np.array([pooled(text, vectors) for text in batch.column(at).to_pylist()], np.float64).reshape(-1, WIDTH)
+            x = np.array([pooled(text, known) for text in batch.column(at).to_pylist()], np.float64).reshape(-1, WIDTH)
             yield batch.filter(pa.array(model.scores(x) >= threshold, pa.bool_()))
 
     return documents.mapInArrow(kept, documents.schema)

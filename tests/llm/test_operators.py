@@ -148,18 +148,70 @@ def test_classifier_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
-def test_context_sums_equal_brute_force(spark):
-    docs = ["a b c a", "", None, "b b", "c"]
-    frame_ = spark.createDataFrame([(t,) for t in docs], "text string").repartition(3)
-    got = {r.bucket: [r[f"v{d}"] for d in range(quality_model.DIMS)] for r in quality_model.context_sums(frame_).collect()}
-    index, want = quality_model.index_vectors(), defaultdict(lambda: np.zeros(quality_model.DIMS, int))
+def contexts_brute(docs):
+    """Word -> number, and sum of the index vectors of the words at most REACH places away."""
+    want, times = defaultdict(lambda: np.zeros(quality_model.DIMS, int)), Counter()
     for text in docs:
-        rows = quality_model.rows_of(text)
-        for i, row in enumerate(rows):
-            for j in range(max(0, i - quality_model.REACH), min(len(rows), i + quality_model.REACH + 1)):
+        words = [quality_model.word_of(u) for u in quality_model._UNIT.findall(text or "")]
+        times.update(words)
+        for i, word in enumerate(words):
+            for j in range(max(0, i - quality_model.REACH), min(len(words), i + quality_model.REACH + 1)):
                 if j != i:
-                    want[row] += index[rows[j]]
-    assert {k: list(v) for k, v in want.items()} == got or all(list(want[k]) == v for k, v in got.items())
+                    want[word] += quality_model.index_vectors([words[j]])[0]
+    return {w: (n, want[w].tolist()) for w, n in times.items()}
+
+
+def test_context_sums_equal_brute_force(spark, texts):
+    docs = ["a b c a", "", None, "b b", "c", "Ab AB ab 12 ...", *(t for _, t in texts[3:20])]
+    frame_ = spark.createDataFrame([(t,) for t in docs], "text string").repartition(3)
+    held, quality_model.HELD = quality_model.HELD, 5
+    try:
+        got = {r.word: (r.n, [r[f"v{d}"] for d in range(quality_model.DIMS)]) for r in quality_model.context_sums(frame_).collect()}
+    finally:
+        quality_model.HELD = held
+    assert got == contexts_brute(docs)
+
+
+def test_scores_equal_brute_force(spark, texts):
+    """Vectors of whole classes of frequency, pooling and network, document by document without Spark."""
+    docs = frame(spark, texts)
+    labels = spark.createDataFrame([(i, int(len(t or "") > 100)) for i, t in texts if i is not None and i != 60], "doc_id bigint, quality int")
+    counted = contexts_brute([t for _, t in texts])
+    model = None
+    for size in (1000, 100):
+        vectors = quality_model.word_vectors(docs, size)
+        levels = Counter(int(np.floor(8 * np.log2(n))) for n, _ in counted.values())
+        kept = [lv for lv in levels if sum(c for at, c in levels.items() if at >= lv) <= size]
+        assert set(vectors.rows) == {w for w, (n, _) in counted.items() if int(np.floor(8 * np.log2(n))) in kept} and len(vectors.rows) <= size
+        for w, k in vectors.rows.items():
+            v = np.array(counted[w][1], float)
+            assert np.allclose(vectors.table[k], v / (np.linalg.norm(v) or 1), atol=1e-6)
+    vectors, model = quality_model.train(docs, labels)
+    assert quality_model.train(docs, labels)[1].b2 == model.b2
+    got = sorted((r.score for r in quality_model.score(docs, vectors, model).collect()))
+
+    def features(text):
+        words = [quality_model.word_of(u) for u in quality_model._UNIT.findall(text or "")]
+        if not words:
+            return [0.0] * quality_model.WIDTH
+        of = lambda w: vectors.table[vectors.rows[w]] if w in vectors.rows else np.zeros(quality_model.DIMS)
+        return [*np.mean([of(w) for w in words], axis=0), *np.mean([of(w) for w in set(words)], axis=0), np.log1p(len(words)) / 10, len(set(words)) / len(words), sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words) - 1)]
+
+    x = np.array([features(t) for _, t in texts])
+    z = np.tanh((x - model.mean) / model.scale @ model.w1 + model.b1) @ model.w2 + model.b2
+    assert np.allclose(got, sorted(1 / (1 + np.exp(-np.clip(z / model.temperature, -40, 40)))), atol=1e-4)
+
+
+def test_classifier_odd_tables(spark, texts):
+    """Empty tables, clashing columns, repeated rows: at most max_rows labelled rows are fitted on."""
+    docs = frame(spark, texts)
+    clashing = docs.select("*", *[F.lit(1).alias(c) for c in ("word", "n", "v0", "score", "label", "x", "level")])
+    labels = spark.createDataFrame([(i, i % 2, "x") for i, _ in texts if i is not None], "doc_id bigint, quality int, text string")
+    vectors, model = quality_model.train(clashing, labels, 7)
+    assert quality_model.score(clashing, vectors, model).count() == len(texts)
+    assert quality_model.keep_good(clashing, vectors, model).columns == clashing.columns
+    vectors, model = quality_model.train(docs.where("false"), labels)
+    assert quality_model.score(docs.where("false"), vectors, model).count() == 0 and vectors.rows == {}
 
 
 def test_classifier_without_labels(spark, texts):
@@ -188,7 +240,8 @@ def dedup_brute(rows):
     gone = defaultdict(set)
     for part, at, k, width in windows:
         if part in kinds:
-            gone[at] |= set(range(k, k + width))
+            first = kinds[part]
+            gone[at] |= set(range(max(k, first[1] + width) if first[0] == at else k, k + width))
         else:
             kinds[part] = (at, k)
     return {rows[at][0]: sorted(x) for at, x in gone.items()}
@@ -215,6 +268,12 @@ def test_line_dedup(spark, texts):
     assert line_dedup.dedup_lines(docs).columns[: len(docs.columns)] == docs.columns
 
 
+def test_a_repeated_line_keeps_its_first_window(spark):
+    rows = [(1, "a\na\na\na\nend"), (2, "x\ny\nx\ny\nx\ny\nx\ny"), (3, "b\na\na\na"), (4, "a\na\na")]
+    got = {r.doc_id: r.text for r in line_dedup.dedup_lines(spark.createDataFrame(rows, "doc_id bigint, text string")).collect()}
+    assert got == {1: "a\na\na\nend", 2: "x\ny\nx", 3: "b", 4: ""}
+
+
 # 5 packing
 @pytest.mark.parametrize("length, quantum", [(64, 16), (4096, 128)])
 def test_packing(spark, texts, length, quantum):
