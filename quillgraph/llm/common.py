@@ -8,7 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -76,14 +76,21 @@ def running_start(df: DataFrame, key: str, amount: str, order: list[str], out: s
 PARTS = 64
 
 
+def parts_of(by: str) -> Column:
+    """Aggregate: the parts that the rows of a key are dealt to, as the bits of a long."""
+    return F.expr(f"bit_or(shiftleft(1L, cast(pmod(xxhash64({by}), {PARTS}) as int)))").alias("_bits")
+
+
 def meet(rows: DataFrame, one: DataFrame, keys: list[str], by: str, how: str = "inner") -> DataFrame:
-    """rows, any number for a key, joined with `one`, at most one row for a key. The rows of a key are dealt to PARTS parts by
-    a hash of `by`, and the key's row in `one` is copied to those parts that occur (kept as the bits of a long), so a key
-    with a third of all rows is spread over PARTS tasks while a key of few rows costs few copies."""
+    """rows, any number for a key, joined with `one`, a few rows for a key. The rows of a key are dealt to PARTS parts by
+    a hash of `by`, and the key's rows in `one` are copied to those parts that occur, so a key with a third of all rows is
+    spread over PARTS tasks while a key of few rows costs few copies. `one` may bring the parts along, as parts_of gives
+    them for the same rows, in the column _bits."""
     dealt = rows.withColumn("_part", F.pmod(F.xxhash64(by), F.lit(PARTS)).cast("int"))
-    used = dealt.groupBy(*keys).agg(F.expr("bit_or(shiftleft(1L, _part))").alias("_bits"))
+    if "_bits" not in one.columns:
+        one = one.join(rows.groupBy(*keys).agg(parts_of(by)), keys)
     copies = F.expr(f"explode(filter(sequence(0, {PARTS - 1}), i -> (shiftrightunsigned(_bits, i) & 1L) = 1L))")
-    return dealt.join(one.join(used, keys).withColumn("_part", copies).drop("_bits"), [*keys, "_part"], how).drop("_part")
+    return dealt.join(one.withColumn("_part", copies).drop("_bits"), [*keys, "_part"], how).drop("_part")
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillgraph.llm.common import materialize, meet, slices
+from quillgraph.llm.common import materialize, meet, parts_of, slices
 
 SHINGLE, THRESHOLD = 5, 85
 BANDS, ROWS, BITS = 25, 5, 2
@@ -209,7 +209,7 @@ def blocked(members: DataFrame) -> DataFrame:
     A component of more than BLOCK members has blocks of its own, smaller ones share blocks. Blocks of one component are
     never paired, so a star with one stray costs its members once, not once for each of its blocks.
     """
-    sizes = members.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("_m"))
+    sizes = members.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("_m"), parts_of("doc_id"))
     large = sizes.where(F.col("_m") > BLOCK).select("hub", "component", F.ceil(F.col("_m") / BLOCK).cast("int").alias("_k"))
     small = sizes.where(F.col("_m") <= BLOCK).groupBy("hub").agg(F.ceil(F.sum("_m") / BLOCK).cast("int").alias("_n"))
     # A block is (component, number); the shared ones are of component null, written as 'x'.
@@ -302,33 +302,35 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     """node, component (the smallest node reachable) of every node of the links (a, b). Every round each node takes the
     smallest label around it and then that label's own label; sums of minima are partial before each shuffle."""
     both = materialize(links.select("a", "b").union(links.select(F.col("b"), F.col("a"))).distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component")), "labels")
+    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.first("a"), F.min("b")).alias("component"), parts_of("b")), "labels")
     while True:
         around = meet(both, labels.withColumnRenamed("node", "b"), ["b"], "a").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
-        closer = labels.join(around, "node").select("node", F.least("component", "near").alias("via"), F.col("component").alias("old"))
+        closer = labels.join(around, "node").select("node", F.least("component", "near").alias("via"), F.col("component").alias("old"), F.col("_bits").alias("bits"))
         roots = labels.select(F.col("node").alias("via"), F.col("component").alias("far"))
-        new = materialize(meet(closer, roots, ["via"], "node", "left").select("node", F.least(F.col("via"), F.coalesce("far", "via")).alias("component"), "old"), "labels")
-        labels = new.select("node", "component")
+        new = materialize(meet(closer, roots, ["via"], "node", "left").select("node", F.least(F.col("via"), F.coalesce("far", "via")).alias("component"), "old", F.col("bits").alias("_bits")), "labels")
+        labels = new.select("node", "component", "_bits")
         if not new.where("component != old").limit(1).count():
-            return labels
+            return labels.select("node", "component")
 
 
 def cluster(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row per row of documents."""
     signed_docs = signatures(documents)
-    classes = signed_docs.where("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("first"))
+    classes = signed_docs.where("doc_id is not null and key is not null").groupBy("key").agg(F.min("doc_id").alias("first"), parts_of("doc_id"))
     classes = materialize(classes, "classes")
     signature = [f"s{k}" for k in range(LONGS)]
     firsts = signed_docs.join(classes.select(F.col("key").alias("k"), "first"), (F.col("key") == F.col("k")) & (F.col("doc_id") == F.col("first")))
     firsts = firsts.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in ("key", "n_shingles", "bands", *signature)])
     members = firsts.select("doc_id", "n_shingles", *signature, F.posexplode("bands").alias("band", "bucket"))
-    sizes = members.groupBy("band", "bucket").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("m")).where("m > 1")
+    sizes = members.groupBy("band", "bucket").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("m"), parts_of("doc_id")).where("m > 1")
     crowded = materialize(meet(members, sizes.drop("m"), ["band", "bucket"], "doc_id"), "buckets")
 
-    hubs = crowded.where("doc_id = hub").select("hub", "n_shingles", *signature).dropDuplicates(["hub"])
+    # A hub's own row and the parts of its star come from one aggregate.
+    own = [F.max(F.when(F.col("doc_id") == F.col("hub"), F.col(c))).alias(c) for c in ("n_shingles", *signature)]
+    hubs = crowded.groupBy("hub").agg(*own, parts_of("doc_id"))
     stars = crowded.where("doc_id != hub").select("hub", "doc_id", "n_shingles", *signature).dropDuplicates(["hub", "doc_id"])
     alike = f"{estimate('x', 'y')} >= {least_estimate(threshold)} and 100 * least(x.n_shingles, y.n_shingles) >= {threshold} * greatest(x.n_shingles, y.n_shingles)"
-    center = hubs.select("hub", F.struct("n_shingles", *signature).alias("y"))
+    center = hubs.select("hub", F.struct("n_shingles", *signature).alias("y"), "_bits")
     pairs = meet(stars.select("hub", "doc_id", F.struct("n_shingles", *signature).alias("x")), center, ["hub"], "doc_id").where(alike).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
 
     links = confirmed(pairs, documents, threshold)
@@ -337,7 +339,7 @@ def cluster(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     # Stars whose members lie in several components: members against each other.
     known = labels.withColumnRenamed("node", "doc_id")
     members = stars.join(known, "doc_id", "left").withColumn("component", F.coalesce("component", "doc_id"))
-    mixed = members.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo != hi").select("hub")
+    mixed = members.groupBy("hub").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), parts_of("doc_id")).where("lo != hi").select("hub", "_bits")
     members = materialize(meet(members, mixed, ["hub"], "doc_id"), "mixed")
     suspects = blocked(members).groupBy("hub", "i", "j").applyInArrow(_suspects(threshold), "hub bigint, doc_id bigint")
     suspects = materialize(suspects.distinct(), "suspects")
@@ -348,7 +350,7 @@ def cluster(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
         if not extra.isEmpty():
             labels = components(links.union(extra))
 
-    named = classes.join(labels.withColumnRenamed("node", "first"), "first", "left").select("key", F.coalesce("component", "first").alias("found"))
+    named = classes.join(labels.withColumnRenamed("node", "first"), "first", "left").select("key", F.coalesce("component", "first").alias("found"), "_bits")
     out = meet(signed_docs.select("doc_id", "n_shingles", "key"), named, ["key"], "doc_id", "left")
     component = F.coalesce("found", "doc_id")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), component).alias("component_id")).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
