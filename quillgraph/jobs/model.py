@@ -86,9 +86,11 @@ class Model:
 
     @cached_property
     def uses(self) -> DataFrame:
-        """Orders read the parts of lines with return flag N and write the others; a pair once."""
-        kind = F.when(F.col("l_returnflag") == "N", "reads").otherwise("writes")
-        return self._links(self.table("lineitem"), kind, uri("action:o", "l_orderkey"), uri("thing:p", "l_partkey")).dropDuplicates(["uri"])
+        """Orders read the parts of lines with return flag N and write the others; a pair once. Each predicate is a constant of
+        its own rows, so that a query for another one reads none of them."""
+        lines, reads = self.table("lineitem"), F.coalesce(F.col("l_returnflag") == "N", F.lit(False))
+        made = [self._links(lines.where(own).select("l_orderkey", "l_partkey").distinct(), F.lit(name), uri("action:o", "l_orderkey"), uri("thing:p", "l_partkey")) for name, own in (("reads", reads), ("writes", ~reads))]
+        return made[0].unionByName(made[1])
 
     @cached_property
     def stewards(self) -> DataFrame:

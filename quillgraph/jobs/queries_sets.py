@@ -104,12 +104,12 @@ def typed_instances(spark, sf_dir):
 
 @query("SELECT 'bm:inst:' || c_custkey AS id FROM customer")
 def find_by_thing(spark, sf_dir):
-    return Model(spark, sf_dir).instances.where("thing_id = 'thing:customer'").select("id")
+    return sets.find_by_thing(Model(spark, sf_dir).instances, "thing:customer").select("id")
 
 
 @query("SELECT 'bm:inst:' || c_custkey AS id, 'bm:ctx:n' || c_nationkey AS context_id FROM customer WHERE c_custkey = 17")
 def find_by_id(spark, sf_dir):
-    return Model(spark, sf_dir).instances.where("id = 'bm:inst:17'").select("id", "context_id")
+    return sets.find_by_id(Model(spark, sf_dir).instances, "thing:customer", "bm:inst:17").select("id", "context_id")
 
 
 @query("""SELECT p_partkey AS id, CASE WHEN p_size % 4 = 0 THEN 'simulation' ELSE 'prod' END AS env FROM part

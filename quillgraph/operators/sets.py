@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.json_text import field, is_string, loose_string, number_of, string_of
-from quillgraph.functions.vocab import FACETS
+from quillgraph.functions.vocab import FACETS, PREDICATES
 
 KEY = ["map_id", "id"]
 
@@ -168,18 +168,37 @@ def aggregate(rows: DataFrame, op: str, name: str | None = None, by: str | None
 
 
 class Query:
-    """A chain of set operations over one model: every step gives a new, lazy query."""
+    """A chain of set operations over one model: every step gives a new, lazy query.
 
-    def __init__(self, model, rows: DataFrame) -> None:
-        self.model, self.rows = model, rows
+    A query knows its ids and, while no walk or set operation has come between, its entity rows: filters on a base set then
+    are filters on its tables. After a walk the entity rows are joined with the distinct ids once; an inner join, for
+    Spark would copy a semi join, with all that led to its ids, into each of the classes' tables. Only the classes that the
+    walk's predicate may reach are read (`reach`); links to others are faults that joins.validate_links lists.
+    """
+
+    def __init__(self, model, rows: DataFrame | None, known: DataFrame | None = None, reach: frozenset[str] | None = None) -> None:
+        self.model, self.known, self.reach = model, known, reach
+        self.rows = ids(known) if rows is None else rows
 
     @classmethod
     def of(cls, model, kind: str) -> Query:
-        return cls(model, base(model, kind))
+        name = FACETS.get(kind, kind)
+        if name in ("Context", "contexts"):
+            return cls(model, base(model, kind))
+        if name in ("Symbol", "symbols"):
+            return cls(model, None, model.symbols)
+        return cls(model, None, model.entities.where((F.col("class_id") == name) & ~F.col("is_custom")))
 
     def entities(self) -> DataFrame:
-        everything = self.model.entities.unionByName(self.model.symbols)
-        return everything.join(self.rows.select("map_id", F.col("id").alias("uri")), ["map_id", "uri"], "left_semi")
+        if self.known is not None:
+            return self.known
+        rows = self.model.entities
+        if self.reach is None or "Symbol" in self.reach:
+            rows = rows.unionByName(self.model.symbols)
+        if self.reach is not None:
+            rows = rows.where(F.col("class_id").isin(sorted(self.reach)) | F.col("is_custom"))
+        wanted = self.rows.select("map_id", F.col("id").alias("uri")).distinct()
+        return rows.join(wanted, ["map_id", "uri"])
 
     def where(self, conditions: dict) -> Query:
         """{field: value or {operator: value, ...}}; all of them must hold, a null value means missing or null."""
@@ -194,26 +213,48 @@ class Query:
                     tests.append(one_of(name, value))
                 else:
                     tests.append(compare(name, op, value))
-        return Query(self.model, ids(self.entities().where(all_of(*tests))))
+        return Query(self.model, None, self.entities().where(all_of(*tests)), self.reach)
 
     def traverse(self, predicate: str = "*", direction: str = "out", depth: int = 1) -> Query:
         from quillgraph.operators.graph import traverse
 
-        return Query(self.model, traverse(self.rows, self.model.links, predicate, direction, depth).select(*KEY))
+        return Query(self.model, traverse(self.rows, self.model.links, predicate, direction, depth).select(*KEY), None, reached(predicate, direction))
+
+    def _with(self, rows: DataFrame, other: Query) -> Query:
+        reach = None if self.reach is None or other.reach is None else self.reach | other.reach
+        return Query(self.model, rows, None, reach)
 
     def union(self, other: Query) -> Query:
-        return Query(self.model, union(self.rows, other.rows))
+        return self._with(union(self.rows, other.rows), other)
 
     def intersect(self, other: Query) -> Query:
-        return Query(self.model, intersect(self.rows, other.rows))
+        return Query(self.model, intersect(self.rows, other.rows), None, self.reach)
 
     def subtract(self, other: Query) -> Query:
-        return Query(self.model, subtract(self.rows, other.rows))
+        return Query(self.model, subtract(self.rows, other.rows), None, self.reach)
 
     def aggregate(self, op: str, name: str | None = None, by: str | None = None) -> DataFrame:
         return aggregate(self.entities(), op, name, by)
 
 
+def reached(predicate: str, direction: str) -> frozenset[str] | None:
+    """The classes that a walk over a predicate may end at; None: any."""
+    for name, domain, ends, _ in PREDICATES:
+        if name == predicate:
+            return frozenset({"out": ends, "in": domain}.get(direction, f"{domain} {ends}").split())
+    return None
+
+
+def find_by_thing(instances: DataFrame, thing: str) -> DataFrame:
+    """The instances of one Thing."""
+    return instances.where(F.col("thing_id") == thing)
+
+
+def find_by_id(instances: DataFrame, thing: str, key: str) -> DataFrame:
+    """The instance of a Thing with one id."""
+    return find_by_thing(instances, thing).where(F.col("id") == key)
+
+
 def search(model, text: str, classes: list[str] | None = None) -> DataFrame:
     """Entities, symbols and contexts whose searchable text holds `text` in any case: id, name, class, container's name
     and a snippet of 100 characters."""
