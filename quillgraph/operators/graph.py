@@ -6,16 +6,12 @@ round; the driver only asks whether a frontier is empty.
 
 from __future__ import annotations
 
-from itertools import count
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgraph.sources.files import durable
 
-MERGE = 16
-
 
 def edges_of(links: DataFrame, predicate: str = "*", direction: str = "out") -> DataFrame:
     """map_id, src, dst, predicate in walking direction."""
@@ -51,21 +47,23 @@ def traverse(start: DataFrame, links: DataFrame, predicate: str = "*", direction
 
 
 def closure(edges: DataFrame) -> DataFrame:
-    """node, ancestor, depth (>= 1) of a graph of edges (node, up): pairs are followed up one level a round, however
-    many there are; a pair that has been reached before ends its walk, so cycles end too. Pairs reached are gathered in the
-    shared folder every MERGE rounds, so that plans stay small."""
-    edges = durable(edges.select("node", "up").distinct(), "edges")
-    frontier = edges.select("node", F.col("up").alias("ancestor")).distinct().withColumn("depth", F.lit(1))
-    seen = frontier
-    for level in count(2):
-        step = frontier.select("node", F.col("ancestor").alias("_at")).join(edges.select(F.col("node").alias("_at"), F.col("up").alias("ancestor")), "_at").select("node", "ancestor").distinct()
-        frontier = durable(step.join(seen.select("node", "ancestor"), ["node", "ancestor"], "left_anti").withColumn("depth", F.lit(level)), "closure")
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-        if level % MERGE == 0:
-            seen = durable(seen, "seen")
-    return seen
+    """node, ancestor, depth (>= 1, of the shortest way) of a graph of edges (node, up), of any depth.
+
+    By doubling: after k rounds all pairs at most 2 ** k apart are known, and a jump is a way of exactly 2 ** k edges; a pair
+    up to twice as far apart is a jump and a known pair. So a chain of a million takes twenty rounds. A round without a new
+    pair ends it: a pair still further apart would have one of this round on its way. Cycles end by that too.
+    """
+    jump = durable(edges.select("node", "up").distinct(), "jumps")
+    known, length = jump.select("node", F.col("up").alias("ancestor"), F.lit(1).alias("depth")), 1
+    while True:
+        onward = known.select(F.col("node").alias("up"), "ancestor", "depth")
+        step = jump.join(onward, "up").groupBy("node", "ancestor").agg((F.min("depth") + length).alias("depth"))
+        fresh = durable(step.join(known.select("node", "ancestor"), ["node", "ancestor"], "left_anti").select("node", "ancestor", "depth"), "closure")
+        if fresh.isEmpty():
+            return known
+        known = known.unionByName(fresh)
+        jump = durable(jump.join(jump.select(F.col("node").alias("up"), F.col("up").alias("_far")), "up").select("node", F.col("_far").alias("up")).distinct(), "jumps")
+        length *= 2
 
 
 def context_tree(contexts: DataFrame) -> DataFrame:
@@ -90,25 +88,39 @@ def inherit_attributes(extends: DataFrame, attributes: DataFrame) -> DataFrame:
     return nearest.select("thing", "attribute", F.col("n.owner").alias("owner"), F.col("n.depth").alias("depth"))
 
 
-def trim(edges: DataFrame, both_ends: bool) -> DataFrame:
-    """Edges (src, dst) left when nodes that nothing points to (and, with both_ends, that point to nothing) are dropped
-    again and again: what remains lies on cycles, or with both_ends=False of out-degree one is exactly the cycles."""
+def trim(edges: DataFrame) -> DataFrame:
+    """Edges (src, dst) left when nodes that nothing points to, and that point to nothing, are dropped again and again: what
+    remains lies on cycles or between them."""
     left = durable(edges.select("src", "dst").distinct(), "edges")
     n = left.count()
     while True:
-        pointed = left.select(F.col("dst").alias("src")).distinct()
-        rest = left.join(pointed, "src", "left_semi")
-        if both_ends:
-            rest = rest.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        rest = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        rest = rest.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
         left = durable(rest, "edges")
         before, n = n, left.count()
         if n == before:
             return left
 
 
-def circular_extends(extends: DataFrame) -> DataFrame:
-    """Things on an extends cycle, each with one extends link (src, dst)."""
-    return trim(extends, False).select(F.col("src").alias("id")).distinct()
+def circular_extends(extends: DataFrame, order: str = "dst") -> DataFrame:
+    """id of the Things on a cycle of extends links (src, dst, order); a Thing's last link counts.
+
+    By doubling: of the ways of 2 ** k links, the ends are fewer each round until only Things on cycles are left; if a
+    round loses none, all that are left are on cycles.
+    """
+    jump = durable(extends.groupBy("src").agg(F.max_by("dst", order).alias("dst")), "jumps")
+    n = jump.select("dst").distinct().count()
+    while True:
+        jump = durable(jump.join(jump.select(F.col("src").alias("dst"), F.col("dst").alias("_far")), "dst").select("src", F.col("_far").alias("dst")), "jumps")
+        before, n = n, jump.select("dst").distinct().count()
+        if n == before:
+            return jump.select(F.col("dst").alias("id")).distinct()
+
+
+def extends_neighbours(extends: DataFrame) -> DataFrame:
+    """id, side (parent or child), neighbour of both ends of extends links (source_uri, target_uri)."""
+    up = extends.select(F.col("source_uri").alias("id"), F.lit("parent").alias("side"), F.col("target_uri").alias("neighbour"))
+    return up.union(extends.select("target_uri", F.lit("child"), "source_uri"))
 
 
 def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
@@ -129,7 +141,7 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
     they have an edge among them. They leave, and the rest goes on. Each round is joins over the edges that are left;
     pairs of nodes are never made.
     """
-    found, core = None, trim(edges, True)
+    found, core = None, trim(edges)
     while not core.isEmpty():
         nodes = core.select(F.col("src").alias("id")).union(core.select("dst")).distinct()
         colour = _spread(nodes.withColumn("label", F.col("id")), core)
@@ -146,7 +158,7 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
         found = on if found is None else found.unionByName(on)
         gone = own.withColumnRenamed("id", "src")
         rest = core.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst")
-        core = trim(rest, True)
+        core = trim(rest)
     return edges.select(F.col("src").alias("id")).where("false") if found is None else found.distinct()
 
 
