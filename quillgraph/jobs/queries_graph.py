@@ -51,6 +51,14 @@ def places(m: Model):
     return m.table("part").select(F.lit("tpch").alias("map_id"), uri("ctx:p", "p_partkey").alias("uri"), up.alias("parent_uri"), "p_size")
 
 
+def chains(m: Model):
+    """Every part as a container inside the one before it, two hundred deep."""
+    part = m.table("part")
+    there = part.select((F.col("p_partkey") + 1).alias("p_partkey"), F.lit(True).alias("_up"))
+    up = F.when((F.col("p_partkey") % 200 > 0) & F.col("_up"), F.concat(F.lit("bm:ctx:p"), (F.col("p_partkey") - 1).cast("string")))
+    return part.join(there, "p_partkey", "left").select(F.lit("tpch").alias("map_id"), uri("ctx:p", "p_partkey").alias("uri"), up.alias("parent_uri"), "p_size")
+
+
 @query(f"""WITH {PLACES}, T AS (SELECT uri AS node, uri AS ancestor, 0 AS depth FROM P UNION ALL SELECT T.node, P.parent_uri, T.depth + 1 FROM T JOIN P ON P.uri = T.ancestor WHERE P.parent_uri IS NOT NULL)
   SELECT node, ancestor, CAST(depth AS INTEGER) AS depth FROM T""", recursive=True)
 def context_tree(spark, sf_dir):
@@ -85,8 +93,7 @@ def inherit_attributes(spark, sf_dir):
 
 @query("SELECT source_uri AS id, 'parent' AS side, target_uri AS neighbour FROM X UNION ALL SELECT target_uri, 'child', source_uri FROM X", "X")
 def extends_neighbours(spark, sf_dir):
-    x = Model(spark, sf_dir).extends
-    return x.select(F.col("source_uri").alias("id"), F.lit("parent").alias("side"), F.col("target_uri").alias("neighbour")).union(x.select("target_uri", F.lit("child"), "source_uri"))
+    return graph.extends_neighbours(Model(spark, sf_dir).extends)
 
 
 @query("SELECT source_uri AS id FROM X WHERE EXISTS (SELECT 1 FROM X y WHERE y.source_uri = X.target_uri AND y.target_uri = X.source_uri)", "X")
@@ -94,6 +101,21 @@ def circular_extends(spark, sf_dir):
     return graph.circular_extends(Model(spark, sf_dir).extends.select(F.col("source_uri").alias("src"), F.col("target_uri").alias("dst")))
 
 
+@query("""WITH F AS (SELECT l_partkey AS a, arg_max(l_suppkey, l_orderkey * 10 + l_linenumber) AS b FROM lineitem GROUP BY 1), W AS (SELECT a, b FROM F UNION SELECT W.a, F.b FROM W JOIN F ON F.a = W.b)
+  SELECT DISTINCT 'bm:thing:p' || a AS id FROM W WHERE a = b""", recursive=True)
+def circular_extends_last(spark, sf_dir):
+    """Parts that extend the part with the number of their supplier, line after line: the last one counts; cycles of any length with long tails."""
+    lines = Model(spark, sf_dir).table("lineitem").select(uri("thing:p", "l_partkey").alias("src"), uri("thing:p", "l_suppkey").alias("dst"), (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("order"))
+    return graph.circular_extends(lines, "order")
+
+
+@query("""WITH P AS (SELECT p_partkey AS k, CASE WHEN p_partkey % 200 > 0 AND p_partkey - 1 IN (SELECT p_partkey FROM part) THEN p_partkey - 1 END AS up FROM part), T AS (SELECT k AS node, k AS ancestor, 0 AS depth FROM P UNION ALL SELECT T.node, P.up, T.depth + 1 FROM T JOIN P ON P.k = T.ancestor WHERE P.up IS NOT NULL)
+  SELECT 'bm:ctx:p' || node AS node, 'bm:ctx:p' || ancestor AS ancestor, CAST(depth AS INTEGER) AS depth FROM T""", recursive=True)
+def context_tree_deep(spark, sf_dir):
+    """Parts as containers in chains of two hundred."""
+    return graph.context_tree(chains(Model(spark, sf_dir)))
+
+
 @query("""WITH D AS (SELECT s_suppkey AS a, s_suppkey + 1 AS b FROM supplier WHERE s_suppkey % 10 < 6 UNION SELECT s_suppkey, s_suppkey - 3 FROM supplier WHERE s_suppkey % 10 = 5 UNION SELECT s_suppkey, s_suppkey + 10 FROM supplier WHERE s_suppkey % 10 IN (0, 3)
     UNION SELECT s_suppkey, s_suppkey FROM supplier WHERE s_suppkey % 10 = 8),
   W AS (SELECT a, b FROM D UNION SELECT W.a, D.b FROM W JOIN D ON D.a = W.b) SELECT DISTINCT a AS id FROM W WHERE a = b""", recursive=True)
@@ -327,12 +349,31 @@ def migrate_models(spark, sf_dir):
 
 
 # Triples.
-@query("""SELECT predicate AS p, count(*) AS n FROM L GROUP BY 1 UNION ALL SELECT 'inheritedAttribute', count(*) FROM X UNION ALL SELECT 'rdf:type', (SELECT count(*) FROM E) + (SELECT count(*) FROM C)
+@query("""SELECT predicate AS p, count(*) AS n FROM L GROUP BY 1 UNION ALL SELECT 'rdf:type', (SELECT count(*) FROM E) + (SELECT count(*) FROM C)
   UNION ALL SELECT 'rdfs:label', (SELECT count(*) FROM E) + (SELECT count(*) FROM C) UNION ALL SELECT 'memberOf', count(*) FROM E UNION ALL SELECT 'childOf', count(parent_uri) FROM C UNION ALL SELECT 'hasTag', (SELECT count(tag) FROM E) + (SELECT count(tag) FROM C)""", "C E L")
 def model_triples(spark, sf_dir):
     return triples.model_triples(Model(spark, sf_dir)).groupBy("p").agg(F.count(F.lit(1)).alias("n"))
 
 
+DECLARED = """A AS (SELECT 'bm:thing:p' || p_partkey AS thing, 'brand' || CASE WHEN p_size % 3 = 0 THEN '' ELSE CAST(p_size % 5 AS VARCHAR) END AS name, 'text' AS type FROM part
+  UNION ALL SELECT 'bm:thing:p' || p_partkey, 'size', 'integer' FROM part WHERE p_size > 25 UNION ALL SELECT 'bm:thing:p' || p_partkey, 'like', 'reference' FROM part WHERE p_size % 4 = 0)"""
+
+
+@query(f"""WITH {DECLARED} SELECT X.source_uri AS s, 'inheritedAttribute' AS p, A.name || ':' || A.type || ':' || X.target_uri AS o FROM X JOIN A ON A.thing = X.target_uri
+    WHERE X.source_uri IN (SELECT 'bm:thing:p' || p_partkey FROM part) AND NOT EXISTS (SELECT 1 FROM A B WHERE B.thing = X.source_uri AND B.name = A.name)
+  UNION ALL SELECT thing, 'references', 'bm:thing:p1' FROM A WHERE type = 'reference'""", "X")
+def inherited_attribute_triples(spark, sf_dir):
+    """Parts that declare attributes: those inherited by name, over every extends link, and the references."""
+    m = Model(spark, sf_dir)
+    size = number_of(field("size")).cast("int")
+    one = lambda name, kind, test=F.lit(True): F.when(test, F.struct(name.alias("name"), F.lit(kind).alias("type"), F.when(F.lit(kind) == "reference", F.lit("bm:thing:p1")).alias("referencedThingId")))
+    brand = F.when(size % 3 == 0, "brand").otherwise(F.concat(F.lit("brand"), (size % 5).cast("string")))
+    declared = F.array_compact(F.array(one(brand, "text"), one(F.lit("size"), "integer", size > 25), one(F.lit("like"), "reference", size % 4 == 0)))
+    things = m.parts.withColumn("fields", F.create_map(F.lit("attributes"), F.to_json(declared)))
+    attributes = triples.attributes_of(things)
+    return triples.inherited_triples(m.extends, things, attributes).unionByName(triples.reference_triples(attributes))
+
+
 @query("""SELECT 'bm:inst:' || c_custkey AS s, 'attr/segment' AS p, c_mktsegment AS o FROM customer UNION ALL SELECT 'bm:inst:' || c_custkey, 'attr/name', c_name FROM customer UNION ALL SELECT 'bm:inst:' || c_custkey, 'attr/nation', CAST(c_nationkey AS VARCHAR) FROM customer
   UNION ALL SELECT 'bm:inst:' || c_custkey, 'rdf:type', 'bm:EntityInstance' FROM customer UNION ALL SELECT 'bm:inst:' || c_custkey, 'instanceOf', 'thing:customer' FROM customer UNION ALL SELECT 'bm:inst:' || c_custkey, 'createdAt', CAST(1700000000 + c_custkey % 977 AS VARCHAR) FROM customer
   UNION ALL SELECT 'bm:inst:' || c_custkey, 'inContext', 'bm:ctx:n' || c_nationkey FROM customer UNION ALL SELECT 'bm:inst:' || o_custkey, 'placed', 'bm:order:' || o_orderkey FROM orders""")
@@ -364,10 +405,10 @@ def run_lineage(spark, sf_dir):
     return joins.run_lineage(triples.runtime_triples(produced(m), runs(m)), runs(m), "failed").select("pipeline", "run", "instance")
 
 
-@query("SELECT source_uri AS s, 'stewards' AS p, target_uri AS o FROM L WHERE predicate = 'stewards' AND target_uri = 'bm:thing:p5' UNION ALL SELECT 'bm:thing:p' || p_partkey, 'hasTag', 'tag:Brand#2' FROM part WHERE p_brand = 'Brand#2'", "L")
+@query("SELECT source_uri AS s, 'stewards' AS p, target_uri AS o FROM L WHERE predicate = 'stewards' AND target_uri = 'bm:thing:p5' UNION ALL SELECT 'bm:thing:p' || p_partkey, 'hasTag', 'Brand#2' FROM part WHERE p_brand = 'Brand#2'", "L")
 def triple_lookup(spark, sf_dir):
     found = triples.model_triples(Model(spark, sf_dir))
-    return joins.lookup(found, p="stewards", o="bm:thing:p5").unionByName(joins.lookup(found, p="hasTag", o="tag:Brand#2"))
+    return joins.lookup(found, p="stewards", o="bm:thing:p5").unionByName(joins.lookup(found, p="hasTag", o="Brand#2"))
 
 
 # Texts: a small fixed note per document (its source, lang and id filled in) with marks of every kind.
@@ -553,6 +594,30 @@ def action_effects(spark, sf_dir):
     return done.select("request", "step", "effect", "target", "field", F.col("value").try_cast("double").alias("value"))
 
 
+@query("""WITH Q AS (SELECT o_orderkey AS request FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0)
+  SELECT request, 1 AS step, 'create' AS effect, 'new/' || request || '/1' AS target, 'total' AS field, CAST(o_totalprice AS VARCHAR) AS value FROM Q JOIN orders ON o_orderkey = request
+  UNION ALL SELECT request, 2, 'transitionState', 'new/' || request || '/1', '_state', 'open' FROM Q
+  UNION ALL SELECT request, 3, 'createLink', 'new/' || request || '/1', 'placed', 'bm:inst:1' FROM Q
+  UNION ALL SELECT request, 4, 'deleteLink', 'bm:inst:' || (SELECT min(o_custkey) FROM orders), 'placed', (SELECT min('bm:rel:' || o_orderkey) FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders)) FROM Q
+  UNION ALL SELECT request, 5, 'delete', (SELECT min('bm:inst:' || c_custkey) FROM customer), NULL, NULL FROM Q
+  UNION ALL SELECT request, 6, 'emit', 'event/' || request || '/6', 'by', CAST(o_custkey AS VARCHAR) FROM Q JOIN orders ON o_orderkey = request
+  UNION ALL SELECT request, 7, 'no-instance', NULL, 'x', '1' FROM Q""")
+def action_links(spark, sf_dir):
+    """One action with every kind of effect, for all orders with sound parameters."""
+    m = Model(spark, sf_dir)
+    c = F.col
+    asked = requests(m).where((c("request") % 5 != 0) & (c("request") % 7 != 0)).withColumn("action", F.lit("act"))
+    first = m.table("orders").agg(F.min("o_custkey").alias("k")).select(F.concat(F.lit("bm:inst:"), c("k").cast("string")).alias("k")).first()["k"]
+    columns = "action, step, effect, thing, field, source, arg, predicate, source_ref, target_ref"
+    rows = [
+        ("act", 1, "create", "thing:ticket", "total", "param", "total", None, None, None), ("act", 2, "transitionState", "thing:ticket", None, "static", "open", None, None, None),
+        ("act", 3, "createLink", None, None, None, None, "placed", "thing:ticket", "bm:inst:1"), ("act", 4, "deleteLink", None, None, None, None, "placed", first, None),
+        ("act", 5, "delete", "thing:customer", None, None, None, None, None, None), ("act", 6, "emit", None, "by", "user", None, None, None, None), ("act", 7, "modify", "thing:nothing", "x", "static", "1", None, None, None),
+    ]
+    rules = spark.createDataFrame(rows, "action string, step int, effect string, thing string, field string, source string, arg string, predicate string, source_ref string, target_ref string").select(columns.split(", "))
+    return actions.effects(asked, rules, m.instances.select(c("thing_id").alias("thing"), "id"), m.relationships)
+
+
 # Streams: the events table as files of a directory, read as a stream.
 
 
@@ -562,8 +627,8 @@ def stream_pipeline(spark, sf_dir):
     landed, out, checkpoint = files.scratch(spark, "landed"), files.scratch(spark, "out"), files.scratch(spark, "progress")
     responses(m).write.parquet(landed)
     stream = streams.files(spark, landed, "user_id bigint, page int, body string", 4)
-    streams.pipeline(stream, lambda batch: mapping.run_mapping(mapping.iterate(batch, MAPPING.iterate), MAPPING).where("status = 'ok'"), out, checkpoint).awaitTermination()
-    rows = streams.latest(spark.read.parquet(out), ["type_uri", "external_id"])
+    streams.pipeline(stream, lambda batch: mapping.run_mapping(mapping.iterate(batch, MAPPING.iterate), MAPPING).where("status = 'ok'"), out, checkpoint, ["type_uri", "external_id"]).awaitTermination()
+    rows = streams.table(spark, out)
     return rows.select("external_id", string_of(field("kind")).alias("kind"), number_of(field("amount")).alias("amount"))
 
 
@@ -581,7 +646,7 @@ def stream_state(spark, sf_dir):
     landed, out, checkpoint = files.scratch(spark, "commands"), files.scratch(spark, "state"), files.scratch(spark, "progress")
     m.commits.repartitionByRange(8, "sequence").write.parquet(landed)
     streams.state(streams.files(spark, landed, m.commits.schema, 3), out, checkpoint).awaitTermination()
-    rows = streams.state_of(spark.read.parquet(out))
+    rows = streams.state_of(streams.table(spark, out))
     return rows.select("uri", number_of(F.element_at("data", "value")).alias("value"))
 
 
@@ -600,6 +665,23 @@ def stream_run_metrics(spark, sf_dir):
     return rows.groupBy("run_id").agg(F.max_by(F.struct(*names), "batch").alias("r")).select("run_id", "r.*")
 
 
+@query("""SELECT event_type AS measure_id, CAST(user_id % 3 AS VARCHAR) AS dimension, date_trunc('day', ts) AS start, count(*) AS n, round(sum(value), 4) AS total, min(value) AS low, max(value) AS high FROM events GROUP BY 1, 2, 3""")
+def stream_measure_windows(spark, sf_dir):
+    """The same windows from a stream in the order of time, three files a batch: a window is given out when the watermark has
+    passed it, and the last ones by a closing point far behind."""
+    m = Model(spark, sf_dir)
+    landed, checkpoint, out = files.scratch(spark, "points"), files.scratch(spark, "progress"), files.scratch(spark, "windows")
+    points = m.table("events").select(F.col("event_type").alias("measure_id"), (F.col("user_id") % 3).cast("string").alias("dimension"), F.col("ts").cast("timestamp").alias("ts"), "value")
+    # Files are taken in the order of their names: ranges of time, then the closing point.
+    points.repartitionByRange(6, "ts").withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(landed)
+    closing = points.agg(F.max("ts").alias("ts")).select(F.lit("end").alias("measure_id"), F.lit("").alias("dimension"), (F.col("ts") + F.expr("INTERVAL 1000 DAYS")).alias("ts"), F.lit(0.0).alias("value"), F.lit(9).alias("part"))
+    closing.write.mode("append").partitionBy("part").parquet(landed)
+    stream = streams.files(spark, landed, points.schema, 1)
+    streams.windows(streams.measure_windows(stream, late="400 days"), out, checkpoint).awaitTermination()
+    rows = spark.read.parquet(out).where("measure_id != 'end'")
+    return rows.select("measure_id", "dimension", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("total", 4).alias("total"), "low", "high")
+
+
 @query("""SELECT event_type AS measure_id, CAST(user_id % 3 AS VARCHAR) AS dimension, date_trunc('day', ts) AS start, count(*) AS n, round(sum(value), 4) AS total, round(avg(value), 6) AS mean, min(value) AS low, max(value) AS high, count(*) >= 20 AS met FROM events GROUP BY 1, 2, 3""")
 def measure_windows(spark, sf_dir):
     points = Model(spark, sf_dir).table("events").select(F.col("event_type").alias("measure_id"), (F.col("user_id") % 3).cast("string").alias("dimension"), "ts", "value")

@@ -33,15 +33,41 @@ def gate(requests: DataFrame, actions: DataFrame, params: DataFrame, performers:
     return joined.select("request", "action", "user", "params", fault.alias("fault"))
 
 
-def effects(accepted: DataFrame, rules: DataFrame, instances: DataFrame) -> DataFrame:
-    """request, step, effect, target, field, value of accepted requests.
+def effects(accepted: DataFrame, rules: DataFrame, instances: DataFrame, relationships: DataFrame | None = None) -> DataFrame:
+    """request, step, effect, target, field, value of accepted requests, step by step.
 
-    rules: action, step, effect (create, modify, delete, link, emit), thing, field, source (param, static, user), arg. A
-    modify or delete without an id goes to the thing's smallest id (instances: thing, id).
+    rules: action, step, effect (create, modify, transitionState, delete, createLink, deleteLink, emit), thing, field, source
+    (param, static, user), arg; for links also predicate, source_ref, target_ref. What an earlier step of the action creates
+    of a thing stands for that thing: a modify or a new state goes to it, a link's ends that name the thing are it. Without
+    one, and for a delete, it is the thing's smallest id (instances: thing, id); if there is none the effect is no-instance.
+    A link's row has its source, predicate and target; a removed link's row the smallest id (relationships: id, predicate,
+    source_id) that the source has, and no row if it has none. An event's target is its own id. Rules are dimensions.
     """
+    for name in ("predicate", "source_ref", "target_ref"):
+        if name not in rules.columns:
+            rules = rules.withColumn(name, F.lit(None).cast("string"))
+    created = rules.where("effect = 'create'").select(F.col("action").alias("_action"), F.col("step").alias("_step"), F.col("thing").alias("_thing")).distinct()
+
+    def made_before(rules: DataFrame, ref: str, out: str) -> DataFrame:
+        """The last step before that creates what `ref` names."""
+        same = (F.col("action") == F.col("_action")) & (F.col(ref) == F.col("_thing")) & (F.col("_step") < F.col("step"))
+        found = rules.join(F.broadcast(created), same, "left").drop("_action", "_thing")
+        return found.groupBy(*rules.columns).agg(F.max("_step").alias(out))
+
+    for ref, out in (("thing", "_made"), ("source_ref", "_from"), ("target_ref", "_to")):
+        rules = made_before(rules, ref, out)
     first = instances.groupBy("thing").agg(F.min("id").alias("_first"))
     steps = accepted.select("request", "action", "user", "params").join(rules, "action").join(first, "thing", "left")
     value = F.when(F.col("source") == "param", F.element_at("params", F.col("arg"))).when(F.col("source") == "user", F.col("user")).otherwise(F.col("arg"))
-    made = F.concat_ws("/", F.lit("new"), F.col("request").cast("string"), F.col("step").cast("string"))
-    target = F.when(F.col("effect") == "create", made).when(F.col("effect").isin("modify", "delete"), F.col("_first"))
-    return steps.select("request", "step", "effect", target.alias("target"), "field", value.alias("value"))
+    own = lambda kind, step: F.concat_ws("/", F.lit(kind), F.col("request").cast("string"), F.col(step).cast("string"))
+    end = lambda ref, step: F.when(F.col(step).isNotNull(), own("new", step)).otherwise(F.col(ref))
+    kind, links = F.col("effect"), F.col("effect").isin("createLink", "deleteLink")
+    there = F.when(F.col("_made").isNotNull() & (kind != "delete"), own("new", "_made")).otherwise(F.col("_first"))
+    target = F.when(kind == "create", own("new", "step")).when(kind == "emit", own("event", "step")).when(links, end("source_ref", "_from")).otherwise(there)
+    name = F.when(links, F.col("predicate")).when(kind == "transitionState", F.lit("_state")).otherwise(F.col("field"))
+    steps = steps.select("request", "step", F.when(target.isNull(), "no-instance").otherwise(kind).alias("effect"), target.alias("target"), name.alias("field"), F.when(kind == "createLink", end("target_ref", "_to")).otherwise(value).alias("value"))
+    if relationships is None:
+        return steps.where("effect != 'deleteLink'")
+    held = relationships.groupBy(F.col("source_id").alias("target"), F.col("predicate").alias("field")).agg(F.min("id").alias("_held"))
+    gone = steps.where("effect = 'deleteLink'").join(held, ["target", "field"]).select("request", "step", "effect", "target", "field", F.col("_held").alias("value"))
+    return steps.where("effect != 'deleteLink'").unionByName(gone)

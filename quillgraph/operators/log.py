@@ -72,6 +72,25 @@ def replay(commits: DataFrame, fields: str = "data") -> DataFrame:
     return joined.select(*KEY, data.alias("data"), "created_at", F.coalesce("_touched", "created_at").alias("updated_at"))
 
 
+def compact(commits: DataFrame, fields: str = "data") -> DataFrame:
+    """Commands, in the same columns, that give the same state now and after any later commands: of every key the last upsert
+    and the last delete, and the later of its updates, each with those fields that no later one sets."""
+    own = commits.where(allowed(F.col("cmd_type"), F.col("class_id")).isNull() & F.col("cmd_type").isin("instance:upsert", "instance:update", "instance:delete"))
+    rest = [c for c in own.columns if c not in KEY]
+    whole = F.max_by(F.struct(*rest), "sequence").alias("_row")
+    turns = own.where("cmd_type != 'instance:update'").groupBy(*KEY, F.col("cmd_type").alias("_kind")).agg(whole).select(*KEY, "_row.*")
+    born = turns.groupBy(*KEY).agg(F.max(F.when(F.col("cmd_type") == "instance:upsert", F.col("sequence"))).alias("_up"), F.max(F.when(F.col("cmd_type") == "instance:delete", F.col("sequence"))).alias("_down"))
+    alive = born.where("_up is not null and (_down is null or _down < _up)").select(*KEY, F.col("_up").alias("_from"))
+    updates = own.where("cmd_type = 'instance:update'").join(alive, KEY).where("sequence > _from").drop("_from")
+    # An update stays for the fields that it was the last to set; the key's last update stays in any case, for its time.
+    newest = updates.select(*KEY, "sequence", F.explode(fields).alias("k", "v")).groupBy(*KEY, "k").agg(F.max_by(F.struct("sequence", "v"), "sequence").alias("n"))
+    set_by = newest.groupBy(*KEY, F.col("n.sequence").alias("sequence")).agg(F.map_from_entries(F.collect_list(F.struct("k", F.col("n.v").alias("v")))).alias("_set"))
+    last = updates.groupBy(*KEY).agg(F.max("sequence").alias("sequence")).withColumn("_last", F.lit(True))
+    left = updates.join(set_by, [*KEY, "sequence"], "left").join(last, [*KEY, "sequence"], "left").where("_set is not null or _last")
+    left = left.withColumn(fields, F.coalesce("_set", F.create_map().cast("map<string,string>"))).select(*own.columns)
+    return turns.select(*own.columns).unionByName(left)
+
+
 def domain_events(commits: DataFrame) -> DataFrame:
     """One event per accepted command; progress of runs and snapshots of simulations give none."""
     names = {"instance:upsert": "InstanceUpserted", "instance:update": "InstanceUpdated", "instance:delete": "InstanceDeleted"}

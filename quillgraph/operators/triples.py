@@ -22,10 +22,34 @@ def union(*parts: DataFrame) -> DataFrame:
     return reduce(lambda a, b: a.unionByName(b), parts)
 
 
+ATTRIBUTES = "array<struct<name: string, type: string, referencedThingId: string>>"
+
+
+def attributes_of(things: DataFrame) -> DataFrame:
+    """thing, name, type, target of the attributes that Things declare."""
+    rows = things.select(F.col("uri").alias("thing"), F.explode(F.from_json(field("attributes"), ATTRIBUTES)).alias("a"))
+    return rows.select("thing", F.col("a.name").alias("name"), F.col("a.type").alias("type"), F.col("a.referencedThingId").alias("target"))
+
+
+def reference_triples(attributes: DataFrame) -> DataFrame:
+    return triple(attributes.where("type = 'reference' and target != ''"), "thing", "references", "target")
+
+
+def inherited_triples(extends: DataFrame, things: DataFrame, attributes: DataFrame) -> DataFrame:
+    """For every extends link (source_uri, target_uri) between Things (uri) the parent's attributes (thing, name, type) whose
+    names the child lacks, as name:type:parent."""
+    child = extends.select(F.col("source_uri").alias("s"), F.col("target_uri").alias("thing")).join(things.select(F.col("uri").alias("s")).distinct(), "s")
+    theirs = child.join(attributes.select("thing", "name", "type"), "thing")
+    own = attributes.select(F.col("thing").alias("s"), "name").distinct()
+    return triple(theirs.join(own, ["s", "name"], "left_anti"), "s", "inheritedAttribute", F.concat_ws(":", "name", "type", "thing"))
+
+
 def model_triples(model, symbols: bool = False) -> DataFrame:
-    """Types, labels, places, tags and links of a model; attributes inherited over one step of extends."""
+    """Types, labels, places, tags and links of a model; references of Things and attributes inherited over one step of extends."""
     entities = model.entities.unionByName(model.symbols) if symbols else model.entities
     contexts = model.contexts
+    things = model.entities.where("class_id = 'Thing' and not is_custom")
+    attributes = attributes_of(things)
     label = F.coalesce("name", string_of(field("label")), F.substring(string_of(field("content")), 1, 80))
     tags = entities.select("uri", "tags").unionByName(contexts.select("uri", "tags"))
     return union(
@@ -35,9 +59,10 @@ def model_triples(model, symbols: bool = False) -> DataFrame:
         triple(entities, "uri", "rdf:type", F.concat(F.lit("bm:"), "class_id")),
         triple(entities, "uri", "rdfs:label", label),
         triple(entities, "uri", "memberOf", "container_uri"),
-        triple(tags.select("uri", F.explode("tags").alias("tag")), "uri", "hasTag", F.concat(F.lit("tag:"), "tag")),
+        triple(tags.select("uri", F.explode("tags").alias("tag")), "uri", "hasTag", "tag"),
         triple(model.links, "source_uri", F.col("predicate"), "target_uri"),
-        triple(model.links.where("predicate = 'extends'"), "source_uri", "inheritedAttribute", "target_uri"),
+        reference_triples(attributes),
+        inherited_triples(model.links.where("predicate = 'extends'"), things, attributes),
     )
 
 

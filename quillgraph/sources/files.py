@@ -15,20 +15,23 @@ from quillgraph.functions.vocab import FACETS
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new path in the cluster's shared folder (spark.checkpoint.dir), removed when the driver ends; where that setting
-    is missing, as in tests, in a folder of this machine."""
+    """A new path in the cluster's shared folder (spark.checkpoint.dir), removed when the driver ends. Where that setting is
+    missing, a folder of this machine if all of Spark runs in this process, as in tests; on a cluster other machines wouldn't
+    see it, so there the setting is demanded."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
         sc = spark.sparkContext
         if not sc.getCheckpointDir():
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
             sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-"))
         top = sc.getCheckpointDir()
     path = f"{top.rstrip('/')}/quillgraph-{name}-{uuid.uuid4().hex}"
-    atexit.register(_drop, spark, path)
+    atexit.register(drop, spark, path)
     return path
 
 
-def _drop(spark: SparkSession, path: str) -> None:
+def drop(spark: SparkSession, path: str) -> None:
     sc = spark.sparkContext
     if sc._jsc is not None and sc._jvm is not None:
         where = sc._jvm.org.apache.hadoop.fs.Path(path)
@@ -59,12 +62,26 @@ def read_jsonl(spark: SparkSession, path: str) -> DataFrame:
     return lines.where(F.try_parse_json("body").isNotNull() & ~F.is_variant_null(F.try_parse_json("body")))
 
 
+#: Files whose headers are broadcast at most; beyond, lines meet them in a shuffle.
+MOST_FILES = 100_000
+
+
 def read_csv(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
-    """Rows of trimmed strings, no quoting; the header names the columns (known to the caller, so that no file is read to
-    infer them), missing trailing cells are '', blank lines go."""
-    schema = ", ".join(f"`{c}` string" for c in columns)
-    rows = spark.read.csv(path, schema=schema, header=True, quote="", ignoreLeadingWhiteSpace=True, ignoreTrailingWhiteSpace=True, mode="PERMISSIVE", enforceSchema=True)
-    return rows.select(*[F.coalesce(c, F.lit("")).alias(c) for c in columns])
+    """The wanted columns of delimited text, as trimmed strings, no quoting. Cells go by the header of their own file,
+    whatever its order; of a name that occurs twice the last cell counts, missing trailing cells are '', a column that a file
+    lacks is NULL, empty lines go."""
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("_path"), F.col("_metadata.file_block_start").alias("_block"), F.monotonically_increasing_id().alias("_line"), "value").where("value != ''")
+    # A file's header is the first line of its first block; a line's number grows within a block.
+    top = F.min(F.when(F.col("_block") == 0, F.struct("_line", "value")))
+    heads = durable(lines.groupBy("_path").agg(top.alias("_top")), "heads")  # read when the source is, as a schema would be
+    if heads.count() <= MOST_FILES:
+        heads = F.broadcast(heads)
+    rows = lines.join(heads, "_path").where("_block != 0 or _line != _top._line")
+    split = lambda text: F.transform(F.split(text, ","), lambda x: F.regexp_replace(x, r"^\s+|\s+$", ""))
+    parted = rows.select(split(F.col("value")).alias("_cells"), F.reverse(split(F.col("_top.value"))).alias("_names"))
+    place = lambda c: F.array_position("_names", F.lit(c))
+    cell = lambda c: F.when(place(c) > 0, F.coalesce(F.get("_cells", (F.size("_names") - place(c)).cast("int")), F.lit("")))
+    return parted.select(*[cell(c).alias(c) for c in columns])
 
 
 def write_csv_lines(lines: DataFrame, path: str, header: str) -> None:

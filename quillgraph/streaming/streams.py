@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillgraph.operators.log import judged, replay
+from quillgraph.operators.log import compact, judged, replay
+from quillgraph.sources.files import drop
 
 
 def files(spark: SparkSession, path: str, schema, per_trigger: int | None = None, pattern: str | None = None) -> DataFrame:
@@ -20,34 +21,62 @@ def files(spark: SparkSession, path: str, schema, per_trigger: int | None = None
     return reader.parquet(path)
 
 
-def pipeline(records: DataFrame, mapped: Callable[[DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Maps every micro-batch and writes its rows under its batch id: a batch that is run again replaces its own files."""
+def folded(stream: DataFrame, fold: Callable[[DataFrame | None, DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
+    """Keeps a table under `out` that every micro-batch is folded into: version n is fold(the version before, batch n), so its
+    size is that of what `fold` keeps, not of the stream. A batch that is run again, after a loss, writes its version anew from
+    the same version before; the one before that is dropped then."""
+    spark = stream.sparkSession
 
     def write(batch: DataFrame, batch_id: int) -> None:
-        mapped(batch).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
+        before = [n for n in versions(spark, out) if n < batch_id]
+        old = spark.read.parquet(f"{out}/version={before[-1]}") if before else None
+        fold(old, batch).write.mode("overwrite").parquet(f"{out}/version={batch_id}")
+        for n in before[:-1]:
+            drop(spark, f"{out}/version={n}")
 
-    return records.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def latest(mapped: DataFrame, keys: list[str]) -> DataFrame:
-    """The last row per key of what a pipeline has written (by batch, then record index)."""
-    rest = [c for c in mapped.columns if c not in keys]
-    return mapped.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("batch", "record_index")).alias("_row")).select(*keys, "_row.*")
+def versions(spark: SparkSession, out: str) -> list[int]:
+    """The numbers of the versions that were written whole."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/version=*/_SUCCESS")
+    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in found)
 
 
-def state(commands: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Keeps the accepted part of a command stream; state_of() replays it. Batches are idempotent by their id."""
+def table(spark: SparkSession, out: str) -> DataFrame:
+    """The newest version of a folded table."""
+    return spark.read.parquet(f"{out}/version={versions(spark, out)[-1]}")
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{out}/batch={batch_id}")
 
-    return commands.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+def pipeline(records: DataFrame, mapped: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
+    """Maps every micro-batch and upserts its rows by key: the table holds a row per key, the last one (by batch, then record
+    index)."""
+
+    def upsert(old: DataFrame | None, batch: DataFrame) -> DataFrame:
+        rows = mapped(batch).withColumn("_turn", F.lit(1))
+        rows = rows if old is None else old.withColumn("_turn", F.lit(0)).unionByName(rows)
+        rest = [c for c in rows.columns if c not in keys]
+        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("_turn", "record_index")).alias("_row"))
+        return newest.select(*keys, "_row.*").drop("_turn")
+
+    return folded(records, upsert, out, checkpoint)
+
+
+def state(commands: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Live state of a command stream: per key its last upsert and delete and what was updated since, whatever the log's length."""
+    return folded(commands, lambda old, batch: compact(batch if old is None else old.unionByName(batch)), out, checkpoint)
 
 
 def state_of(kept: DataFrame) -> DataFrame:
     return replay(kept)
 
 
+def windows(made: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
+    """Windows of a stream, each written once, when the watermark has passed it."""
+    return made.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def rejected_of(kept: DataFrame) -> DataFrame:
     return judged(kept).where("reason is not null")
 

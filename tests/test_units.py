@@ -333,3 +333,77 @@ def test_closure_has_no_bound(spark):
     got = {(r.node, r.ancestor): r.depth for r in graph.closure(chain.union(ring)).collect()}
     want = {(f"n{a}", f"n{b}"): b - a for a in range(70) for b in range(a + 1, 71)}
     assert got == want | {("a", "b"): 1, ("b", "a"): 1, ("a", "a"): 2, ("b", "b"): 2}
+
+
+def test_csv_cells_go_by_their_own_header(spark, tmp_path):
+    """Headers in any order, one per file; a file in several parts; a column that a file lacks; a name that occurs twice."""
+    (tmp_path / "a.csv").write_text("size, id ,name\n5,1,foo\r\n\n6,2\n")
+    (tmp_path / "b.csv").write_text("id,name\n" + "".join(f"{k},n{k}\n" for k in range(10, 4000)))
+    (tmp_path / "c.csv").write_text("name,id,name\nfirst,3,second\nname,id,name\n")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "10000")
+    try:
+        got = {r["id"]: (r["name"], r["size"]) for r in files.read_csv(spark, str(tmp_path), ["id", "name", "size"]).collect()}
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    assert got["1"] == ("foo", "5") and got["2"] == ("", "6") and got["3"] == ("second", None) and got["id"] == ("name", None)
+    assert len(got) == 4 + 3990 and all(got[str(k)] == (f"n{k}", None) for k in range(10, 4000))
+
+
+def test_closure_and_cycles_take_few_rounds(spark):
+    chain = spark.createDataFrame([(k, k + 1) for k in range(200)], "node int, up int")
+    assert sorted((r.node, r.ancestor, r.depth) for r in graph.closure(chain).collect()) == [(a, b, b - a) for a in range(200) for b in range(a + 1, 201)]
+    # with a shorter way and a cycle
+    edges = [(0, 1), (1, 2), (2, 3), (0, 3), (3, 4), (4, 2)]
+    known = {a: {b: 1 for x, b in edges if x == a} for a in range(5)}
+    for _ in range(5):
+        for a in known:
+            for b, d in list(known[a].items()):
+                for c, e in list(known[b].items()):
+                    known[a][c] = min(known[a].get(c, 99), d + e)
+    got = {(r.node, r.ancestor): r.depth for r in graph.closure(spark.createDataFrame(edges, "node int, up int")).collect()}
+    assert got == {(a, b): d for a in known for b, d in known[a].items()}
+    rows = [("a", "b", 1), ("b", "a", 1), ("b", "c", 2), ("c", "d", 1), ("x", "y", 1), ("y", "z", 1), ("z", "y", 2), ("z", "w", 1)] + [(f"t{k}", f"t{k + 1}", 1) for k in range(40)] + [("t40", "x", 1)]
+    got = graph.circular_extends(spark.createDataFrame(rows, "src string, dst string, ord int"), "ord")
+    assert sorted(r.id for r in got.collect()) == ["y", "z"]
+
+
+def test_removing_the_top_of_a_deep_chain(spark):
+    contexts = spark.createDataFrame([(f"c{k}", f"c{k - 1}" if k else None) for k in range(200)], "uri string, parent_uri string")
+    below = graph.context_tree(contexts).where("ancestor = 'c0'")
+    assert below.count() == 200 and below.agg(F.max("depth")).first()[0] == 199
+
+
+def test_plans_of_queries(spark):
+    """Steps add scans, they don't multiply them; a predicate prunes the links' tables."""
+    from quillgraph.jobs.model import Model
+    from quillgraph.jobs.queries import QUERIES
+
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    sf = "/root/testdata/sf0.001"
+    flagship = plan(QUERIES["flagship"](spark, sf))
+    assert flagship.count("FileScan") < 15 and "documents" not in flagship and "lineitem" not in flagship
+    builder = plan(QUERIES["query_builder"](spark, sf))
+    assert builder.count("FileScan") < 15 and "lineitem" not in builder
+    performs = plan(Model(spark, sf).links.where("predicate = 'performs'"))
+    assert performs.count("FileScan") == 1 and "lineitem" not in performs
+
+
+def test_compacted_log_gives_the_same_state(spark):
+    import random
+
+    from quillgraph.operators import log
+
+    draw = random.Random(9)
+    rows = []
+    for n in range(400):
+        kind = draw.choice(["upsert", "update", "update", "update", "delete"])
+        data = {draw.choice("abc"): str(n) for _ in range(draw.randint(0, 2))} if kind != "delete" else {}
+        rows.append((n, f"instance:{kind}", "t", draw.choice(["Thing", "Thing", "Measure"]), f"u{draw.randint(0, 9)}", data, n * 10))
+    schema = "sequence int, cmd_type string, type_uri string, class_id string, uri string, data map<string,string>, ts int"
+    state = lambda df: sorted((r.uri, sorted(r.data.items()), r.created_at, r.updated_at) for r in log.replay(df).collect())
+    kept = None
+    for at in range(0, 400, 80):
+        part = spark.createDataFrame(rows[at : at + 80], schema)
+        kept = spark.createDataFrame(log.compact(part if kept is None else kept.unionByName(part)).collect(), schema)
+        assert state(kept) == state(spark.createDataFrame(rows[: at + 80], schema))
+        assert kept.count() <= 10 * (2 + 4)
