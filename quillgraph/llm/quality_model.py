@@ -1,13 +1,14 @@
 """Quality classifier: random-indexing word vectors, pooled per document, then a two-layer network with a temperature.
 
-1. Random indexing. A word is a run of letters with its case shape, a digit or a run of other signs. Each has a sparse ternary
-   index vector, made from a hash of the word. Over all documents, a word's context vector is the sum of the index vectors of
-   its neighbours. The sums are of integers, hence equal in every run and on any cluster. Tasks sum their own documents
-   first; what is shuffled is a row per word and task. The most frequent words, at most `size`, keep their vectors: as many
-   as whole classes of frequency (eighths of a power of two) allow, so that no order among equals decides.
+1. Words. A unit of text is a run of letters, a digit or a run of other signs. The most frequent words over all documents, at most
+   `size`, have rows of their own, one for capitals and one for other shapes: as many words as whole classes of frequency
+   (eighths of a power of two) allow, so that no order among equals decides. Other words share RARE rows, digits and signs SIGNS.
+   Random indexing: each row has a sparse ternary index vector, made from a hash of its name. Over all documents, a row's
+   context vector is the sum of the index vectors of its units' neighbours. The sums are of integers, hence equal in every run
+   and on any cluster. Tasks sum their own documents first; what is shuffled is a row per word and task.
 2. Pooling. A document's features are the mean context vector of its words, the mean over its distinct words (the two
    differ where a text repeats itself), the log of its length, and the shares of words that are distinct and that equal
-   the word before them. Words without a vector count as zero vectors.
+   the word before them.
 3. A network of one hidden layer is fitted by numpy on the driver, on at most `max_rows` labelled rows (the parameter
    bounds what reaches the driver), then a temperature is fitted on a part held back from the gradient.
 4. All documents are scored with the weights and vectors broadcast; both have a bounded size (size * dims).
@@ -31,22 +32,64 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm.common import materialize, slices
 
-SIZE, DIMS, NONZERO, REACH = 1 << 16, 32, 4, 2
+SIZE, RARE, SIGNS = 1 << 15, 4096, 1024
+DIMS, NONZERO, REACH = 32, 4, 2
 WIDTH = 2 * DIMS + 3
-#: Words whose contexts are summed at a time; words whose sums a task holds before it passes them on; kinds of words without a vector.
-PART, HELD, OTHERS = 1 << 15, 400_000, 4096
+#: Units whose contexts are summed at a time.
+PART = 1 << 15
 MAX_ROWS = 20_000
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 0.01, 1e-4
 
 _UNIT = re.compile(r"[^\W\d_]+|[0-9]|[^\w\x09-\x0D\x20]+|_+")
 
 
-def word_of(unit: str) -> str:
-    return ("A" if unit.isupper() and len(unit) > 1 else "a") + unit.lower()
+def frequent(documents: DataFrame, size: int = SIZE) -> list[str]:
+    """At most `size` lower-case words: those of the highest classes of frequency that fit."""
+    words = documents.select(F.explode(F.split(F.lower(F.col("text").cast("string")), r"\P{L}+")).alias("word")).where("word != ''")
+    counts = materialize(words.groupBy("word").agg(F.floor(8 * F.log2(F.count(F.lit(1)))).cast("int").alias("level")), "words")
+    left, least = size, 0
+    for row in counts.groupBy("level").count().orderBy(F.desc("level")).collect():  # at most 512 levels
+        left -= row["count"]
+        if left < 0:
+            least = row["level"] + 1
+            break
+    return counts.where(F.col("level") >= least).select("word").toArrow()["word"].to_pylist()  # at most size rows
+
+
+class Words(dict):
+    """Unit -> row, remembered for at most 200,000 units; known: the words with rows of their own, in order."""
+
+    def __init__(self, known: list[str]) -> None:
+        self.known = {w: k for k, w in enumerate(sorted(known))}
+        self.size = 2 * len(self.known) + RARE + SIGNS
+
+    def __missing__(self, unit: str) -> int:
+        if len(self) >= 200_000:
+            self.clear()
+        low, capitals = unit.lower(), unit.isupper() and len(unit) > 1
+        at = self.known.get(low)
+        if at is not None:
+            row = 2 * at + capitals
+        else:
+            start = 2 * len(self.known)
+            crc = zlib.crc32(("A" if capitals else "a").encode() + low.encode("utf-8", "surrogatepass"))
+            row = start + crc % RARE if unit[0].isalpha() else start + RARE + crc % SIGNS
+        self[unit] = row
+        return row
+
+    def rows(self, text: str | None) -> np.ndarray:
+        units = _UNIT.findall(text or "")
+        return np.fromiter((self[u] for u in units), np.int32, len(units))
+
+    def names(self) -> list[str]:
+        return [shape + w for w in self.known for shape in "aA"] + [f"#{k}" for k in range(RARE + SIGNS)]
+
+    def __reduce__(self):
+        return Words, (list(self.known),)
 
 
 def index_vectors(words: list[str]) -> np.ndarray:
-    """The sparse ternary vectors of words: NONZERO places of +1 or -1, by the bits of a hash."""
+    """The sparse ternary vectors of rows by name: NONZERO places of +1 or -1, by the bits of a hash."""
     h = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
     out = np.zeros((len(words), DIMS), np.int32)
     for k in range(NONZERO):
@@ -56,49 +99,6 @@ def index_vectors(words: list[str]) -> np.ndarray:
     return out
 
 
-class Sums(dict):
-    """Unit -> row of its word, and the context sums by row; row 0 stands between texts."""
-
-    def __init__(self) -> None:
-        self.words: list[str] = [""]
-        self.known: dict[str, int] = {}
-        self.index = np.zeros((1, DIMS), np.int32)
-        self.total, self.seen = np.zeros((1, DIMS), np.int64), np.zeros(1, np.int64)
-
-    def __missing__(self, unit: str) -> int:
-        word = word_of(unit)
-        row = self.known.get(word)
-        if row is None:
-            row = self.known[word] = len(self.words)
-            self.words.append(word)
-        self[unit] = row
-        return row
-
-    def add(self, texts: list[str | None]) -> None:
-        waiting, length, gap = [], 0, np.zeros(REACH, np.int32)
-        for text in [*texts, None]:
-            units = _UNIT.findall(text or "")
-            waiting += [np.fromiter((self[u] for u in units), np.int32, len(units)), gap]
-            length += len(units)
-            if length > PART or text is None:
-                self._sum(np.concatenate(waiting))
-                waiting, length = [], 0
-
-    def _sum(self, rows: np.ndarray) -> None:
-        have, need = len(self.index), len(self.words)
-        if need > have:
-            room = max(need, 2 * have) - have  # doubled, so that words cost their number
-            self.index = np.vstack([self.index, index_vectors(self.words[have:need]), np.zeros((room - need + have, DIMS), np.int32)])[: have + room]
-            self.total = np.vstack([self.total, np.zeros((room, DIMS), np.int64)])
-            self.seen = np.concatenate([self.seen, np.zeros(room, np.int64)])
-        _add_contexts(self.total, self.seen, rows, self.index)
-
-    def batch(self) -> pa.RecordBatch:
-        n = len(self.words)
-        columns = [pa.array(self.words[1:], pa.string()), pa.array(self.seen[1:n], pa.int64()), *[pa.array(self.total[1:n, d], pa.int64()) for d in range(DIMS)]]
-        return pa.RecordBatch.from_arrays(columns, names=["word", "n", *[f"v{d}" for d in range(DIMS)]])
-
-
 def _add_contexts(total: np.ndarray, seen: np.ndarray, rows: np.ndarray, index: np.ndarray) -> None:
     """Adds to `total` the index vectors around each of `rows`; a gap of REACH rows of the zero vector parts two texts."""
     for at in range(0, len(rows), PART):  # bounded memory for any length
@@ -118,73 +118,56 @@ def _add_contexts(total: np.ndarray, seen: np.ndarray, rows: np.ndarray, index:
             seen[ranked[starts]] += np.diff(np.r_[starts, len(ranked)])
 
 
-def context_sums(documents: DataFrame) -> DataFrame:
-    """word, n, v0, v1, ...: the random-indexing sums over all documents."""
+def context_sums(documents: DataFrame, words: Words) -> DataFrame:
+    """row, n, v0, v1, ...: the random-indexing sums over all documents."""
+    shared = documents.sparkSession.sparkContext.broadcast((words, index_vectors(words.names())))
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = Sums()
+        known, index = shared.value
+        index = np.vstack([index, np.zeros((1, DIMS), np.int32)])
+        total, seen = np.zeros((known.size + 1, DIMS), np.int64), np.zeros(known.size + 1, np.int64)
+        gap = np.full(REACH, known.size, np.int32)
         for batch in slices(batches):
-            sums.add(batch.column(0).to_pylist())
-            if len(sums.words) > HELD:
-                yield sums.batch()
-                sums = Sums()
-        yield sums.batch()
+            waiting, length = [], 0
+            for text in [*batch.column(0).to_pylist(), None]:
+                waiting += [known.rows(text), gap]
+                length += len(waiting[-2])
+                if length > PART or text is None:
+                    _add_contexts(total, seen, np.concatenate(waiting), index)
+                    waiting, length = [], 0
+        used = np.flatnonzero(seen[:-1])
+        columns = [pa.array(used, pa.int32()), pa.array(seen[used], pa.int64()), *[pa.array(total[used, d], pa.int64()) for d in range(DIMS)]]
+        yield pa.RecordBatch.from_arrays(columns, names=["row", "n", *[f"v{d}" for d in range(DIMS)]])
 
-    parts = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(partial, "word string, n bigint, " + ", ".join(f"v{d} bigint" for d in range(DIMS)))
-    return parts.groupBy("word").agg(F.sum("n").alias("n"), *[F.sum(f"v{d}").alias(f"v{d}") for d in range(DIMS)])
+    parts = documents.select(F.col("text").cast("string").alias("text")).mapInArrow(partial, "row int, n bigint, " + ", ".join(f"v{d} bigint" for d in range(DIMS)))
+    return parts.groupBy("row").agg(F.sum("n").alias("n"), *[F.sum(f"v{d}").alias(f"v{d}") for d in range(DIMS)])
 
 
 @dataclass
 class Vectors:
-    """Rows of words and their vectors; behind them OTHERS rows of zeros for words without one."""
-
-    rows: dict[str, int]
+    words: Words
     table: np.ndarray
 
 
 def word_vectors(documents: DataFrame, size: int = SIZE) -> Vectors:
-    """The context vectors of at most `size` words on the driver."""
-    sums = materialize(context_sums(documents), "contexts")
-    level = F.floor(8 * F.log2(F.col("n"))).cast("int")
-    left, least = size, 0
-    for row in sums.groupBy(level.alias("level")).count().orderBy(F.desc("level")).collect():  # at most 512 levels
-        left -= row["count"]
-        if left < 0:
-            least = row["level"] + 1
-            break
-    table = sums.where(level >= least).orderBy("word").toArrow()  # at most size rows
-    out = np.column_stack([table[f"v{d}"].to_numpy() for d in range(DIMS)]).astype(np.float64).reshape(-1, DIMS)
+    """The context vectors of all rows on the driver: at most 2 * size + RARE + SIGNS."""
+    words = Words(frequent(documents, size))
+    table = context_sums(documents, words).toArrow()
+    out = np.zeros((words.size, DIMS))
+    if table.num_rows:
+        out[table["row"].to_numpy()] = np.column_stack([table[f"v{d}"].to_numpy() for d in range(DIMS)])
     norms = np.linalg.norm(out, axis=1, keepdims=True)
-    unit = np.divide(out, norms, out=np.zeros_like(out), where=norms > 0).astype(np.float32)
-    return Vectors({w: k for k, w in enumerate(table["word"].to_pylist())}, np.vstack([unit, np.zeros((OTHERS, DIMS), np.float32)]))
-
-
-class Rows(dict):
-    """Unit -> row of its word, remembered for at most 200,000 units."""
-
-    def __init__(self, vectors: Vectors) -> None:
-        self.vectors = vectors
-
-    def __missing__(self, unit: str) -> int:
-        if len(self) >= 200_000:
-            self.clear()
-        word = word_of(unit)
-        row = self.vectors.rows.get(word)
-        if row is None:
-            row = len(self.vectors.rows) + zlib.crc32(word.encode("utf-8", "surrogatepass")) % OTHERS
-        self[unit] = row
-        return row
+    return Vectors(words, np.divide(out, norms, out=np.zeros_like(out), where=norms > 0).astype(np.float32))
 
 
-def pooled(text: str | None, known: Rows) -> np.ndarray:
-    units = _UNIT.findall(text or "")
-    if not units:
+def pooled(text: str | None, vectors: Vectors) -> np.ndarray:
+    rows = vectors.words.rows(text)
+    if not len(rows):
         return np.zeros(WIDTH, np.float32)
-    rows = np.fromiter((known[u] for u in units), np.int64, len(units))
     distinct, counts = np.unique(rows, return_counts=True)
-    vectors = known.vectors.table[distinct]
+    known = vectors.table[distinct]
     again = float((rows[1:] == rows[:-1]).mean()) if len(rows) > 1 else 0.0
-    return np.concatenate([counts.astype(np.float32) @ vectors / len(rows), vectors.mean(axis=0), [np.log1p(len(rows)) / 10, len(distinct) / len(rows), again]]).astype(np.float32)
+    return np.concatenate([counts.astype(np.float32) @ known / len(rows), known.mean(axis=0), [np.log1p(len(rows)) / 10, len(distinct) / len(rows), again]]).astype(np.float32)
 
 
 @dataclass
@@ -257,9 +240,8 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     shared = spark.sparkContext.broadcast(vectors)
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Rows(shared.value)
         for batch in slices(batches):
-            x = [pooled(text, known).tolist() for text in batch.column(2).to_pylist()]
+            x = [pooled(text, shared.value).tolist() for text in batch.column(2).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(x, pa.list_(pa.float32()))], names=["doc_id", "label", "x"])
 
     sample = materialize(labelled_sample(labels, max_rows), "labels")
@@ -276,9 +258,8 @@ def score(documents: DataFrame, vectors: Vectors, model: Model) -> DataFrame:
 
     def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, model = shared.value
-        known = Rows(vectors)
         for batch in slices(batches):
-            x = np.array([pooled(text, known) for text in batch.column(1).to_pylist()], np.float64).reshape(-1, WIDTH)
+            x = np.array([pooled(text, vectors) for text in batch.column(1).to_pylist()], np.float64).reshape(-1, WIDTH)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(model.scores(x), pa.float64())], names=["doc_id", "score"])
 
     needed = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -291,9 +272,8 @@ def keep_good(documents: DataFrame, vectors: Vectors, model: Model, threshold: f
 
     def kept(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors, model = shared.value
-        known = Rows(vectors)
         for batch in slices(batches):
-            x = np.array([pooled(text, known) for text in batch.column(at).to_pylist()], np.float64).reshape(-1, WIDTH)
+            x = np.array([pooled(text, vectors) for text in batch.column(at).to_pylist()], np.float64).reshape(-1, WIDTH)
             yield batch.filter(pa.array(model.scores(x) >= threshold, pa.bool_()))
 
     return documents.mapInArrow(kept, documents.schema)

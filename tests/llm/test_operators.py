@@ -148,70 +148,88 @@ def test_classifier_on_held_out_rows(spark):
     assert all(0 <= r.score <= 1 for r in rows)
 
 
-def contexts_brute(docs):
-    """Word -> number, and sum of the index vectors of the words at most REACH places away."""
+def rows_brute(docs, size):
+    """The words with rows of their own by counting, and each document's rows by name."""
+    counts = Counter(w for t in docs for w in re.findall(r"[^\W\d_]+", (t or "").lower()))
+    levels = Counter(int(np.floor(8 * np.log2(n))) for n in counts.values())
+    fits = [at for at in levels if sum(c for lv, c in levels.items() if lv >= at) <= size]
+    known = {w for w, n in counts.items() if int(np.floor(8 * np.log2(n))) in fits}
+
+    def name(unit):
+        shape = "A" if len(unit) > 1 and unit.isupper() else "a"
+        if unit.lower() in known:
+            return shape + unit.lower()
+        crc = zlib.crc32((shape + unit.lower()).encode())
+        return f"#{crc % quality_model.RARE}" if unit[0].isalpha() else f"#{quality_model.RARE + crc % quality_model.SIGNS}"
+
+    return known, [[name(u) for u in quality_model._UNIT.findall(t or "")] for t in docs]
+
+
+def contexts_brute(lines):
+    """Row -> number, and sum of the index vectors of the units at most REACH places away."""
     want, times = defaultdict(lambda: np.zeros(quality_model.DIMS, int)), Counter()
-    for text in docs:
-        words = [quality_model.word_of(u) for u in quality_model._UNIT.findall(text or "")]
-        times.update(words)
-        for i, word in enumerate(words):
-            for j in range(max(0, i - quality_model.REACH), min(len(words), i + quality_model.REACH + 1)):
+    for line in lines:
+        times.update(line)
+        for i, row in enumerate(line):
+            for j in range(max(0, i - quality_model.REACH), min(len(line), i + quality_model.REACH + 1)):
                 if j != i:
-                    want[word] += quality_model.index_vectors([words[j]])[0]
+                    want[row] += quality_model.index_vectors([line[j]])[0]
     return {w: (n, want[w].tolist()) for w, n in times.items()}
 
 
-def test_context_sums_equal_brute_force(spark, texts):
+@pytest.mark.parametrize("size", [1000, 60, 0])
+def test_context_sums_equal_brute_force(spark, texts, size):
     docs = ["a b c a", "", None, "b b", "c", "Ab AB ab 12 ...", *(t for _, t in texts[3:20])]
     frame_ = spark.createDataFrame([(t,) for t in docs], "text string").repartition(3)
-    held, quality_model.HELD = quality_model.HELD, 5
-    try:
-        got = {r.word: (r.n, [r[f"v{d}"] for d in range(quality_model.DIMS)]) for r in quality_model.context_sums(frame_).collect()}
-    finally:
-        quality_model.HELD = held
-    assert got == contexts_brute(docs)
+    known, lines = rows_brute(docs, size)
+    words = quality_model.Words(quality_model.frequent(frame_, size))
+    assert set(words.known) == known and len(known) <= size
+    names = words.names()
+    assert len(names) == words.size
+    got = {names[r.row]: (r.n, [r[f"v{d}"] for d in range(quality_model.DIMS)]) for r in quality_model.context_sums(frame_, words).collect()}
+    assert got == contexts_brute(lines)
+
+
+def features_brute(line, vectors):
+    """line: the rows of a document by name."""
+    if not line:
+        return [0.0] * quality_model.WIDTH
+    at = {name: k for k, name in enumerate(vectors.words.names())}
+    of = lambda names: np.mean([vectors.table[at[x]].astype(float) for x in names], axis=0)
+    return [*of(line), *of(sorted(set(line))), np.log1p(len(line)) / 10, len(set(line)) / len(line), sum(a == b for a, b in zip(line, line[1:])) / max(1, len(line) - 1)]
+
+
+def scores_brute(lines, vectors, model):
+    x = np.array([features_brute(line, vectors) for line in lines])
+    z = np.tanh((x - model.mean) / model.scale @ model.w1 + model.b1) @ model.w2 + model.b2
+    return 1 / (1 + np.exp(-np.clip(z / model.temperature, -40, 40)))
 
 
 def test_scores_equal_brute_force(spark, texts):
-    """Vectors of whole classes of frequency, pooling and network, document by document without Spark."""
+    """Pooling and network, document by document without Spark."""
     docs = frame(spark, texts)
     labels = spark.createDataFrame([(i, int(len(t or "") > 100)) for i, t in texts if i is not None and i != 60], "doc_id bigint, quality int")
-    counted = contexts_brute([t for _, t in texts])
-    model = None
-    for size in (1000, 100):
-        vectors = quality_model.word_vectors(docs, size)
-        levels = Counter(int(np.floor(8 * np.log2(n))) for n, _ in counted.values())
-        kept = [lv for lv in levels if sum(c for at, c in levels.items() if at >= lv) <= size]
-        assert set(vectors.rows) == {w for w, (n, _) in counted.items() if int(np.floor(8 * np.log2(n))) in kept} and len(vectors.rows) <= size
-        for w, k in vectors.rows.items():
-            v = np.array(counted[w][1], float)
-            assert np.allclose(vectors.table[k], v / (np.linalg.norm(v) or 1), atol=1e-6)
     vectors, model = quality_model.train(docs, labels)
     assert quality_model.train(docs, labels)[1].b2 == model.b2
-    got = sorted((r.score for r in quality_model.score(docs, vectors, model).collect()))
-
-    def features(text):
-        words = [quality_model.word_of(u) for u in quality_model._UNIT.findall(text or "")]
-        if not words:
-            return [0.0] * quality_model.WIDTH
-        of = lambda w: vectors.table[vectors.rows[w]] if w in vectors.rows else np.zeros(quality_model.DIMS)
-        return [*np.mean([of(w) for w in words], axis=0), *np.mean([of(w) for w in set(words)], axis=0), np.log1p(len(words)) / 10, len(set(words)) / len(words), sum(a == b for a, b in zip(words, words[1:])) / max(1, len(words) - 1)]
-
-    x = np.array([features(t) for _, t in texts])
-    z = np.tanh((x - model.mean) / model.scale @ model.w1 + model.b1) @ model.w2 + model.b2
-    assert np.allclose(got, sorted(1 / (1 + np.exp(-np.clip(z / model.temperature, -40, 40)))), atol=1e-4)
+    _, lines = rows_brute([t for _, t in texts], quality_model.SIZE)
+    counted, names = contexts_brute(lines), vectors.words.names()
+    for k, name in enumerate(names):
+        v = np.array(counted.get(name, (0, [0] * quality_model.DIMS))[1], float)
+        assert np.allclose(vectors.table[k], v / (np.linalg.norm(v) or 1), atol=1e-6)
+    got = sorted(r.score for r in quality_model.score(docs, vectors, model).collect())
+    assert np.allclose(got, sorted(scores_brute(lines, vectors, model)), atol=1e-4)
 
 
 def test_classifier_odd_tables(spark, texts):
     """Empty tables, clashing columns, repeated rows: at most max_rows labelled rows are fitted on."""
     docs = frame(spark, texts)
-    clashing = docs.select("*", *[F.lit(1).alias(c) for c in ("word", "n", "v0", "score", "label", "x", "level")])
+    clashing = docs.select("*", *[F.lit(1).alias(c) for c in ("word", "n", "v0", "score", "label", "x", "level", "row")])
     labels = spark.createDataFrame([(i, i % 2, "x") for i, _ in texts if i is not None], "doc_id bigint, quality int, text string")
     vectors, model = quality_model.train(clashing, labels, 7)
     assert quality_model.score(clashing, vectors, model).count() == len(texts)
     assert quality_model.keep_good(clashing, vectors, model).columns == clashing.columns
     vectors, model = quality_model.train(docs.where("false"), labels)
-    assert quality_model.score(docs.where("false"), vectors, model).count() == 0 and vectors.rows == {}
+    assert quality_model.score(docs.where("false"), vectors, model).count() == 0 and vectors.words.known == {}
 
 
 def test_classifier_without_labels(spark, texts):
