@@ -23,12 +23,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder (spark.checkpoint.dir); where it is unset, as in tests, a folder of this machine."""
+    """The cluster's shared folder (spark.checkpoint.dir); where it is unset, a folder of this machine if all of Spark runs in
+    this process, as in tests. On a cluster other machines wouldn't see that, so there the setting is demanded."""
     known = spark.conf.get("spark.checkpoint.dir", None)
     if known:
         return known.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="quillgraph-"))
     return sc.getCheckpointDir().rstrip("/")
 

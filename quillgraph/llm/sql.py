@@ -44,3 +44,29 @@ k AS (SELECT doc_id, min(c) AS component_id FROM r GROUP BY doc_id)
 SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_shingles, k.component_id, d.doc_id = k.component_id AS kept
 FROM documents d JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)
 """
+
+LINE_DEDUP_SQL = r"""
+WITH p AS (
+  SELECT doc_id, i, part, trim(part, chr(9) || chr(10) || chr(11) || chr(12) || chr(13) || ' ') AS t
+  FROM (SELECT doc_id, unnest(parts) AS part, unnest(range(len(parts))) AS i FROM (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL))),
+l AS (
+  SELECT doc_id, i, t, row_number() OVER (PARTITION BY doc_id ORDER BY i) - 1 AS k, count(*) OVER (PARTITION BY doc_id) AS n,
+         len(regexp_extract_all(t, '[^\x20\x09-\x0D]+')) AS w FROM p WHERE t <> ''),
+g AS (
+  SELECT doc_id, k, n, t AS a, lead(t) OVER o AS b, lead(t, 2) OVER o AS c, w AS wa, lead(w) OVER o AS wb FROM l WINDOW o AS (PARTITION BY doc_id ORDER BY k)),
+win AS (
+  SELECT doc_id, k, 3 AS width, a || chr(10) || b || chr(10) || c AS x FROM g WHERE c IS NOT NULL
+  UNION ALL SELECT doc_id, k, 2, a || chr(10) || b FROM g WHERE b IS NOT NULL AND (wa + wb > 50 OR n = 2 AND wa + wb >= 10)
+  UNION ALL SELECT doc_id, k, 1, a FROM g WHERE wa > 50 OR n = 1 AND wa >= 10),
+f AS (SELECT *, first_value(doc_id) OVER q AS fd, first_value(k) OVER q AS fk FROM win WINDOW q AS (PARTITION BY width, x ORDER BY doc_id, k)),
+gone AS (
+  SELECT DISTINCT doc_id, unnest(range(CASE WHEN fd = doc_id THEN greatest(k, fk + width) ELSE k END, k + width)) AS k FROM f WHERE fd <> doc_id OR fk <> k),
+m AS (SELECT doc_id, count(*) AS m FROM gone GROUP BY 1),
+n AS (SELECT doc_id, count(*) AS n FROM l GROUP BY 1),
+kept AS (
+  SELECT p.doc_id, string_agg(p.part, chr(10) ORDER BY p.i) AS text
+  FROM p LEFT JOIN l ON l.doc_id = p.doc_id AND l.i = p.i LEFT JOIN gone ON gone.doc_id = l.doc_id AND gone.k = l.k WHERE gone.k IS NULL GROUP BY 1)
+SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(m.m, 0) AS BIGINT) AS n_removed,
+       CASE WHEN m.m IS NULL THEN d.text WHEN m.m = n.n THEN '' ELSE kept.text END AS text
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""
