@@ -40,7 +40,7 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality classifier", quality), ("line dedup", lines), ("MinHash near-dedup", near), ("mixing", mix), ("packing", packed)]
-#: A trained model, minima of hashes and drawn blocks are beyond SQL; tests/llm compares the stages with brute force.
+#: A trained model, minima of hashes and drawn blocks are beyond SQL; tests/llm/test_pipeline.py compares each stage with brute force.
 ORACLE_SQL = None
 
 
