@@ -91,6 +91,13 @@ def inherit_attributes(spark, sf_dir):
     return graph.inherit_attributes(first, things)
 
 
+@query("""WITH W AS (SELECT source_uri AS node, target_uri AS ancestor FROM X UNION SELECT W.node, X.target_uri FROM W JOIN X ON X.source_uri = W.ancestor), R AS (SELECT node FROM W WHERE node = ancestor)
+  SELECT node, ancestor, node IN (SELECT node FROM R) OR node IN (SELECT W.node FROM W JOIN R ON R.node = W.ancestor) AS circular FROM W WHERE node <> ancestor""", "X", True)
+def inheritance_chains(spark, sf_dir):
+    first = Model(spark, sf_dir).extends.select(F.col("source_uri").alias("node"), F.col("target_uri").alias("up"))
+    return graph.inheritance_chains(first).select("node", "ancestor", "circular")
+
+
 @query("SELECT source_uri AS id, 'parent' AS side, target_uri AS neighbour FROM X UNION ALL SELECT target_uri, 'child', source_uri FROM X", "X")
 def extends_neighbours(spark, sf_dir):
     return graph.extends_neighbours(Model(spark, sf_dir).extends)
@@ -272,6 +279,19 @@ def merge_models(spark, sf_dir):
     return merged(Model(spark, sf_dir)).select("uri", "outcome", string_of(F.element_at("row", "segment")).alias("segment"), number_of(F.element_at("row", "balance")).alias("balance"))
 
 
+@query("""SELECT 'l' || p_partkey AS uri FROM part WHERE p_size % 7 <> 0 AND p_size % 5 <> 0 AND p_partkey >= 10 AND p_partkey // 10 IN (SELECT p_partkey FROM part WHERE p_size % 7 <> 0 AND p_size % 5 <> 0)""")
+def merge_links(spark, sf_dir):
+    """Parts and links between them; we remove some parts, they others, and a link goes if either end did."""
+    part = Model(spark, sf_dir).table("part")
+    none = [F.lit(None).cast("string").alias(c) for c in ("container_uri", "class_id", "name")]
+    things = part.select(F.lit("thing").alias("kind"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")).alias("uri"), *none, F.create_map(F.lit("brand"), F.col("p_brand")).alias("fields"), "p_size")
+    ends = F.create_map(F.lit("source"), F.concat(F.lit("p"), F.col("p_partkey").cast("string")), F.lit("target"), F.concat(F.lit("p"), F.expr("p_partkey div 10").cast("string")))
+    links = part.where("p_partkey >= 10").select(F.lit("link").alias("kind"), F.concat(F.lit("l"), F.col("p_partkey").cast("string")).alias("uri"), *none, ends.alias("fields"), F.lit(1).alias("p_size"))
+    base = things.unionByName(links)
+    side = lambda k: base.where(F.col("p_size") % k != 0).drop("p_size")
+    return versions.merged_links(versions.merge(base.drop("p_size"), side(7), side(5))).select("uri")
+
+
 @query(f"""WITH {SIDES} SELECT 'c' || k AS uri, CASE WHEN NOT o THEN 'removed' WHEN NOT b THEN 'added' ELSE 'modified' END AS ours_change, CASE WHEN NOT t THEN 'removed' WHEN NOT b THEN 'added' ELSE 'modified' END AS theirs_change,
   CASE WHEN b AND o AND t THEN concat_ws(',', CASE WHEN ob <> bb AND tb <> bb AND ob <> tb THEN 'balance' END, CASE WHEN os <> bs AND ts <> bs AND os <> ts THEN 'segment' END) END AS conflict_fields FROM M WHERE outcome = 'conflict'""")
 def merge_conflicts(spark, sf_dir):
@@ -314,6 +334,27 @@ def bulk_retype(spark, sf_dir):
     return rows.select(F.col("uri").alias("id"), "class_id", F.nullif(F.trim(string_of(field("description"))), F.lit("")).alias("description"), "name")
 
 
+@query("""SELECT L.source_uri, L.predicate, L.target_uri FROM L WHERE L.predicate IN ('stewards', 'extends')
+    AND (L.predicate <> 'stewards' OR L.target_uri NOT IN (SELECT 'bm:thing:p' || p_partkey FROM part WHERE p_size % 10 = 0))""", "L")
+def bulk_retype_links(spark, sf_dir):
+    """Parts that become actions lose their stewards; extends links, which actions may have, stay."""
+    m = Model(spark, sf_dir)
+    changes = sets.ids(m.parts.where(number_of(field("size")) % 10 == 0)).withColumn("new_class", F.lit("Action"))
+    _, links = versions.retype_model(m.parts, m.links.where("predicate in ('stewards', 'extends')"), changes)
+    return links.select("source_uri", "predicate", "target_uri")
+
+
+@query("""SELECT 'bm:symbol:d' || doc_id AS source_uri, 'bm:thing:p' || (doc_id % 50) AS target_uri FROM documents WHERE doc_id % 2 = 1""")
+def bulk_classify_links(spark, sf_dir):
+    """Symbols that become Things lose the annotations that only symbols may make."""
+    m = Model(spark, sf_dir)
+    docs = m.table("documents")
+    links = docs.select(F.lit("tpch").alias("map_id"), uri("symbol:d", "doc_id").alias("source_uri"), F.lit("annotates").alias("predicate"), F.concat(F.lit("bm:thing:p"), (F.col("doc_id") % 50).cast("string")).alias("target_uri"))
+    choices = docs.where("doc_id % 2 = 0").select(F.lit("tpch").alias("map_id"), uri("symbol:d", "doc_id").alias("uri"), F.lit("Thing").alias("new_class"))
+    _, led = versions.classify_model(m.symbols, links, choices, texts.symbol_name(F.lit(None).cast("string"), string_of(field("content"))))
+    return led.select("source_uri", "target_uri")
+
+
 @query("""SELECT 'bm:facet:' || sha256('bm:symbol:d' || doc_id) AS source_uri, 'bm:thing:p' || (doc_id % 50) AS target_uri FROM documents WHERE doc_id % 2 = 0 UNION ALL SELECT 'bm:symbol:d' || doc_id, 'bm:thing:p' || (doc_id % 50) FROM documents WHERE doc_id % 2 = 1""")
 def bulk_classify(spark, sf_dir):
     m = Model(spark, sf_dir)

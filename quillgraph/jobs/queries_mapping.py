@@ -433,6 +433,28 @@ def orphan_entities(spark, sf_dir):
     return quality.orphan_entities(m.entities, m.links).select(F.col("uri").alias("id"))
 
 
+@query("SELECT 'bm:thing:p' || p_partkey AS id FROM part WHERE p_partkey NOT IN (SELECT l_partkey FROM lineitem WHERE l_suppkey IN (1, 2))")
+def orphan_parts(spark, sf_dir):
+    """Parts that neither of two suppliers stewards."""
+    m = Model(spark, sf_dir)
+    links = m.links.where("predicate = 'stewards' and source_uri in ('bm:persona:s1', 'bm:persona:s2')")
+    return quality.orphan_entities(m.parts, links).select(F.col("uri").alias("id"))
+
+
+@query("""SELECT uri AS entity, 'no definition' AS message, 'error' AS severity FROM E JOIN part ON uri = 'bm:thing:p' || p_partkey WHERE tag = 'Brand#11' AND p_size % 3 <> 2
+  UNION ALL SELECT uri, 'no stewards', 'warning' FROM E WHERE class_id = 'Thing' AND uri NOT IN (SELECT target_uri FROM L WHERE predicate = 'stewards')
+  UNION ALL SELECT uri, 'no segment', 'info' FROM E WHERE uri NOT LIKE 'bm:persona:c%'""", "E L")
+def selected_gaps(spark, sf_dir):
+    """User rules with every selector; one of them is switched off."""
+    rules = [
+        {"kind": "requires-field", "field": "definition", "selector": "tagged", "value": "Brand#11", "severity": "error"},
+        {"kind": "requires-link", "predicate": "stewards", "selector": "entityType", "value": "Thing"},
+        {"kind": "requires-field", "field": "segment", "severity": "info"},
+        {"kind": "requires-field", "field": "nothing", "enabled": False},
+    ]
+    return quality.rule_gaps(Model(spark, sf_dir), rules).select("entity", "message", "severity")
+
+
 def ports(m: Model):
     """Every region and nation as a port of itself; those with an even key take part in nothing."""
     return m.contexts.where("parent_uri is not null").select("map_id", "uri", F.col("uri").alias("container_uri"))

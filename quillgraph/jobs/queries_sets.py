@@ -235,6 +235,22 @@ def shared_terms(spark, sf_dir):
     return joins.shared_terms(m).select("term", "n_containers", "n")
 
 
+@query("SELECT lower(p_name) AS term, 'bm:ctx:r' || (p_size % 5) AS container_uri, count(*) AS n FROM part WHERE lower(p_name) IN (SELECT lower(p_name) FROM part GROUP BY 1 HAVING count(DISTINCT p_size % 5) >= 2) GROUP BY 1, 2")
+def shared_term_places(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    m.entities = m.parts.withColumn("container_uri", F.concat(F.lit("bm:ctx:r"), (number_of(field("size")) % 5).cast("int").cast("string")))
+    return joins.shared_term_places(m).select("term", "container_uri", "n")
+
+
+@query("""WITH P AS (SELECT uri, coalesce(container_uri, uri) AS place, name FROM N),
+  X2 AS (SELECT L.predicate, s.place AS f, t.place AS g, s.name AS sn, t.name AS tn FROM L JOIN P s ON s.uri = L.source_uri JOIN P t ON t.uri = L.target_uri WHERE s.place <> t.place AND L.predicate = 'stewards')
+  SELECT DISTINCT f AS container_uri, 'out' AS way, predicate, tn AS name FROM X2 UNION ALL SELECT DISTINCT g, 'in', predicate, sn FROM X2""", "N L")
+def boundary_names(spark, sf_dir):
+    m = Model(spark, sf_dir)
+    m.links = m.stewards
+    return joins.boundary_names(m).select("container_uri", "way", "predicate", "name")
+
+
 @query("SELECT E.container_uri, count(*) AS n FROM E JOIN C ON C.uri = E.container_uri WHERE C.parent_uri IS NOT NULL GROUP BY 1 HAVING count(*) > 20", "C E")
 def god_contexts(spark, sf_dir):
     return joins.god_contexts(Model(spark, sf_dir)).select("container_uri", "n")

@@ -88,6 +88,15 @@ def inherit_attributes(extends: DataFrame, attributes: DataFrame) -> DataFrame:
     return nearest.select("thing", "attribute", F.col("n.owner").alias("owner"), F.col("n.depth").alias("depth"))
 
 
+def inheritance_chains(extends: DataFrame) -> DataFrame:
+    """node, ancestor, depth, circular of extends links (node, up; one per node): the chain of every Thing, itself left out, and
+    whether it runs into a cycle."""
+    pairs = durable(closure(extends), "chains")
+    rings = pairs.where("node = ancestor").select("node")
+    caught = rings.union(pairs.join(rings.withColumnRenamed("node", "ancestor"), "ancestor", "left_semi").select("node")).distinct().withColumn("_caught", F.lit(True))
+    return pairs.where("node != ancestor").join(caught, "node", "left").select("node", "ancestor", "depth", F.coalesce("_caught", F.lit(False)).alias("circular"))
+
+
 def trim(edges: DataFrame) -> DataFrame:
     """Edges (src, dst) left when nodes that nothing points to, and that point to nothing, are dropped again and again: what
     remains lies on cycles or between them."""

@@ -166,6 +166,13 @@ def shared_terms(model) -> DataFrame:
     return model.entities.where("class_id = 'Thing'").groupBy("map_id", F.lower("name").alias("term")).agg(F.count_distinct("container_uri").alias("n_containers"), F.count(F.lit(1)).alias("n")).where("n_containers >= 2")
 
 
+def shared_term_places(model) -> DataFrame:
+    """term, container_uri, n: where the shared terms are used; a row per place, so that a term of everywhere is no list."""
+    uses = model.entities.where("class_id = 'Thing'").groupBy("map_id", F.lower("name").alias("term"), "container_uri").agg(F.count(F.lit(1)).alias("n"))
+    shared = shared_terms(model).select("map_id", "term")
+    return uses.join(shared, ["map_id", "term"], "left_semi")
+
+
 def god_contexts(model, most: int = 20) -> DataFrame:
     """Contexts, not the root, with more facets than `most`."""
     inner = model.contexts.where("parent_uri is not null").select("map_id", F.col("uri").alias("container_uri"))
@@ -173,14 +180,25 @@ def god_contexts(model, most: int = 20) -> DataFrame:
     return counts.join(inner, ["map_id", "container_uri"], "left_semi")
 
 
+def crossing_links(model) -> DataFrame:
+    """Links between two containers, with the containers and names of their ends."""
+    places = named(model).select("map_id", "id", F.coalesce("container_uri", "id").alias("place"), "name")
+    end = lambda side: places.select("map_id", F.col("id").alias(f"{side}_uri"), F.col("place").alias({"source": "from_place", "target": "to_place"}[side]), F.col("name").alias(f"{side}_name"))
+    return model.links.join(end("source"), ["map_id", "source_uri"]).join(end("target"), ["map_id", "target_uri"]).where("from_place != to_place")
+
+
+def boundary_names(model) -> DataFrame:
+    """container_uri, way, predicate, name: what a container gives to others (out: the names of its links' targets there) and
+    takes from them (in: the names of the sources), each name once."""
+    crossing = crossing_links(model)
+    given = crossing.select("map_id", F.col("from_place").alias("container_uri"), F.lit("out").alias("way"), "predicate", F.col("target_name").alias("name"))
+    taken = crossing.select("map_id", F.col("to_place").alias("container_uri"), F.lit("in").alias("way"), "predicate", F.col("source_name").alias("name"))
+    return given.unionByName(taken).distinct()
+
+
 def boundary_table(model) -> DataFrame:
     """Per container: its facets by class, and links that come in from and go out to other containers, by predicate."""
-    places = named(model).select("map_id", "id", F.coalesce("container_uri", "id").alias("place"))
-    crossing = (
-        model.links.join(places.select("map_id", F.col("id").alias("source_uri"), F.col("place").alias("from_place")), ["map_id", "source_uri"])
-        .join(places.select("map_id", F.col("id").alias("target_uri"), F.col("place").alias("to_place")), ["map_id", "target_uri"])
-        .where("from_place != to_place")
-    )
+    crossing = crossing_links(model)
     both = crossing.select("map_id", "predicate", F.explode(F.array(F.struct(F.col("from_place").alias("place"), F.lit("out").alias("way")), F.struct(F.col("to_place").alias("place"), F.lit("in").alias("way")))).alias("e"))
     links = both.groupBy("map_id", F.col("e.place").alias("container_uri"), F.concat_ws(":", "e.way", "predicate").alias("what")).agg(F.count(F.lit(1)).alias("n"))
     facets = model.entities.groupBy("map_id", "container_uri", F.concat(F.lit("facet:"), F.col("class_id")).alias("what")).agg(F.count(F.lit(1)).alias("n"))

@@ -140,6 +140,31 @@ def default_gaps(model, counts: DataFrame | None = None) -> DataFrame:
     return requires_entity_links(model.entities, counts, default_rules(model.spark)).unionByName(requires_field(model.entities, "definition", "Thing"))
 
 
+def selected(rows: DataFrame, selector: str = "all", value: str | None = None) -> DataFrame:
+    """The entities that a rule is about: all, those with a tag (tagged), or those of a class (entityType)."""
+    if selector == "tagged":
+        return rows.where(F.coalesce(F.array_contains("tags", value), F.lit(False)))
+    return rows.where(F.col("class_id") == value) if selector == "entityType" else rows
+
+
+def rule_gaps(model, rules: list[dict], counts: DataFrame | None = None) -> DataFrame:
+    """The gaps of user rules that are enabled: dicts of kind (requires-field or requires-link), field or predicate, selector,
+    value, severity, enabled. Rules are few and part of the plan; links are counted once for all of them."""
+    counts = link_counts(model.links) if counts is None and any(r["kind"] == "requires-link" for r in rules) else counts
+    found = []
+    for rule in rules:
+        if not rule.get("enabled", True):
+            continue
+        rows, severity = selected(model.entities, rule.get("selector", "all"), rule.get("value")), rule.get("severity", "warning")
+        if rule["kind"] == "requires-field":
+            found.append(gap(rows.where(is_blank(field(rule["field"]))), "uri", "requires-field", f"no {rule['field']}", severity))
+        else:
+            linked = counts.where(F.col("predicate") == rule["predicate"]).select("map_id", F.col("id").alias("uri"))
+            found.append(gap(rows.join(linked, ["map_id", "uri"], "left_anti"), "uri", "requires-link", f"no {rule['predicate']}", severity))
+    none = gap(model.entities.where("false"), "uri", "", "")
+    return reduce(lambda a, b: a.unionByName(b), found, none)
+
+
 def all_gaps(user: DataFrame, defaults: DataFrame) -> DataFrame:
     """User rules' gaps, then default ones unless the same entity and message is reported already."""
     said = user.select("map_id", "entity", "message").distinct()

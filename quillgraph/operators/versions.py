@@ -10,6 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillgraph.operators.joins import prune_retyped
 from quillgraph.sources.files import durable
 
 KEY = ["kind", "uri"]
@@ -80,7 +81,7 @@ def resolve(merged: DataFrame, resolutions: DataFrame) -> DataFrame:
 
 
 def merged_links(merged: DataFrame) -> DataFrame:
-    """kind, uri of the merge's links both of whose ends are left."""
+    """kind, uri of the merge's links both of whose ends are left: a link that one side kept goes with what the other removed."""
     left = merged.where("row is not null")
     ends = left.where("kind != 'link'").select("uri").distinct()
     links = left.where("kind = 'link'").select("kind", "uri", F.element_at("row", "source").alias("source"), F.element_at("row", "target").alias("target"))
@@ -124,6 +125,18 @@ def retype(entities: DataFrame, changes: DataFrame) -> DataFrame:
     return joined.withColumn("fields", fields).withColumn("class_id", F.coalesce("new_class", "class_id")).drop("new_class")
 
 
+def retype_model(entities: DataFrame, links: DataFrame, changes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Entities under their new classes, and the links without those that their predicates don't allow any more."""
+    return retype(entities, changes), prune_retyped(links, changes, entities.sparkSession)
+
+
+def classify_model(symbols: DataFrame, links: DataFrame, choices: DataFrame, name: Column) -> tuple[DataFrame, DataFrame]:
+    """classify(), and the links without those that the new facets' classes don't allow."""
+    facets, led = classify(symbols, links, choices, name)
+    changed = choices.select(F.col("map_id"), F.concat(F.lit("bm:facet:"), F.sha2("uri", 256)).alias("id"), "new_class")
+    return facets, prune_retyped(led, changed, symbols.sparkSession)
+
+
 def classify(symbols: DataFrame, links: DataFrame, choices: DataFrame, name: Column) -> tuple[DataFrame, DataFrame]:
     """Facets made of symbols (choices: uri, new_class) under new ids, and the links led to them."""
     ids = choices.select("uri", "new_class", F.concat(F.lit("bm:facet:"), F.sha2("uri", 256)).alias("new_uri"))
