@@ -35,8 +35,8 @@ from quillgraph.llm.common import materialize, slices
 SIZE, RARE, SIGNS = 1 << 15, 4096, 1024
 DIMS, NONZERO, REACH = 32, 4, 2
 WIDTH = 2 * DIMS + 3
-#: Units whose contexts are summed at a time.
-PART = 1 << 15
+#: Units whose contexts are summed at a time; units whose rows a task remembers.
+PART, MEMORY = 1 << 15, 500_000
 MAX_ROWS = 20_000
 HIDDEN, EPOCHS, RATE, DECAY = 32, 60, 0.01, 1e-4
 
@@ -57,29 +57,30 @@ def frequent(documents: DataFrame, size: int = SIZE) -> list[str]:
 
 
 class Words(dict):
-    """Unit -> row, remembered for at most 200,000 units; known: the words with rows of their own, in order."""
+    """Unit -> row, remembered for at most MEMORY units; known: the words with rows of their own, in order."""
 
     def __init__(self, known: list[str]) -> None:
         self.known = {w: k for k, w in enumerate(sorted(known))}
         self.size = 2 * len(self.known) + RARE + SIGNS
 
     def __missing__(self, unit: str) -> int:
-        if len(self) >= 200_000:
+        if len(self) >= MEMORY:
             self.clear()
-        low, capitals = unit.lower(), unit.isupper() and len(unit) > 1
+        low = unit.lower()
+        capitals = low != unit and len(unit) > 1 and unit.isupper()
         at = self.known.get(low)
         if at is not None:
             row = 2 * at + capitals
         else:
             start = 2 * len(self.known)
-            crc = zlib.crc32(("A" if capitals else "a").encode() + low.encode("utf-8", "surrogatepass"))
+            crc = zlib.crc32(low.encode("utf-8", "surrogatepass"), capitals)
             row = start + crc % RARE if unit[0].isalpha() else start + RARE + crc % SIGNS
         self[unit] = row
         return row
 
     def rows(self, text: str | None) -> np.ndarray:
         units = _UNIT.findall(text or "")
-        return np.fromiter((self[u] for u in units), np.int32, len(units))
+        return np.array(list(map(self.__getitem__, units)), np.int32)
 
     def names(self) -> list[str]:
         return [shape + w for w in self.known for shape in "aA"] + [f"#{k}" for k in range(RARE + SIGNS)]
@@ -91,11 +92,11 @@ class Words(dict):
 def index_vectors(words: list[str]) -> np.ndarray:
     """The sparse ternary vectors of rows by name: NONZERO places of +1 or -1, by the bits of a hash."""
     h = np.array([xxhash.xxh3_64_intdigest(w.encode("utf-8", "surrogatepass")) for w in words], np.uint64)
-    out = np.zeros((len(words), DIMS), np.int32)
+    out = np.zeros((len(words), DIMS), np.int8)
     for k in range(NONZERO):
         place = (h >> np.uint64(8 * k)) % np.uint64(DIMS)
         sign = (h >> np.uint64(40 + k)) & np.uint64(1)
-        np.add.at(out, (np.arange(len(words)), place.astype(np.int64)), sign.astype(np.int32) * 2 - 1)
+        np.add.at(out, (np.arange(len(words)), place.astype(np.int64)), sign.astype(np.int8) * 2 - 1)
     return out
 
 
@@ -105,7 +106,7 @@ def _add_contexts(total: np.ndarray, seen: np.ndarray, rows: np.ndarray, index:
         part = rows[max(0, at - REACH) : at + PART + REACH]
         own = slice(at - max(0, at - REACH), at - max(0, at - REACH) + min(PART, len(rows) - at))
         near = index[part]
-        context = np.zeros_like(near)
+        context = np.zeros_like(near)  # 2 * REACH neighbours of at most NONZERO: small numbers
         for shift in range(1, REACH + 1):
             context[shift:] += near[:-shift]
             context[:-shift] += near[shift:]
@@ -114,7 +115,7 @@ def _add_contexts(total: np.ndarray, seen: np.ndarray, rows: np.ndarray, index:
         ranked = part[order]
         starts = np.flatnonzero(np.r_[True, ranked[1:] != ranked[:-1]]) if len(ranked) else np.array([], np.int64)
         if len(starts):
-            total[ranked[starts]] += np.add.reduceat(context[order], starts, axis=0)
+            total[ranked[starts]] += np.add.reduceat(context[order], starts, axis=0, dtype=np.int64)
             seen[ranked[starts]] += np.diff(np.r_[starts, len(ranked)])
 
 
@@ -124,7 +125,7 @@ def context_sums(documents: DataFrame, words: Words) -> DataFrame:
 
     def partial(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, index = shared.value
-        index = np.vstack([index, np.zeros((1, DIMS), np.int32)])
+        index = np.vstack([index, np.zeros((1, DIMS), np.int8)])
         total, seen = np.zeros((known.size + 1, DIMS), np.int64), np.zeros(known.size + 1, np.int64)
         gap = np.full(REACH, known.size, np.int32)
         for batch in slices(batches):

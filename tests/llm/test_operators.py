@@ -95,6 +95,19 @@ def test_pii_other_kinds():
     assert kinds("see http://host.example/x") == []
 
 
+def test_pii_sql_on_all_kinds(spark, tmp_path):
+    """The query and its SQL over texts with every kind, valid and not."""
+    draw = random.Random(2)
+    pool = ["a@b.cc ", "x@y", " 1.2.3.4 ", "1.2.3.256", "4111 1111 1111 1111 ", "4111-1111-1111-1112", "+1 (202) 555-0147 ", "+12", "IBAN: GB82 WEST 1234 5698 7654 32. ", "IBAN GB83 WEST 1234 5698 7654 32, ", "ftp://bob:pw@host.example/x ", "see http://host/ ",
+            'token = "0123456789abcdef0123" ', "API_KEY: 'abcdefghijklmnop' ", "password=short ", "Secret=abcdefghijklmnopqrs;", "é\U0001f600 ", "\n"]
+    rows = [(k, "".join(draw.choice(pool) for _ in range(draw.randint(0, 12))) if k else None) for k in range(300)]
+    spark.createDataFrame(rows, "doc_id bigint, text string").coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    got = rows_of(QUERIES["op1_pii"](spark, str(tmp_path)))
+    assert got == rows_of_sql(str(tmp_path), ORACLES["op1_pii"])
+    found = QUERIES["op1_pii"](spark, str(tmp_path)).agg(*[F.sum(f"n_{k}").alias(k) for k in pii.KINDS]).first()
+    assert all(found[k] > 5 for k in pii.KINDS)
+
+
 def test_pii_rows(spark, texts):
     docs = frame(spark, [*texts, (90, "mail a@b.cc and 1.2.3.4")])
     rows = {(r.doc_id, r.spans): r for r in pii.find_pii(docs).collect()}
@@ -156,10 +169,10 @@ def rows_brute(docs, size):
     known = {w for w, n in counts.items() if int(np.floor(8 * np.log2(n))) in fits}
 
     def name(unit):
-        shape = "A" if len(unit) > 1 and unit.isupper() else "a"
+        capitals = len(unit) > 1 and unit.isupper() and unit != unit.lower()
         if unit.lower() in known:
-            return shape + unit.lower()
-        crc = zlib.crc32((shape + unit.lower()).encode())
+            return "aA"[capitals] + unit.lower()
+        crc = zlib.crc32(unit.lower().encode(), int(capitals))
         return f"#{crc % quality_model.RARE}" if unit[0].isalpha() else f"#{quality_model.RARE + crc % quality_model.SIGNS}"
 
     return known, [[name(u) for u in quality_model._UNIT.findall(t or "")] for t in docs]
