@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from quillgraph.llm import html_extract, line_dedup, media, mixing, near_dedup, packing, pii, quality_model, quality_rules, url_filter
 from quillgraph.llm.common import table
-from quillgraph.llm.sql import LINE_DEDUP_SQL, NEAR_DEDUP_SQL, QUALITY_RULES_SQL
+from quillgraph.llm.sql import LINE_DEDUP_SQL, NEAR_DEDUP_SQL, PII_SQL, QUALITY_RULES_SQL
 
 THRESHOLD = 0.3
 
@@ -58,4 +58,4 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_packing, op6_near_dedup, op7_url_filters, op8_media, op9_html_extraction, op10_mixing)}
-ORACLES = {"op2_quality_rules": QUALITY_RULES_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op6_near_dedup": NEAR_DEDUP_SQL, "op7_url_filters": url_filter.SQL}
+ORACLES = {"op1_pii": PII_SQL, "op2_quality_rules": QUALITY_RULES_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op6_near_dedup": NEAR_DEDUP_SQL, "op7_url_filters": url_filter.SQL}

@@ -70,3 +70,44 @@ SELECT d.doc_id, CAST(coalesce(n.n, 0) AS BIGINT) AS n_lines, CAST(coalesce(m.m,
        CASE WHEN m.m IS NULL THEN d.text WHEN m.m = n.n THEN '' ELSE kept.text END AS text
 FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN m USING (doc_id) LEFT JOIN kept USING (doc_id)
 """
+
+PII_SQL = r"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+k(rank, kind, pattern) AS (VALUES
+  (0, 'email', '[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+'),
+  (1, 'ip', '[0-9]+(?:\.[0-9]+){3}'),
+  (2, 'card', '[0-9](?:[\x20-]?[0-9])+'),
+  (3, 'phone', '\+[0-9][\x20().0-9-]+[0-9]'),
+  (4, 'iban', 'IBAN[\x20:#=]{0,3}[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]){11,30}'),
+  (5, 'login', '://[A-Za-z0-9._~%!$&''()*+,;=-]+(?::[A-Za-z0-9._~%!$&''()*+,;=-]*)?@[A-Za-z0-9.-]+[A-Za-z0-9]'),
+  (6, 'secret', '(?:[tT]oken|TOKEN|[pP]assword|PASSWORD|[pP]asswd|PASSWD|[sS]ecret|SECRET|[aA]pi_key|API_KEY|[aA]pikey|APIKEY|[aA]pi-key|API-KEY|[aA]ccess_key|ACCESS_KEY)[\x20\t]{0,3}[=:][\x20\t]{0,3}(?:"[A-Za-z0-9+/_.=-]{16,}"|''[A-Za-z0-9+/_.=-]{16,}''|[A-Za-z0-9+/_.=-]{16,})')),
+p AS (
+  SELECT doc_id, rank, kind, unnest(parts) AS part, unnest(range(len(parts))) AS i
+  FROM (SELECT doc_id, rank, kind, string_split(regexp_replace(text, '(' || pattern || ')', chr(1) || '\1' || chr(2), 'g'), chr(1)) AS parts FROM d, k)
+  WHERE len(parts) > 1),
+q AS (
+  SELECT doc_id, rank, kind, i, CASE WHEN i > 0 THEN split_part(part, chr(2), 1) ELSE '' END AS m, CASE WHEN i > 0 THEN split_part(part, chr(2), 2) ELSE part END AS rest FROM p),
+r AS (
+  SELECT doc_id, rank, kind, i, m, rest, sum(length(m) + length(rest)) OVER (PARTITION BY doc_id, rank ORDER BY i) - length(m) - length(rest) AS pos FROM q),
+v AS (
+  SELECT doc_id, rank, kind, pos, m, pos + length(m) - CASE WHEN rank = 6 AND regexp_matches(m, '["'']$') THEN 1 ELSE 0 END AS stop, left(rest, 1) AS after,
+         CASE rank WHEN 4 THEN regexp_extract(m, '^IBAN[\x20:#=]{0,3}(.*)$', 1) WHEN 5 THEN substr(m, 4) WHEN 6 THEN regexp_replace(m, '^[^=:]*[=:][\x20\t]{0,3}["'']?|["'']$', '', 'g') ELSE m END AS val
+  FROM r WHERE i > 0),
+n AS (
+  SELECT *, regexp_replace(val, '[^0-9]', '', 'g') AS digits, replace(val, ' ', '') AS account FROM v),
+good AS (
+  SELECT doc_id, rank, kind, stop - length(val) AS start, stop FROM n
+  WHERE CASE rank
+    WHEN 1 THEN len(list_filter(string_split(val, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST('0' || right(ltrim(x, '0'), 3) AS INT) > 255)) = 0
+    WHEN 2 THEN length(digits) BETWEEN 14 AND 19 AND list_sum(list_transform(range(length(digits)), lambda j: CASE WHEN j % 2 = 0 THEN CAST(substr(digits, length(digits) - j, 1) AS INT)
+      ELSE (2 * CAST(substr(digits, length(digits) - j, 1) AS INT)) // 10 + (2 * CAST(substr(digits, length(digits) - j, 1) AS INT)) % 10 END)) % 10 = 0
+    WHEN 3 THEN length(digits) BETWEEN 10 AND 15
+    WHEN 4 THEN NOT regexp_matches(after, '[A-Za-z0-9]') AND list_reduce(list_prepend(0, list_transform(string_split(substr(account, 5) || left(account, 4), ''), lambda c: CAST(CASE WHEN c BETWEEN '0' AND '9' THEN ord(c) - 48 ELSE ord(c) - 55 END AS INT))),
+      lambda s, c: (s * CASE WHEN c < 10 THEN 10 ELSE 100 END + c) % 97) = 1
+    ELSE true END)
+SELECT d.doc_id, count(*) FILTER (rank = 0) AS n_email, count(*) FILTER (rank = 1) AS n_ip, count(*) FILTER (rank = 2) AS n_card, count(*) FILTER (rank = 3) AS n_phone,
+       sha256(coalesce(string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank) FILTER (rank < 4), '')) AS base_sha256,
+       coalesce(string_agg(kind || ':' || CAST(start AS BIGINT) || ':' || CAST(stop AS BIGINT), ',' ORDER BY start, rank), '') AS spans,
+       count(*) FILTER (rank = 4) AS n_iban, count(*) FILTER (rank = 5) AS n_login, count(*) FILTER (rank = 6) AS n_secret
+FROM d LEFT JOIN good USING (doc_id) GROUP BY d.doc_id
+"""
