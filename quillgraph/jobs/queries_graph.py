@@ -32,6 +32,37 @@ def etl(spark, sf_dir):
     return valid.groupBy((F.col("user_id") % 50).alias("customer")).agg(kind, F.count(F.lit(1)).alias("n"), F.round(F.sum(number_of(field("amount"))), 2).alias("amount"))
 
 
+ORDERS = mapping.Mapping(thing="thing:order", filter="$.open", identity="$.id", fields={"amount": mapping.Field("$.total"), "kind": mapping.Field('"order"')}, links={"byUser": ("thing:user", "$.user")})
+
+
+@query(f"""WITH {EV}, A AS (SELECT 'events' AS source, status, value AS amount, CAST(user_id AS VARCHAR) AS u, 'ev' || event_id AS x, event_id % 4 = 0 AS old FROM EV
+    UNION ALL SELECT 'orders', CASE WHEN o_orderstatus = 'F' THEN 'skipped' ELSE 'ok' END, o_totalprice, CAST(o_custkey AS VARCHAR), 'or' || o_orderkey, false FROM orders),
+  V AS (SELECT *, status = 'ok' AND amount > CASE source WHEN 'events' THEN 100 ELSE 150000 END AS bad, u IN (SELECT CAST(c_custkey AS VARCHAR) FROM customer WHERE c_custkey % 3 <> 0) AS known FROM A)
+  SELECT source, count(*) AS fetched, count(*) FILTER (status = 'ok') AS mapped, count(*) FILTER (status = 'skipped') AS skipped, count(*) FILTER (status = 'error') AS errors, count(*) FILTER (bad) AS invalid,
+    count(*) FILTER (status = 'ok' AND NOT bad AND known) AS links, count(*) FILTER (status = 'ok' AND NOT bad AND NOT known) AS pending, count(*) FILTER (old OR status = 'ok' AND NOT bad) AS stored, count(*) FILTER (old AND NOT (status = 'ok' AND NOT bad)) AS untouched FROM V GROUP BY 1""")
+def etl_run(spark, sf_dir):
+    """The whole path of two sources: responses and order documents to records, mapped, validated, upserted into a table with
+    rows of an earlier run, links resolved, and a report per source."""
+    m = Model(spark, sf_dir)
+    c = F.col
+    events = mapping.run_mapping(records_of(m, MAPPING.iterate), MAPPING).select(F.lit("events").alias("source"), "type_uri", "external_id", "fields", "links", "status")
+    document = F.to_json(F.struct(F.concat(F.lit("or"), c("o_orderkey").cast("string")).alias("id"), c("o_totalprice").alias("total"), c("o_custkey").cast("string").alias("user"), (c("o_orderstatus") != "F").alias("open")))
+    orders = mapping.run_mapping(mapping.iterate(m.table("orders").select(document.alias("body")), None), ORDERS).select(F.lit("orders").alias("source"), "type_uri", "external_id", "fields", "links", "status")
+    high = lambda most: quality.constraint_fault(field("amount"), high=most)
+    fault = F.when(c("source") == "events", high(100.0)).otherwise(high(150000.0))
+    rows = files.durable(events.unionByName(orders).withColumn("valid", (c("status") == "ok") & fault.isNull()), "mapped")  # five uses
+    old = m.table("events").where("event_id % 4 = 0").select(F.lit("thing:event").alias("type_uri"), F.concat(F.lit("ev"), c("event_id").cast("string")).alias("external_id"), F.create_map().cast("map<string,string>").alias("fields"))
+    table = mapping.upsert(old, rows.where("valid").select("type_uri", "external_id", "fields"), ["external_id"])
+    users = m.table("customer").where("c_custkey % 3 != 0").select(F.lit("thing:user").alias("type_uri"), c("c_custkey").cast("string").alias("external_id"), uri("user:", "c_custkey").alias("uri"))
+    found, pending = joins.resolve_links(mapping.mapped_links(rows.where("valid")), users)
+    report = rows.groupBy("source").agg(F.count(F.lit(1)).alias("fetched"), *[F.count_if(c("status") == s).alias(n) for s, n in (("ok", "mapped"), ("skipped", "skipped"), ("error", "errors"))], F.count_if((c("status") == "ok") & ~c("valid")).alias("invalid"))
+    named = F.when(c("type_uri") == "thing:event", "events").otherwise("orders").alias("source")
+    counted = lambda df, n: df.groupBy(named).agg(F.count(F.lit(1)).alias(n))
+    for part in (counted(found, "links"), counted(pending, "pending"), counted(table, "stored"), counted(table.where(F.size("fields") == 0), "untouched")):
+        report = report.join(part, "source", "left")
+    return report.na.fill(0, ["links", "pending", "stored", "untouched"])
+
+
 # Walks.
 @query("""WITH S0 AS (SELECT 'bm:persona:s' || s_suppkey AS id FROM supplier WHERE s_suppkey < 3),
   W AS (SELECT id, 0 AS d FROM S0 UNION SELECT L.target_uri, W.d + 1 FROM W JOIN L ON L.source_uri = W.id WHERE W.d < 3)
