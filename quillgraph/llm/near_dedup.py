@@ -224,7 +224,7 @@ def blocked(members: DataFrame) -> DataFrame:
     apart = large.join(other, "hub").where(F.col("component") < F.col("_c")).select("hub", "component", "_c", F.explode(counted("_k")).alias("p"), "_o").select("hub", "component", "_c", "p", F.explode(counted("_o")).alias("q"))
     pairs = pairs.union(apart.select("hub", name(F.col("component"), F.col("p")), name(F.col("_c"), F.col("q"))))
 
-    known = sizes.join(large, ["hub", "component"], "left").join(small, "hub", "left").drop("_m")
+    known = meet(sizes.join(large, ["hub", "component"], "left"), small, ["hub"], "component", "left").drop("_m")
     placed = meet(members, known, ["hub", "component"], "doc_id")
     number = lambda key, k: F.pmod(F.xxhash64(key), F.col(k))
     own = F.when(F.col("_k").isNotNull(), name(F.col("component"), number("doc_id", "_k"))).otherwise(name(shared, number("component", "_n")))
