@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillgraph.llm import html_extract, line_dedup, media, mixing, near_dedup, packing, pii, quality_model, quality_rules, url_filter
+from quillgraph.llm import collocations, exact_dedup, html_extract, line_dedup, media, mixing, near_dedup, packing, pii, quality_model, quality_rules, spelling, url_filter
 from quillgraph.llm.common import table
 from quillgraph.llm.sql import LINE_DEDUP_SQL, NEAR_DEDUP_SQL, PII_SQL, QUALITY_RULES_SQL
 
@@ -57,5 +57,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix_counts(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_packing, op6_near_dedup, op7_url_filters, op8_media, op9_html_extraction, op10_mixing)}
-ORACLES = {"op1_pii": PII_SQL, "op2_quality_rules": QUALITY_RULES_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op6_near_dedup": NEAR_DEDUP_SQL, "op7_url_filters": url_filter.SQL}
+def op11_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.mark(table(spark, sf_dir, "documents"))
+
+
+def op12_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(spelling.words(table(spark, sf_dir, "documents")))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_packing, op6_near_dedup, op7_url_filters, op8_media, op9_html_extraction, op10_mixing, op11_exact_dedup, op12_spelling_variants, op13_collocations)}
+ORACLES = {"op1_pii": PII_SQL, "op2_quality_rules": QUALITY_RULES_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op6_near_dedup": NEAR_DEDUP_SQL, "op7_url_filters": url_filter.SQL,
+    "op11_exact_dedup": exact_dedup.SQL, "op12_spelling_variants": spelling.SQL, "op13_collocations": collocations.SQL}
