@@ -79,6 +79,43 @@ INSTANTIABLE = ("Thing", "Persona", "Event", "Measure", "Workflow", "Action")
 IMMUTABLE = ("Event", "Measure")
 # Commands on runtime data that stay on their device; all others are shared.
 DEVICE_LOCAL = ("pipelineRun:start", "pipelineRun:progress", "replayPoint:create", "simRun:start", "simRun:snapshot")
+# Commands on runtime data. turn: open (gives the whole record), set (gives fields), status (stands for a status),
+# delete, free (no record). event: what an accepted one makes known. stamp: the field that takes its time. inverse: what undoes it.
+RUNTIME_COMMANDS = {
+    "instance:upsert": {"turn": "open", "event": "instance.upserted", "inverse": "instance:delete"},
+    "instance:update": {"turn": "set", "event": "instance.updated", "stamp": "updatedAt", "inverse": "instance:update"},
+    "instance:delete": {"turn": "delete", "event": "instance.deleted", "inverse": "instance:upsert"},
+    "instance:link": {"turn": "free", "event": "instance.linked", "inverse": "instance:unlink"},
+    "instance:unlink": {"turn": "free", "event": "instance.unlinked", "inverse": "instance:link"},
+    "pipelineRun:start": {"turn": "open", "event": "pipelineRun.started", "inverse": "pipelineRun:cancel"},
+    "pipelineRun:progress": {"turn": "set", "inverse": "pipelineRun:progress"},
+    "pipelineRun:complete": {"turn": "set", "event": "pipelineRun.completed", "stamp": "completedAt", "inverse": "pipelineRun:complete"},
+    "pipelineRun:cancel": {"turn": "status", "event": "pipelineRun.cancelled", "status": "cancelled", "stamp": "completedAt", "inverse": "pipelineRun:start"},
+    "retry:enqueue": {"turn": "open", "event": "retry.enqueued", "inverse": "retry:drop"},
+    "retry:resolve": {"turn": "status", "event": "retry.resolved", "status": "resolved", "inverse": "retry:enqueue"},
+    "retry:drop": {"turn": "status", "event": "retry.dropped", "status": "dropped", "inverse": "retry:enqueue"},
+    "suppression:add": {"turn": "open", "event": "suppression.added", "inverse": "suppression:lift"},
+    "suppression:lift": {"turn": "status", "event": "suppression.lifted", "status": "lifted", "stamp": "liftedAt", "inverse": "suppression:add"},
+    "replayPoint:create": {"turn": "open", "event": "replayPoint.created", "inverse": "replayPoint:abort"},
+    "replayPoint:complete": {"turn": "status", "event": "replayPoint.completed", "status": "completed", "stamp": "completedAt", "inverse": "replayPoint:create"},
+    "replayPoint:abort": {"turn": "status", "event": "replayPoint.aborted", "status": "aborted", "stamp": "completedAt", "inverse": "replayPoint:create"},
+    "deployment:record": {"turn": "open", "event": "deployment.recorded", "inverse": "deployment:retract"},
+    "deployment:update": {"turn": "set", "event": "deployment.updated", "inverse": "deployment:update"},
+    "deployment:retract": {"turn": "status", "event": "deployment.retracted", "status": "retracted", "inverse": "deployment:record"},
+    "simRun:start": {"turn": "open", "event": "simRun.started", "inverse": "simRun:discard"},
+    "simRun:snapshot": {"turn": "set", "inverse": "simRun:snapshot"},
+    "simRun:complete": {"turn": "status", "event": "simRun.completed", "status": "completed", "stamp": "completedAt", "inverse": "simRun:start"},
+    "simRun:discard": {"turn": "status", "event": "simRun.discarded", "status": "discarded", "stamp": "completedAt", "inverse": "simRun:start"},
+    "writebackQueue:enqueue": {"turn": "open", "event": "writeback.enqueued", "inverse": "writebackQueue:drop"},
+    "writebackQueue:ack": {"turn": "status", "event": "writeback.acked", "status": "acked", "inverse": "writebackQueue:enqueue"},
+    "writebackQueue:fail": {"turn": "status", "event": "writeback.failed", "status": "failed", "stamp": "lastAttemptAt", "inverse": "writebackQueue:enqueue"},
+    "writebackQueue:drop": {"turn": "status", "event": "writeback.dropped", "status": "dropped", "inverse": "writebackQueue:enqueue"},
+}
+# Fields of runtime records that a command after the opening one may set.
+RUNTIME_FIELDS = (
+    "name", "description", "tags", "data", "externalId", "sourceUri", "createdAt", "updatedAt", "status", "completedAt", "recordsProcessed", "recordsFailed", "error", "liftedAt",
+    "modelVersion", "target", "environment", "deployedAt", "previousDeploymentUri", "snapshotUri", "lastAttemptAt", "lastError",
+)
 # Prefixes of commands on runtime data.
 RUNTIME_PREFIXES = ("instance:", "pipelineRun:", "retry:", "suppression:", "replayPoint:", "deployment:", "simRun:", "writebackQueue:")
 

@@ -6,10 +6,11 @@ from pyspark.sql import functions as F
 
 from quillgraph.functions import text as texts
 from quillgraph.functions.json_text import field, number_of, quoted, string_of
+from quillgraph.functions.vocab import RUNTIME_COMMANDS
 from quillgraph.jobs.model import Model, uri
 from quillgraph.jobs.queries_mapping import EV, MAPPING, records_of, responses
 from quillgraph.jobs.registry import query
-from quillgraph.operators import actions, graph, joins, log, mapping, quality, sets, triples, versions
+from quillgraph.operators import actions, graph, joins, log, mapping, quality, runtime, sets, triples, versions
 from quillgraph.sources import files
 from quillgraph.streaming import streams
 
@@ -193,9 +194,10 @@ JUDGED = """J AS (SELECT *, coalesce(last_value(CASE WHEN kind <> 'update' AND c
 
 @query("""WITH A AS (SELECT * FROM CMD WHERE class_id = 'Thing' OR class_id = 'Measure' AND kind = 'upsert'),
   T AS (SELECT user_id, max(sequence) FILTER (kind = 'upsert') AS up, max(sequence) FILTER (kind = 'delete') AS del FROM A GROUP BY 1),
-  B AS (SELECT T.user_id, T.up, A.value, A.event_type, A.ts FROM T JOIN A ON A.sequence = T.up WHERE T.up > coalesce(T.del, -1)),
-  U AS (SELECT B.user_id, arg_max(A.value, A.sequence) FILTER (A.event_type = 'view') AS viewed, arg_max(A.value, A.sequence) FILTER (A.event_type = 'click') AS clicked, max(A.ts) AS ts FROM B JOIN A ON A.user_id = B.user_id AND A.kind = 'update' AND A.sequence > B.up GROUP BY 1)
-  SELECT 'bm:user:' || B.user_id AS uri, B.value, B.event_type AS event, U.viewed, U.clicked, B.ts AS created_at, coalesce(U.ts, B.ts) AS updated_at FROM B LEFT JOIN U USING (user_id)""", "CMD")
+  B AS (SELECT T.user_id, T.up, A.ts FROM T JOIN A ON A.sequence = T.up WHERE T.up > coalesce(T.del, -1)),
+  U AS (SELECT B.user_id, B.ts AS created_at, arg_max(A.value, A.sequence) AS value, arg_max(A.event_type, A.sequence) AS event_type, arg_max(A.ts, A.sequence) AS ts FROM B JOIN A ON A.user_id = B.user_id AND A.kind <> 'delete' AND A.sequence >= B.up GROUP BY ALL)
+  SELECT 'bm:user:' || user_id AS uri, CASE WHEN event_type IN ('signup', 'purchase') THEN value END AS value, CASE WHEN event_type IN ('signup', 'purchase') THEN event_type END AS event,
+    CASE WHEN event_type = 'view' THEN value END AS viewed, CASE WHEN event_type = 'click' THEN value END AS clicked, created_at, ts AS updated_at FROM U""", "CMD")
 def m0_replay(spark, sf_dir):
     rows = log.replay(Model(spark, sf_dir).commits)
     at = lambda n: F.element_at("data", F.lit(n))
@@ -213,20 +215,111 @@ def m0_domain_events(spark, sf_dir):
 
 
 @query(f"""WITH {JUDGED}, P AS (SELECT * FROM R WHERE reason IS NULL),
-  Q AS (SELECT *, max(CASE WHEN kind <> 'update' THEN sequence END) OVER (PARTITION BY user_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS turn FROM P),
-  Z AS (SELECT Q.sequence, Q.kind, Q.event_type, t.kind AS turn_kind, t.value, t.event_type AS event,
-      (SELECT arg_max(u.value, u.sequence) FROM P u WHERE u.user_id = Q.user_id AND u.event_type = 'view' AND u.sequence > t.sequence AND u.sequence < Q.sequence) AS viewed,
-      (SELECT arg_max(u.value, u.sequence) FROM P u WHERE u.user_id = Q.user_id AND u.event_type = 'click' AND u.sequence > t.sequence AND u.sequence < Q.sequence) AS clicked
-    FROM Q LEFT JOIN P t ON t.sequence = Q.turn)
+  Q AS (SELECT *, last_value(CASE WHEN kind <> 'update' THEN kind END IGNORE NULLS) OVER w AS turn_kind, last_value(CASE WHEN kind <> 'delete' THEN value END IGNORE NULLS) OVER w AS v,
+    last_value(CASE WHEN kind <> 'delete' THEN event_type END IGNORE NULLS) OVER w AS e FROM P WINDOW w AS (PARTITION BY user_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
   SELECT sequence, CASE WHEN kind = 'update' THEN 'instance:update' WHEN turn_kind = 'upsert' THEN 'instance:upsert' ELSE 'instance:delete' END AS inverse,
-    CASE WHEN kind <> 'update' AND turn_kind = 'upsert' THEN value END AS value, CASE WHEN kind <> 'update' AND turn_kind = 'upsert' THEN event END AS event,
-    CASE WHEN turn_kind = 'upsert' AND (kind <> 'update' OR event_type = 'view') THEN viewed END AS viewed, CASE WHEN turn_kind = 'upsert' AND (kind <> 'update' OR event_type = 'click') THEN clicked END AS clicked FROM Z""", "CMD")
+    CASE WHEN turn_kind = 'upsert' AND e IN ('signup', 'purchase') THEN v END AS value, CASE WHEN turn_kind = 'upsert' AND e IN ('signup', 'purchase') THEN e END AS event,
+    CASE WHEN turn_kind = 'upsert' AND e = 'view' THEN v END AS viewed, CASE WHEN turn_kind = 'upsert' AND e = 'click' THEN v END AS clicked FROM Q""", "CMD")
 def m0_inverse(spark, sf_dir):
     rows = log.inverse(Model(spark, sf_dir).commits)
     at = lambda n: F.element_at("data", F.lit(n))
     return rows.select("sequence", "inverse", number_of(at("value")).alias("value"), string_of(at("event")).alias("event"), number_of(at("viewed")).alias("viewed"), number_of(at("clicked")).alias("clicked"))
 
 
+#: Events as commands of all runtime records: a user is one record, of the kind that the id's rest by 8 names; what an event does
+#: to it follows from its type. Some opening commands have no id, some commands are unknown.
+RUNTIME = {
+    0: ("instance", {"signup": "upsert", "purchase": "update", "view": "link", "click": "unlink", "error": "delete"}),
+    1: ("pipelineRun", {"signup": "start", "view": "progress", "click": "progress", "purchase": "complete", "error": "cancel"}),
+    2: ("retry", {"signup": "enqueue", "purchase": "resolve", "view": "resolve", "click": "drop", "error": "drop"}),
+    3: ("suppression", {"signup": "add", "purchase": "lift", "view": "lift", "click": "lift", "error": "lift"}),
+    4: ("replayPoint", {"signup": "create", "purchase": "complete", "view": "complete", "click": "abort", "error": "abort"}),
+    5: ("deployment", {"signup": "record", "view": "update", "click": "update", "purchase": "retract", "error": "retract"}),
+    6: ("simRun", {"signup": "start", "view": "snapshot", "click": "snapshot", "purchase": "complete", "error": "discard"}),
+    7: ("writebackQueue", {"signup": "enqueue", "view": "fail", "click": "fail", "purchase": "ack", "error": "drop"}),
+}
+
+
+def runtime_log(m: Model):
+    """sequence, ts, cmd_type, type_uri, class_id, uri, changes."""
+    c = F.col
+    names = {f"{k}{event}": f"{family}:{verb}" for k, (family, verbs) in RUNTIME.items() for event, verb in verbs.items()}
+    kind = F.element_at(F.create_map(*[F.lit(x) for pair in names.items() for x in pair]), F.concat((c("user_id") % 8).cast("string"), c("event_type")))
+    rows = m.table("events").withColumn("cmd_type", F.when(c("event_id") % 103 == 0, "instance:rename").otherwise(kind))
+    number = c("event_id").cast("string")
+    signup, family, event = c("event_type") == "signup", c("user_id") % 8, c("event_type")
+    value = {
+        "status": F.when(signup, F.lit('"new"')).when((family == 1) & (event == "purchase"), F.when(c("event_id") % 2 == 0, '"completed"').otherwise('"failed"')),
+        "amount": F.when(signup, c("value").cast("string")),
+        "attemptCount": F.when(signup & (family == 7), (c("event_id") % 3).cast("string")),
+        "data": F.when((family == 0) & event.isin("signup", "purchase"), F.concat(F.lit('{"n":'), number, F.lit("}"))),
+        "recordsProcessed": F.when((family == 1) & event.isin("view", "click"), number),
+        "recordsFailed": F.when((family == 1) & (event == "view"), (c("event_id") % 7).cast("string")),
+        "error": F.when((family == 1) & (event == "purchase") & (c("event_id") % 2 == 1), F.lit('"lost"')),
+        "target": F.when((family == 5) & (event == "view"), quoted(number)),
+        "environment": F.when((family == 5) & event.isin("signup", "click"), quoted(F.concat(F.lit("e"), number))),
+        "snapshotUri": F.when((family == 6) & event.isin("view", "click"), quoted(number)),
+        "lastError": F.when((family == 7) & event.isin("view", "click"), quoted(number)),
+        "predicate": F.when((family == 0) & event.isin("view", "click"), F.lit('"knows"')),
+    }
+    changes = F.map_filter(F.create_map(*[x for name, v in value.items() for x in (F.lit(name), v)]), lambda _, v: v.isNotNull())
+    owner = F.when(~(signup & (c("event_id") % 101 == 0)), F.concat(F.lit("rt:"), c("user_id").cast("string")))
+    class_id = F.when(family == 0, F.when(c("user_id") % 5 == 0, "Event").when(c("user_id") % 5 == 1, "Port").when(c("user_id") % 5 == 2, F.lit(None)).otherwise("Thing"))
+    return rows.select(c("event_id").alias("sequence"), "ts", "cmd_type", F.when(family == 0, "bm:thing:rt").alias("type_uri"), class_id.alias("class_id"), owner.alias("uri"), changes.alias("changes"))
+
+
+RUNTIME_CTES = """T(cmd, turn, event, status, stamp, inverse) AS (VALUES """ + ", ".join(
+    "('{}', '{}', {}, {}, {}, '{}')".format(command, spec["turn"], *[f"'{spec[p]}'" if p in spec else "NULL" for p in ("event", "status", "stamp")], spec["inverse"]) for command, spec in RUNTIME_COMMANDS.items()
+) + """), V(fam, event_type, cmd) AS (VALUES """ + ", ".join(f"({k}, '{event}', '{family}:{verb}')" for k, (family, verbs) in RUNTIME.items() for event, verb in verbs.items()) + """),
+  RL AS (SELECT event_id AS sequence, ts, user_id, user_id % 8 AS fam, V.event_type, value, CASE WHEN event_id % 103 = 0 THEN 'instance:rename' ELSE cmd END AS cmd,
+      CASE WHEN NOT (V.event_type = 'signup' AND event_id % 101 = 0) THEN 'rt:' || user_id END AS uri,
+      CASE WHEN user_id % 8 = 0 THEN CASE user_id % 5 WHEN 0 THEN 'Event' WHEN 1 THEN 'Port' WHEN 2 THEN NULL ELSE 'Thing' END END AS class_id
+    FROM events JOIN V ON V.fam = user_id % 8 AND V.event_type = events.event_type),
+  RS AS (SELECT RL.*, turn, event, status, stamp, inverse, CASE WHEN turn IS NULL THEN 'unknown-command' WHEN turn = 'open' AND fam = 0 AND class_id IS NULL THEN 'unknown-type' WHEN turn = 'open' AND class_id = 'Port' THEN 'not-instantiable'
+      WHEN turn = 'open' AND uri IS NULL THEN 'no-uri' WHEN turn IN ('set', 'delete') AND class_id = 'Event' THEN 'immutable' END AS unfit FROM RL LEFT JOIN T USING (cmd)),
+  RW AS (SELECT *, max(CASE WHEN unfit IS NULL AND turn IN ('open', 'delete') THEN sequence END) OVER w AS since,
+      last_value(CASE WHEN unfit IS NULL AND turn IN ('open', 'delete') THEN turn END IGNORE NULLS) OVER w AS was FROM RS WINDOW w AS (PARTITION BY user_id ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  RJ AS (SELECT *, coalesce(unfit, CASE WHEN turn IN ('set', 'status', 'delete') AND was IS DISTINCT FROM 'open' THEN 'absent' END) AS reason FROM RW)"""
+
+
+@query(f"WITH {RUNTIME_CTES} SELECT sequence, cmd AS cmd_type, uri, reason FROM RJ WHERE reason IS NOT NULL")
+def runtime_rejections(spark, sf_dir):
+    """Commands of all kinds that are rejected, with the reason."""
+    return runtime.rejections(runtime_log(Model(spark, sf_dir)))
+
+
+@query(f"WITH {RUNTIME_CTES} SELECT sequence, uri, event FROM RJ WHERE reason IS NULL AND event IS NOT NULL")
+def runtime_events(spark, sf_dir):
+    """Events of all accepted commands."""
+    return runtime.events(runtime_log(Model(spark, sf_dir))).select("sequence", "uri", "event")
+
+
+@query(f"""WITH {RUNTIME_CTES},
+  A AS (SELECT *, CASE WHEN turn = 'set' OR turn = 'status' THEN strftime(ts, '%Y-%m-%d %H:%M:%S') END AS stamped,
+    CASE WHEN turn = 'open' THEN 'new' WHEN turn = 'status' THEN status WHEN cmd = 'pipelineRun:complete' THEN CASE WHEN sequence % 2 = 0 THEN 'completed' ELSE 'failed' END END AS s,
+    CASE WHEN fam = 0 AND event_type IN ('signup', 'purchase') THEN '{{"n":' || sequence || '}}' END AS d, CASE WHEN fam = 1 AND event_type IN ('view', 'click') THEN sequence END AS p, CASE WHEN fam = 1 AND event_type = 'view' THEN sequence % 7 END AS q,
+    CASE WHEN fam = 5 AND event_type = 'view' THEN CAST(sequence AS VARCHAR) END AS t, CASE WHEN fam = 5 AND event_type IN ('signup', 'click') THEN 'e' || sequence END AS e,
+    CASE WHEN fam = 6 AND event_type IN ('view', 'click') THEN CAST(sequence AS VARCHAR) END AS n, CASE WHEN cmd = 'writebackQueue:fail' THEN CAST(sequence AS VARCHAR) END AS l FROM RJ WHERE reason IS NULL),
+  F AS (SELECT *, last_value(CASE WHEN turn <> 'open' THEN s END IGNORE NULLS) OVER w AS s1, last_value(CASE WHEN turn <> 'open' THEN d END IGNORE NULLS) OVER w AS d1, last_value(p IGNORE NULLS) OVER w AS p1, last_value(q IGNORE NULLS) OVER w AS q1,
+    last_value(t IGNORE NULLS) OVER w AS t1, last_value(CASE WHEN turn <> 'open' THEN e END IGNORE NULLS) OVER w AS e1, last_value(n IGNORE NULLS) OVER w AS n1, last_value(l IGNORE NULLS) OVER w AS l1, last_value(CASE WHEN stamp = 'completedAt' THEN stamped END IGNORE NULLS) OVER w AS c1,
+    last_value(CASE WHEN stamp = 'updatedAt' THEN stamped END IGNORE NULLS) OVER w AS u1, count(CASE WHEN cmd = 'writebackQueue:fail' THEN 1 END) OVER w AS fails
+    FROM A WINDOW w AS (PARTITION BY user_id, since ORDER BY sequence ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  G AS (SELECT F.*, o.value AS amount, o.sequence % 3 + fails AS attempts, coalesce(s1, CASE WHEN was = 'open' THEN 'new' END) AS s2, coalesce(d1, CASE WHEN F.fam = 0 AND was = 'open' THEN '{{"n":' || F.since || '}}' END) AS d2, coalesce(e1, CASE WHEN F.fam = 5 AND was = 'open' THEN 'e' || F.since END) AS e2,
+    F.turn IN ('status', 'delete') OR F.cmd = 'instance:upsert' AND was = 'open' AS whole FROM F LEFT JOIN RL o ON o.sequence = F.since AND was = 'open')
+  SELECT sequence, uri, CASE WHEN cmd = 'instance:upsert' AND was = 'open' THEN cmd ELSE inverse END AS inverse,
+    CASE WHEN whole THEN s2 WHEN cmd = 'pipelineRun:complete' THEN CASE WHEN s2 IN ('completed', 'failed') THEN s2 ELSE 'completed' END END AS status, CASE WHEN whole THEN amount END AS amount, CASE WHEN whole AND fam = 7 THEN attempts END AS attempts,
+    CASE WHEN whole OR cmd = 'instance:update' THEN d2 END AS data, CASE WHEN whole AND fam = 1 THEN p1 WHEN cmd = 'pipelineRun:progress' THEN coalesce(p1, 0) END AS processed, CASE WHEN whole AND fam = 1 THEN q1 WHEN cmd = 'pipelineRun:progress' THEN coalesce(q1, 0) END AS failed,
+    CASE WHEN whole OR t IS NOT NULL THEN t1 END AS target, CASE WHEN whole OR cmd = 'deployment:update' AND e IS NOT NULL THEN e2 END AS environment, CASE WHEN whole THEN n1 WHEN cmd = 'simRun:snapshot' THEN coalesce(n1, '') END AS snapshot, CASE WHEN whole THEN l1 END AS last_error,
+    CASE WHEN whole THEN c1 END AS completed_at, CASE WHEN whole THEN u1 END AS updated_at, CASE WHEN turn = 'free' THEN 'knows' END AS predicate FROM G""")
+def runtime_inverses(spark, sf_dir):
+    """The command that undoes each accepted one, of all kinds, with the fields it brings back."""
+    rows = runtime.inverses(runtime_log(Model(spark, sf_dir)))
+    at = lambda n: F.element_at("changes", F.lit(n))
+    texts_of = {"status": "status", "target": "target", "environment": "environment", "snapshot": "snapshotUri", "last_error": "lastError", "completed_at": "completedAt", "updated_at": "updatedAt", "predicate": "predicate"}
+    numbers = {"attempts": "attemptCount", "processed": "recordsProcessed", "failed": "recordsFailed"}
+    return rows.select("sequence", "uri", "inverse", at("amount").cast("double").alias("amount"), at("data").alias("data"), *[string_of(at(f)).alias(n) for n, f in texts_of.items()], *[at(f).cast("long").alias(n) for n, f in numbers.items()])
+
+
 def operations(m: Model, opening: str, done: str, gone: str, counting: str | None):
     """Events as operational commands: signups open, purchases end well, errors drop, views count."""
     kinds = {"signup": opening, "purchase": done, "error": gone, "view": counting or "other"}
@@ -699,8 +792,8 @@ def stream_pipeline(spark, sf_dir):
     landed, out, checkpoint = files.scratch(spark, "landed"), files.scratch(spark, "out"), files.scratch(spark, "progress")
     responses(m).write.parquet(landed)
     stream = streams.files(spark, landed, "user_id bigint, page int, body string", 4)
-    streams.pipeline(stream, lambda batch: mapping.run_mapping(mapping.iterate(batch, MAPPING.iterate), MAPPING).where("status = 'ok'"), out, checkpoint, ["type_uri", "external_id"]).awaitTermination()
-    rows = streams.table(spark, out)
+    streams.pipeline(stream, lambda batch: mapping.run_mapping(mapping.iterate(batch, MAPPING.iterate), MAPPING).where("status = 'ok'"), out, checkpoint, ["type_uri", "external_id"], ["page", "record_index"]).awaitTermination()
+    rows = streams.newest(spark, out, ["type_uri", "external_id"], ["page", "record_index"])
     return rows.select("external_id", string_of(field("kind")).alias("kind"), number_of(field("amount")).alias("amount"))
 
 
@@ -712,13 +805,14 @@ def incremental_cursor(spark, sf_dir):
 
 
 @query("""WITH A AS (SELECT * FROM CMD WHERE class_id = 'Thing' OR class_id = 'Measure' AND kind = 'upsert'), T AS (SELECT user_id, max(sequence) FILTER (kind = 'upsert') AS up, max(sequence) FILTER (kind = 'delete') AS del FROM A GROUP BY 1)
-  SELECT 'bm:user:' || T.user_id AS uri, A.value FROM T JOIN A ON A.sequence = T.up WHERE T.up > coalesce(T.del, -1)""", "CMD")
+  SELECT 'bm:user:' || T.user_id AS uri, CASE WHEN arg_max(A.event_type, A.sequence) IN ('signup', 'purchase') THEN arg_max(A.value, A.sequence) END AS value
+  FROM T JOIN A ON A.user_id = T.user_id AND A.kind <> 'delete' WHERE T.up > coalesce(T.del, -1) GROUP BY T.user_id""", "CMD")
 def stream_state(spark, sf_dir):
     m = Model(spark, sf_dir)
     landed, out, checkpoint = files.scratch(spark, "commands"), files.scratch(spark, "state"), files.scratch(spark, "progress")
     m.commits.repartitionByRange(8, "sequence").write.parquet(landed)
     streams.state(streams.files(spark, landed, m.commits.schema, 3), out, checkpoint).awaitTermination()
-    rows = streams.state_of(streams.table(spark, out))
+    rows = streams.state_of(spark, out)
     return rows.select("uri", number_of(F.element_at("data", "value")).alias("value"))
 
 

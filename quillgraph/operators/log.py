@@ -1,16 +1,17 @@
 """Command logs: tails after checkpoints, replay into state, inverses, rejected commands, operational tables.
 
 Replay needs no fold in order. What a key's row is depends on its last upsert or delete and on the later updates, so a
-partial maximum per (key) and per (key, field) gives the state; a key with very many commands costs one row per task.
+partial maximum per key gives the state; a key with very many commands costs one row per task. What each command meets comes
+from a segmented scan (scan.py).
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillgraph.functions.vocab import DEVICE_LOCAL, IMMUTABLE, INSTANTIABLE, RUNTIME_PREFIXES
+from quillgraph.operators.scan import RANGE, before, in_ranges
 
 KEY = ["type_uri", "uri"]
 
@@ -42,15 +43,18 @@ def allowed(kind: Column, class_id: Column) -> Column:
     )
 
 
-def judged(commits: DataFrame) -> DataFrame:
+def _own(commits: DataFrame) -> DataFrame:
+    return commits.where(F.col("cmd_type").isin("instance:upsert", "instance:update", "instance:delete"))
+
+
+def judged(commits: DataFrame, rows: int = RANGE) -> DataFrame:
     """Instance commands with a reason where they are rejected. Whether a key is alive before a command depends on the last
     upsert or delete before it alone, since a delete of what isn't there changes nothing."""
-    own = commits.where(F.col("cmd_type").isin("instance:upsert", "instance:update", "instance:delete")).withColumn("reason", allowed(F.col("cmd_type"), F.col("class_id")))
-    before = Window.partitionBy(*KEY).orderBy("sequence").rowsBetween(Window.unboundedPreceding, -1)
-    turn = F.when(F.col("reason").isNull() & F.col("cmd_type").isin("instance:upsert", "instance:delete"), F.col("cmd_type"))
-    alive = F.coalesce(F.last(turn, ignorenulls=True).over(before) == "instance:upsert", F.lit(False))
-    absent = F.when(F.col("cmd_type").isin("instance:update", "instance:delete") & ~alive, "absent")
-    return own.withColumn("reason", F.coalesce("reason", absent))
+    own = in_ranges(_own(commits).withColumn("_unfit", allowed(F.col("cmd_type"), F.col("class_id"))), "sequence", rows)
+    turn = F.when(F.col("_unfit").isNull() & F.col("cmd_type").isin("instance:upsert", "instance:delete"), F.col("cmd_type"))
+    met = before(own, KEY, "sequence", {"_turn": turn})
+    absent = F.when(F.col("cmd_type").isin("instance:update", "instance:delete") & ~F.coalesce(F.col("_turn") == "instance:upsert", F.lit(False)), "absent")
+    return met.withColumn("reason", F.coalesce("_unfit", absent)).drop("_unfit", "_turn")
 
 
 def rejected(commits: DataFrame) -> DataFrame:
@@ -58,37 +62,33 @@ def rejected(commits: DataFrame) -> DataFrame:
 
 
 def replay(commits: DataFrame, fields: str = "data") -> DataFrame:
-    """type_uri, uri, data, created_at, updated_at of what is alive after all commands."""
-    own = commits.where(allowed(F.col("cmd_type"), F.col("class_id")).isNull() & F.col("cmd_type").isin("instance:upsert", "instance:update", "instance:delete"))
-    turns = own.where("cmd_type != 'instance:update'").groupBy(*KEY).agg(F.max_by(F.struct("cmd_type", "sequence", fields, "ts"), "sequence").alias("turn"))
-    born = turns.where("turn.cmd_type = 'instance:upsert'").select(*KEY, F.col("turn.sequence").alias("_from"), F.col(f"turn.{fields}").alias("_data"), F.col("turn.ts").alias("created_at"))
-    updates = own.where("cmd_type = 'instance:update'").join(born.select(*KEY, "_from"), KEY).where("sequence > _from")
-    newest = updates.select(*KEY, "sequence", F.explode(fields).alias("k", "v")).groupBy(*KEY, "k").agg(F.max_by("v", "sequence").alias("v"))
-    changed = newest.groupBy(*KEY).agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("_changed"))
-    touched = updates.groupBy(*KEY).agg(F.max_by("ts", "sequence").alias("_touched"))
-    joined = born.join(changed, KEY, "left").join(touched, KEY, "left")
-    kept = F.map_filter("_data", lambda k, _: ~F.array_contains(F.map_keys("_changed"), k))
-    data = F.when(F.col("_changed").isNull(), F.col("_data")).otherwise(F.map_concat(kept, "_changed"))
-    return joined.select(*KEY, data.alias("data"), "created_at", F.coalesce("_touched", "created_at").alias("updated_at"))
+    """type_uri, uri, data, created_at, updated_at of what is alive after all commands. An update's data take the place of the
+    former ones as a whole (NULL: it gives none)."""
+    return alive(live(commits, fields))
+
+
+def live(commits: DataFrame, fields: str = "data") -> DataFrame:
+    """A row per key: its last upsert and delete, the newest data and times. Maxima alone, so a stream may keep it too."""
+    own = _own(commits).where(allowed(F.col("cmd_type"), F.col("class_id")).isNull())
+    kind, at = F.col("cmd_type"), F.col("sequence")
+    born, gone = F.when(kind == "instance:upsert", at), F.when(kind == "instance:delete", at)
+    gives = F.when((kind == "instance:upsert") | (kind == "instance:update") & F.col(fields).isNotNull(), at)
+    touches = F.when(kind != "instance:delete", at)
+    # An update before the last upsert has a smaller sequence, so the newest of both is the state in any case.
+    return own.groupBy(*KEY).agg(F.max(born).alias("_born"), F.max(gone).alias("_gone"), F.max_by(fields, gives).alias("data"), F.max_by("ts", born).alias("created_at"), F.max_by("ts", touches).alias("updated_at"))
+
+
+def alive(newest: DataFrame) -> DataFrame:
+    return newest.where("_born > coalesce(_gone, _born - 1)").drop("_born", "_gone")
 
 
 def compact(commits: DataFrame, fields: str = "data") -> DataFrame:
-    """Commands, in the same columns, that give the same state now and after any later commands: of every key the last upsert
-    and the last delete, and the later of its updates, each with those fields that no later one sets."""
-    own = commits.where(allowed(F.col("cmd_type"), F.col("class_id")).isNull() & F.col("cmd_type").isin("instance:upsert", "instance:update", "instance:delete"))
+    """Commands, in the same columns, that give the same state now and after any later commands: of every key the last upsert,
+    the last delete, the last update and the last one that gives data."""
+    own = _own(commits).where(allowed(F.col("cmd_type"), F.col("class_id")).isNull())
+    kind = F.when((F.col("cmd_type") == "instance:update") & F.col(fields).isNull(), "touch").otherwise(F.col("cmd_type"))
     rest = [c for c in own.columns if c not in KEY]
-    whole = F.max_by(F.struct(*rest), "sequence").alias("_row")
-    turns = own.where("cmd_type != 'instance:update'").groupBy(*KEY, F.col("cmd_type").alias("_kind")).agg(whole).select(*KEY, "_row.*")
-    born = turns.groupBy(*KEY).agg(F.max(F.when(F.col("cmd_type") == "instance:upsert", F.col("sequence"))).alias("_up"), F.max(F.when(F.col("cmd_type") == "instance:delete", F.col("sequence"))).alias("_down"))
-    alive = born.where("_up is not null and (_down is null or _down < _up)").select(*KEY, F.col("_up").alias("_from"))
-    updates = own.where("cmd_type = 'instance:update'").join(alive, KEY).where("sequence > _from").drop("_from")
-    # An update stays for the fields that it was the last to set; the key's last update stays in any case, for its time.
-    newest = updates.select(*KEY, "sequence", F.explode(fields).alias("k", "v")).groupBy(*KEY, "k").agg(F.max_by(F.struct("sequence", "v"), "sequence").alias("n"))
-    set_by = newest.groupBy(*KEY, F.col("n.sequence").alias("sequence")).agg(F.map_from_entries(F.collect_list(F.struct("k", F.col("n.v").alias("v")))).alias("_set"))
-    last = updates.groupBy(*KEY).agg(F.max("sequence").alias("sequence")).withColumn("_last", F.lit(True))
-    left = updates.join(set_by, [*KEY, "sequence"], "left").join(last, [*KEY, "sequence"], "left").where("_set is not null or _last")
-    left = left.withColumn(fields, F.coalesce("_set", F.create_map().cast("map<string,string>"))).select(*own.columns)
-    return turns.select(*own.columns).unionByName(left)
+    return own.groupBy(*KEY, kind.alias("_kind")).agg(F.max_by(F.struct(*rest), "sequence").alias("_row")).select(*KEY, "_row.*").select(*own.columns)
 
 
 def domain_events(commits: DataFrame) -> DataFrame:
@@ -98,26 +98,15 @@ def domain_events(commits: DataFrame) -> DataFrame:
     return judged(commits).where("reason is null").select("sequence", *KEY, name.alias("event"), "ts")
 
 
-def inverse(commits: DataFrame) -> DataFrame:
-    """sequence, type_uri, uri, inverse, data: the command that undoes each accepted one. An upsert is undone by the value
-    before or a delete, an update by the former values of its fields, a delete by an upsert of the value before.
-
-    Every upsert or delete opens an epoch of its key. Former values of fields are the row before in (key, epoch, field),
-    the state before a turn is the last value of every field of the epoch before; no window gathers lists.
-    """
-    in_order = Window.partitionBy(*KEY).orderBy("sequence")
-    own = judged(commits).where("reason is null").withColumn("_epoch", F.sum((F.col("cmd_type") != "instance:update").cast("int")).over(in_order))
-    values = own.select(*KEY, "_epoch", "sequence", "cmd_type", F.explode("data").alias("k", "v"))
-    former = F.lag("v").over(Window.partitionBy(*KEY, "_epoch", "k").orderBy("sequence"))
-    undone = values.withColumn("_old", former).where("cmd_type = 'instance:update' and _old is not null").groupBy(*KEY, "sequence").agg(F.map_from_entries(F.collect_list(F.struct("k", "_old"))).alias("data"))
-    empty = F.create_map().cast("map<string,string>")
-    updates = own.where("cmd_type = 'instance:update'").select(*KEY, "sequence").join(undone, [*KEY, "sequence"], "left").select("sequence", *KEY, F.lit("instance:update").alias("inverse"), F.coalesce("data", empty).alias("data"))
-    last = values.groupBy(*KEY, "_epoch", "k").agg(F.max_by("v", "sequence").alias("v")).groupBy(*KEY, "_epoch").agg(F.map_from_entries(F.collect_list(F.struct("k", "v"))).alias("data"))
-    turns = own.where("cmd_type != 'instance:update'").select("sequence", *KEY, "cmd_type", (F.col("_epoch") - 1).alias("_epoch"))
-    alive = own.where("cmd_type = 'instance:upsert'").select(*KEY, "_epoch", F.lit(True).alias("_alive"))
-    joined = turns.join(alive, [*KEY, "_epoch"], "left").join(last, [*KEY, "_epoch"], "left")
-    back = joined.select("sequence", *KEY, F.when(F.col("_alive"), "instance:upsert").otherwise("instance:delete").alias("inverse"), F.when(F.col("_alive"), F.coalesce("data", empty)).alias("data"))
-    return updates.unionByName(back)
+def inverse(commits: DataFrame, rows: int = RANGE) -> DataFrame:
+    """sequence, type_uri, uri, inverse, data: the command that undoes each accepted one. An upsert is undone by the data
+    before or a delete, an update by the data before (NULL where it gives none), a delete by an upsert of the data before."""
+    own = judged(commits, rows).where("reason is null")
+    kind = F.col("cmd_type")
+    met = before(own, KEY, "sequence", {"_turn": F.when(kind != "instance:update", kind), "_was": F.when(kind != "instance:delete", F.col("data"))})
+    alive = F.coalesce(F.col("_turn") == "instance:upsert", F.lit(False))
+    back = F.when(kind == "instance:update", "instance:update").when(alive, "instance:upsert").otherwise("instance:delete")
+    return met.select("sequence", *KEY, back.alias("inverse"), F.when(alive & ((kind != "instance:update") | F.col("data").isNotNull()), F.col("_was")).alias("data"))
 
 
 def operations(log: DataFrame, opening: str, statuses: dict[str, str], counting: str | None = None) -> DataFrame:

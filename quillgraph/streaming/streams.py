@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from quillgraph.operators.log import compact, judged, replay
+from quillgraph.operators.log import KEY, alive, live
 from quillgraph.sources.files import drop
 
 
@@ -21,55 +21,85 @@ def files(spark: SparkSession, path: str, schema, per_trigger: int | None = None
     return reader.parquet(path)
 
 
-def folded(stream: DataFrame, fold: Callable[[DataFrame | None, DataFrame], DataFrame], out: str, checkpoint: str) -> StreamingQuery:
-    """Keeps a table under `out` that every micro-batch is folded into: version n is fold(the version before, batch n), so its
-    size is that of what `fold` keeps, not of the stream. A batch that is run again, after a loss, writes its version anew from
-    the same version before; the one before that is dropped then."""
+#: A run of a table takes in up to this many shorter ones.
+FAN = 8
+TURN = "_batch"
+
+
+def runs(spark: SparkSession, out: str, ended: int | None = None) -> list[tuple[int, int]]:
+    """The runs of a table, as first and last batch, that were written whole and that no longer run holds; those up to the
+    batch `ended`, if it is given."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/run=*/_SUCCESS")
+    listed = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
+    names = [f.getPath().getParent().getName().partition("=")[2].split("-") for f in listed]
+    found = [(int(a), int(b)) for a, b in names if ended is None or int(b) <= ended]
+    return sorted(r for r in found if not any(o != r and o[0] <= r[0] and r[1] <= o[1] for o in found))
+
+
+def _rows(spark: SparkSession, out: str, some: list[tuple[int, int]]) -> DataFrame:
+    return spark.read.parquet(*[f"{out}/run={a}-{b}" for a, b in some])
+
+
+def kept(stream: DataFrame, reduce: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, mode: str = "append", trigger: dict | None = None, shape: Callable[[DataFrame], DataFrame] | None = None) -> StreamingQuery:
+    """Keeps a table under `out` as runs: batch n writes reduce(its rows, shaped, with their batch in _batch) as the run n-n, and where
+    n + 1 divides by a power of FAN, reduce(the runs of that many batches and its own rows) as one run. So what a batch writes
+    follows the batch, a row is rewritten once for each power of FAN, and a reader finds few runs.
+
+    A batch that is run again after a loss writes the same run from the same earlier ones: runs taken in are dropped only
+    when a later batch begins. `trigger` is that of a stream (processingTime, once, availableNow; default: what is there now).
+    """
     spark = stream.sparkSession
 
-    def write(batch: DataFrame, batch_id: int) -> None:
-        before = [n for n in versions(spark, out) if n < batch_id]
-        old = spark.read.parquet(f"{out}/version={before[-1]}") if before else None
-        fold(old, batch).write.mode("overwrite").parquet(f"{out}/version={batch_id}")
-        for n in before[:-1]:
-            drop(spark, f"{out}/version={n}")
+    def write(batch: DataFrame, n: int) -> None:
+        before = runs(spark, out, n - 1)
+        drop_runs(spark, out, before, n)
+        span = 1
+        while (n + 1) % (span * FAN) == 0:
+            span *= FAN
+        first = n + 1 - span
+        rows = (shape(batch) if shape else batch).withColumn(TURN, F.lit(n).cast("long"))
+        held = [r for r in before if r[0] >= first]
+        rows = rows if not held else rows.unionByName(_rows(spark, out, held))
+        reduce(rows).write.mode("overwrite").parquet(f"{out}/run={first}-{n}")
 
-    return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream.writeStream.outputMode(mode).foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
-def versions(spark: SparkSession, out: str) -> list[int]:
-    """The numbers of the versions that were written whole."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/version=*/_SUCCESS")
-    found = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []
-    return sorted(int(f.getPath().getParent().getName().partition("=")[2]) for f in found)
+def drop_runs(spark: SparkSession, out: str, live: list[tuple[int, int]], batch: int) -> None:
+    """Removes runs of batches before `batch` that longer ones have taken in."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{out}/run=*")
+    for f in path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(path) or []:
+        a, b = map(int, f.getPath().getName().partition("=")[2].split("-"))
+        if b < batch and (a, b) not in live:
+            drop(spark, f"{out}/run={a}-{b}")
 
 
-def table(spark: SparkSession, out: str) -> DataFrame:
-    """The newest version of a folded table."""
-    return spark.read.parquet(f"{out}/version={versions(spark, out)[-1]}")
+def _last(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    rest = [c for c in rows.columns if c not in keys]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct(*order)).alias("_row")).select(*keys, "_row.*").select(*rows.columns)
 
 
-def pipeline(records: DataFrame, mapped: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, keys: list[str]) -> StreamingQuery:
-    """Maps every micro-batch and upserts its rows by key: the table holds a row per key, the last one (by batch, then record
-    index)."""
+def newest(spark: SparkSession, out: str, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """The rows of a table of runs, the last of each key by batch and `order`."""
+    return _last(_rows(spark, out, runs(spark, out)), keys, [TURN, *(order or [])]).drop(TURN)
 
-    def upsert(old: DataFrame | None, batch: DataFrame) -> DataFrame:
-        rows = mapped(batch).withColumn("_turn", F.lit(1))
-        rows = rows if old is None else old.withColumn("_turn", F.lit(0)).unionByName(rows)
-        rest = [c for c in rows.columns if c not in keys]
-        newest = rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), F.struct("_turn", "record_index")).alias("_row"))
-        return newest.select(*keys, "_row.*").drop("_turn")
 
-    return folded(records, upsert, out, checkpoint)
+def pipeline(records: DataFrame, mapped: Callable[[DataFrame], DataFrame], out: str, checkpoint: str, keys: list[str], order: list[str] | None = None, trigger: dict | None = None) -> StreamingQuery:
+    """Maps every micro-batch and upserts its rows by key: of a key the last row counts, by batch, then by `order` (columns of
+    the mapped rows; default: record_index)."""
+    turns = [TURN, *(order or ["record_index"])]
+    return kept(records, lambda rows: _last(rows, keys, turns), out, checkpoint, trigger=trigger, shape=mapped)
 
 
-def state(commands: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
-    """Live state of a command stream: per key its last upsert and delete and what was updated since, whatever the log's length."""
-    return folded(commands, lambda old, batch: compact(batch if old is None else old.unionByName(batch)), out, checkpoint)
+def state(commands: DataFrame, out: str, checkpoint: str, trigger: dict | None = None) -> StreamingQuery:
+    """Live state of a command stream. Spark's state store holds a row per key (the last upsert and delete, the newest data,
+    by sequence, in whatever order commands come); each batch gives out the keys it touched, and only these are written."""
+    return kept(live(commands), lambda rows: _last(rows, KEY, [TURN]), out, checkpoint, mode="update", trigger=trigger)
 
 
-def state_of(kept: DataFrame) -> DataFrame:
-    return replay(kept)
+def state_of(spark: SparkSession, out: str) -> DataFrame:
+    """type_uri, uri, data, created_at, updated_at of what is alive."""
+    return alive(newest(spark, out, KEY))
 
 
 def windows(made: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
@@ -77,10 +107,6 @@ def windows(made: DataFrame, out: str, checkpoint: str) -> StreamingQuery:
     return made.writeStream.outputMode("append").format("parquet").option("path", out).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def rejected_of(kept: DataFrame) -> DataFrame:
-    return judged(kept).where("reason is not null")
-
-
 def run_metrics(events: DataFrame) -> DataFrame:
     """Per run: events by kind and the last one; an update-mode aggregation whose state is a row per run."""
     kinds = ("started", "fetched", "mapped", "written", "completed", "error")
