@@ -759,12 +759,12 @@ def action_effects(spark, sf_dir):
     return done.select("request", "step", "effect", "target", "field", F.col("value").try_cast("double").alias("value"))
 
 
-@query("""WITH Q AS (SELECT o_orderkey AS request FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0)
+@query("""WITH Q AS (SELECT o_orderkey AS request FROM orders WHERE o_orderkey % 5 <> 0 AND o_orderkey % 7 <> 0), K AS (SELECT request, row_number() OVER (ORDER BY request) AS k FROM Q)
   SELECT request, 1 AS step, 'create' AS effect, 'new/' || request || '/1' AS target, 'total' AS field, CAST(o_totalprice AS VARCHAR) AS value FROM Q JOIN orders ON o_orderkey = request
   UNION ALL SELECT request, 2, 'transitionState', 'new/' || request || '/1', '_state', 'open' FROM Q
   UNION ALL SELECT request, 3, 'createLink', 'new/' || request || '/1', 'placed', 'bm:inst:1' FROM Q
-  UNION ALL SELECT request, 4, 'deleteLink', 'bm:inst:' || (SELECT min(o_custkey) FROM orders), 'placed', (SELECT min('bm:rel:' || o_orderkey) FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders)) FROM Q
-  UNION ALL SELECT request, 5, 'delete', (SELECT min('bm:inst:' || c_custkey) FROM customer), NULL, NULL FROM Q
+  UNION ALL SELECT request, 4, 'deleteLink', 'bm:inst:' || (SELECT min(o_custkey) FROM orders), 'placed', rel FROM K JOIN (SELECT 'bm:rel:' || o_orderkey AS rel, row_number() OVER (ORDER BY 'bm:rel:' || o_orderkey) AS k FROM orders WHERE o_custkey = (SELECT min(o_custkey) FROM orders)) USING (k)
+  UNION ALL SELECT request, 5, CASE WHEN inst IS NULL THEN 'no-instance' ELSE 'delete' END, inst, NULL, NULL FROM K LEFT JOIN (SELECT 'bm:inst:' || c_custkey AS inst, row_number() OVER (ORDER BY 'bm:inst:' || c_custkey) AS k FROM customer) USING (k)
   UNION ALL SELECT request, 6, 'emit', 'event/' || request || '/6', 'by', CAST(o_custkey AS VARCHAR) FROM Q JOIN orders ON o_orderkey = request
   UNION ALL SELECT request, 7, 'no-instance', NULL, 'x', '1' FROM Q""")
 def action_links(spark, sf_dir):
@@ -783,6 +783,42 @@ def action_links(spark, sf_dir):
     return actions.effects(asked, rules, m.instances.select(c("thing_id").alias("thing"), "id"), m.relationships)
 
 
+@query("""WITH Q AS (SELECT o_orderkey AS request, o_totalprice AS total, o_custkey AS who, o_orderdate AS ts, CASE WHEN o_orderkey % 5 IN (0, 1) THEN 'open' WHEN o_orderkey % 5 IN (2, 3) THEN 'close' ELSE 'note' END AS action FROM orders),
+  C AS (SELECT *, coalesce(sum(CASE WHEN action = 'open' THEN 1 END) OVER w, 0) AS made, coalesce(sum(CASE WHEN action = 'close' THEN 1 END) OVER w, 0) AS asked FROM Q WINDOW w AS (ORDER BY request ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+  F AS (SELECT *, greatest(0, coalesce(max(CASE WHEN action = 'close' THEN asked + 1 - made END) OVER (ORDER BY request ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)) AS vain FROM C),
+  H AS (SELECT F.*, CASE WHEN F.asked - F.vain < F.made THEN 'new/' || o.request || '/1' END AS head FROM F LEFT JOIN C o ON o.action = 'open' AND o.made = F.asked - F.vain AND F.action <> 'open'),
+  G AS (SELECT *, 'new/' || request || '/1' AS me FROM H)
+  SELECT request, 1 AS step, 'create' AS effect, me AS target, 'total' AS field, CAST(total AS VARCHAR) AS value FROM G WHERE action = 'open'
+  UNION ALL SELECT request, 1, 'create', me, 'by', CAST(who AS VARCHAR) FROM G WHERE action = 'open'
+  UNION ALL SELECT request, 1, 'create', me, 'at', strftime(ts, '%Y-%m-%d %H:%M:%S') FROM G WHERE action = 'open'
+  UNION ALL SELECT request, 2, 'create', 'new/' || request || '/2', 'paid', CAST(total AS VARCHAR) FROM G WHERE action = 'open'
+  UNION ALL SELECT request, 3, 'emit', 'event/' || request || '/3', 'sum', CAST(total AS VARCHAR) FROM G WHERE action = 'open'
+  UNION ALL SELECT request, 3, 'emit', 'event/' || request || '/3', 'lost', NULL FROM G WHERE action = 'open'
+  UNION ALL SELECT request, 1, CASE WHEN head IS NULL THEN 'no-instance' ELSE 'delete' END, head, NULL, NULL FROM G WHERE action = 'close'
+  UNION ALL SELECT request, 1, CASE WHEN head IS NULL THEN 'no-instance' ELSE 'transitionState' END, head, '_state', 'seen' FROM G WHERE action = 'note'""")
+def action_queue(spark, sf_dir):
+    """Requests that see each other's effects: tickets are opened, the oldest one is closed (or none is there) or marked; values
+    come from a created row's attributes, through two steps, and from the request's time."""
+    c = F.col
+    action = F.when(c("o_orderkey") % 5 < 2, "open").when(c("o_orderkey") % 5 < 4, "close").otherwise("note")
+    asked = Model(spark, sf_dir).table("orders").select(c("o_orderkey").alias("request"), action.alias("action"), c("o_custkey").cast("string").alias("user"), F.create_map(F.lit("total"), c("o_totalprice").cast("string")).alias("params"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("ts"))
+    rules = spark.sql("""SELECT * FROM VALUES ('open', 1, 'create', 'ticket', 'total', 'param', 'total', null), ('open', 1, 'create', 'ticket', 'by', 'user', null, null), ('open', 1, 'create', 'ticket', 'at', 'time', null, null),
+      ('open', 2, 'create', 'bill', 'paid', 'attribute', 'total', 'ticket'), ('open', 3, 'emit', null, 'sum', 'attribute', 'paid', 'bill'), ('open', 3, 'emit', null, 'lost', 'attribute', 'none', 'bill'),
+      ('close', 1, 'delete', 'ticket', null, null, null, null), ('note', 1, 'transitionState', 'ticket', null, 'static', 'seen', null) AS t(action, step, effect, thing, field, source, arg, arg_thing)""")
+    return actions.effects(asked, rules, spark.createDataFrame([], "thing string, id string"))
+
+
+@query(f"""WITH {GATE} SELECT request, CASE WHEN a = 3 THEN 'no-action' WHEN fault IN ('missing-param', 'param-type') THEN fault WHEN a = 0 AND (SELECT max(c_acctbal) FROM customer) <= 5000 OR a = 2 AND (SELECT count(*) FROM customer WHERE c_mktsegment = 'NOWHERE') = 0 THEN 'precondition' END AS fault FROM G""")
+def action_conditions(spark, sf_dir):
+    """Gates with conditions on fields: some instance has a balance above 5,000; some is of a segment that isn't there."""
+    m = Model(spark, sf_dir)
+    acts = spark.sql("SELECT * FROM VALUES ('act0', false), ('act1', false), ('act2', false) AS t(action, performers_only)")
+    params = spark.sql("SELECT a AS action, n AS name, t AS type, r AS required FROM VALUES ('total', 'number', true), ('note', 'text', false) AS p(n, t, r) LATERAL VIEW explode(array('act0', 'act1', 'act2')) x AS a")
+    conditions = spark.sql("SELECT * FROM VALUES ('act0', 'thing:customer', 'balance', 'gt', '5000'), ('act0', 'thing:customer', 'name', 'exists', null), ('act1', 'thing:customer', 'nation', 'lt', '3'), ('act2', 'thing:customer', 'segment', 'equals', 'NOWHERE') AS t(action, thing, attribute, operator, value)")
+    none = spark.createDataFrame([], "action string, user string")
+    return actions.gate(requests(m), acts, params, none, instances=m.instances, conditions=conditions).select("request", "fault")
+
+
 # Streams: the events table as files of a directory, read as a stream.
 
 
