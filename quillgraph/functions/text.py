@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import heapq
+import re
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -10,33 +14,35 @@ from pyspark.sql.window import Window
 CANONICAL = r"@\[([^:\[\]]+):([^:\[\]]*):([^:\[\]]+)(?::([^:\[\]]+))?\]"
 #: @[Name](entity:Id).
 LEGACY = r"@\[([^\[\]]+)\]\(([a-zA-Z]+):([^()\s]+)\)"
+_CANONICAL, _LEGACY = re.compile(CANONICAL), re.compile(LEGACY, re.ASCII)  # white space as in Java's patterns
 
 
-def _places(text: Column, pattern: str) -> Column:
-    """array<struct<start, token>> of the matches of a pattern: what lies before a match is what the split parts and the
-    matches before it make up."""
-    tokens = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    parts = F.split(text, pattern, -1)
-    step = F.transform(tokens, lambda t, i: F.struct(F.length(F.get(parts, i)).alias("gap"), t.alias("token")))
-    ends = F.aggregate(
-        step,
-        F.struct(F.lit(1).alias("at"), F.array().cast("array<struct<start: int, token: string>>").alias("found")),
-        lambda a, s: F.struct((a["at"] + s["gap"] + F.length(s["token"])).alias("at"), F.concat(a["found"], F.array(F.struct((a["at"] + s["gap"]).alias("start"), s["token"].alias("token")))).alias("found")),
-        lambda a: a["found"],
-    )
-    return ends
+_MENTION = "array<struct<start: int, token: string, kind: string, label: string, id: string, context: string>>"
+
+
+def _mentioned(texts: pd.Series) -> pd.Series:
+    """The mentions of each text, in one pass over it: both patterns side by side from left to right, a legacy match only where
+    no canonical one lies in it or over it (both lists are in order, so each is walked once)."""
+
+    def of(text: str | None) -> list[dict]:
+        if not text or "@[" not in text:
+            return []
+        found = [(m.start(), m.end(), m.group(), m.group(1), m.group(2), m.group(3), m.group(4)) for m in _CANONICAL.finditer(text)]
+        at, legacy = 0, []
+        for m in _LEGACY.finditer(text):
+            while at < len(found) and found[at][1] <= m.start():
+                at += 1
+            if at == len(found) or found[at][0] >= m.end():
+                legacy.append((m.start(), m.end(), m.group(), m.group(2), m.group(1), m.group(3), None))
+        return [{"start": s + 1, "token": token, "kind": kind, "label": label, "id": id_, "context": context} for s, _, token, kind, label, id_, context in heapq.merge(found, legacy)]
+
+    return texts.map(of)
 
 
 def mentions(texts: DataFrame, key: str = "uri", text: str = "content") -> DataFrame:
     """key, start (from 1), token, kind, label, id, context: canonical mentions, and legacy ones that overlap none."""
-    canonical = F.transform(_places(F.col(text), CANONICAL), lambda m: F.struct(m["start"].alias("start"), m["token"].alias("token"), F.lit(True).alias("canonical")))
-    legacy = F.transform(_places(F.col(text), LEGACY), lambda m: F.struct(m["start"].alias("start"), m["token"].alias("token"), F.lit(False).alias("canonical")))
-    kept = F.filter(legacy, lambda m: ~F.exists(canonical, lambda c: (c["start"] < m["start"] + F.length(m["token"])) & (m["start"] < c["start"] + F.length(c["token"]))))
-    rows = texts.where(F.col(text).contains("@[")).select(key, F.explode(F.concat(canonical, kept)).alias("m"))
-    token = F.col("m.token")
-    part = lambda pattern, n: F.nullif(F.regexp_extract(token, pattern, n), F.lit(""))
-    pick = lambda a, b: F.when(F.col("m.canonical"), part(CANONICAL, a)).otherwise(part(LEGACY, b))
-    return rows.select(key, F.col("m.start").alias("start"), token.alias("token"), F.coalesce(pick(1, 2), F.lit("")).alias("kind"), F.coalesce(pick(2, 1), F.lit("")).alias("label"), pick(3, 3).alias("id"), F.when(F.col("m.canonical"), part(CANONICAL, 4)).alias("context"))
+    rows = texts.where(F.col(text).contains("@[")).select(key, F.explode(F.pandas_udf(_mentioned, _MENTION)(F.col(text))).alias("m"))
+    return rows.select(key, "m.*")
 
 
 def mention_token(kind: Column, label: Column, id_: Column, context: Column) -> Column:

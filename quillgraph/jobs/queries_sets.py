@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import functions as F
 
-from quillgraph.functions.json_text import field, number_of
+from quillgraph.functions.json_text import field, number_of, string_of
 from quillgraph.jobs.model import Model, uri
 from quillgraph.jobs.registry import query
-from quillgraph.operators import joins, sets
+from quillgraph.operators import joins, search, sets
+from quillgraph.sources import files
 
 
 def out(df):
@@ -94,6 +97,26 @@ def search_entities(spark, sf_dir):
     return sets.search(m, "#0000001", ["Persona", "Thing", "Action", "Context"]).select("id", "name", "class_id", "context_name")
 
 
+@query("""WITH S AS (SELECT 'bm:thing:p' || p_partkey AS id, p_name AS name, 'Thing' AS class_id, 'root' AS context_name, CASE p_size % 3 WHEN 2 THEN p_type WHEN 1 THEN ' ' ELSE '' END AS snippet,
+      lower(p_name || CASE p_size % 3 WHEN 0 THEN '' WHEN 1 THEN '  ' ELSE ' ' || p_type END || ' ' || p_type || ' grade ' || p_brand || ' size ' || p_size || ' or less') AS searched FROM part
+    UNION ALL SELECT 'bm:symbol:d' || doc_id, left(text, 80), 'Symbol', 'root', left(text, 100), lower(text) FROM documents
+    UNION ALL SELECT C.uri, C.name, 'Context', P.name, '', lower(C.name) FROM C JOIN C P ON P.uri = C.parent_uri)
+  SELECT q, id, name, class_id, context_name, snippet FROM S, (SELECT unnest(['grade brand#1', 'SIZE 4', 'ia', 'rica', 'the ', 'no such thing']) AS q) WHERE contains(searched, lower(q))""", "C")
+def search_index(spark, sf_dir):
+    """Searches by an index over parts (with attributes and rules), documents as notes and contexts."""
+    m = Model(spark, sf_dir)
+    c = F.col
+    text = lambda name: string_of(F.element_at("fields", F.lit(name)))
+    attributes = F.to_json(F.array(F.struct(text("type").alias("name")), F.struct(F.concat(F.lit("grade "), text("brand")).alias("name"))))
+    rules = F.to_json(F.array(F.concat(F.lit("size "), F.element_at("fields", F.lit("size"))), F.lit("or less")))
+    m.entities = m.parts.withColumn("fields", F.map_concat("fields", F.create_map(F.lit("attributes"), attributes, F.lit("rules"), rules)))
+    path = files.scratch(spark, "index")
+    search.write_index(sets.searchable(m), path)
+    found = [search.search(spark, path, q, m.contexts).withColumn("q", F.lit(q)) for q in ("grade brand#1", "SIZE 4", "ia", "rica", "the ", "no such thing")]
+    rows = reduce(lambda a, b: a.unionByName(b), found)
+    return rows.select("q", "id", "name", "class_id", "context_name", "snippet")
+
+
 @query("SELECT 'bm:inst:' || c_custkey AS id, c_name AS name, c_acctbal AS balance, c_mktsegment AS segment, CAST(c_nationkey AS BIGINT) AS nation, CAST(1700000000 + c_custkey % 977 AS BIGINT) AS updated_at FROM customer")
 def typed_instances(spark, sf_dir):
     from quillgraph.operators.quality import typed

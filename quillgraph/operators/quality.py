@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions.json_text import field, is_blank, is_string, loose_string, number_of, string_of
@@ -55,36 +55,51 @@ def constraint_fault(text: Column, value_type: str | None = None, regex: str | N
     return F.when(text.isNotNull() & (text != "null"), F.coalesce(*tests) if tests else F.lit(None).cast("string"))
 
 
-def type_fault(datatype: str, attribute: Column) -> Column:
-    tagged = attribute["type"]
-    return F.when(tagged.isNotNull() & (tagged != datatype), "type")
+#: A table of rules: one row per attribute that a Thing declares.
+RULES = "thing_id string, attribute string, type string, required boolean, regex string, enum array<string>, low double, high double, shortest int, longest int"
 
 
-def validate_instances(instances: DataFrame, declared: dict[str, dict]) -> DataFrame:
-    """id, attribute, fault (unknown attributes as warnings) of instances of declared Things.
-
-    declared: thing -> attribute -> {"type", "required", constraint options of constraint_fault}. The rules are part of
-    the plan, so an instance is checked where it is: no join and no shuffle.
-    """
-
-    def of(attributes: dict[str, dict]) -> Column:
-        found = []
+def rules_table(spark: SparkSession, declared: dict[str, dict]) -> DataFrame:
+    """declared (thing -> attribute -> {"type", "required", value_type, regex, enum, low, high, shortest, longest}) as a table of
+    rules; what a value type says counts where the attribute says nothing."""
+    limits = ("regex", "low", "high", "shortest", "longest")
+    rows = []
+    for thing, attributes in declared.items():
         for name, spec in attributes.items():
-            attribute = F.element_at("attributes", F.lit(name))
-            text = attribute["value"]
-            limits = {k: v for k, v in spec.items() if k not in ("type", "required")}
-            fault = F.coalesce(
-                F.when(F.lit(spec.get("required", False)) & (text.isNull() | (text == "null") | (text == '""')), "required"),
-                type_fault(spec["type"], attribute),
-                constraint_fault(text, **limits),
-            )
-            found.append(F.struct(F.lit(name).alias("attribute"), fault.alias("fault")))
-        unknown = F.transform(F.array_except(F.map_keys("attributes"), F.array(*[F.lit(n) for n in attributes])), lambda n: F.struct(n.alias("attribute"), F.lit("unknown").alias("fault")))
-        return F.concat(F.filter(F.array(*found), lambda x: x["fault"].isNotNull()), unknown)
+            given = dict(zip(limits, VALUE_TYPES.get(spec.get("value_type"), (None,) * 5), strict=True)) | {k: spec[k] for k in limits if spec.get(k) is not None}
+            real = lambda k: None if given[k] is None else float(given[k])  # noqa: B023, E731
+            rows.append((thing, name, spec["type"], bool(spec.get("required", False)), given["regex"], spec.get("enum"), real("low"), real("high"), given["shortest"], given["longest"]))
+    return spark.createDataFrame(rows, RULES)
 
+
+def _rule_fault(rule: Column) -> Column:
+    """The first fault of the attribute that a rule is about: required, type, then constraints; regex and length test strings
+    only, a range what reads as a number."""
+    attribute = F.element_at("attributes", rule["attribute"])
+    text = attribute["value"]
+    string, number = string_of(text), F.coalesce(number_of(text), string_of(text).try_cast("double"))
+    given = text.isNotNull() & (text != "null")
+    return F.coalesce(
+        F.when(rule["required"] & (~F.coalesce(given, F.lit(False)) | (text == '""')), "required"),
+        F.when(attribute["type"] != rule["type"], "type"),
+        F.when(given & is_string(text) & ~F.rlike(string, rule["regex"]), "regex"),
+        F.when(given & ~F.array_contains(rule["enum"], loose_string(text)), "enum"),
+        F.when(given & ((number < rule["low"]) | (number > rule["high"])), "range"),
+        F.when(given & ((F.length(string) < rule["shortest"]) | (F.length(string) > rule["longest"])), "length"),
+    )
+
+
+def validate_instances(instances: DataFrame, declared: DataFrame | dict[str, dict]) -> DataFrame:
+    """id, attribute, fault (unknown attributes as warnings) of instances of declared Things (a table of rules, or what
+    rules_table takes). A Thing's rules meet its instances as one list (as long as its declaration) and generic tests run on
+    their columns, so the plan is the same for any number of Things. Few rules are broadcast by Spark's own size check."""
+    rules = declared if isinstance(declared, DataFrame) else rules_table(instances.sparkSession, declared)
+    of_thing = rules.groupBy("thing_id").agg(F.collect_list(F.struct(*[c for c in rules.columns if c != "thing_id"])).alias("_rules"))
+    found = F.transform("_rules", lambda r: F.struct(r["attribute"].alias("attribute"), _rule_fault(r).alias("fault")))
+    unknown = F.transform(F.array_except(F.map_keys("attributes"), F.transform("_rules", lambda r: r["attribute"])), lambda n: F.struct(n.alias("attribute"), F.lit("unknown").alias("fault")))
     lost = F.array(F.struct(F.lit(None).cast("string").alias("attribute"), F.lit("thing").alias("fault")))
-    faults = reduce(lambda rest, item: F.when(F.col("thing_id") == item[0], of(item[1])).otherwise(rest), declared.items(), lost)
-    return instances.select("id", F.explode(faults).alias("f")).select("id", "f.*")
+    faults = F.when(F.col("_rules").isNull(), lost).otherwise(F.concat(F.filter(found, lambda x: x["fault"].isNotNull()), unknown))
+    return instances.join(of_thing, "thing_id", "left").select("id", F.explode(faults).alias("f")).select("id", "f.*")
 
 
 def validity(faults: DataFrame, instances: DataFrame) -> DataFrame:
@@ -94,13 +109,13 @@ def validity(faults: DataFrame, instances: DataFrame) -> DataFrame:
     return joined.withColumn("valid", F.col("n_faults") == 0)
 
 
-def validate_forms(submissions: DataFrame, interfaces: dict[str, str], declared: dict[str, dict]) -> DataFrame:
-    """id, attribute, fault of submissions (id, interface_id, attributes): the interface must exist, its Thing too, then
-    the Thing's rules hold (types are the Thing's)."""
-    thing = reduce(lambda rest, item: F.when(F.col("interface_id") == item[0], F.lit(item[1])).otherwise(rest), interfaces.items(), F.lit(None).cast("string"))
-    placed = submissions.withColumn("thing_id", thing)
-    lost = placed.where("thing_id is null").select("id", F.lit(None).cast("string").alias("attribute"), F.lit("interface").alias("fault"))
-    return lost.unionByName(validate_instances(placed.where("thing_id is not null"), declared))
+def validate_forms(submissions: DataFrame, interfaces: DataFrame | dict[str, str], declared: DataFrame | dict[str, dict]) -> DataFrame:
+    """id, attribute, fault of submissions (id, interface_id, attributes): the interface must exist (interfaces: interface_id,
+    thing_id), its Thing too, then the Thing's rules hold (types are the Thing's)."""
+    known = interfaces if isinstance(interfaces, DataFrame) else submissions.sparkSession.createDataFrame(list(interfaces.items()), "interface_id string, thing_id string")
+    placed = submissions.join(known.select("interface_id", "thing_id", F.lit(True).alias("_known")), "interface_id", "left")
+    lost = placed.where("_known is null").select("id", F.lit(None).cast("string").alias("attribute"), F.lit("interface").alias("fault"))
+    return lost.unionByName(validate_instances(placed.where("_known"), declared))
 
 
 # Rules over a model. Every rule gives (map_id, entity, rule, message, severity).
@@ -140,10 +155,12 @@ def default_gaps(model, counts: DataFrame | None = None) -> DataFrame:
     return requires_entity_links(model.entities, counts, default_rules(model.spark)).unionByName(requires_field(model.entities, "definition", "Thing"))
 
 
-def selected(rows: DataFrame, selector: str = "all", value: str | None = None) -> DataFrame:
-    """The entities that a rule is about: all, those with a tag (tagged), or those of a class (entityType)."""
+def selected(rows: DataFrame, selector: str = "all", value: str | list[str] | None = None) -> DataFrame:
+    """The entities that a rule is about: all, those with one of some tags (tagged; no tag selects all), or those of a class
+    (entityType)."""
     if selector == "tagged":
-        return rows.where(F.coalesce(F.array_contains("tags", value), F.lit(False)))
+        tags = [value] if isinstance(value, str) else list(value or [])
+        return rows.where(F.coalesce(F.arrays_overlap("tags", F.array(*[F.lit(t) for t in tags])), F.lit(False))) if tags else rows
     return rows.where(F.col("class_id") == value) if selector == "entityType" else rows
 
 

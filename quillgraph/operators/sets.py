@@ -83,7 +83,14 @@ def text_test(name: str, op: str, value: str) -> Column:
 
 
 def one_of(name: str, values: list) -> Column:
-    return reduce(lambda a, b: a | b, [compare(name, "eq", v) for v in values], F.lit(False))
+    """Equal to one of the values, in type and value: one list per JSON type, however many there are."""
+    text, tests = field(name), []
+    strings, numbers = [v for v in values if isinstance(v, str)], [float(v) for v in values if isinstance(v, (int, float)) and not isinstance(v, bool)]
+    plain = [{None: "null", True: "true", False: "false"}[v] for v in values if v is None or isinstance(v, bool)]
+    for some, column in ((strings, string_of(text)), (numbers, number_of(text)), (plain, text)):
+        if some:
+            tests.append(sure(column.isin(some)))
+    return any_of(*tests)
 
 
 def is_null(name: str) -> Column:
@@ -255,16 +262,30 @@ def find_by_id(instances: DataFrame, thing: str, key: str) -> DataFrame:
     return find_by_thing(instances, thing).where(F.col("id") == key)
 
 
+def searchable(model) -> DataFrame:
+    """map_id, uri, class_id, container_uri, name, searched (in lower case), snippet of entities, symbols and contexts: an
+    entity's name, definition, description, role, attribute names and rules, a symbol's label and content, a context's name
+    and description."""
+    text = lambda n: F.nullif(loose_string(field(n)), F.lit(""))
+    names = F.array_join(F.from_json(field("attributes"), "array<struct<name: string>>")["name"], " ")
+    rules = F.array_join(F.from_json(field("rules"), "array<string>"), " ")
+    places = ["map_id", "uri", "class_id", "container_uri"]
+    words = F.concat_ws(" ", "name", text("definition"), text("description"), text("role"), F.nullif(names, F.lit("")), F.nullif(rules, F.lit("")))
+    entities = model.entities.where("not is_custom").select(*places, "name", words.alias("searched"), F.coalesce(text("definition"), text("description"), text("role"), F.lit("")).alias("snippet"))
+    said = text("content")
+    symbols = model.symbols.select(*places, F.coalesce(text("label"), F.substring(said, 1, 80), F.lit("")).alias("name"), F.concat_ws(" ", text("label"), said).alias("searched"), F.coalesce(said, F.lit("")).alias("snippet"))
+    contexts = model.contexts.where("parent_uri is not null").select("map_id", "uri", F.lit("Context").alias("class_id"), F.col("parent_uri").alias("container_uri"), "name", F.concat_ws("\n", "name", text("description")).alias("searched"), F.coalesce(text("description"), F.lit("")).alias("snippet"))
+    return entities.unionByName(symbols).unionByName(contexts).withColumns({"searched": F.lower("searched"), "snippet": F.substring("snippet", 1, 100)})
+
+
+def found(hits: DataFrame, text: str, contexts: DataFrame, classes: list[str] | None = None) -> DataFrame:
+    """Those of searchable rows that hold `text` in any case: id, name, class, container's name, snippet."""
+    hits = hits if classes is None else hits.where(F.col("class_id").isin(classes))
+    names = contexts.select("map_id", F.col("uri").alias("container_uri"), F.col("name").alias("context_name"))
+    return hits.where(F.col("searched").contains(text.lower())).join(names, ["map_id", "container_uri"], "left").select("map_id", F.col("uri").alias("id"), "name", "class_id", "context_name", "snippet")
+
+
 def search(model, text: str, classes: list[str] | None = None) -> DataFrame:
-    """Entities, symbols and contexts whose searchable text holds `text` in any case: id, name, class, container's name
-    and a snippet of 100 characters."""
-    entities = model.entities.unionByName(model.symbols)
-    words = [loose_string(field(n)) for n in ("definition", "description", "role", "label", "content")]
-    found = entities.withColumn("searched", F.concat_ws(" ", "name", *words))
-    places = model.contexts.where("parent_uri is not null").select("map_id", "uri", F.lit("Context").alias("class_id"), F.col("parent_uri").alias("container_uri"), "name", F.concat_ws(" ", "name", loose_string(field("description"))).alias("searched"))
-    both = found.select("map_id", "uri", "class_id", "container_uri", "name", "searched").unionByName(places)
-    if classes is not None:
-        both = both.where(F.col("class_id").isin(classes))
-    hits = both.where(F.lower("searched").contains(text.lower()))
-    names = model.contexts.select("map_id", F.col("uri").alias("container_uri"), F.col("name").alias("context_name"))
-    return hits.join(names, ["map_id", "container_uri"], "left").select("map_id", F.col("uri").alias("id"), "name", "class_id", "context_name", F.substring("searched", 1, 100).alias("snippet"))
+    """What holds `text`, by a scan (operators/search.py: by an index)."""
+    return found(searchable(model), text, model.contexts, classes)
+
