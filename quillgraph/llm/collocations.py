@@ -27,11 +27,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from quillgraph.llm.common import PARTS, materialize, meet, slices
+from quillgraph.llm.common import LARGE_ROWS, PARTS, materialize, meet, slices
 
 LEAST, MOST_WORDS, TOP = 100, 5, 2000
-#: Words of a shard; bits of a bitmap of phrases (16 MB).
-SHARD, FILTER = 1 << 19, 1 << 27
+#: Words of a shard; bits of a bitmap of phrases (4 MB).
+SHARD, FILTER = 1 << 18, 1 << 25
 #: Ends of pieces become a line feed, tabs spaces, A-Z lower case.
 _PLAIN = bytes.maketrans(b".,;:!?\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n" * 9 + b" abcdefghijklmnopqrstuvwxyz")
 _INDEX = "bwt binary, own binary, words array<string>, lang_of binary, langs array<string>, keys array<bigint>, counts array<bigint>, totals array<bigint>"
@@ -222,7 +222,7 @@ def phrases(shards: DataFrame, filters: list, least: int) -> DataFrame:
 
 def frequent_phrases(documents: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f: phrases of at most `most_words` words that occur `least` times; lang, n: occurrences of words)."""
-    shards = materialize(indexes(documents, shard), "indexes")
+    shards = materialize(indexes(documents, shard), "indexes", LARGE_ROWS)
     totals = shards.select(F.explode(F.arrays_zip("langs", "totals")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.totals").alias("n"))
     filters: list = []
     for _ in range(min(most_words, MOST_WORDS)):

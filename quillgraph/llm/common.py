@@ -36,12 +36,16 @@ def shared_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir().rstrip("/")
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Options of a table of very large rows (MB each): a row group holds a few, since readers take a whole one at once.
+LARGE_ROWS = {"parquet.block.size": 4 << 20, "parquet.block.size.row.check.min": 1, "parquet.page.size.row.check.min": 1}
+
+
+def materialize(df: DataFrame, name: str, options: dict | None = None) -> DataFrame:
     """Write df to a Parquet table in the shared folder and read it again: later jobs start from those files, so neither
     a lost executor nor a second use repeats the work. The table goes when the driver's Python ends."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/quillgraph-{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.option("compression", "zstd").options(**(options or {})).parquet(path)
     atexit.register(drop_path, spark, path)
     return spark.read.schema(df.schema).parquet(path)
 

@@ -223,7 +223,7 @@ def spoken(seed, langs=("en", "de", None)):
     return rows
 
 
-@pytest.mark.parametrize("shard", [1 << 19, 700, 23])
+@pytest.mark.parametrize("shard", [1 << 18, 700, 23])
 def test_collocations(spark, shard):
     rows = [*spoken(shard), (500, None, "en"), (501, "", "en"), (502, " \n.,", "en"), (503, "a b c a b c a b c a b c " * 30, "en"), (504, "same " * 300, "de"), (505, "only one language", "xx"), (505, "only one language", "xx"), (506, "und", "und")]
     found = collocations.collocations(documents(spark, rows), least=8, shard=shard)
