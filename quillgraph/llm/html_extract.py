@@ -7,8 +7,9 @@
    slot; where they differ in a tag, first a further round of the group just passed is looked for (a repeated group), else
    the nearest element at which both go on, and what is skipped is optional. Structures are dealt to SALTS groups by their
    hash, folded in the order of their text, and the groups' wrappers in the order of their numbers: neither partitions nor
-   the order of rows matter, and no task sees all structures of a host. A level of more than WIDE elements becomes a group
-   without order, and a wrapper of more than NODES elements is cut at the depth where it has fewer; so its size is bounded.
+   the order of rows matter, and no task sees all structures of a host. Of a level of more than WIDE elements the first and
+   the last are kept in order and what lies between is one slot; in a wrapper of more than NODES elements that holds for levels
+   of more than FEW at the depth where there are more, and what lies below these isn't told apart: its size is bounded.
 3. The wrapper is marked: it tells which elements hold the article. These are its outermost article and main elements, with
    the h1 that vary outside them; on hosts without such elements, what lies between the first and the last slot of the
    deepest container that holds all slots. Texts that are the same on all pages don't count as slots. A name (class or id)
@@ -41,7 +42,7 @@ from pyspark.sql import functions as F
 from quillgraph.llm.common import materialize, slices
 from quillgraph.llm.url_filter import host_of
 
-GROUP, DEEP, WIDE, NODES = 4, 64, 64, 4096
+GROUP, DEEP, WIDE, FEW, NODES = 4, 64, 512, 32, 4096
 #: Groups that a host's structures are dealt to, by rounds of folding.
 SALTS = (4096, 64, 1)
 #: Structures that a task holds before it passes them on; characters of wrappers that are broadcast; parts of a host's pages beyond.
@@ -339,15 +340,10 @@ def aligned(a: Node, b: Node, same: bool, work: list[tuple[Node, Node, bool]]) -
     left, right = a.kids, b.kids
     if (a.flags | b.flags) & FREE:
         a.flags |= FREE
-        known = {x.sign: x for x in unordered(left)}
-        for x in unordered(right):
-            if x.sign not in known and len(known) >= WIDE:
-                x = anything(x.pages)
-            if x.sign in known:
-                work.append((known[x.sign], x, same))
-            else:
-                known[x.sign] = x
-        a.kids = list(known.values())
+        n, m = edges_shared(left, right)
+        work.extend((left[k], right[k], same) for k in range(n))
+        work.extend((left[-k], right[-k], same) for k in range(1, m + 1))
+        a.kids = [*left[:n], anything(a.pages + b.pages), *left[len(left) - m :]]
         return
     pairs = matched(left, right)
     out: list[Node] = []
@@ -439,40 +435,54 @@ def next_place(places: dict[str, list[int]], sign: str, at: int) -> int:
 
 
 def anything(pages: int) -> Node:
-    """Stands for elements that aren't told apart; its text is a slot."""
+    """Stands for elements that aren't told apart; its text is a slot, but on one page, where no text is one."""
     node = Node("*", pages, OPTIONAL | REPEATED)
-    node.kids = [Node("#", pages, REPEATED, 0, 0xFFFFFFFF)]
+    node.kids = [Node("#", pages, REPEATED, 0, 0xFFFFFFFF if pages > 1 else 0)]
     return node
 
 
-def unordered(kids: list[Node]) -> list[Node]:
-    """A level without order: one optional, repeated child for each sign, and one for all signs beyond the first WIDE in order."""
-    known: dict[str, Node] = {}
-    for kid in sorted(kids, key=lambda x: x.sign):
-        if kid.sign == "*" or kid.sign not in known and len(known) >= WIDE:
-            kid = anything(kid.pages)
-        if kid.sign in known:
-            merge(known[kid.sign], kid, True)
-        else:
-            known[kid.sign] = kid
-            kid.flags |= OPTIONAL | REPEATED
-    return list(known.values())
+def parted(kids: list[Node]) -> tuple[list[Node], list[Node], bool]:
+    """What stands before and behind the middle of a wide level that isn't told apart; both are all children, if there is none."""
+    at = next((k for k, x in enumerate(kids) if x.sign == "*"), -1)
+    return (kids, kids, False) if at < 0 else (kids[:at], kids[at + 1 :], True)
+
+
+def edges_shared(left: list[Node], right: list[Node]) -> tuple[int, int]:
+    """How many children at the beginning and at the end of two levels have the same signs."""
+    (head_l, tail_l, wide_l), (head_r, tail_r, wide_r) = parted(left), parted(right)
+    n = 0
+    while n < min(len(head_l), len(head_r)) and head_l[n].sign == head_r[n].sign:
+        n += 1
+    most, m = min(len(tail_l) - n * (not wide_l), len(tail_r) - n * (not wide_r)), 0
+    while m < most and tail_l[-1 - m].sign == tail_r[-1 - m].sign:
+        m += 1
+    return n, m
+
+
+def narrow(node: Node, most: int) -> None:
+    """Leaves the first and last children of a level, in order; those between aren't told apart, their text is a slot."""
+    head, tail, _ = parted(node.kids)
+    if len(node.kids) > most:
+        node.kids = [*head[: most // 2], anything(node.pages), *tail[max(len(tail) - most // 2, 0) :]]
+        node.flags |= FREE
 
 
 def bound(root: Node) -> Node:
-    """Cuts levels of more than WIDE children and wrappers of more than NODES elements."""
+    """Narrows levels of more than WIDE children; beyond NODES elements all of a depth to FEW, and what lies below isn't told
+    apart."""
     level, total = [root], 1
     while level:
         for node in level:
-            if len(node.kids) > WIDE:
-                node.flags |= FREE
-                node.kids = unordered(node.kids)
+            narrow(node, WIDE)
+        if total + sum(len(node.kids) for node in level) > NODES:
+            for node in level:
+                narrow(node, FEW)
         below = [kid for node in level for kid in node.kids]
         total += len(below)
         if total > NODES:
-            for node in level:
-                if any(x.sign != "#" for x in node.kids):
-                    node.kids = [Node("#", node.pages, REPEATED, 0, 0xFFFFFFFF)]
+            for node in below:
+                if node.sign not in "#*" and node.kids:
+                    node.kids = anything(node.pages).kids
             return root
         level = below
     return root
@@ -543,7 +553,7 @@ def decide(wrapper: Node) -> Node:
                 top = top.kids[own[0]]
                 above = (*above, top)
                 continue
-            return [(kid, above) for kid in (top.kids if top.flags & FREE else top.kids[own[0] : own[-1] + 1]) if not barred(kid)]
+            return [(kid, above) for kid in top.kids[own[0] : own[-1] + 1] if not barred(kid)]
 
     def open_form(node: Node) -> bool:
         return node.tag == "form" and id(node) not in holds
@@ -648,8 +658,9 @@ def partners(wrapper: Node | None, page: Node) -> list[Node | None]:
     if wrapper is None:
         return [None] * len(page.kids)
     if wrapper.flags & FREE:
-        by_sign = {x.sign: x for x in wrapper.kids}
-        return [by_sign.get(x.sign, by_sign.get("*")) for x in page.kids]
+        n, m = edges_shared(wrapper.kids, page.kids)
+        middle = wrapper.kids[len(parted(wrapper.kids)[0])]
+        return [*wrapper.kids[:n], *[middle] * (len(page.kids) - n - m), *wrapper.kids[len(wrapper.kids) - m :]]
     left, out = wrapper.kids, []
     places: dict[str, list[int]] = defaultdict(list)
     for k, x in enumerate(left):

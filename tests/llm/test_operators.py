@@ -889,3 +889,43 @@ def test_queries_cover_their_tables(spark, name):
     table = "pages" if name in ("op7_url_filters", "op9_html_extraction") else "documents"
     key = "page_id" if table == "pages" else "doc_id"
     assert QUERIES[name](spark, SF).select(key).distinct().count() == spark.read.parquet(f"{SF}/{table}.parquet").count()
+
+
+def wide_pages(n, seed=1):
+    """Pages of a host without article or main: a header, n blocks of differing elements, an imprint."""
+    draw = random.Random(seed)
+    pages = []
+    for k in range(6):
+        blocks = [(draw.choice(["p", "ul", "h2", "pre", "section", "div", "blockquote"]), f"page {k} block {b} {draw.random()}") for b in range(n)]
+        body = "".join(f"<{t}><li>{x}</li></{t}>" if t == "ul" else f"<{t}>{x}</{t}>" for t, x in blocks)
+        pages.append((f"<html><body><div class=top>My site</div>{body}<div class=legal>All rights reserved</div></body></html>", "\n\n".join(x for _, x in blocks)))
+    return pages
+
+
+@pytest.mark.parametrize("n", [40, 63, 70, 200, 511, 700, 3000])
+def test_levels_of_any_width(n):
+    """Header and imprint stay out and the article whole, whatever the number of blocks."""
+    pages = wide_pages(n)
+    wrapper = wrapper_of([html for html, _ in pages])
+    assert len(html_extract.dump(wrapper)) < 400_000
+    for html, want in pages:
+        assert html_extract.text_of(html, wrapper) == want
+
+
+def test_wide_levels_in_a_job(spark):
+    pages = [(k, "http://h.org/x", html, want) for k, (html, want) in enumerate(wide_pages(900))]
+    rows = spark.createDataFrame([p[:3] for p in pages], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.extract(rows.repartition(3)).collect()} == {k: want for k, _, _, want in pages}
+
+
+def test_wrappers_of_very_many_elements_are_bounded():
+    """A thousand elements a level, and levels below them: the ends of levels stay in order."""
+    inner = "".join(f"<section>{''.join(f'<div><p>w{a}{b}</p></div>' for b in range(12))}</section><h2>t{a}</h2><ul><li>x</li></ul>" for a in range(400))
+    pages = [f"<html><body><div class=top>My site</div>{inner}<p>last of {k}</p><div class=legal>Imprint</div></body></html>" for k in range(4)]
+    pages = [html.replace("w1", f"v{k}").replace("t3", f"u{k}") for k, html in enumerate(pages)]
+    wrapper = wrapper_of(pages)
+    assert sum(1 for _ in html_extract.walk(wrapper)) < 2 * html_extract.NODES
+    for k, html in enumerate(pages):
+        text = html_extract.text_of(html, wrapper)
+        assert "My site" not in text and "Imprint" not in text
+        assert text.endswith(f"last of {k}") and f"v{k}" in text
