@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from quillgraph.functions import json_text, paths
 from quillgraph.functions.json_text import field, number_of, string_of
@@ -182,6 +181,30 @@ def sink_jsonld(spark, sf_dir):
     return triples.jsonld(part_triples(Model(spark, sf_dir))).select("value")
 
 
+PARTED = f"""{LINES} UNION ALL SELECT {TERM % "'bm:ctx:root'"}, 2, '<{NS}vocab/hasPart>', {TERM % "s"} FROM (SELECT 'bm:thing:p' || p_partkey AS s FROM part)"""
+
+
+def hub_triples(m: Model):
+    """Triples of parts, and one subject that has as many as there are parts."""
+    return part_triples(m).unionByName(triples.triple(m.parts, F.lit("bm:ctx:root"), "hasPart", F.col("uri")))
+
+
+@query(f"""WITH T AS ({PARTED}), O AS (SELECT *, row_number() OVER w AS n, lag(s) OVER w AS a, lead(s) OVER w AS b FROM T WINDOW w AS (ORDER BY rtrim(s, '>'), f, rtrim(o, '>')))
+  SELECT n, CASE WHEN a = s THEN '  ' ELSE s || ' ' END || CASE WHEN f = 0 THEN 'a' ELSE p END || ' ' || o || CASE WHEN b = s THEN ' ;' ELSE ' .' END AS value FROM O""", "X")
+def sink_turtle_lines(spark, sf_dir):
+    """Turtle by a sort: a line a triple, one subject with a fourth of them."""
+    return triples.turtle_lines(hub_triples(Model(spark, sf_dir)), 10_000).select(F.col("_n").alias("n"), "value")
+
+
+@query("""WITH T AS (SELECT 'bm:thing:p' || p_partkey AS s, 0 AS f, '@type' AS p, 'bm:Thing' AS o FROM part UNION ALL SELECT 'bm:thing:p' || p_partkey, 1, 'memberOf', 'bm:ctx:root' FROM part
+    UNION ALL SELECT 'bm:thing:p' || p_partkey, 3, 'rdfs:label', p_name FROM part UNION ALL SELECT source_uri, 4, 'step:extends', target_uri FROM X UNION ALL SELECT 'bm:ctx:root', 2, 'hasPart', 'bm:thing:p' || p_partkey FROM part)
+  , O AS (SELECT *, row_number() OVER w AS n, coalesce(lag(s) OVER w = s, false) AS same, coalesce(lag(s) OVER w = s AND lag(p) OVER w = p, false) AS again, coalesce(lead(s) OVER w = s, false) AS on_, coalesce(lead(s) OVER w = s AND lead(p) OVER w = p, false) AS more FROM T WINDOW w AS (ORDER BY s, f, o))
+  SELECT n, CASE WHEN same THEN '' ELSE '{"@id":"' || s || '"' END || ',' || CASE WHEN again THEN '' ELSE '"' || p || '":' END || CASE WHEN more AND NOT again THEN '[' ELSE '' END || '"' || o || '"' || CASE WHEN again AND NOT more THEN ']' ELSE '' END || CASE WHEN on_ THEN '' ELSE '}' END AS value FROM O""", "X")
+def sink_jsonld_lines(spark, sf_dir):
+    """JSON-LD by a sort: a line an object."""
+    return triples.jsonld_lines(hub_triples(Model(spark, sf_dir)), 10_000).select(F.col("_n").alias("n"), "value")
+
+
 @query("""SELECT 'vocabulary' AS "graph", count(*) AS n FROM (SELECT DISTINCT p_brand FROM part) UNION ALL SELECT 'model', 3 * (SELECT count(*) FROM part) + (SELECT count(*) FROM X)
   UNION ALL SELECT 'instances', 8 * count(*) FROM customer""", "X")
 def sink_trig(spark, sf_dir):

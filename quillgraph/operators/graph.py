@@ -97,20 +97,6 @@ def inheritance_chains(extends: DataFrame) -> DataFrame:
     return pairs.where("node != ancestor").join(caught, "node", "left").select("node", "ancestor", "depth", F.coalesce("_caught", F.lit(False)).alias("circular"))
 
 
-def trim(edges: DataFrame) -> DataFrame:
-    """Edges (src, dst) left when nodes that nothing points to, and that point to nothing, are dropped again and again: what
-    remains lies on cycles or between them."""
-    left = durable(edges.select("src", "dst").distinct(), "edges")
-    n = left.count()
-    while True:
-        rest = left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
-        rest = rest.join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
-        left = durable(rest, "edges")
-        before, n = n, left.count()
-        if n == before:
-            return left
-
-
 def circular_extends(extends: DataFrame, order: str = "dst") -> DataFrame:
     """id of the Things on a cycle of extends links (src, dst, order); a Thing's last link counts.
 
@@ -142,20 +128,54 @@ def _spread(labels: DataFrame, edges: DataFrame) -> DataFrame:
             return labels
 
 
-def cyclic_nodes(edges: DataFrame) -> DataFrame:
-    """Nodes on any cycle (edges: src, dst), by rounds of colouring.
+def shorten(edges: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(edges without chains; id, a, b of the nodes of chains and the ends of theirs; id, component of rings that nothing
+    joins). A node in a chain has one edge in and one out, so it lies on a cycle if the chain's two ends are in one component.
+    Ends are found by doubling, both ways at once; a ring has none, and its smallest node is known by then."""
+    only = lambda own, other, name: edges.groupBy(F.col(own).alias("id")).agg(F.count(F.lit(1)).alias(f"_{name}"), F.min(other).alias(name))
+    inner = only("src", "dst", "b").join(only("dst", "src", "a"), "id").where("_a = 1 and _b = 1 and a != id").select("id", "a", "b", F.col("id").alias("low"), F.lit(True).alias("moved"))
+    inner = durable(inner, "chains")
+    n, reach = inner.count(), 1
+    while n:
+        ahead = inner.select(F.col("id").alias("b"), F.col("b").alias("_b"), F.col("low").alias("_low"))
+        behind = inner.select(F.col("id").alias("a"), F.col("a").alias("_a"))
+        met = inner.join(ahead, "b", "left").join(behind, "a", "left")
+        inner = durable(met.select("id", F.coalesce("_a", "a").alias("a"), F.coalesce("_b", "b").alias("b"), F.least("low", F.coalesce("_low", "low")).alias("low"), (F.col("_a").isNotNull() | F.col("_b").isNotNull()).alias("moved")), "chains")
+        reach *= 2
+        # When steps are longer than all chains, only rings still move.
+        if reach > 2 * n or inner.where("moved").isEmpty():
+            break
+    rings = inner.where("moved").select("id", F.col("low").alias("component"))
+    chains = inner.where("not moved").select("id", "a", "b")
+    starts = edges.join(inner.select(F.col("id").alias("src")), "src", "left_anti")
+    short = starts.join(chains.select(F.col("id").alias("dst"), "b"), "dst", "left").select("src", F.coalesce("b", "dst").alias("dst")).distinct()
+    return durable(short, "edges"), chains, rings
+
 
-    Sources and sinks are trimmed off. Every node takes the largest label that reaches it; a node that keeps its own is a
-    root, and those of its colour that reach it back are its strongly connected component: on a cycle, all of them, if
-    they have an edge among them. They leave, and the rest goes on. Each round is joins over the edges that are left;
-    pairs of nodes are never made.
+def components(edges: DataFrame) -> DataFrame:
+    """id, component of the nodes on cycles (edges: src, dst): strongly connected components by rounds of colouring.
+
+    Nodes that nothing points to, or that point to nothing, and chains are taken out in turn as long as that leaves fewer edges.
+    Of what is left every node takes the largest label that reaches it; a node that keeps its own is a root, and those of its
+    colour that reach it back are its component. They leave, and the rest goes on in the same way; then chains are put in
+    again. Each round is joins over the edges that are left; pairs of nodes are never made.
     """
-    found, core = None, trim(edges)
-    while not core.isEmpty():
+    core, taken = durable(edges.select("src", "dst").distinct(), "edges"), []
+    n = core.count()
+    while n:
+        alive = core.join(core.select(F.col("dst").alias("src")).distinct(), "src", "left_semi")
+        alive = alive.join(core.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst")
+        core, chains, rings = shorten(durable(alive, "edges"))
+        taken.append((chains, rings))
+        before, n = n, core.count()
+        if n == before:
+            break
+    found = edges.select(F.col("src").alias("id"), F.col("src").alias("component")).where("false")
+    if n:
         nodes = core.select(F.col("src").alias("id")).union(core.select("dst")).distinct()
         colour = _spread(nodes.withColumn("label", F.col("id")), core)
         inner = core.join(colour.select(F.col("id").alias("src"), F.col("label").alias("a")), "src").join(colour.select(F.col("id").alias("dst"), F.col("label").alias("b")), "dst").where("a = b")
-        inner = durable(inner.select("src", "dst"), "inner")
+        inner = durable(inner.select("src", "dst", F.col("a").alias("label")), "inner")
         frontier = durable(colour.where("id = label").select("id"), "roots")
         own = frontier
         while not frontier.isEmpty():
@@ -163,12 +183,21 @@ def cyclic_nodes(edges: DataFrame) -> DataFrame:
             frontier = durable(back.join(own, "id", "left_anti"), "roots")
             own = own.unionByName(frontier)
         on = inner.join(own.withColumnRenamed("id", "src"), "src", "left_semi").join(own.withColumnRenamed("id", "dst"), "dst", "left_semi")
-        on = on.select(F.col("src").alias("id")).distinct()
-        found = on if found is None else found.unionByName(on)
+        found = found.unionByName(on.select(F.col("src").alias("id"), F.col("label").alias("component")).distinct())
         gone = own.withColumnRenamed("id", "src")
-        rest = core.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst")
-        core = trim(rest)
-    return edges.select(F.col("src").alias("id")).where("false") if found is None else found.distinct()
+        rest = durable(core.join(gone, "src", "left_anti").join(gone.withColumnRenamed("src", "dst"), "dst", "left_anti").select("src", "dst"), "edges")
+        if not rest.isEmpty():
+            found = found.unionByName(components(rest))
+    for chains, rings in reversed(taken):
+        known = durable(found.unionByName(rings), "components")
+        one = chains.join(known.select(F.col("id").alias("a"), "component"), "a").join(known.select(F.col("id").alias("b"), F.col("component").alias("_far")), "b").where("component = _far")
+        found = known.unionByName(one.select("id", "component"))
+    return found
+
+
+def cyclic_nodes(edges: DataFrame) -> DataFrame:
+    """Nodes on any cycle (edges: src, dst)."""
+    return components(edges).select("id")
 
 
 # Capabilities from weak to strong.

@@ -6,8 +6,10 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from quillgraph.functions.json_text import field, loose_string, string_of
+from quillgraph.operators.scan import RANGE, in_ranges
 
 NS = "https://quillgraph.example/"
 
@@ -157,6 +159,62 @@ def jsonld(triples: DataFrame) -> DataFrame:
     return joined.select("s", F.concat(F.lit("{"), F.array_join(parts, ","), F.lit("}")).alias("value"))
 
 
+def in_order(triples: DataFrame, rows: int = RANGE) -> DataFrame:
+    """triples sorted by subject, type first, predicate and object, in ranges (_range), with their number (_n) and the (s, p)
+    before and behind each (_before, _behind). A range's ends come from the ranges beside it, one row each, so a subject with
+    any share of all triples is spread over ranges and no list of a subject is made."""
+    first = F.when(F.col("p") == "rdf:type", 0).otherwise(1)
+    placed = in_ranges(triples.withColumn("_key", F.struct("s", first.alias("first"), "p", "o")), "_key", rows)
+    order = Window.partitionBy("_range").orderBy("_key")
+    pair = lambda key: F.struct(F.col(key)["s"].alias("s"), F.col(key)["p"].alias("p"))
+    ends = placed.groupBy("_range").agg(F.min("_key").alias("_low"), F.max("_key").alias("_high"), F.count(F.lit(1)).alias("_count"))
+    across = Window.orderBy("_range")  # a row a range
+    ends = ends.select("_range", F.lag(pair("_high")).over(across).alias("_left"), F.lead(pair("_low")).over(across).alias("_right"), F.coalesce(F.sum("_count").over(across.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_base"))
+    inner = placed.withColumns({"_prev": F.lag(pair("_key")).over(order), "_next": F.lead(pair("_key")).over(order), "_in": F.row_number().over(order)})
+    met = inner.join(ends, "_range")
+    return met.select(*triples.columns, "_range", (F.col("_base") + F.col("_in")).alias("_n"), F.coalesce("_prev", "_left").alias("_before"), F.coalesce("_next", "_right").alias("_behind"))
+
+
+def _breaks(side: str, *fields: str) -> Column:
+    """Whether the neighbour on a side has another subject (and predicate)."""
+    same = F.lit(True)
+    for name in fields:
+        same = same & F.coalesce(F.col(side)[name].eqNullSafe(F.col(name)), F.lit(False))
+    return F.col(side).isNull() | ~same
+
+
+def turtle_lines(triples: DataFrame, rows: int = RANGE) -> DataFrame:
+    """_range, _n, value: the lines of turtle()'s blocks, a triple each, from a sort in place of a list per subject."""
+    found = in_order(triples, rows)
+    name = F.when(F.col("p") == "rdf:type", "a").otherwise(property_name(F.col("p")))
+    opening = F.when(_breaks("_before", "s"), F.concat(resource(F.col("s")), F.lit(" "))).otherwise("  ")
+    return found.select("_range", "_n", F.concat(opening, name, F.lit(" "), object_term(F.col("p"), F.col("o")), F.when(_breaks("_behind", "s"), " .").otherwise(" ;")).alias("value"))
+
+
+def _json(text: Column) -> Column:
+    return F.regexp_replace(F.to_json(F.array(text)), r"^\[|\]$", "")
+
+
+def jsonld_lines(triples: DataFrame, rows: int = RANGE) -> DataFrame:
+    """_range, _n, value: jsonld()'s nodes, cut into a line per object; joined without breaks the lines of a subject are its node."""
+    types = triples.where("p = 'rdf:type'").groupBy("s").agg(F.max("o").alias("o"))  # of several the last counts
+    rest = triples.where("p != 'rdf:type'").select("s", "p", "o")
+    found = in_order(types.select("s", F.lit("rdf:type").alias("p"), "o").unionByName(rest), rows)
+    opens, closes = _breaks("_before", "s", "p"), _breaks("_behind", "s", "p")
+    name = F.when(F.col("p") == "rdf:type", '"@type"').otherwise(_json(F.col("p")))
+    value = F.concat(
+        F.when(_breaks("_before", "s"), F.concat(F.lit('{"@id":'), _json(F.col("s")))).otherwise(""),
+        F.lit(","), F.when(opens, F.concat(name, F.lit(":"))).otherwise(""), F.when(opens & ~closes, "[").otherwise(""),
+        _json(F.col("o")), F.when(closes & ~opens, "]").otherwise(""), F.when(_breaks("_behind", "s"), "}").otherwise(""),
+    )
+    return found.select("_range", "_n", value.alias("value"))
+
+
+def write_lines(lines: DataFrame, path: str) -> None:
+    """Writes lines (_range, _n, value) as text, a folder a range; in the order of the ranges the files are the document."""
+    lines.repartition("_range").sortWithinPartitions("_range", "_n").select("_range", "value").write.partitionBy("_range").text(path)
+
+
 def trig(vocabulary: DataFrame, model: DataFrame, instances: DataFrame) -> DataFrame:
     """graph, value: the lines of three named graphs, to be written partitioned by graph."""
     tiers = {"vocabulary": ntriples(vocabulary), "model": ntriples(model), "instances": ntriples(instances, True)}
