@@ -9,8 +9,8 @@ from quillgraph.functions.json_text import field, number_of, string_of
 from quillgraph.functions.transforms import Registry
 from quillgraph.jobs.model import Model, uri
 from quillgraph.jobs.registry import query
-from quillgraph.operators import joins, mapping, quality, sets, triples
-from quillgraph.sources import files
+from quillgraph.operators import joins, mapping, quality, sets, triples, versions
+from quillgraph.sources import documents, files
 
 MAPPING = mapping.Mapping(
     thing="thing:event",
@@ -129,6 +129,87 @@ def src_model(spark, sf_dir):
     return rows.union(links.select("map_id", F.lit("link"), "source_uri", "target_uri", "predicate").distinct())
 
 
+def whole_documents(m: Model, side: str = "base", width: int = 5_000):
+    """Documents of nations with customers as personas and what else a document may hold: two kinds of custom facets (one is
+    declared), workflows with steps, Things with states and references, actions with payloads, notes, links with all they
+    carry. side: base, ours or theirs, for versions."""
+    k, s = F.col("c_custkey"), F.col("c_custkey").cast("string")
+    name = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    some = lambda test, row: F.collect_list(F.when(test, row))
+    of = lambda **f: F.struct(*[(v if not isinstance(v, str) else F.lit(v)).alias(n) for n, v in f.items()])
+    x = F.when(F.lit(side == "ours") & (k % 10 == 0), F.lit(99)).otherwise(k % 7)
+    y = F.when(F.lit(side == "theirs") & (k % 4 == 0), F.lit(77)).otherwise(k % 11)
+    level = F.when(F.lit(side != "base") & (k % 9 == 0), F.lit({"ours": 50, "theirs": 60}.get(side, 0))).otherwise(k % 5)
+    node = some((k % 2 == 0) & ~(F.lit(side == "theirs") & (k % 22 == 0)), of(uri=name("bm:node:", s), name=name("n", s), x=x, y=y))
+    risk = some(k % 3 == 0, of(uri=name("bm:risk:", s), tags=F.array(F.lit("hot")), level=level))
+    flow = some(k % 4 == 0, of(uri=name("bm:flow:", s), name=name("flow ", s), steps=F.array(of(id=name("bm:step:", s, ":1"), name=F.lit("one")), of(id=name("bm:step:", s, ":2"), name=F.lit(None).cast("string")))))
+    states = F.array(of(id=name("bm:state:", s, ":a"), name=F.lit("a"), transitions=F.array(of(targetStateId=name("bm:state:", s, ":b")))), of(id=name("bm:state:", s, ":b"), name=F.lit("b"), transitions=F.lit(None).cast("array<struct<targetStateId: string>>")))
+    thing = some(k % 5 == 0, of(uri=name("bm:thing:d", s), name=name("thing ", s), attributes=F.array(of(name="like", type="reference", referencedThingId="bm:thing:x"), of(name="n", type="integer", referencedThingId=F.lit(None).cast("string"))), states=states))
+    act = some(k % 6 == 0, of(uri=name("bm:act:", s), name=name("act ", s), payload=F.array(of(name="q", sourceThingId=name("bm:thing:d", s)), of(name="r", sourceThingId=F.lit(None).cast("string"))), requestSchema=F.array(of(name="z", sourceThingId=F.lit("bm:thing:req")))))
+    note = some(k % 7 == 0, of(uri=name("bm:sym:", s), content=name("see @[X](entity:bm:persona:c", s, ") and @[Y](entity:z)")))
+    link = lambda n: F.when(k % 4 == 0, of(uri=name(f"l{n}:", s), predicate="step:performer", sourceUri=name("bm:step:", s, f":{n}"), targetUri=name("bm:persona:c", s), label="does", description=name("d", s), pattern="p", metadata=of(w=k % 3)))
+    persona = F.collect_list(of(uri=name("bm:persona:c", s), name=F.col("c_name"), segment=F.col("c_mktsegment")))
+    place = of(uri=name("bm:ctx:n", F.col("c_nationkey").cast("string")), parentUri="bm:ctx:root", name=F.first("c_nationkey").cast("string"), domainType="core", facets=of(personas=persona, workflows=flow, things=thing, actions=act), customFacets=of(canvasNode=node, risks=risk), symbols=note)
+    links = F.filter(F.flatten(F.collect_list(F.array(link(1), link(2)))), lambda x: x.isNotNull())
+    root = of(uri="bm:ctx:root", name="root", meta=of(createdAt="2024-01-01"), customTypes=F.array(of(id="Risk", pluralKey="risks")), contexts=F.create_map(name("bm:ctx:n", F.col("c_nationkey").cast("string")), place), links=links)
+    rows = bucketed(m.table("customer"), width).groupBy("c_nationkey", "bucket").agg(F.to_json(root).alias("body"))
+    return rows.select(name("map", F.col("c_nationkey").cast("string"), "/", F.col("bucket").cast("string")).alias("map_id"), "body")
+
+
+WHOLE = """CUST AS (SELECT c_custkey AS k, CAST(c_custkey AS VARCHAR) AS s, 'bm:ctx:n' || c_nationkey AS place, c_nationkey, c_name, c_mktsegment FROM customer)"""
+
+
+@query(f"""WITH {WHOLE} SELECT 'Persona' AS kind, false AS custom, 'bm:persona:c' || s AS uri, place, '"' || c_mktsegment || '"' AS info, NULL AS more FROM CUST
+  UNION ALL SELECT 'canvasNode', true, 'bm:node:' || s, place, CAST(k % 7 AS VARCHAR), CAST(k % 11 AS VARCHAR) FROM CUST WHERE k % 2 = 0 UNION ALL SELECT 'Risk', true, 'bm:risk:' || s, place, CAST(k % 5 AS VARCHAR), '["hot"]' FROM CUST WHERE k % 3 = 0
+  UNION ALL SELECT 'Workflow', false, 'bm:flow:' || s, place, NULL, NULL FROM CUST WHERE k % 4 = 0 UNION ALL SELECT 'Thing', false, 'bm:thing:d' || s, place, NULL, NULL FROM CUST WHERE k % 5 = 0
+  UNION ALL SELECT 'Action', false, 'bm:act:' || s, place, NULL, NULL FROM CUST WHERE k % 6 = 0 UNION ALL SELECT 'Symbol', false, 'bm:sym:' || s, place, NULL, NULL FROM CUST WHERE k % 7 = 0
+  UNION ALL SELECT 'link', false, 'l' || n || ':' || s, 'does', 'd' || s || '/p', '{{"w":' || k % 3 || '}}' FROM CUST, (VALUES (1), (2)) t(n) WHERE k % 4 = 0
+  UNION ALL SELECT DISTINCT 'Context', false, place, 'bm:ctx:root', '"core"', NULL FROM CUST UNION ALL SELECT DISTINCT 'Context', false, 'bm:ctx:root', NULL, NULL, '{{"createdAt":"2024-01-01"}}' FROM CUST""")
+def src_documents(spark, sf_dir):
+    """Whole documents to rows: facets of all kinds, with fields that no schema names, and links with all they carry."""
+    flat = documents.flatten(whole_documents(Model(spark, sf_dir)))
+    at = lambda n: F.element_at("fields", F.lit(n))
+    kind = F.col("class_id")
+    info = F.when(kind == "Persona", at("segment")).when(kind == "canvasNode", at("x")).when(kind == "Risk", at("level"))
+    more = F.when(kind == "canvasNode", at("y")).when(kind == "Risk", at("tags"))
+    rows = flat["entities"].select(kind.alias("kind"), F.col("is_custom").alias("custom"), "uri", F.col("container_uri").alias("place"), info.alias("info"), more.alias("more"))
+    rows = rows.union(flat["links"].select(F.lit("link"), F.lit(False), "uri", "label", F.concat_ws("/", "description", "pattern"), "metadata"))
+    return rows.union(flat["containers"].select(F.lit("Context"), F.lit(False), "uri", "parent_uri", at("domainType"), at("meta")).distinct())
+
+
+@query(f"""WITH {WHOLE} SELECT 'bm:node:' || s AS uri, 'modified' AS change, 'x' AS fields FROM CUST WHERE k % 10 = 0 AND k % 7 <> 99 UNION ALL SELECT 'bm:risk:' || s, 'modified', 'level' FROM CUST WHERE k % 9 = 0""")
+def document_changes(spark, sf_dir):
+    """What differs between two versions of whole documents, custom facets too."""
+    m = Model(spark, sf_dir)
+    base, ours = (documents.snapshot(documents.flatten(whole_documents(m, side))).dropDuplicates(["kind", "uri"]) for side in ("base", "ours"))
+    return versions.diff(base, ours).select("uri", F.col("change_type").alias("change"), F.array_join("changed_fields", ",").alias("fields"))
+
+
+@query(f"""WITH {WHOLE} SELECT 'bm:node:' || s AS uri, CASE WHEN k % 22 = 0 AND k % 10 = 0 THEN 'conflict' WHEN k % 22 = 0 THEN 'removed' WHEN k % 10 = 0 AND k % 4 = 0 THEN 'merged' WHEN k % 10 = 0 THEN 'ours' WHEN k % 4 = 0 THEN 'theirs' ELSE 'keep' END AS outcome FROM CUST WHERE k % 2 = 0
+  UNION ALL SELECT 'bm:risk:' || s, CASE WHEN k % 9 = 0 THEN 'conflict' ELSE 'keep' END FROM CUST WHERE k % 3 = 0""")
+def document_merge(spark, sf_dir):
+    """Custom facets in a three-way merge of whole documents: places move on both sides, levels are in conflict."""
+    m = Model(spark, sf_dir)
+    sides = [documents.snapshot(documents.flatten(whole_documents(m, side))).dropDuplicates(["kind", "uri"]) for side in ("base", "ours", "theirs")]
+    rows = versions.merge(*sides)
+    return rows.where(F.col("uri").startswith("bm:node:") | F.col("uri").startswith("bm:risk:")).select("uri", "outcome")
+
+
+@query(f"""WITH {WHOLE}, R AS (SELECT 'bm:persona:c' || s AS u, place, 'bm:Persona' AS t, c_name AS l FROM CUST UNION ALL SELECT 'bm:risk:' || s, place, 'bm:custom/Risk', 'bm:risk:' || s FROM CUST WHERE k % 3 = 0
+    UNION ALL SELECT 'bm:flow:' || s, place, 'bm:Workflow', 'flow ' || s FROM CUST WHERE k % 4 = 0 UNION ALL SELECT 'bm:thing:d' || s, place, 'bm:Thing', 'thing ' || s FROM CUST WHERE k % 5 = 0
+    UNION ALL SELECT 'bm:act:' || s, place, 'bm:Action', 'act ' || s FROM CUST WHERE k % 6 = 0 UNION ALL SELECT 'bm:sym:' || s, place, 'bm:Symbol', 'see @[X](entity:bm:persona:c' || s || ') and @[Y](entity:z)' FROM CUST WHERE k % 7 = 0)
+  SELECT u AS s, 'rdf:type' AS p, t AS o FROM R UNION ALL SELECT u, 'memberOf', place FROM R UNION ALL SELECT u, 'rdfs:label', l FROM R UNION ALL SELECT 'bm:risk:' || s, 'hasTag', 'hot' FROM CUST WHERE k % 3 = 0
+  UNION ALL SELECT 'bm:step:' || s || ':' || n, p, CASE p WHEN 'rdf:type' THEN 'bm:WorkflowStep' WHEN 'memberOf' THEN 'bm:flow:' || s WHEN 'rdfs:label' THEN CASE n WHEN 1 THEN 'one' ELSE 'bm:step:' || s || ':2' END ELSE 'bm:persona:c' || s END FROM CUST, (VALUES (1), (2)) t(n), (VALUES ('rdf:type'), ('memberOf'), ('rdfs:label'), ('step:performer')) v(p) WHERE k % 4 = 0
+  UNION ALL SELECT 'bm:flow:' || s, 'workflow:involvesPersona', 'bm:persona:c' || s FROM CUST WHERE k % 4 = 0
+  UNION ALL SELECT 'bm:state:' || s || ':' || n, p, CASE p WHEN 'rdf:type' THEN 'bm:ThingState' WHEN 'state:memberOf' THEN 'bm:thing:d' || s ELSE n END FROM CUST, (VALUES ('a'), ('b')) t(n), (VALUES ('rdf:type'), ('state:memberOf'), ('rdfs:label')) v(p) WHERE k % 5 = 0
+  UNION ALL SELECT 'bm:state:' || s || ':a', 'state:transitionsTo', 'bm:state:' || s || ':b' FROM CUST WHERE k % 5 = 0 UNION ALL SELECT 'bm:thing:d' || s, 'references', 'bm:thing:x' FROM CUST WHERE k % 5 = 0
+  UNION ALL SELECT 'bm:act:' || s, 'derivedPayloadFrom', o FROM CUST, LATERAL (VALUES ('bm:thing:d' || s), ('bm:thing:req')) t(o) WHERE k % 6 = 0 UNION ALL SELECT 'bm:sym:' || s, 'mentions', o FROM CUST, LATERAL (VALUES ('bm:persona:c' || s), ('z')) t(o) WHERE k % 7 = 0""")
+def document_triples(spark, sf_dir):
+    """Every family of triples of whole documents, row by row (those of contexts, the same in all documents, left out)."""
+    rows = triples.document_triples(documents.flatten(whole_documents(Model(spark, sf_dir))))
+    return rows.where(~F.col("s").startswith("bm:ctx:"))
+
+
 @query("""SELECT 'entities' AS kind, 'bm:inst:' || c_custkey AS id, c_acctbal AS value FROM customer
   UNION ALL SELECT 'relationships', 'bm:rel:' || o_orderkey, NULL FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)""")
 def src_instances(spark, sf_dir):

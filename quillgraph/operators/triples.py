@@ -68,6 +68,56 @@ def model_triples(model, symbols: bool = False) -> DataFrame:
     )
 
 
+STEPS = "array<struct<id: string, name: string>>"
+STATES = "array<struct<id: string, name: string, transitions: array<struct<targetStateId: string>>>>"
+DERIVED = "array<struct<sourceThingId: string>>"
+
+
+def document_triples(flat: dict[str, DataFrame]) -> DataFrame:
+    """All triples of whole documents (as documents.flatten gives them): types, labels, places and tags of facets, symbols and
+    facets of declared kinds; steps of workflows, whom and what these involve, states of Things and where they lead, where
+    payloads and schemas come from, mentions in notes, references, attributes inherited over one step, and the links."""
+    containers, links = flat["containers"], flat["links"]
+    own = flat["entities"].where("not is_custom")
+    custom = flat["entities"].where("is_custom").join(flat["kinds"].select("map_id", F.col("plural_key").alias("facet_key")).distinct(), ["map_id", "facet_key"], "left_semi")
+    rows = own.withColumn("_type", F.concat(F.lit("bm:"), "class_id")).unionByName(custom.withColumn("_type", F.concat(F.lit("bm:custom/"), "class_id")))
+    note = F.coalesce(string_of(field("label")), F.substring(string_of(field("content")), 1, 100))
+    label = F.when(F.col("class_id") == "Symbol", note).otherwise(F.coalesce("name", "uri"))
+    tags = rows.select("uri", "tags").unionByName(containers.select("uri", "tags"))
+    nested = lambda name, kind: own.select("uri", "class_id", F.explode(F.from_json(field(name), kind)).alias("x"))
+    steps, states = nested("steps", STEPS).where("class_id = 'Workflow'"), nested("states", STATES).where("class_id = 'Thing'")
+    moves = states.select(F.col("x.id").alias("id"), F.explode("x.transitions").alias("t"))
+    derived = [triple(nested(n, DERIVED), "uri", "derivedPayloadFrom", F.nullif(F.col("x.sourceThingId"), F.lit(""))) for n in ("payload", "requestSchema", "responseSchema")]
+    said = own.where("class_id = 'Symbol'").select("uri", F.explode(F.regexp_extract_all(string_of(field("content")), F.lit(r"@\[[^\]]*\]\(entity:([^)]+)\)"), F.lit(1))).alias("id"))
+    of_step = steps.select(F.col("x.id").alias("source_uri"), F.col("uri").alias("workflow")).distinct()
+    involved = lambda link, name: triple(links.where(F.col("predicate") == link).join(of_step, "source_uri").select("workflow", "target_uri").distinct(), "workflow", name, "target_uri")
+    things = own.where("class_id = 'Thing'")
+    attributes = attributes_of(things)
+    return union(
+        triple(containers, "uri", "rdf:type", F.lit("bm:Context")),
+        triple(containers, "uri", "rdfs:label", "name"),
+        triple(containers, "uri", "childOf", "parent_uri"),
+        triple(rows, "uri", "rdf:type", "_type"),
+        triple(rows, "uri", "memberOf", "container_uri"),
+        triple(rows, "uri", "rdfs:label", label),
+        triple(tags.select("uri", F.explode("tags").alias("tag")), "uri", "hasTag", "tag"),
+        *derived,
+        triple(steps, "x.id", "rdf:type", F.lit("bm:WorkflowStep")),
+        triple(steps, "x.id", "memberOf", "uri"),
+        triple(steps, "x.id", "rdfs:label", F.coalesce("x.name", "x.id")),
+        triple(states, "x.id", "rdf:type", F.lit("bm:ThingState")),
+        triple(states, "x.id", "state:memberOf", "uri"),
+        triple(states, "x.id", "rdfs:label", "x.name"),
+        triple(moves, "id", "state:transitionsTo", "t.targetStateId"),
+        involved("step:performer", "workflow:involvesPersona"),
+        involved("step:action", "workflow:involvesAction"),
+        triple(said, "uri", "mentions", "id"),
+        reference_triples(attributes),
+        inherited_triples(links.where("predicate = 'extends'"), things, attributes),
+        triple(links, "source_uri", F.col("predicate"), "target_uri"),
+    )
+
+
 def workflow_triples(steps: DataFrame) -> DataFrame:
     """steps: workflow, performer, action; a persona or action counts once per workflow."""
     return union(triple(steps.select("workflow", "performer").distinct(), "workflow", "workflow:involvesPersona", "performer"), triple(steps.select("workflow", "action").distinct(), "workflow", "workflow:involvesAction", "action"))
