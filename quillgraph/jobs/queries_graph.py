@@ -889,3 +889,46 @@ def measure_windows(spark, sf_dir):
     points = Model(spark, sf_dir).table("events").select(F.col("event_type").alias("measure_id"), (F.col("user_id") % 3).cast("string").alias("dimension"), "ts", "value")
     rows = streams.meets_target(streams.measure_windows(points), "n", 20)
     return rows.withColumns({"total": F.round("total", 4), "mean": F.round("mean", 6)})
+
+
+#: Measures with windows of their own length and aggregation.
+DECLARED_MEASURES = {
+    "signup": {"aggregation": "count", "window": (1, "days"), "min": 2, "direction": "higher-is-better"},
+    "purchase": {"aggregation": "percentile", "window": (2, "weeks"), "quantile": 0.9, "max": 80, "direction": "lower-is-better"},
+    "view": {"aggregation": "average", "window": (12, "hours"), "min": 20, "max": 60, "direction": "range"},
+    "click": {"aggregation": "rate", "window": (6, "hours")},
+    "error": {"aggregation": "ratio", "window": (3, "days"), "min": 0.5, "direction": "higher-is-better"},
+}
+DECLARED_SQL = """WITH M(m, kind, len, lo, hi, way) AS (VALUES ('signup', 'count', 86400, 2.0, NULL, 'up'), ('purchase', 'percentile', 1209600, NULL, 80.0, 'down'), ('view', 'average', 43200, 20.0, 60.0, 'in'), ('click', 'rate', 21600, NULL, NULL, NULL), ('error', 'ratio', 259200, 0.5, NULL, 'up')),
+  W AS (SELECT m, kind, len, lo, hi, way, CAST(user_id % 3 AS VARCHAR) AS dimension, CAST(floor(epoch(ts) / len) AS BIGINT) * len AS start, CASE WHEN event_id % 4 = 0 THEN 0 ELSE value END AS v FROM events JOIN M ON m = event_type),
+  A AS (SELECT m, kind, len, lo, hi, way, dimension, start, count(*) AS n, CASE kind WHEN 'count' THEN count(*) WHEN 'percentile' THEN quantile_disc(v, 0.9) WHEN 'average' THEN avg(v) WHEN 'rate' THEN count(*) / len ELSE count(*) FILTER (v <> 0) / count(*) END AS value FROM W GROUP BY m, kind, len, lo, hi, way, dimension, start)
+  SELECT m AS measure_id, dimension, make_timestamp(start * 1000000) AS start, n, round(value, 6) AS value, CASE way WHEN 'up' THEN value >= lo WHEN 'down' THEN value <= hi WHEN 'in' THEN value BETWEEN lo AND hi END AS met FROM A"""
+
+
+def declared_points(m: Model):
+    value = F.when(F.col("event_id") % 4 == 0, F.lit(0.0)).otherwise(F.col("value"))
+    return m.table("events").select(F.col("event_type").alias("measure_id"), (F.col("user_id") % 3).cast("string").alias("dimension"), F.col("ts").cast("timestamp").alias("ts"), value.alias("value"))
+
+
+def declared(rows):
+    return rows.select("measure_id", "dimension", F.col("start").cast("timestamp_ntz").alias("start"), "n", F.round("value", 6).alias("value"), "met")
+
+
+@query(DECLARED_SQL)
+def declared_measures(spark, sf_dir):
+    """Each measure by its own aggregation and window, quantiles from sketches of hours."""
+    measures = streams.measures_table(spark, DECLARED_MEASURES)
+    return declared(streams.declared_windows(streams.measure_parts(declared_points(Model(spark, sf_dir))), measures))
+
+
+@query(DECLARED_SQL)
+def stream_declared_measures(spark, sf_dir):
+    """The same from a stream: hours are written when the watermark has passed them, and put together when asked for."""
+    landed, checkpoint, out = files.scratch(spark, "points"), files.scratch(spark, "progress"), files.scratch(spark, "hours")
+    points = declared_points(Model(spark, sf_dir))
+    points.repartitionByRange(4, "ts").withColumn("part", F.spark_partition_id()).write.partitionBy("part").parquet(landed)
+    closing = points.agg(F.max("ts").alias("ts")).select(F.lit("end").alias("measure_id"), F.lit("").alias("dimension"), (F.col("ts") + F.expr("INTERVAL 1000 DAYS")).alias("ts"), F.lit(0.0).alias("value"), F.lit(9).alias("part"))
+    closing.write.mode("append").partitionBy("part").parquet(landed)
+    stream = streams.files(spark, landed, points.schema, 1)
+    streams.windows(streams.measure_parts(stream, late="400 days"), out, checkpoint).awaitTermination()
+    return declared(streams.declared_windows(spark.read.parquet(out), streams.measures_table(spark, DECLARED_MEASURES)))

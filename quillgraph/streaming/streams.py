@@ -122,6 +122,55 @@ def measure_windows(points: DataFrame, width: str = "1 day", late: str | None =
     return made.select("measure_id", "dimension", F.col("w.start").alias("start"), "n", "total", "mean", "low", "high")
 
 
+#: Values that a quantile sketch keeps at its lowest level: quantiles are exact up to about as many points, then near.
+SKETCH = 4096
+#: Units of durations in seconds.
+UNITS = {"seconds": 1, "minutes": 60, "hours": 3600, "days": 86_400, "weeks": 604_800}
+MEASURES = "measure_id string, aggregation string, seconds long, quantile double, low double, high double, direction string"
+
+
+def measures_table(spark: SparkSession, declared: dict[str, dict]) -> DataFrame:
+    """Measures (aggregation, window as (value, unit), quantile, min, max, direction of their target) as a table."""
+    rows = []
+    for name, spec in declared.items():
+        value, unit = spec["window"]
+        real = lambda k: None if spec.get(k) is None else float(spec[k])  # noqa: B023, E731
+        rows.append((name, spec.get("aggregation", "count"), int(value * UNITS[unit]), real("quantile"), real("min"), real("max"), spec.get("direction")))
+    return spark.createDataFrame(rows, MEASURES)
+
+
+def measure_parts(points: DataFrame, width: str = "1 hour", late: str | None = None) -> DataFrame:
+    """Small windows per measure and dimension that can be put together to any longer ones: counts, sums, ends and a mergeable
+    sketch of the values. In a stream as measure_windows."""
+    held = points.withWatermark("ts", late or width) if points.isStreaming else points
+    grouped = held.groupBy("measure_id", "dimension", F.window("ts", width).alias("w"))
+    made = grouped.agg(F.count("value").alias("n"), F.count_if(F.col("value") != 0).alias("some"), F.sum("value").alias("total"), F.min("value").alias("least"), F.max("value").alias("most"), F.expr(f"kll_sketch_agg_double(value, {SKETCH})").alias("sketch"))
+    return made.select("measure_id", "dimension", F.col("w.start").alias("start"), "n", "some", "total", "least", "most", "sketch")
+
+
+def declared_windows(parts: DataFrame, measures: DataFrame, quantiles: tuple[float, ...] = (0.5, 0.75, 0.9, 0.95, 0.99)) -> DataFrame:
+    """measure_id, dimension, start, n, value, met: the windows that each measure declares, from small ones (measure_parts), with
+    its own aggregation: count, sum, average, min, max, rate (points a second), ratio (the share of points other than 0)
+    or percentile. Lengths are multiples of the small windows'; measures that declare nothing have no windows. met: whether
+    the value is on the target's good side, or in its range (NULL without a target). quantiles: those that measures may ask for
+    (0.95 where they say nothing); another one has no value."""
+    start = F.timestamp_seconds(F.floor(F.unix_seconds("start") / F.col("seconds")) * F.col("seconds"))
+    placed = parts.join(measures, "measure_id").withColumn("start", start)
+    keys = ["measure_id", "dimension", "start", "aggregation", "seconds", "quantile", "low", "high", "direction"]
+    sums = [F.sum("n").alias("n"), F.sum("some").alias("some"), F.sum("total").alias("total"), F.min("least").alias("least"), F.max("most").alias("most")]
+    whole = placed.groupBy(*keys).agg(*sums, F.expr("kll_merge_agg_double(sketch)").alias("sketch"))
+    kind, n = F.col("aggregation"), F.col("n").cast("double")
+    asked = F.create_map(*[x for q in quantiles for x in (F.lit(q), F.expr(f"kll_sketch_get_quantile_double(sketch, {q}D)"))])
+    value = (
+        F.when(kind == "count", n).when(kind == "sum", F.col("total")).when(kind == "average", F.col("total") / n).when(kind == "min", F.col("least")).when(kind == "max", F.col("most"))
+        .when(kind == "rate", n / F.col("seconds")).when(kind == "ratio", F.col("some") / n).when(kind == "percentile", F.element_at(asked, F.coalesce("quantile", F.lit(0.95))))
+    )
+    whole = whole.where("n > 0").withColumn("value", value)
+    above, below = F.col("value") >= F.col("low"), F.col("value") <= F.col("high")
+    met = F.when(F.col("direction") == "higher-is-better", above).when(F.col("direction") == "lower-is-better", below).when(F.col("direction") == "range", above & below)
+    return whole.select("measure_id", "dimension", "start", "n", "value", met.alias("met"))
+
+
 def meets_target(windows: DataFrame, column: str, target: float) -> DataFrame:
     return windows.withColumn("met", F.col(column) >= target)
 
