@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from quillgraph.llm.common import SPACE, materialize, slices
+from quillgraph.llm.common import SPACE, materialize, meet, parts_of, slices
 
 LONG_WORDS, SHORT_WORDS, WINDOW = 50, 10, 3
 _ID, _ROW, _TEXT = "_qg_id", "_qg_row", "_qg_text"
@@ -55,11 +55,10 @@ def windows(documents: DataFrame, long_words: int = LONG_WORDS, short_words: int
 
 def repeats(found: DataFrame) -> DataFrame:
     """_qg_id, _qg_row, low, high: the lines covered by windows that are not the first of their kind. Counts and first places are partial sums before the shuffle; the
-    windows meet them in a join whose one side has a row per kind, so adaptive execution may split a very common kind."""
+    windows meet them in parts by document, so a kind that a third of all texts hold is spread over tasks."""
     place = F.struct(F.col(_ID).isNull().alias("late"), F.col(_ID).alias("i"), F.col(_ROW).alias("r"), F.col("at").alias("a"))
-    kinds = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times")).where("times > 1")
-    first = kinds.select(F.col("h1").alias("k1"), F.col("h2").alias("k2"), "first")
-    joined = found.join(first, (F.col("h1") == F.col("k1")) & (F.col("h2") == F.col("k2")))
+    kinds = found.groupBy("h1", "h2").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("times"), parts_of(_ID)).where("times > 1").drop("times")
+    joined = meet(found, kinds, ["h1", "h2"], _ID)
     own = F.col(_ID).eqNullSafe(F.col("first.i")) & (F.col(_ROW) == F.col("first.r"))
     behind = F.when(own, F.greatest("at", F.col("first.a") + F.col("width"))).otherwise(F.col("at"))
     return joined.where(~place.eqNullSafe(F.col("first"))).select(_ID, _ROW, behind.alias("low"), (F.col("at") + F.col("width") - 1).alias("high"))

@@ -21,6 +21,11 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return entries.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "failed_bits")
 
 
+def quality_ablations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of operator 2's policy does, alone and beside the others, out of the ledger's bits."""
+    return quality_rules.ablations(quality_rules.ledger(table(spark, sf_dir, "documents")))
+
+
 def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = table(spark, sf_dir, "documents")
     vectors, model = quality_model.train(documents, table(spark, sf_dir, "labels"))
@@ -69,6 +74,9 @@ def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return collocations.collocations(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, op3_quality_classifier, op4_line_dedup, op5_packing, op6_near_dedup, op7_url_filters, op8_media, op9_html_extraction, op10_mixing, op11_exact_dedup, op12_spelling_variants, op13_collocations)}
-ORACLES = {"op1_pii": PII_SQL, "op2_quality_rules": QUALITY_RULES_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op6_near_dedup": NEAR_DEDUP_SQL, "op7_url_filters": url_filter.SQL,
+QUERIES = {f.__name__: f for f in (op1_pii, op2_quality_rules, quality_ablations, op3_quality_classifier, op4_line_dedup, op5_packing, op6_near_dedup, op7_url_filters, op8_media, op9_html_extraction, op10_mixing, op11_exact_dedup, op12_spelling_variants, op13_collocations)}
+_RULES = ", ".join(f"({1 << bit}, '{name}')" for bit, name, _ in quality_rules.RULES if name in quality_rules.POLICIES["v1"])
+ABLATIONS_SQL = f"""WITH q AS ({QUALITY_RULES_SQL}), r(bit, rule) AS (VALUES {_RULES}), w AS (SELECT CAST(sum(bit) AS BIGINT) AS whole FROM r)
+  SELECT rule, count(*) FILTER (failed_bits & bit <> 0) AS failing, count(*) FILTER (failed_bits & whole = bit) AS failing_alone, count(*) FILTER (failed_bits & whole = 0) AS kept_by_all FROM q, r, w GROUP BY rule"""
+ORACLES = {"quality_ablations": ABLATIONS_SQL, "op1_pii": PII_SQL, "op2_quality_rules": QUALITY_RULES_SQL, "op4_line_dedup": LINE_DEDUP_SQL, "op6_near_dedup": NEAR_DEDUP_SQL, "op7_url_filters": url_filter.SQL,
     "op11_exact_dedup": exact_dedup.SQL, "op12_spelling_variants": spelling.SQL, "op13_collocations": collocations.SQL}
