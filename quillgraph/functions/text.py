@@ -145,6 +145,12 @@ def symbol_name(label: Column, content: Column) -> Column:
     return F.coalesce(F.nullif(label, F.lit("")), F.nullif(F.trim(first), F.lit("")), F.lit("Untitled"))
 
 
+def symbol_description(label: Column, content: Column) -> Column:
+    """What a symbol's name leaves: all content beside a label, else the lines behind the first."""
+    behind = F.regexp_replace(F.array_join(F.slice(F.split(content, "\n", -1), 2, 1 << 30), "\n"), r"^\s+|\s+$", "")
+    return F.when(F.coalesce(label, F.lit("")) != "", F.coalesce(content, F.lit(""))).otherwise(F.coalesce(behind, F.lit("")))
+
+
 def identity_uri(id_: Column) -> Column:
     return F.concat(F.lit("bm:identity:"), id_)
 

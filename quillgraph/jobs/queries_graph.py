@@ -932,3 +932,78 @@ def stream_declared_measures(spark, sf_dir):
     stream = streams.files(spark, landed, points.schema, 1)
     streams.windows(streams.measure_parts(stream, late="400 days"), out, checkpoint).awaitTermination()
     return declared(streams.declared_windows(spark.read.parquet(out), streams.measures_table(spark, DECLARED_MEASURES)))
+
+
+# The rest of a row of the survey, beside the query of its name.
+@query("""WITH B AS (SELECT *, CAST(regexp_extract(source_uri, '([0-9]+)$', 1) AS BIGINT) + CAST(regexp_extract(target_uri, '([0-9]+)$', 1) AS BIGINT) AS k FROM L WHERE predicate IN ('extends', 'stewards'))
+  SELECT source_uri, target_uri, CASE WHEN source_uri = target_uri THEN 'self-link' WHEN target_uri NOT IN (SELECT uri FROM N) THEN 'target-missing' WHEN k % 7 = 0 THEN 'pattern' END AS fault FROM B""", "L N")
+def link_patterns(spark, sf_dir):
+    """Links with a pattern: only the eight known ones pass, no or an empty one does."""
+    m = Model(spark, sf_dir)
+    digits = lambda c: F.regexp_extract(c, "([0-9]+)$", 1).cast("long")
+    rest = (digits("source_uri") + digits("target_uri")) % 7
+    pattern = F.when(rest == 0, "odd").when(rest == 1, "shared-kernel").when(rest == 2, "")
+    links = m.extends.unionByName(m.stewards).withColumn("pattern", pattern)
+    return joins.validate_links(links, m).select("source_uri", "target_uri", "fault")
+
+
+@query("""SELECT doc_id AS id, CASE WHEN doc_id % 4 = 0 THEN coalesce(text, '') ELSE regexp_replace(CASE WHEN strpos(coalesce(text, ''), chr(10)) > 0 THEN substr(text, strpos(text, chr(10)) + 1) ELSE '' END, '^[ \\t\\n\\x0B\\f\\r]+|[ \\t\\n\\x0B\\f\\r]+$', '', 'g') END AS description FROM documents""")
+def symbol_descriptions(spark, sf_dir):
+    """What is left of a note beside its name."""
+    rows = Model(spark, sf_dir).table("documents")
+    label = F.when(F.col("doc_id") % 4 == 0, F.col("source"))
+    return rows.select(F.col("doc_id").alias("id"), texts.symbol_description(label, F.col("text")).alias("description"))
+
+
+@query("""WITH G AS (SELECT 'bm:thing:p' || p_partkey AS uri FROM part WHERE p_partkey % 5 = 0), T AS (SELECT source_uri IN (SELECT uri FROM G) OR target_uri IN (SELECT uri FROM G) AS gone FROM L)
+  SELECT 'entity' AS kind, count(*) AS n FROM E WHERE uri NOT IN (SELECT uri FROM G) UNION ALL SELECT 'kept', count(*) FILTER (NOT gone) FROM T UNION ALL SELECT 'pruned', count(*) FILTER (gone) FROM T""", "E L")
+def facet_removal(spark, sf_dir):
+    """Every fifth part goes, one by one, with its links."""
+    m = Model(spark, sf_dir)
+    gone = m.parts.where("ord % 5 = 0").select("map_id", "uri")
+    left, kept, pruned = versions.remove_entities(m.entities, m.links, gone)
+    count = lambda df, kind: df.agg(F.count(F.lit(1)).alias("n")).select(F.lit(kind).alias("kind"), "n")
+    return count(left, "entity").union(count(kept, "kept")).union(count(pruned, "pruned"))
+
+
+@query("""WITH S AS (SELECT doc_id, 'bm:symbol:d' || doc_id AS uri, text FROM documents), A AS (SELECT 'annotates' AS predicate, 'bm:symbol:d' || doc_id AS source_uri, 'bm:thing:p' || (doc_id % 50 + 1) AS target_uri, doc_id FROM documents)
+  SELECT 'context' AS kind, 'bm:ctx:' || sha256(uri) AS uri, 'bm:ctx:n' || (doc_id % 25) AS place FROM S WHERE doc_id % 3 = 0 UNION ALL SELECT 'symbol', uri, NULL FROM S WHERE doc_id % 3 <> 0
+  UNION ALL SELECT 'kept', source_uri, target_uri FROM A WHERE doc_id % 3 <> 0 UNION ALL SELECT 'pruned', source_uri, target_uri FROM A WHERE doc_id % 3 = 0""")
+def bulk_contexts(spark, sf_dir):
+    """Every third note becomes a context; its links go."""
+    m = Model(spark, sf_dir)
+    d = m.table("documents")
+    links = d.select(F.lit("tpch").alias("map_id"), F.lit("annotates").alias("predicate"), uri("symbol:d", "doc_id").alias("source_uri"), F.concat(F.lit("bm:thing:p"), (F.col("doc_id") % 50 + 1).cast("string")).alias("target_uri"))
+    choices = d.where("doc_id % 3 = 0").select(F.lit("tpch").alias("map_id"), uri("symbol:d", "doc_id").alias("uri"), F.concat(F.lit("bm:ctx:n"), (F.col("doc_id") % 25).cast("string")).alias("parent_uri"))
+    content = string_of(field("content"))
+    none = F.lit(None).cast("string")
+    made, left, kept, pruned = versions.classify_as_contexts(m.symbols, links, choices, texts.symbol_name(none, content), texts.symbol_description(none, content))
+    rows = made.select(F.lit("context").alias("kind"), "uri", F.col("parent_uri").alias("place")).union(left.select(F.lit("symbol"), "uri", none))
+    return rows.union(kept.select(F.lit("kept"), "source_uri", "target_uri")).union(pruned.select(F.lit("pruned"), "source_uri", "target_uri"))
+
+
+@query("""WITH O AS (SELECT 'event-occurrence/' || event_id AS s, event_type, ts, CASE WHEN event_id % 3 = 0 THEN 'bm:action:o' || user_id WHEN event_id % 3 = 1 THEN '' END AS who, 'measure-point/' || event_type || '/' || strftime(ts, '%Y-%m-%d %H:%M:%S') || '-' || event_id AS m, event_id, user_id FROM events)
+  SELECT s, 'rdf:type' AS p, 'bm:EventOccurrence' AS o FROM O UNION ALL SELECT s, 'instanceOf', event_type FROM O UNION ALL SELECT s, 'occurredAt', strftime(ts, '%Y-%m-%d %H:%M:%S') FROM O UNION ALL SELECT s, 'triggeredBy', who FROM O WHERE who <> ''
+  UNION ALL SELECT m, 'rdf:type', 'bm:MeasureDataPoint' FROM O UNION ALL SELECT m, 'measureOf', event_type FROM O UNION ALL SELECT m, 'value', CAST(event_id AS VARCHAR) FROM O UNION ALL SELECT m, 'timestamp', strftime(ts, '%Y-%m-%d %H:%M:%S') || '-' || event_id FROM O
+  UNION ALL SELECT m, 'dimension/user', CAST(user_id % 5 AS VARCHAR) FROM O UNION ALL SELECT m, 'dimension/odd', 'yes' FROM O WHERE event_id % 2 = 1""")
+def event_measure_triples(spark, sf_dir):
+    """Events that happened and points that were measured, as triples."""
+    events, c = Model(spark, sf_dir).table("events"), F.col
+    when = F.date_format("ts", "yyyy-MM-dd HH:mm:ss")
+    source = F.when(c("event_id") % 3 == 0, F.concat(F.lit("bm:action:o"), c("user_id").cast("string"))).when(c("event_id") % 3 == 1, "")
+    happened = events.select(c("event_id").alias("id"), c("event_type").alias("event_id"), when.alias("occurred_at"), source.alias("source_action_id"))
+    dimensions = F.map_filter(F.create_map(F.lit("user"), (c("user_id") % 5).cast("string"), F.lit("odd"), F.when(c("event_id") % 2 == 1, "yes")), lambda _, v: v.isNotNull())
+    points = events.select(c("event_type").alias("measure_id"), F.concat_ws("-", when, c("event_id").cast("string")).alias("ts"), c("event_id").alias("value"), dimensions.alias("dimensions"))
+    return triples.occurrence_triples(happened).unionByName(triples.measure_triples(points))
+
+
+@query("""WITH S AS (SELECT 'bm:thing:p' || min(p_partkey) AS id FROM part), U AS (SELECT source_uri AS a, target_uri AS b, predicate FROM L WHERE predicate IN ('extends', 'stewards')), Y AS (SELECT a, b FROM U UNION SELECT b, a FROM U),
+    W(id, depth) AS (SELECT id, 0 FROM S UNION SELECT Y.b, W.depth + 1 FROM W JOIN Y ON Y.a = W.id WHERE W.depth < 2), R AS (SELECT id, min(depth) AS depth FROM W WHERE id NOT IN (SELECT id FROM S) GROUP BY id)
+  SELECT 'direct' AS kind, b AS id, predicate, 1 AS depth FROM U JOIN S ON a = id UNION ALL SELECT 'direct', a, predicate, 1 FROM U JOIN S ON b = id UNION ALL SELECT 'transitive', id, NULL, CAST(depth AS INTEGER) FROM R
+  UNION ALL SELECT 'container', container_uri, NULL, CAST(count(*) AS INTEGER) FROM R JOIN E ON E.uri = R.id GROUP BY 2 UNION ALL SELECT 'total', NULL, NULL, CAST(count(*) AS INTEGER) FROM R""", "E L", True)
+def impact_report(spark, sf_dir):
+    """All that a part touches: direct links with their predicates, what lies two steps away, containers, the total."""
+    m = Model(spark, sf_dir)
+    start = m.table("part").agg(F.min("p_partkey").alias("k")).select(F.lit("tpch").alias("map_id"), uri("thing:p", "k").alias("id"))
+    owners = m.entities.select("map_id", F.col("uri").alias("id"), "container_uri")
+    return graph.impact_report(start, m.extends.unionByName(m.stewards), owners, 2)

@@ -78,6 +78,21 @@ def impact(start: DataFrame, links: DataFrame, owners: DataFrame, depth: int = 3
     return reached.join(owners.select("map_id", "id", "container_uri"), ["map_id", "id"], "left")
 
 
+def impact_report(start: DataFrame, links: DataFrame, owners: DataFrame, depth: int) -> DataFrame:
+    """kind, id, predicate, depth of what depends on the start (map_id, id), in either direction: direct (a row for every link, with
+    its predicate), transitive (the least depth), container (of any of these; a context is its own; depth: how many of
+    them it holds) and total (depth: how many are transitive)."""
+    reached = durable(impact(start, links, owners, depth), "impact")
+    begin = start.select("map_id", F.col("id").alias("_id"))
+    out = links.join(begin.withColumnRenamed("_id", "source_uri"), ["map_id", "source_uri"]).select(F.col("target_uri").alias("id"), "predicate")
+    into = links.join(begin.withColumnRenamed("_id", "target_uri"), ["map_id", "target_uri"]).select(F.col("source_uri").alias("id"), "predicate")
+    none, n = F.lit(None).cast("string"), F.count(F.lit(1)).cast("int")
+    direct = out.unionByName(into).select(F.lit("direct").alias("kind"), "id", "predicate", F.lit(1).alias("depth"))
+    further = reached.select(F.lit("transitive").alias("kind"), "id", none.alias("predicate"), F.col("depth").cast("int").alias("depth"))
+    places = reached.groupBy(F.col("container_uri").alias("id")).agg(n.alias("depth")).where("id is not null").select(F.lit("container").alias("kind"), "id", none.alias("predicate"), "depth")
+    return direct.unionByName(further).unionByName(places).unionByName(reached.agg(n.alias("depth")).select(F.lit("total").alias("kind"), none.alias("id"), none.alias("predicate"), "depth"))
+
+
 def inherit_attributes(extends: DataFrame, attributes: DataFrame) -> DataFrame:
     """thing, attribute, owner, depth: own attributes win, then those of the nearest ancestor. extends (node, up) has one
     row per Thing (its first link); attributes: thing, attribute."""

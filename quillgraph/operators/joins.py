@@ -72,6 +72,10 @@ def relationships_of(relationships: DataFrame, ids: DataFrame, direction: str =
     return out.unionByName(into).dropDuplicates(["id"])
 
 
+#: What a link between contexts may be.
+PATTERNS = ("partnership", "customer-supplier", "conformist", "anticorruption-layer", "open-host-service", "published-language", "shared-kernel", "separate-ways")
+
+
 def validate_links(links: DataFrame, model) -> DataFrame:
     """Every link with the code of its first fault, or NULL."""
     classes = named(model).select("map_id", "id", "class_id")
@@ -92,6 +96,8 @@ def validate_links(links: DataFrame, model) -> DataFrame:
         .when(~F.array_contains("range", F.col("target_class")), "range")
         .when((F.col("predicate") == "extends") & (F.col("source_class") != F.col("target_class")), "extends-class")
     )
+    if "pattern" in links.columns:  # an empty one is none
+        fault = F.coalesce(fault, F.when(F.col("source_class").isNotNull() & F.col("target_class").isNotNull() & (F.col("pattern") != "") & ~F.col("pattern").isin(*PATTERNS), "pattern"))
     return joined.select("map_id", "uri", "predicate", "source_uri", "target_uri", fault.alias("fault"))
 
 

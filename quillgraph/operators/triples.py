@@ -135,11 +135,26 @@ def instance_triples(instances: DataFrame, relationships: DataFrame, measures: D
         triple(relationships, "source_id", F.col("predicate"), "target_id"),
     ]
     if measures is not None:
-        points = measures.withColumn("point", F.concat_ws("/", "measure_id", F.col("ts").cast("string")))
-        parts += [triple(points, "point", "measures", "measure_id"), triple(points, "point", "value", F.col("value").cast("string")), triple(points.select("point", F.explode("dimensions").alias("k", "v")), "point", F.concat(F.lit("dimension/"), "k"), "v")]
+        parts.append(measure_triples(measures))
     return union(*parts)
 
 
+def occurrence_triples(events: DataFrame) -> DataFrame:
+    """Events that happened (id, event_id, occurred_at, source_action_id)."""
+    rows = events.withColumn("s", F.concat(F.lit("event-occurrence/"), F.col("id").cast("string")))
+    return union(triple(rows, "s", "rdf:type", F.lit("bm:EventOccurrence")), triple(rows, "s", "instanceOf", "event_id"), triple(rows, "s", "occurredAt", F.col("occurred_at").cast("string")), triple(rows, "s", "triggeredBy", F.nullif(F.col("source_action_id"), F.lit(""))))
+
+
+def measure_triples(measures: DataFrame) -> DataFrame:
+    """Measured points (measure_id, ts, value, dimensions map<string,string>); a point's name is its measure and time."""
+    rows = measures.withColumn("s", F.concat_ws("/", F.lit("measure-point"), "measure_id", F.col("ts").cast("string")))
+    dimensions = rows.select("s", F.explode("dimensions").alias("k", "v"))
+    return union(
+        triple(rows, "s", "rdf:type", F.lit("bm:MeasureDataPoint")), triple(rows, "s", "measureOf", "measure_id"), triple(rows, "s", "value", F.col("value").cast("string")),
+        triple(rows, "s", "timestamp", F.col("ts").cast("string")), triple(dimensions, "s", F.concat(F.lit("dimension/"), "k"), "v"),
+    )
+
+
 def runtime_triples(instances: DataFrame, runs: DataFrame, marks: DataFrame | None = None) -> DataFrame:
     """instances: uri, type_uri, data, run; runs: uri, pipeline; marks: uri, p, o (retried, suppressed, replayed, ...)."""
     label = loose_string(F.coalesce(F.element_at("data", "name"), F.element_at("data", "label")))

@@ -114,6 +114,24 @@ def cascade_remove(tree: DataFrame, contexts: DataFrame, entities: DataFrame, li
     return contexts.join(places, "uri", "left_anti"), entities.join(dead, "uri", "left_anti"), kept, pruned
 
 
+def remove_entities(entities: DataFrame, links: DataFrame, gone: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """entities without single facets and symbols (gone: map_id, uri), the links that are left, and the links that went with
+    them: those that touch something that was there and goes, once each."""
+    dead = durable(entities.join(gone.select("map_id", "uri").distinct(), ["map_id", "uri"], "left_semi").select("map_id", "uri"), "removed")
+    mark = lambda end: dead.select("map_id", F.col("uri").alias(end), F.lit(True).alias(f"_{end}"))
+    met = links.join(mark("source_uri"), ["map_id", "source_uri"], "left").join(mark("target_uri"), ["map_id", "target_uri"], "left")
+    touched = F.coalesce("_source_uri", "_target_uri", F.lit(False))
+    return entities.join(dead, ["map_id", "uri"], "left_anti"), met.where(~touched).select(*links.columns), met.where(touched).select(*links.columns)
+
+
+def classify_as_contexts(symbols: DataFrame, links: DataFrame, choices: DataFrame, name: Column, description: Column) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """Contexts made of symbols (choices: map_id, uri, parent_uri) under new ids, the symbols and links that are left, and the
+    links that went: a context takes none of its symbol's links along."""
+    fresh = F.concat(F.lit("bm:ctx:"), F.sha2("uri", 256))
+    made = symbols.join(choices.select("map_id", "uri", "parent_uri"), ["map_id", "uri"]).select("map_id", fresh.alias("uri"), "parent_uri", name.alias("name"), description.alias("description"), F.col("uri").alias("from_uri"))
+    return made, *remove_entities(symbols, links, choices)
+
+
 def retype(entities: DataFrame, changes: DataFrame) -> DataFrame:
     """Entities with the class of changes (map_id, id, new_class): id and name stay, a description becomes a definition for
     Things and the other way round for the rest."""
