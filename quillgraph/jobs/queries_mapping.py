@@ -210,6 +210,26 @@ def document_triples(spark, sf_dir):
     return rows.where(~F.col("s").startswith("bm:ctx:"))
 
 
+@query(f"""WITH {WHOLE} SELECT 'Persona' AS kind, 'bm:' || sha256('copy|bm:persona:c' || s) AS id, 'bm:' || sha256('copy|' || place) AS other, NULL AS third FROM CUST
+  UNION ALL SELECT 'Thing', 'bm:' || sha256('copy|bm:thing:d' || s), 'bm:' || sha256('copy|bm:thing:x'), 'bm:' || sha256('copy|bm:state:' || s || ':b') FROM CUST WHERE k % 5 = 0
+  UNION ALL SELECT 'Workflow', 'bm:' || sha256('copy|bm:flow:' || s), 'bm:' || sha256('copy|bm:step:' || s || ':1'), NULL FROM CUST WHERE k % 4 = 0
+  UNION ALL SELECT 'canvasNode', 'bm:' || sha256('copy|bm:node:' || s), CASE WHEN k % 4 = 0 THEN 'bm:' || sha256('copy|bm:persona:c' || s) ELSE 'bm:gone:' || s END, NULL FROM CUST WHERE k % 2 = 0
+  UNION ALL SELECT 'link', 'bm:' || sha256('copy|l' || n || ':' || s), 'bm:' || sha256('copy|bm:step:' || s || ':' || n), 'bm:' || sha256('copy|bm:persona:c' || s) FROM CUST, (VALUES (1), (2)) t(n) WHERE k % 4 = 0""")
+def document_copies(spark, sf_dir):
+    """Whole documents under fresh ids: references inside fields agree, those to what isn't there stay."""
+    flat = documents.flatten(whole_documents(Model(spark, sf_dir)))
+    number = F.regexp_extract("uri", "([0-9]+)$", 1)
+    shown = F.when(number.cast("long") % 4 == 0, F.concat(F.lit('"bm:persona:c'), number, F.lit('"'))).otherwise(F.concat(F.lit('"bm:gone:'), number, F.lit('"')))
+    fields = F.when(F.col("class_id") == "canvasNode", F.map_concat("fields", F.create_map(F.lit("representedBy"), shown))).otherwise(F.col("fields"))
+    copy = documents.re_id(flat | {"entities": flat["entities"].withColumn("fields", fields)}, "copy")
+    at = lambda n, path: F.get_json_object(F.element_at("fields", F.lit(n)), path)
+    kind = F.col("class_id")
+    other = F.when(kind == "Persona", F.col("container_uri")).when(kind == "Thing", at("attributes", "$[0].referencedThingId")).when(kind == "Workflow", at("steps", "$[0].id")).otherwise(at("representedBy", "$"))
+    third = F.when(kind == "Thing", at("states", "$[0].transitions[0].targetStateId"))
+    rows = copy["entities"].where(kind.isin("Persona", "Thing", "Workflow", "canvasNode")).select(kind.alias("kind"), F.col("uri").alias("id"), other.alias("other"), third.alias("third"))
+    return rows.union(copy["links"].select(F.lit("link"), "uri", "source_uri", "target_uri"))
+
+
 @query("""SELECT 'entities' AS kind, 'bm:inst:' || c_custkey AS id, c_acctbal AS value FROM customer
   UNION ALL SELECT 'relationships', 'bm:rel:' || o_orderkey, NULL FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)""")
 def src_instances(spark, sf_dir):

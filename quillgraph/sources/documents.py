@@ -6,10 +6,17 @@ like any other. Fields keep their JSON text with sorted keys, so equal values ha
 
 from __future__ import annotations
 
+import hashlib
+import json
+from collections.abc import Iterator
+from functools import reduce
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quillgraph.functions.vocab import FACETS
+from quillgraph.sources.files import durable
 
 #: Parts of a container that become rows of their own.
 PARTS = ("facets", "customFacets", "symbols", "contexts", "links", "customTypes")
@@ -69,3 +76,83 @@ def snapshot(flat: dict[str, DataFrame]) -> DataFrame:
         links.select(F.lit("link").alias("kind"), "uri", F.lit(None).cast("string").alias("container_uri"), F.col("predicate").alias("class_id"), F.lit(None).cast("string").alias("name"), "fields"),
     ]
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+# Where facets hold ids of others, or of parts of their own.
+ID_PATHS = {
+    "things": ("attributes.referencedThingId", "states.id", "states.transitions.id", "states.transitions.targetStateId", "states.transitions.triggerActionId", "states.transitions.triggerEventId"),
+    "workflows": ("triggerStepId", "trigger.refId", "steps.id", "steps.transitions.id", "steps.transitions.targetStepId"),
+}
+
+
+def fresh(salt: str, id_: Column) -> Column:
+    """A new id: a hash of salt and id, so that all references agree without a table of ids."""
+    return F.concat(F.lit("bm:"), F.sha2(F.concat_ws("|", F.lit(salt), id_), 256))
+
+
+def _rewritten(salt: str):
+    """Field texts of facets with the ids in them renewed and attachments without blobs; the ids that were renewed."""
+
+    def new(id_: str) -> str:
+        return "bm:" + hashlib.sha256(f"{salt}|{id_}".encode()).hexdigest()
+
+    def renew(node, steps: list[str], seen: list[str]) -> None:
+        if isinstance(node, list):
+            for x in node:
+                renew(x, steps, seen)
+        elif isinstance(node, dict) and steps[0] in node:
+            if len(steps) > 1:
+                renew(node[steps[0]], steps[1:], seen)
+            elif isinstance(node[steps[0]], str) and node[steps[0]]:
+                seen.append(node[steps[0]])
+                node[steps[0]] = new(node[steps[0]])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out, ids = [], []
+            for key, fields in zip(batch.column("facet_key").to_pylist(), batch.column("fields").to_pylist(), strict=True):
+                known, seen = dict(fields or ()), []
+                for path in ID_PATHS.get(key, ()):
+                    first, *rest = path.split(".")
+                    if first in known:
+                        node = {first: json.loads(known[first])}
+                        renew(node, [first, *rest], seen)
+                        known[first] = json.dumps(node[first], ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+                if key == "interfaces" and "attachments" in known:
+                    held = json.loads(known["attachments"])
+                    held = [a for a in held if not (isinstance(a, dict) and a.get("kind") == "blob")] if isinstance(held, list) else held
+                    if held:
+                        known["attachments"] = json.dumps(held, ensure_ascii=False, separators=(",", ":"), sort_keys=True)
+                    else:
+                        del known["attachments"]
+                out.append(list(known.items()))
+                ids.append(seen)
+            columns = [batch.column(c) for c in batch.schema.names]
+            columns[batch.schema.names.index("fields")] = pa.array(out, pa.map_(pa.string(), pa.string()))
+            yield pa.RecordBatch.from_arrays([*columns, pa.array(ids, pa.list_(pa.string()))], names=[*batch.schema.names, "_ids"])
+
+    return rows
+
+
+def re_id(flat: dict[str, DataFrame], salt: str) -> dict[str, DataFrame]:
+    """Copies of whole documents under fresh ids. Containers, facets, symbols, links and their ends, states, steps and what refers
+    to them get new ids; representedBy of custom facets does where what it names is part of the copy, else it stays;
+    attachments that are blobs go. Everything else stays as it is."""
+    entities = flat["entities"]
+    standard = F.when(~F.col("is_custom"), F.col("facet_key"))
+    shape = f"{', '.join(f'{f.name} {f.dataType.simpleString()}' for f in entities.schema.fields)}, _own string, _ids array<string>"
+    made = durable(entities.withColumn("_own", F.col("facet_key")).withColumn("facet_key", standard).mapInArrow(_rewritten(salt), shape), "renewed")
+    made = made.withColumn("facet_key", F.col("_own")).drop("_own")
+
+    links = flat["links"]
+    ids = [flat["containers"].select("map_id", F.col("uri").alias("id")), entities.select("map_id", F.col("uri").alias("id")), made.select("map_id", F.explode("_ids").alias("id")), links.select("map_id", F.explode(F.array("uri", "source_uri", "target_uri")).alias("id"))]
+    known = reduce(lambda a, b: a.unionByName(b), ids).where("id is not null").distinct()
+    shown = F.when(F.col("is_custom"), F.get_json_object(F.element_at("fields", F.lit("representedBy")), "$"))
+    met = made.drop("_ids").withColumn("_shown", shown).join(known.select("map_id", F.col("id").alias("_shown"), F.lit(True).alias("_known")), ["map_id", "_shown"], "left")
+    text = lambda id_: F.to_json(F.array(id_)).substr(F.lit(2), F.length(F.to_json(F.array(id_))) - 2)
+    changed = F.map_filter(F.create_map(F.lit("uri"), F.when(F.col("uri").isNotNull(), text(fresh(salt, F.col("uri")))), F.lit("representedBy"), F.when(F.col("_known"), text(fresh(salt, F.col("_shown"))))), lambda _, v: v.isNotNull())
+    met = met.withColumn("fields", F.map_concat(F.map_filter("fields", lambda k, _: ~F.array_contains(F.map_keys(changed), k)), changed))
+    renewed = lambda c: F.when(F.col(c).isNotNull(), fresh(salt, F.col(c))).alias(c)
+    entities = met.select(*[renewed(c) if c in ("uri", "container_uri") else F.col(c) for c in flat["entities"].columns])
+    containers = flat["containers"].select(*[renewed(c) if c in ("uri", "parent_uri") else F.col(c) for c in flat["containers"].columns])
+    return flat | {"entities": entities, "containers": containers, "links": links.select(*[renewed(c) if c in ("uri", "source_uri", "target_uri") else F.col(c) for c in links.columns])}

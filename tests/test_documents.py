@@ -66,3 +66,24 @@ def test_windows_of_any_length(spark):
     measures = streams.measures_table(spark, {"a": {"aggregation": "percentile", "window": (1, "days"), "quantile": 0.5, "min": 10, "max": 20, "direction": "range"}, "b": {"aggregation": "ratio", "window": (12, "hours")}})
     rows = streams.declared_windows(streams.measure_parts(spark.createDataFrame(points, "measure_id string, dimension string, ts timestamp, value double")), measures).collect()
     assert sorted((r.measure_id, r.start, r.n, r.value, r.met) for r in rows) == [("a", at(0), 24, 11.0, True), ("a", at(24), 24, 35.0, False), ("b", at(0), 12, 0.5, None), ("b", at(12), 12, 0.5, None)]
+
+
+def test_copies_under_fresh_ids(spark):
+    document = json.loads(json.dumps(DOCUMENT))
+    document["facets"]["things"][0]["attributes"] = [{"name": "a", "referencedThingId": "elsewhere"}, {"name": "b", "referencedThingId": ""}]
+    document["facets"]["interfaces"] = [{"uri": "i", "attachments": [{"kind": "blob"}, {"kind": "url", "u": 1}]}, {"uri": "j", "attachments": [{"kind": "blob"}]}]
+    document["customFacets"]["canvasNode"][0] |= {"representedBy": "t1"}
+    document["customFacets"]["risks"][0] |= {"representedBy": "nobody", "attributes": [{"referencedThingId": "t1"}]}
+    copy = documents.re_id(flat(spark, document), "s")
+    import hashlib
+
+    new = lambda x: "bm:" + hashlib.sha256(f"s|{x}".encode()).hexdigest()
+    rows = {r.uri: r for r in copy["entities"].collect()}
+    assert set(rows) == {new(x) for x in ("t1", "i", "j", "n1", "n2", "k1", "y")}
+    fields = lambda x: {k: json.loads(v) for k, v in rows[new(x)].fields.items()}
+    assert fields("t1")["attributes"] == [{"name": "a", "referencedThingId": new("elsewhere")}, {"name": "b", "referencedThingId": ""}]
+    assert fields("t1")["states"] == [{"id": new("s1"), "name": "S", "transitions": [{"targetStateId": new("s2")}]}] and fields("t1")["uri"] == new("t1")
+    assert fields("n1")["representedBy"] == new("t1") and fields("k1")["representedBy"] == "nobody" and fields("k1")["attributes"] == [{"referencedThingId": "t1"}]
+    assert fields("i")["attachments"] == [{"kind": "url", "u": 1}] and "attachments" not in fields("j")
+    assert {(r.uri, r.source_uri, r.target_uri) for r in copy["links"].collect()} == {(new("l"), new("t1"), new("y")), (new("m"), new("t1"), new("n1"))}
+    assert {(r.uri, r.parent_uri) for r in copy["containers"].collect()} == {(new("r"), None), (new("c"), new("r"))}
