@@ -8,7 +8,11 @@ the plan: no shuffle, rows with the same id and rows of a hot host are judged wh
 the tokens of the distinct places (host, path) are joined with; both ways give the same rows.
 
 Prefix rules (host, path) fit the host and its subdomains where the URL's path starts with the rule's; the longest that
-fits decides. A URL that no prefix rule fits is blocked if one of the pattern rules fits it, else allowed.
+fits decides. A URL that no prefix rule fits is blocked if one of the pattern rules fits it and no pattern rule that allows
+does, else allowed.
+
+Rules can also be read from the lines of filter lists (filter_rules): domain anchors, separators, wildcards, ends, exceptions,
+regular expressions; their tokens are found in the lines.
 
 The pattern rules in force come from word lists of this module and from no table: names of gambling, adult, drug, spam and
 tracking sites, words that only together make one ("cheap" with "pills", "ads" with "track"; every pair in both orders), and
@@ -118,6 +122,34 @@ def rule_table(spark: SparkSession, rules: list[Rule] | tuple[Rule, ...]) -> Dat
     return spark.createDataFrame([(r.pattern, list(r.tokens), r.verdict, r.prefix) for r in rules], RULE)
 
 
+def filter_rules(lines: DataFrame) -> DataFrame:
+    """A table of rules from the lines (value) of filter lists. ||name^ fits a host, its subdomains and what follows a
+    separator, | the beginning or end, * anything, ^ a separator or the end, /.../ is a regular expression, @@ an exception;
+    letters fit in any case. Comments, headers, rules on elements and blank lines are none; nor are rules whose options ask
+    for more than a URL tells (domains, parties), other options are left out.
+
+    A token must be a whole one of every URL that fits: a run of letters and digits between signs (not beside a * or an open
+    end), and in the host, where case is known. Rules without one are fetched by all URLs."""
+    line = F.regexp_replace("value", r"^\s+|\s+$", "")
+    rows = lines.select(line.alias("line")).where(~F.col("line").rlike(r"^$|^!|^\[|#[@?$]*#"))
+    rows = rows.select(F.when(F.col("line").startswith("@@"), "allow").otherwise("block").alias("verdict"), F.regexp_replace("line", "^@@", "").alias("line"))
+    options = F.regexp_extract("line", r"\$([A-Za-z~][^/$]*)$", 1)
+    rows = rows.select("verdict", options.alias("options"), F.regexp_replace("line", r"\$[A-Za-z~][^/$]*$", "").alias("line"))
+    rows = rows.where((F.col("line") != "") & ~F.col("options").rlike(r"(^|,)~?(domain=|third-party|first-party|3p|1p|from=|to=)"))
+    raw = F.col("line").rlike("^/.+/$")
+    plain = F.regexp_replace(F.regexp_replace("line", r"^\|\|", ""), r"^\|?(?:[A-Za-z*]+://)?|\|$", "")
+    escaped = F.regexp_replace(plain, r"([^A-Za-z0-9*^_/%~-])", r"\\$1")
+    body = F.regexp_replace(F.regexp_replace(escaped, r"\*+", ".*"), r"\^", "(?:[^A-Za-z0-9_.%-]|\\$)")
+    begin = F.when(F.col("line").startswith("||"), r"^(?:[^/?#]*\.)?").when(F.col("line").rlike(r"^\|"), "^").otherwise("")
+    end = F.when(F.col("line").rlike(r"[^|]\|$"), "$").otherwise("")
+    pattern = F.concat(F.lit("(?i)"), F.when(raw, F.regexp_replace("line", "^/|/$", "")).otherwise(F.concat(begin, body, end)))
+    # The host part of a rule with a domain anchor, up to its first * or sign of a path; an open end may go on.
+    host = F.regexp_extract("line", r"^\|\|([A-Za-z0-9.-]*)([/^:?|]?)", 1)
+    shut = F.regexp_extract("line", r"^\|\|([A-Za-z0-9.-]*)([/^:?|]?)", 2) != ""
+    runs = F.regexp_extract_all(F.lower(F.when(shut, host).otherwise(F.regexp_replace(host, "[A-Za-z0-9]+$", ""))), F.lit("[a-z0-9]+"), 0)
+    return rows.select(pattern.alias("pattern"), F.when(raw, F.array().cast("array<string>")).otherwise(runs).alias("tokens"), "verdict", F.lit(None).cast("string").alias("prefix")).distinct()
+
+
 def filed(pages: DataFrame, rules: DataFrame) -> DataFrame:
     """The rules with their rarest token (null without one), by the number of URLs that hold it."""
     place = F.concat(host_of(F.col("url")), path_of(F.col("url")))
@@ -145,7 +177,8 @@ def decided(place: DataFrame, fetched: Column, *columns: str) -> DataFrame:
     judged = place.withColumn("fetched", fetched).withColumn("fits", F.filter("fetched", lambda r: F.rlike(F.concat("host", "path"), r["pattern"])))
     prefixes = F.filter("fits", lambda r: r["prefix"].isNotNull())
     best = F.array_max(F.transform(prefixes, lambda r: F.struct(F.length(r["prefix"]).alias("n"), r["prefix"].alias("prefix"), r["verdict"].alias("verdict"))))
-    blocked = F.exists("fits", lambda r: r["prefix"].isNull() & (r["verdict"] == "block"))
+    says = lambda verdict: F.exists("fits", lambda r: r["prefix"].isNull() & (r["verdict"] == verdict))
+    blocked = says("block") & ~says("allow")
     return judged.withColumn("best", best).select(
         *columns, F.col("best.prefix").alias("rule"),
         F.coalesce(F.col("best.verdict"), F.when(blocked, F.lit("block")).otherwise(F.lit("allow"))).alias("verdict"),
@@ -171,7 +204,7 @@ def judge(pages: DataFrame, rules: DataFrame | tuple[Rule, ...] | list[Rule] = P
     both = meet(asking, found.withColumn("token", F.coalesce("token", F.lit(""))), ["token"], "path")
     both = both.withColumn("fits", F.rlike(F.concat("host", "path"), F.col("pattern")))
     prefix = F.when(F.col("fits") & F.col("prefix").isNotNull(), F.struct(F.length("prefix").alias("n"), "prefix", "verdict"))
-    blocked = F.max(F.when(F.col("fits") & F.col("prefix").isNull() & (F.col("verdict") == "block"), F.lit("block")))
+    blocked = F.min(F.when(F.col("fits") & F.col("prefix").isNull(), F.col("verdict")))  # allow before block
     whole = both.groupBy("host", "path").agg(F.max(prefix).alias("best"), blocked.alias("blocked"), F.count(F.lit(1)).alias("candidates"), F.count_if("fits").alias("matched"))
     return meet(placed, whole, ["host", "path"], "page_id", "left").select(
         "page_id", "host", "path", F.col("best.prefix").alias("rule"), F.coalesce(F.col("best.verdict"), F.col("blocked"), F.lit("allow")).alias("verdict"),
