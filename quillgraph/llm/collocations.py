@@ -1,15 +1,17 @@
 """Phrases that occur more often together than apart, counted by FM-indexes of shards over word ids.
 
-A task cuts its texts into pieces, numbers words, and makes shards of SHARD words. A shard's index is the Burrows-Wheeler
-transform of its words, in the order of their contexts of MOST_WORDS words. From it alone intervals of phrases are extended
-by a word to the left (the mapping from the transform to the first words), while the interval of the same rows one level up
-is the phrase without its last word, the extension to the right; all intervals of a depth are extended at once, with numpy.
+Words are counted first. A task then cuts its texts into pieces, numbers the frequent words, and makes shards of SHARD words; an
+infrequent word ends a piece, for no frequent phrase holds one. A shard's index is the Burrows-Wheeler transform of its
+words, in the order of their contexts of MOST_WORDS words. From it alone intervals of phrases are extended by a word to
+the left (the mapping from the transform to the first words), while the interval of the same rows one level up is the
+phrase without its last word, the extension to the right; all intervals of a depth are extended at once, with numpy.
 Phrases' counts are summed across shards.
 
 Counts of a phrase never exceed those of its parts, so depth d + 1 extends those phrases of depth d alone that occur `least`
-times over all shards. Between depths only numbers move: a phrase is a hash of 64 bits, partial sums are made in each task,
-and the hashes that reach `least` are set in a bitmap of FILTER bits (its size bounds what is broadcast; two phrases on one bit
-only let more through). The last pass writes the phrases that passed, as texts, and their exact counts are summed by text.
+times over all shards. Between depths only numbers move: a phrase is a hash (of 2 ** WIDER times as many values as there are words), a task adds up its shards and
+writes for each range of hashes the differences of sorted hashes and their counts, and hashes that reach `least` are set in
+a bitmap of FILTER bits (its size bounds what is broadcast). Phrases that share a hash or a bit only let more through: the
+last pass writes the phrases that passed, as texts, and their exact counts are summed by text.
 
 Defined results: a null text counts as empty, a null lang as `und`; repeated rows count as often as they are there; pieces of
 any length are whole (a shard that ends inside one ends with the next words as context that isn't counted); an empty table
@@ -18,6 +20,7 @@ gives an empty one; other columns aren't read.
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -30,24 +33,163 @@ from pyspark.sql.window import Window
 from quillgraph.llm.common import LARGE_ROWS, PARTS, materialize, meet, slices
 
 LEAST, MOST_WORDS, TOP = 100, 5, 2000
-#: Words of a shard; bits of a bitmap of phrases (4 MB).
-SHARD, FILTER = 1 << 18, 1 << 25
+#: Words of a shard; bits of a word's hash, and by how many bits a phrase's hash is wider than the number of words; bits of a
+#: bitmap of phrases (4 MB).
+SHARD, BITS, WIDER, FILTER = 1 << 19, 40, 9, 1 << 25
+#: Hashes that a task adds up before it hands them on; hashes of a range, and documents whose words make one.
+HELD, RANGE, DOCUMENTS = 1 << 21, 1 << 21, 20_000
 #: Ends of pieces become a line feed, tabs spaces, A-Z lower case.
 _PLAIN = bytes.maketrans(b".,;:!?\x0b\x0c\r\tABCDEFGHIJKLMNOPQRSTUVWXYZ", b"\n" * 9 + b" abcdefghijklmnopqrstuvwxyz")
-_INDEX = "bwt binary, own binary, words array<string>, lang_of binary, langs array<string>, keys array<bigint>, counts array<bigint>, totals array<bigint>"
+_INDEX = "bwt binary, own binary, words array<string>, lang_of binary, langs array<string>"
+_BLOCKS = "part int, grams binary, counts binary"
+
+
+def pieces_of(text: str | None) -> list[bytes]:
+    """The words of a text, a line feed where a piece ends."""
+    return list(filter(None, (text or "").encode().translate(_PLAIN).replace(b"\n", b" \n ").split(b" ")))
+
+
+def seed_of(lang: str) -> int:
+    return xxhash.xxh3_64_intdigest(lang)
+
+
+def planes(values: np.ndarray) -> bytes:
+    """Numbers below 2^32 byte by byte: all low bytes, then all next ones; bytes that are mostly 0 take next to no room."""
+    return values.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes()
+
+
+def from_planes(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, np.uint8).reshape(4, -1).T.copy().view("<u4").ravel().astype(np.int64)
+
+
+class Sums:
+    """Counts by hash, added up until there are HELD, then written by ranges of hashes."""
+
+    def __init__(self, parts: int, bits: int) -> None:
+        self.parts, self.bits, self.grams, self.counts, self.size = parts, bits, [], [], 0
+
+    def add(self, grams: np.ndarray, counts: np.ndarray) -> None:
+        self.grams.append(grams >> np.uint64(64 - self.bits))
+        self.counts.append(counts.astype(np.int64))
+        self.size += len(grams)
+
+    def out(self) -> Iterator[pa.RecordBatch]:
+        if not self.size:
+            return
+        grams, counts = summed(np.concatenate(self.grams).astype(np.int64), np.concatenate(self.counts))
+        self.grams, self.counts, self.size = [], [], 0
+        width = -(-(1 << self.bits) // self.parts)
+        # Counts beyond 32 bits go as several rounds of the same hash.
+        while len(grams):
+            ends = np.searchsorted(grams, np.arange(1, self.parts + 1) * width)
+            rows, at = [], 0
+            now = np.minimum(counts, 0xFFFFFFFF)
+            for part, end in enumerate(ends.tolist()):
+                if end > at:
+                    steps = np.diff(grams[at:end], prepend=part * width)
+                    rows.append((part, planes(steps & 0xFFFFFFFF) + planes(steps >> 32), planes(now[at:end])))
+                    at = end
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["part", "grams", "counts"])
+            left = counts > now
+            grams, counts = grams[left], (counts - now)[left]
+
+
+def summed(grams: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    order = np.argsort(grams)
+    grams, counts = grams[order], counts[order]
+    starts = np.flatnonzero(np.concatenate([[True], grams[1:] != grams[:-1]])) if len(grams) else np.zeros(0, np.int64)
+    return grams[starts], np.add.reduceat(counts, starts) if len(grams) else counts
+
+
+def frequent(blocks: DataFrame, parts: int, bits: int, least: int) -> DataFrame:
+    """gram: the hashes whose counts reach `least`. A range holds about RANGE hashes, whatever the table's size."""
+    width = -(-(1 << bits) // parts)
+
+    def folded(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        grams, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+        for batch in batches:
+            found, numbers = [grams], [counts]
+            for data, n in zip(batch.column("grams").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                low, high = data[: len(data) // 2], data[len(data) // 2 :]
+                found.append(np.cumsum(from_planes(low) + (from_planes(high) << 32)) + key[0].as_py() * width)
+                numbers.append(from_planes(n))
+            grams, counts = summed(np.concatenate(found), np.concatenate(numbers))
+        yield pa.RecordBatch.from_arrays([pa.array(grams[counts >= least])], names=["gram"])
+
+    return blocks.groupBy("part").applyInArrow(folded, "gram bigint")
+
+
+def bitmap(grams: DataFrame):
+    """A bitmap of FILTER bits of the hashes, for all tasks."""
+    place = F.col("gram").bitwiseAND(F.lit(FILTER - 1))
+    blocks = grams.select(place.alias("p")).groupBy(F.shiftright("p", 15).cast("int").alias("block")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767))).alias("map")).toArrow()
+    bits = np.zeros(FILTER // 8, np.uint8)
+    for block, piece in zip(blocks["block"].to_pylist(), blocks["map"].to_pylist(), strict=True):
+        bits[4096 * block : 4096 * (block + 1)] = np.frombuffer(piece, np.uint8)
+    return grams.sparkSession.sparkContext.broadcast(bits)
+
+
+def passes(known: np.ndarray, hashes: np.ndarray, bits: int) -> np.ndarray:
+    at = ((hashes >> np.uint64(64 - bits)) & np.uint64(FILTER - 1)).astype(np.int64)
+    return (known[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
+
+
+def _texts(documents: DataFrame) -> DataFrame:
+    return documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")).alias("lang"), F.col("text").cast("string").alias("text"))
+
+
+def count_words(documents: DataFrame, parts: int) -> DataFrame:
+    """Blocks of the hashes of words (with their languages), and per task and language how many there are (lang, total)."""
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        totals: Counter[str] = Counter()
+        words: dict[str, Counter] = defaultdict(Counter)
+        sums = Sums(parts, BITS)
+
+        def moved() -> None:
+            for lang, some in words.items():
+                seed = seed_of(lang)
+                sums.add(np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in some), np.uint64, len(some)), np.fromiter(some.values(), np.int64, len(some)))
+            words.clear()
+
+        def out(batch: pa.RecordBatch) -> pa.RecordBatch:
+            n = batch.num_rows
+            return pa.RecordBatch.from_arrays([*batch.columns, pa.nulls(n, pa.string()), pa.nulls(n, pa.int64())], names=[*batch.schema.names, "lang", "total"])
+
+        for part in slices(batches):
+            for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
+                pieces = pieces_of(text)
+                words[lang].update(pieces)
+                ends = words[lang].pop(b"\n", 0)
+                totals[lang] += len(pieces) - ends
+            if sum(map(len, words.values())) > HELD // 8:
+                moved()
+            if sums.size > HELD:
+                yield from map(out, sums.out())
+        moved()
+        yield from map(out, sums.out())
+        n = len(totals)
+        yield pa.RecordBatch.from_arrays([pa.nulls(n, pa.int32()), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary()), pa.array(list(totals), pa.string()), pa.array(list(totals.values()), pa.int64())], names=["part", "grams", "counts", "lang", "total"])
+
+    return _texts(documents).mapInArrow(counted, f"{_BLOCKS}, lang string, total bigint")
 
 
 class _Ids(dict):
-    """Numbers of a language's words in a shard, shared by its languages; 0 is the end of a piece."""
+    """Numbers of a language's frequent words in a shard, shared by its languages; 0 ends a piece."""
 
-    def __init__(self, lang: int, words: list[bytes], lang_of: list[int]) -> None:
+    def __init__(self, lang: int, seed: int, shard: _Shard) -> None:
         super().__init__({b"\n": 0})
-        self.lang, self.words, self.lang_of = lang, words, lang_of
+        self.lang, self.seed, self.shard = lang, seed, shard
 
     def __missing__(self, word: bytes) -> int:
-        self[word] = number = len(self.words)
-        self.words.append(word)
-        self.lang_of.append(self.lang)
+        key = xxhash.xxh3_64_intdigest(word, self.seed)
+        at = (key >> (64 - BITS)) & (FILTER - 1)
+        number = 0
+        if self.shard.bits[at >> 3] >> (at & 7) & 1:
+            number = len(self.shard.words)
+            self.shard.words.append(word)
+            self.shard.lang_of.append(self.lang)
+        self[word] = number
         return number
 
 
@@ -70,7 +212,8 @@ def context_order(ids: np.ndarray) -> np.ndarray:
 class _Shard:
     """What a task holds of a shard until it is full: numbers of words, 0 behind each text, and the words' table."""
 
-    def __init__(self) -> None:
+    def __init__(self, bits: bytes) -> None:
+        self.bits = bits
         self.held: list[np.ndarray] = []
         self.size, self.words, self.lang_of = 0, [b"\n"], [0]
         self.ids: dict[str, _Ids] = {}
@@ -78,7 +221,7 @@ class _Shard:
     def add(self, lang: str, pieces: list[bytes], counted: int) -> None:
         known = self.ids.get(lang)
         if known is None:
-            known = self.ids[lang] = _Ids(len(self.ids), self.words, self.lang_of)
+            known = self.ids[lang] = _Ids(len(self.ids), seed_of(lang), self)
         self.held.append(np.fromiter(map(known.__getitem__, pieces), np.int32))
         self.size += counted
 
@@ -89,28 +232,27 @@ class _Shard:
         """The index of what is held, whose last `context` words don't count."""
         self.end()
         ids = np.concatenate(self.held)
-        order = context_order(ids)
         counted = np.arange(len(ids)) < len(ids) - 1 - context
-        counts = np.bincount(ids[counted], minlength=len(self.words))
-        counts[0] = 0
-        langs, lang_of = list(self.ids), np.array(self.lang_of, "<i4")
-        totals = np.bincount(lang_of, weights=counts, minlength=len(langs)).astype(np.int64)
-        seeds = [xxhash.xxh3_64_intdigest(lang) for lang in langs]
-        keys = np.array([xxhash.xxh3_64_intdigest(word, seeds[k]) for word, k in zip(self.words, self.lang_of, strict=True)], np.uint64).view(np.int64)
-        row = [ids[order - 1].astype("<i4").tobytes(), np.packbits(counted[order]).tobytes(), [w.decode() for w in self.words], lang_of.tobytes(), langs, keys, counts, totals]
-        types = [pa.binary(), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.list_(pa.string()), *[pa.list_(pa.int64())] * 3]
-        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["bwt", "own", "words", "lang_of", "langs", "keys", "counts", "totals"])
+        told = (ids > 0) | np.concatenate([[True], ids[:-1] > 0])  # one end behind a piece is enough
+        ids, counted = ids[told], counted[told]
+        if ids[-1]:
+            ids, counted = np.append(ids, 0), np.append(counted, False)
+        order = context_order(ids)
+        row = [planes(ids[order - 1]), np.packbits(counted[order]).tobytes(), [w.decode() for w in self.words], np.array(self.lang_of, "<i4").tobytes(), list(self.ids)]
+        types = [pa.binary(), pa.binary(), pa.list_(pa.string()), pa.binary(), pa.list_(pa.string())]
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types, strict=True)], names=["bwt", "own", "words", "lang_of", "langs"])
 
 
-def indexes(documents: DataFrame, size: int = SHARD) -> DataFrame:
-    """The indexes of shards of `size` words, a row each: the transform, which rows count, the words with their languages,
-    hashes and counts, the languages with their sums of counts."""
+def indexes(documents: DataFrame, bits, size: int = SHARD) -> DataFrame:
+    """The indexes of shards of `size` words, a row each: the transform, which rows count, the frequent words (bits: their
+    bitmap) with their languages."""
 
     def built(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shard = _Shard()
+        known = bits.value.tobytes()
+        shard = _Shard(known)
         for part in slices(batches):
             for lang, text in zip(part.column(0).to_pylist(), part.column(1).to_pylist(), strict=True):
-                pieces = list(filter(None, (text or "").encode().translate(_PLAIN).replace(b"\n", b" \n ").split(b" ")))
+                pieces = pieces_of(text)
                 at = 0
                 while at < len(pieces):
                     until = min(len(pieces), at + size - shard.size)
@@ -120,14 +262,13 @@ def indexes(documents: DataFrame, size: int = SHARD) -> DataFrame:
                     at = until
                     if full:
                         yield shard.index(len(ahead))
-                        shard = _Shard()
+                        shard = _Shard(known)
                     else:
                         shard.end()
         if shard.held:
             yield shard.index(0)
 
-    texts = documents.select(F.coalesce(F.col("lang").cast("string"), F.lit("und")), F.col("text").cast("string"))
-    return texts.mapInArrow(built, _INDEX)
+    return _texts(documents).mapInArrow(built, _INDEX)
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -163,73 +304,99 @@ def levels(bwt: np.ndarray, own: np.ndarray, keys: np.ndarray, depth: int, passe
         yield word[good], tail[good], hashes, counts[good]
 
 
-def _passes(filters: list) -> Callable[[int, np.ndarray], np.ndarray]:
-    def passes(d: int, hashes: np.ndarray) -> np.ndarray:
-        if d > len(filters):
-            return np.ones(len(hashes), bool)
-        at = (hashes & np.uint64(FILTER - 1)).astype(np.int64)
-        return (filters[d - 1].value[at >> 3] >> (at & 7).astype(np.uint8)) & 1 > 0
-
-    return passes
+def _known(filters: list, bits: int) -> Callable[[int, np.ndarray], np.ndarray]:
+    """Words in an index are frequent; filters are for phrases of two words and more; beyond them all pass."""
+    return lambda d, hashes: passes(filters[d - 2].value, hashes, bits) if 1 < d < len(filters) + 2 else np.ones(len(hashes), bool)
 
 
-def _columns(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    bwt = np.frombuffer(batch.column("bwt")[k].as_py(), "<i4")
+def _loaded(batch: pa.RecordBatch, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[str], list[str]]:
+    """A shard's transform, which rows count, its words' hashes, the words and their languages."""
+    bwt = from_planes(batch.column("bwt")[k].as_py()).astype(np.int32)
     own = np.unpackbits(np.frombuffer(batch.column("own")[k].as_py(), np.uint8), count=len(bwt)).astype(bool)
-    return bwt, own, batch.column("keys")[k].values.to_numpy().view(np.uint64)
+    words, names = batch.column("words")[k].as_py(), batch.column("langs")[k].as_py()
+    lang_of = np.frombuffer(batch.column("lang_of")[k].as_py(), "<i4").tolist()
+    seeds = [seed_of(lang) for lang in names]
+    keys = np.fromiter((xxhash.xxh3_64_intdigest(w, seeds[x]) for w, x in zip(words, lang_of, strict=True)), np.uint64, len(words))
+    return bwt, own, keys, words, [names[x] for x in lang_of]
 
 
-def sums(shards: DataFrame, filters: list) -> DataFrame:
-    """gram, n: the phrases one word longer than the filters, as hashes, and their counts over all shards."""
-    depth = len(filters) + 1
+def sums_of(shards: DataFrame, filters: list, parts: int, bits: int) -> DataFrame:
+    """Blocks of the phrases one word longer than the filters know: hashes and their counts over a task's shards."""
+    depth = len(filters) + 2
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = Sums(parts, bits)
         for batch in batches:
             for k in range(batch.num_rows):
-                for d, (_, _, hashes, counts) in enumerate(levels(*_columns(batch, k), depth, _passes(filters)), 1):
+                for d, (_, _, hashes, counts) in enumerate(levels(*_loaded(batch, k)[:3], depth, _known(filters, bits)), 1):
                     if d == depth:
-                        yield pa.RecordBatch.from_arrays([pa.array(hashes.view(np.int64)), pa.array(counts)], names=["gram", "n"])
+                        sums.add(hashes, counts)
+                if sums.size > HELD:
+                    yield from sums.out()
+        yield from sums.out()
 
-    return shards.select("bwt", "own", "keys").mapInArrow(found, "gram bigint, n bigint").groupBy("gram").agg(F.sum("n").alias("n"))
+    return shards.mapInArrow(found, _BLOCKS)
 
 
-def bitmap(frequent: DataFrame):
-    """A bitmap of FILTER bits of the hashes in `gram`, for all tasks."""
-    place = F.col("gram").bitwiseAND(F.lit(FILTER - 1))
-    blocks = frequent.select(place.alias("p")).groupBy(F.shiftright("p", 15).cast("int").alias("block")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(F.lit(32767))).alias("map")).toArrow()
-    bits = np.zeros(FILTER // 8, np.uint8)
-    for block, piece in zip(blocks["block"].to_pylist(), blocks["map"].to_pylist(), strict=True):
-        bits[4096 * block : 4096 * (block + 1)] = np.frombuffer(piece, np.uint8)
-    return frequent.sparkSession.sparkContext.broadcast(bits)
-
-
-def phrases(shards: DataFrame, filters: list, least: int) -> DataFrame:
-    """lang, phrase, f: the phrases of as many words as there are filters, or fewer, that occur `least` times or more."""
+def phrases(shards: DataFrame, filters: list, bits: int, parts: int, least: int) -> DataFrame:
+    """lang, phrase, f: the phrases of one word, and of as many more as there are filters, that occur `least` times or more. A task
+    adds up its shards by text and hands on lists, one for each range of hashes; ranges are then added up like those of
+    the depths before."""
 
     def found(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, dict[str, int]] = defaultdict(dict)
+
+        def out() -> Iterator[pa.RecordBatch]:
+            for lang, some in held.items():
+                texts, counts = np.array(list(some), object), np.fromiter(some.values(), np.int64, len(some))
+                part = np.fromiter((xxhash.xxh3_64_intdigest(x) % parts for x in some), np.int64, len(some))
+                order = np.argsort(part, kind="stable")
+                own, starts = np.unique(part[order], return_index=True)
+                ends = pa.array(np.append(starts, len(order)), pa.int32())
+                lists = [pa.ListArray.from_arrays(ends, pa.array(texts[order], pa.string())), pa.ListArray.from_arrays(ends, pa.array(counts[order], pa.int64()))]
+                yield pa.RecordBatch.from_arrays([pa.array(own, pa.int32()), pa.array([lang] * len(own), pa.string()), *lists], names=["part", "lang", "phrases", "counts"])
+            held.clear()
+
         for batch in batches:
             for k in range(batch.num_rows):
-                words, langs = np.array(batch.column("words")[k].as_py(), object), np.array(batch.column("langs")[k].as_py(), object)
-                lang_of = np.frombuffer(batch.column("lang_of")[k].as_py(), "<i4")
+                *index, words, langs = _loaded(batch, k)
+                words, langs = np.array(words, object), np.array(langs, object)
                 texts = np.array([""], object)
-                for d, (word, tail, _, counts) in enumerate(levels(*_columns(batch, k), len(filters), _passes(filters)), 1):
+                for d, (word, tail, _, counts) in enumerate(levels(*index, len(filters) + 1, _known(filters, bits)), 1):
                     texts = words[word] + " " + texts[tail] if d > 1 else words[word]
-                    yield pa.RecordBatch.from_arrays([pa.array(langs[lang_of[word]], pa.string()), pa.array(texts, pa.string()), pa.array(counts)], names=["lang", "phrase", "f"])
+                    for lang, text, n in zip(langs[word].tolist(), texts.tolist(), counts.tolist(), strict=True):
+                        some = held[lang]
+                        some[text] = some.get(text, 0) + n
+                if sum(map(len, held.values())) > HELD // 4:
+                    yield from out()
+        yield from out()
+
+    def folded(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[str, int] = {}
+        for batch in batches:
+            for text, n in zip(batch.column("phrases").flatten().to_pylist(), batch.column("counts").flatten().to_pylist(), strict=True):
+                sums[text] = sums.get(text, 0) + n
+        kept = {text: n for text, n in sums.items() if n >= least}
+        yield pa.RecordBatch.from_arrays([pa.array([key[1].as_py()] * len(kept), pa.string()), pa.array(list(kept), pa.string()), pa.array(list(kept.values()), pa.int64())], names=["lang", "phrase", "f"])
 
-    exact = shards.select("bwt", "own", "keys", "words", "lang_of", "langs").mapInArrow(found, "lang string, phrase string, f bigint")
-    return exact.groupBy("lang", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    lists = shards.mapInArrow(found, "part int, lang string, phrases array<string>, counts array<bigint>")
+    return lists.groupBy("part", "lang").applyInArrow(folded, "lang string, phrase string, f bigint")
 
 
 def frequent_phrases(documents: DataFrame, least: int = LEAST, most_words: int = MOST_WORDS, shard: int = SHARD) -> tuple[DataFrame, DataFrame]:
     """(lang, phrase, f: phrases of at most `most_words` words that occur `least` times; lang, n: occurrences of words)."""
-    shards = materialize(indexes(documents, shard), "indexes", LARGE_ROWS)
-    totals = shards.select(F.explode(F.arrays_zip("langs", "totals")).alias("x")).groupBy(F.col("x.langs").alias("lang")).agg(F.sum("x.totals").alias("n"))
+    parts = max(1, documents.count() // DOCUMENTS)
+    words = materialize(count_words(documents, parts), "words")
+    totals = words.where("lang is not null").groupBy("lang").agg(F.sum("total").alias("n"))
+    known = bitmap(frequent(words.where("part is not null").select("part", "grams", "counts"), parts, BITS, least))
+    shards = materialize(indexes(documents, known, shard), "indexes", LARGE_ROWS)
+    n = totals.agg(F.sum("n")).first()[0] or 0
+    parts, bits = max(1, n // RANGE), min(56, max(32, n.bit_length() + WIDER))
     filters: list = []
-    for _ in range(min(most_words, MOST_WORDS)):
-        counted = sums(shards, filters)
-        filters.append(bitmap(counted.where(F.col("n") >= least)))
-    found = materialize(phrases(shards, filters, least), "phrases")
-    for one in filters:
+    for _ in range(1, min(most_words, MOST_WORDS)):
+        filters.append(bitmap(frequent(sums_of(shards, filters, parts, bits), parts, bits, least)))
+    found = materialize(phrases(shards, filters, bits, parts, least), "phrases")
+    for one in (known, *filters):
         one.destroy()
     return found, totals
 
