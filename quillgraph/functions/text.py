@@ -139,6 +139,20 @@ def doc_triples(found: DataFrame, said: DataFrame, key: str = "uri") -> DataFram
     return found.select(F.col(key).alias("s"), F.lit("hasPart").alias("p"), block.alias("o")).unionByName(rows).unionByName(said.select(F.col(key).alias("s"), F.lit("mentions").alias("p"), F.col("id").alias("o")).distinct())
 
 
+def item_triples(found: DataFrame, key: str = "uri") -> DataFrame:
+    """s, p, o of the items of lists in blocks (blocks()): their type, what they say, whether a task is done. An item is named by
+    its block and its place in it."""
+    lists = found.where(F.col("block_type").isin("bullet", "ordered", "task"))
+    items = lists.select(key, "block_index", "block_type", "checked", F.posexplode(F.split("text", "\n", -1)).alias("at", "line"))
+    name = F.concat(F.col(key), F.lit("#"), F.col("block_index").cast("string"), F.lit("/"), F.col("at").cast("string"))
+    task = F.col("block_type") == "task"
+    pairs = F.create_map(
+        F.lit("blockType"), F.when(task, "taskItem").otherwise("listItem"), F.lit("blockText"), F.nullif(F.trim("line"), F.lit("")),
+        F.lit("blockChecked"), F.when(task, F.when(F.substring(F.col("checked"), F.col("at") + 1, F.lit(1)) == "x", "true").otherwise("false")),
+    )
+    return items.select(name.alias("s"), F.explode(F.map_filter(pairs, lambda _, v: v.isNotNull())).alias("p", "o"))
+
+
 def symbol_name(label: Column, content: Column) -> Column:
     """The label, else the first line cut to 80 characters, else Untitled."""
     first = F.substring(F.get(F.split(content, "\n"), F.lit(0)), 1, 80)

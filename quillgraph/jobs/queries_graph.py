@@ -705,6 +705,13 @@ def whole_doc_triples(spark, sf_dir):
     return texts.doc_triples(texts.blocks(rows), texts.mentions(rows))
 
 
+@query(f"""WITH {SPLIT}, I AS (SELECT uri || '#' || block_index || '/' || (row_number() OVER (PARTITION BY uri, block_index ORDER BY n) - 1) AS s, kind, trim(plain) AS said, substr(line, 4, 1) AS tick FROM S6 WHERE kind IN ('bullet', 'ordered', 'task'))
+  SELECT s, 'blockType' AS p, CASE WHEN kind = 'task' THEN 'taskItem' ELSE 'listItem' END AS o FROM I UNION ALL SELECT s, 'blockText', said FROM I WHERE said <> '' UNION ALL SELECT s, 'blockChecked', CASE WHEN tick = ' ' THEN 'false' ELSE 'true' END FROM I WHERE kind = 'task'""")
+def whole_item_triples(spark, sf_dir):
+    """Items of the lists in whole texts."""
+    return texts.item_triples(texts.blocks(whole(Model(spark, sf_dir))))
+
+
 @query("""SELECT p_partkey AS id, replace(replace(replace(replace(url_encode(p_type || ' (' || p_name || ')' || '*~!'''), '%28', '('), '%29', ')'), '%27', ''''), '%21', '!') AS encoded FROM part""".replace("url_encode(p_type", "replace(url_encode(p_type").replace("'*~!''')", "'*~!'''), '%2A', '*')"))
 def iri_encode(spark, sf_dir):
     text = F.concat("p_type", F.lit(" ("), "p_name", F.lit(")*~!'"))

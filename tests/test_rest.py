@@ -48,3 +48,13 @@ def test_impact(spark):
     of = lambda kind: sorted((r.id, r.predicate, r.depth) for r in rows if r.kind == kind)
     assert of("direct") == [("b", "p", 1), ("b", "r", 1), ("c", "q", 1)] and of("transitive") == [("b", None, 1), ("c", None, 1), ("d", None, 2)]
     assert of("container") == [("k1", None, 2), ("k2", None, 1)] and of("total") == [(None, None, 3)]
+
+
+def test_items_of_lists(spark):
+    rows = spark.createDataFrame([("u", "- a\n- \n\n1. x\n- [x] t\n- [ ] v\nplain\n- b")], "uri string, content string")
+    got = sorted(map(tuple, text.item_triples(text.blocks(rows)).collect()))
+    assert got == sorted([
+        ("u#0/0", "blockType", "listItem"), ("u#0/0", "blockText", "a"), ("u#0/1", "blockType", "listItem"), ("u#2/0", "blockType", "listItem"), ("u#2/0", "blockText", "x"),
+        ("u#3/0", "blockType", "taskItem"), ("u#3/0", "blockText", "t"), ("u#3/0", "blockChecked", "true"), ("u#3/1", "blockType", "taskItem"), ("u#3/1", "blockText", "v"), ("u#3/1", "blockChecked", "false"),
+        ("u#5/0", "blockType", "listItem"), ("u#5/0", "blockText", "b"),
+    ])
