@@ -79,6 +79,18 @@ INSTANTIABLE = ("Thing", "Persona", "Event", "Measure", "Workflow", "Action")
 IMMUTABLE = ("Event", "Measure")
 # Commands on runtime data that stay on their device; all others are shared.
 DEVICE_LOCAL = ("pipelineRun:start", "pipelineRun:progress", "replayPoint:create", "simRun:start", "simRun:snapshot")
+# What predicates are called in business, from the source's side and from the target's.
+PREDICATE_LABELS = {
+    "valueStream": ("sends value to", "receives value from"), "performs": ("does", "done by"), "stewards": ("is responsible for", "responsibility of"), "observes": ("watches", "watched by"),
+    "uses": ("uses", "used by"), "reads": ("uses data from", "data used by"), "writes": ("changes", "changed by"), "emits": ("produces", "produced by"), "exposes": ("offers", "offered by"),
+    "displays": ("shows", "shown by"), "measures": ("tracks", "tracked by"), "derivedFrom": ("is based on", "feeds into"), "owns": ("contains", "contained by"), "references": ("relates to", "related to"),
+    "triggers": ("starts", "started by"), "collaboratesWith": ("works with", "works with"), "delegatesTo": ("assigns work to", "receives work from"), "invokes": ("calls", "called by"),
+    "causedBy": ("resulted from", "led to"), "computedFrom": ("is calculated from", "contributes to"), "notifies": ("alerts", "alerted by"), "dependsOn": ("requires", "required by"),
+    "flowsTo": ("sends to", "receives from"), "implements": ("realizes", "realized by"), "extends": ("specializes", "specialized by"), "produces": ("creates", "created by"), "consumes": ("takes from", "supplied by"),
+    "sameConceptAs": ("also known as", "also known as"), "custom": ("relates to", "related to"), "annotates": ("explains", "explained by"), "documents": ("is a doc for", "has documentation"),
+    "composes": ("contains", "contained by"), "computes": ("computes", "computed by"), "calls": ("calls", "called by"), "boundTo": ("bound to", "binds"), "pullsFrom": ("pulls from", "feeds"),
+    "pushesTo": ("pushes to", "pushed by"), "populates": ("populates", "populated by"),
+}
 # Commands on runtime data. turn: open (gives the whole record), set (gives fields), status (stands for a status),
 # delete, free (no record). event: what an accepted one makes known. stamp: the field that takes its time. inverse: what undoes it.
 RUNTIME_COMMANDS = {

@@ -325,3 +325,11 @@ def composite_union(spark, sf_dir):
     return composite({"thing:customer": customers, "thing:supplier": suppliers})
 
 
+@query("""WITH S AS (SELECT predicate, source_uri, target_uri FROM L WHERE predicate IN ('stewards', 'performs', 'valueStream')), T(p, o, i, oc, ic) AS (VALUES ('stewards', 'is responsible for', 'responsibility of', 'Persona', 'Thing'), ('performs', 'does', 'done by', 'Persona', 'Action'), ('valueStream', 'sends value to', 'receives value from', 'Context', 'Context'))
+  SELECT source_uri AS id, o AS label, target_uri AS neighbour, coalesce(N.name, target_uri) AS name FROM S JOIN T ON p = predicate JOIN N M ON M.uri = source_uri AND M.class_id = oc LEFT JOIN N ON N.uri = target_uri
+  UNION ALL SELECT target_uri, i, source_uri, coalesce(N.name, source_uri) FROM S JOIN T ON p = predicate JOIN N M ON M.uri = target_uri AND M.class_id = ic LEFT JOIN N ON N.uri = source_uri""", "L N")
+def link_labels(spark, sf_dir):
+    """Links from both ends under their names in business, a row each."""
+    m = Model(spark, sf_dir)
+    m.links = m.stewards.unionByName(m.performs).unionByName(m.value_streams)
+    return joins.link_lines(m).select("id", "label", "neighbour", "name")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from quillgraph.functions.json_text import field, string_of
-from quillgraph.functions.vocab import predicates
+from quillgraph.functions.vocab import PREDICATE_LABELS, predicates
 
 
 def named(model) -> DataFrame:
@@ -54,6 +54,20 @@ def link_summary(model) -> DataFrame:
     return joined.groupBy("map_id", F.col("own").alias("id"), "predicate", "direction").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.sort_array(F.collect_set(F.coalesce("other_name", "other"))), "; ").alias("names"))
 
 
+def link_lines(model) -> DataFrame:
+    """map_id, id, label, neighbour, name: a row for every link of an entity, from both ends, under what business calls its
+    predicate there; only where the class is in the predicate's domain (or range). Rows, not lists: a hub has many."""
+    labels = F.create_map(*[x for p, (out, into) in PREDICATE_LABELS.items() for x in (F.lit(p), F.array(F.lit(out), F.lit(into)))])
+    rules = predicates(model.spark).where(~F.col("structural") & F.col("predicate").isin(*PREDICATE_LABELS)).withColumn("_label", F.element_at(labels, F.col("predicate")))
+    names = named(model).select("map_id", "id", "name", "class_id")
+    links = model.links.join(F.broadcast(rules), "predicate")  # as many rows as there are predicates
+    side = lambda own, other, ends, k: links.select("map_id", F.col(own).alias("id"), F.col(other).alias("neighbour"), F.col(ends).alias("_fit"), F.get("_label", F.lit(k)).alias("label"))
+    ends = side("source_uri", "target_uri", "domain", 0).unionByName(side("target_uri", "source_uri", "range", 1))
+    own = ends.join(names.select("map_id", "id", "class_id"), ["map_id", "id"]).where(F.array_contains("_fit", F.col("class_id")))
+    there = names.select("map_id", F.col("id").alias("neighbour"), F.col("name").alias("_name"))
+    return own.join(there, ["map_id", "neighbour"], "left").select("map_id", "id", "label", "neighbour", F.coalesce("_name", "neighbour").alias("name"))
+
+
 def has_link(rows: DataFrame, links: DataFrame, predicate: str, direction: str = "outgoing", least: int = 1, most: int | None = None) -> DataFrame:
     """Entities with at least `least` and at most `most` links; least = 0 lets those without links through."""
     end = "source_uri" if direction == "outgoing" else "target_uri"
