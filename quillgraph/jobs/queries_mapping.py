@@ -231,6 +231,27 @@ def document_copies(spark, sf_dir):
     return rows.union(copy["links"].select(F.lit("link"), "uri", "source_uri", "target_uri"))
 
 
+@query("""WITH P AS (SELECT c_custkey AS k, 'bm:n:' || c_custkey AS uri, CASE WHEN c_custkey % 3 = 0 THEN 'bm:attachment:' || sha256('bm:n:' || c_custkey) WHEN c_custkey % 3 = 1 THEN 'a' || c_custkey END AS mark FROM customer)
+  SELECT uri AS id, 'note' AS kind, mark, CASE WHEN k % 3 = 0 THEN '[{"attachmentId":"' || mark || '","kind":"url"}]' WHEN k % 3 = 1 THEN '[{"attachmentId":"a' || k || '"}]' END AS text FROM P
+  UNION ALL SELECT 'l' || k, 'link', CASE WHEN k % 4 = 0 THEN 'own' ELSE mark END, NULL FROM P UNION ALL SELECT 'a' || k, 'action', NULL, '[{"description":"must be ' || k || '","type":"text"},{"stateId":"s","type":"state"}]' FROM P WHERE k % 5 = 0""")
+def attachment_lifts(spark, sf_dir):
+    """Old notes, annotation links and actions in their new form, twice (the second run changes nothing)."""
+    rows, k = Model(spark, sf_dir).table("customer"), F.col("c_custkey")
+    s = k.cast("string")
+    none, tags = F.lit(None).cast("string"), F.array().cast("array<string>")
+    row = lambda df, uri_, class_id, key, fields: df.select(F.lit("m").alias("map_id"), uri_.alias("uri"), F.lit(class_id).alias("class_id"), F.lit(key).alias("facet_key"), F.lit(False).alias("is_custom"), F.lit("r").alias("container_uri"), none.alias("name"), tags.alias("tags"), fields.alias("fields"), k.alias("ord"))
+    old = F.create_map(F.lit("attachment"), F.when(k % 3 == 0, '{"kind":"url"}'), F.lit("attachments"), F.when(k % 3 == 1, F.concat(F.lit('[{"attachmentId":"a'), s, F.lit('"}]'))))
+    notes = row(rows, uri("n:", "c_custkey"), "Symbol", "symbols", F.map_filter(old, lambda _, v: v.isNotNull()))
+    acts = row(rows.where(k % 5 == 0), F.concat(F.lit("a"), s), "Action", "actions", F.create_map(F.lit("preconditions"), F.concat(F.lit('["must be '), s, F.lit('",{"stateId":"s","type":"state"}]'))))
+    metadata = F.when(k % 4 == 0, '{"attachmentId":"own"}').when(k % 4 == 1, "{}").when(k % 4 == 2, '{"z":1}')
+    links = rows.select(F.lit("m").alias("map_id"), F.concat(F.lit("l"), s).alias("uri"), F.lit("annotates").alias("predicate"), uri("n:", "c_custkey").alias("source_uri"), F.lit("t").alias("target_uri"), metadata.alias("metadata"), F.create_map().cast("map<string,string>").alias("fields"))
+    flat = documents.lift_attachments(documents.lift_attachments({"entities": notes.unionByName(acts), "links": links}))
+    at = lambda n: F.element_at("fields", F.lit(n))
+    kind, mark = F.when(F.col("facet_key") == "symbols", "note").otherwise("action"), F.get_json_object(at("attachments"), "$[0].attachmentId")
+    found = flat["entities"].select(F.col("uri").alias("id"), kind.alias("kind"), mark.alias("mark"), F.coalesce(at("attachments"), at("preconditions")).alias("text"))
+    return found.union(flat["links"].select("uri", F.lit("link"), F.get_json_object("metadata", "$.attachmentId"), none))
+
+
 @query("""SELECT 'entities' AS kind, 'bm:inst:' || c_custkey AS id, c_acctbal AS value FROM customer
   UNION ALL SELECT 'relationships', 'bm:rel:' || o_orderkey, NULL FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer)""")
 def src_instances(spark, sf_dir):

@@ -156,3 +156,41 @@ def re_id(flat: dict[str, DataFrame], salt: str) -> dict[str, DataFrame]:
     entities = met.select(*[renewed(c) if c in ("uri", "container_uri") else F.col(c) for c in flat["entities"].columns])
     containers = flat["containers"].select(*[renewed(c) if c in ("uri", "parent_uri") else F.col(c) for c in flat["containers"].columns])
     return flat | {"entities": entities, "containers": containers, "links": links.select(*[renewed(c) if c in ("uri", "source_uri", "target_uri") else F.col(c) for c in links.columns])}
+
+
+def _with(text: Column, name: str, value: Column) -> Column:
+    """JSON text of an object with one more string, keys sorted."""
+    rest = F.when(F.coalesce(text, F.lit("null")).isin("null", "{}"), F.lit("}")).otherwise(F.concat(F.lit(","), F.substring(text, 2, 1 << 30)))
+    return F.to_json(F.parse_json(F.concat(F.lit(f'{{"{name}":"'), value, F.lit('"'), rest)))
+
+
+def _sets(fields: Column, **new: Column) -> Column:
+    """Fields with new texts; a NULL leaves a field out."""
+    made = F.create_map(*[x for n, v in new.items() for x in (F.lit(n), v)])
+    return F.map_concat(F.map_filter(fields, lambda k, _: ~k.isin(*new)), F.map_filter(made, lambda _, v: v.isNotNull()))
+
+
+def lift_attachments(flat: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """Old documents' single attachment of a note and media of an interface as lists of attachments with ids (hashes of the owner's
+    uri), and annotation links that name no attachment with that of their source: one join by source. Conditions of actions that
+    are plain texts become objects. What has the new form already is left alone, so a second run changes nothing."""
+    entities, f = flat["entities"], lambda n: F.element_at("fields", F.lit(n))
+    old = F.when(F.col("is_custom"), F.lit(None)).when(F.col("facet_key") == "symbols", f("attachment")).when(F.col("facet_key") == "interfaces", f("media"))
+    there = F.coalesce(f("attachments").startswith("["), F.lit(False))
+    lift = ~there & old.isNotNull() & ~old.isin("null", "false", "0", '""')
+    own = F.concat(F.lit("bm:attachment:"), F.sha2("uri", 256))
+    listed = F.concat(F.lit("["), _with(old, "attachmentId", own), F.lit("]"))
+    single = F.when(F.col("facet_key") == "symbols", "attachment").otherwise("media")
+    fields = F.when(lift, F.map_concat(F.map_filter("fields", lambda k, _: (k != single) & (k != "attachments")), F.create_map(F.lit("attachments"), listed))).otherwise(F.col("fields"))
+    lifted = entities.withColumn("fields", fields)
+    for name in ("preconditions", "postconditions"):
+        each = F.transform(F.expr(f"try_variant_get(try_parse_json(fields['{name}']), '$', 'array<variant>')"), lambda v: F.when(F.schema_of_variant(v) == "STRING", F.concat(F.lit('{"description":'), F.to_json(v), F.lit(',"type":"text"}'))).otherwise(F.to_json(v)))
+        changed = F.when((F.col("facet_key") == "actions") & each.isNotNull(), F.concat(F.lit("["), F.array_join(each, ","), F.lit("]"))).otherwise(f(name))
+        lifted = lifted.withColumn("fields", _sets(F.col("fields"), **{name: changed}))
+    first = F.get_json_object(f("attachments"), "$[0].attachmentId")
+    marks = lifted.where("not is_custom and facet_key in ('symbols', 'interfaces')").select("map_id", F.col("uri").alias("source_uri"), first.alias("_mark")).where("_mark != ''").dropDuplicates(["map_id", "source_uri"])
+    links = flat["links"].join(marks, ["map_id", "source_uri"], "left")
+    stamp = (F.col("predicate") == "annotates") & F.col("_mark").isNotNull() & (F.coalesce(F.get_json_object("metadata", "$.attachmentId"), F.lit("")) == "")
+    metadata = F.when(stamp, _with(F.col("metadata"), "attachmentId", F.col("_mark"))).otherwise(F.col("metadata"))
+    links = links.withColumn("metadata", metadata).withColumn("fields", F.when(stamp, _sets(F.col("fields"), metadata=F.col("metadata"))).otherwise(F.col("fields")))
+    return flat | {"entities": lifted.select(*entities.columns), "links": links.select(*flat["links"].columns)}
