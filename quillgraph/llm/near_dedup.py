@@ -188,7 +188,9 @@ def sets_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
 
     texts = documents.where("doc_id is not null").select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     likely = texts.withColumn("place", place.cast("int")).mapInArrow(made, "doc_id bigint, shingles array<bigint>")
-    return materialize(likely, "sets").join(wanted, "doc_id", "left_semi")
+    kept = materialize(likely, "sets")
+    shared.destroy()
+    return kept.join(wanted, "doc_id", "left_semi")
 
 
 def confirmed(pairs: DataFrame, documents: DataFrame, threshold: int) -> DataFrame:

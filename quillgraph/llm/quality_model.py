@@ -249,7 +249,8 @@ def train(documents: DataFrame, labels: DataFrame, max_rows: int = MAX_ROWS) ->
     texts = documents.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     joined = texts.join(F.broadcast(sample), "doc_id").select("doc_id", "label", "text")  # at most max_rows ids
     got = joined.mapInArrow(features, "doc_id bigint, label int, x array<float>").orderBy(F.xxhash64("doc_id"), "doc_id", "x").limit(max_rows).toArrow()
-    x = np.array(got["x"].to_pylist(), np.float64).reshape(-1, WIDTH)
+    shared.destroy()
+    x = got["x"].combine_chunks().flatten().to_numpy().astype(np.float64).reshape(-1, WIDTH)  # no Python object a number
     return vectors, fit(x, got["label"].to_numpy().astype(np.float64))
 
 
