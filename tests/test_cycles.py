@@ -65,3 +65,26 @@ def test_a_long_chain_takes_few_rounds(spark, monkeypatch):
     edges += list(zip(ring, ring[1:] + ring[:1], strict=True)) + [(10_050, 20_000)] + [(20_000 + k, 20_001 + k) for k in range(3000)]
     assert found(spark, edges) == {x: frozenset(ring) for x in ring}
     assert len(tables) < 40
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_small_blocks(spark, seed):
+    """Blocks of nine edges, so that most cycles lie across blocks; ids near each other and dealt at random."""
+    draw = random.Random(10 + seed)
+    edges = [(k, k + draw.choice((-2, -1, 1, 3))) for k in range(60) for _ in range(1 + (draw.random() < 0.3))] + [(draw.randrange(60), draw.randrange(60)) for _ in range(8 * seed)]
+    rows = graph.components(spark.createDataFrame(edges, "src long, dst long"), 9).collect()
+    groups = {}
+    for r in rows:
+        groups.setdefault(r.component, set()).add(r.id)
+    assert len(rows) == len({r.id for r in rows})
+    assert {x: frozenset(g) for g in groups.values() for x in g} == brute(edges)
+
+
+def test_a_row_of_rings_takes_few_rounds(spark, monkeypatch):
+    """Three hundred rings, each joined to the next: rounds don't grow with their number."""
+    tables = []
+    plain = graph.durable
+    monkeypatch.setattr(graph, "durable", lambda df, name: (tables.append(name), plain(df, name))[1])
+    edges = [(10 * k + x, 10 * k + (x + 1) % 4) for k in range(300) for x in range(4)] + [(10 * k, 10 * k + 10) for k in range(299)]
+    rows = graph.components(spark.createDataFrame(edges, "src long, dst long"), 400).collect()
+    assert {r.id for r in rows} == {a for a, _ in edges} and len({r.component for r in rows}) == 300 and len(tables) < 60
