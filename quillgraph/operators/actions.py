@@ -115,11 +115,14 @@ def effects(accepted: DataFrame, rules: DataFrame, instances: DataFrame, relatio
     turn = F.struct("request", "step").alias("turn")
     asks = F.when(kind == "create", "push").when(kind == "delete", "pop").when(kind.isin("modify", "transitionState") & F.col("_made").isNull(), "peek")
     turns = steps.select("thing", turn, asks.alias("kind"), F.when(kind == "create", own("new", "step")).alias("id")).where("kind is not null").distinct()
-    met = fifo(turns, instances.select("thing", "id"), ["thing"], "turn", rows).select(F.col("turn.request").alias("request"), F.col("turn.step").alias("step"), "taken")
+    met = fifo(turns, instances.select("thing", "id"), ["thing"], "turn", rows).where("kind != 'push'").select(F.col("turn.request").alias("request"), F.col("turn.step").alias("step"), "taken")
     there = F.when(F.col("_made").isNotNull() & (kind != "delete"), own("new", "_made")).otherwise(F.col("taken"))
     target = F.when(kind == "create", own("new", "step")).when(kind == "emit", own("event", "step")).when(kind == "createLink", F.col("_source")).otherwise(there)
     name = F.when(kind == "createLink", F.col("predicate")).when(kind == "transitionState", F.lit("_state")).otherwise(F.col("field"))
-    plain = steps.where("effect != 'deleteLink'").join(met, ["request", "step"], "left")
+    # Only what takes or looks at an instance meets the queues; the other steps know their target.
+    taking = asks.isin("pop", "peek")
+    plain = steps.where(F.coalesce(taking, F.lit(False))).join(met, ["request", "step"], "left")
+    plain = plain.unionByName(steps.where((kind != "deleteLink") & ~F.coalesce(taking, F.lit(False))).withColumn("taken", F.lit(None).cast("string")))
     plain = plain.select("request", "step", F.when(target.isNull(), "no-instance").otherwise(kind).alias("effect"), target.alias("target"), name.alias("field"), F.when(kind == "createLink", F.col("_target")).otherwise(F.col("_value")).alias("value"))
     if relationships is None:
         return plain
