@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillgraph.functions.json_text import field, is_blank, is_string, loose_string, number_of, string_of
-from quillgraph.functions.vocab import DATATYPES, VALUE_TYPES, default_rules
+from quillgraph.functions.vocab import DATATYPES, DEFAULT_RULES, VALUE_TYPES, default_rules
 from quillgraph.operators.joins import link_counts
 from quillgraph.sources.files import durable
 
@@ -141,7 +141,8 @@ def requires_entity_links(entities: DataFrame, counts: DataFrame, rules: DataFra
     counts are joined once for all of them."""
     by_class = F.broadcast(rules.select("predicate", "direction", F.explode("classes").alias("class_id")))
     wanted = entities.select("map_id", F.col("uri").alias("id"), "class_id").join(by_class, "class_id")
-    joined = wanted.join(counts, ["map_id", "id", "predicate", "direction"], "left").where(F.coalesce("n", F.lit(0)) < least)
+    # Counts have a row per key, so they are hashed, and the entities, which are many more, need no sort.
+    joined = wanted.join(counts.hint("shuffle_hash"), ["map_id", "id", "predicate", "direction"], "left").where(F.coalesce("n", F.lit(0)) < least)
     return gap(joined, "id", "entity-links", F.concat_ws(" ", F.lit("no"), "direction", "predicate"))
 
 
@@ -150,8 +151,12 @@ def requires_field(entities: DataFrame, name: str, class_id: str, severity: str
     return gap(lacking, "uri", "requires-field", f"no {name}", severity)
 
 
+#: The predicates and directions that default rules ask for. They ask for one link, so links need no counting.
+ASKED = {(predicate, direction) for predicate, direction, _ in DEFAULT_RULES}
+
+
 def default_gaps(model, counts: DataFrame | None = None) -> DataFrame:
-    counts = link_counts(model.links) if counts is None else counts
+    counts = model.linked(ASKED) if counts is None else counts
     return requires_entity_links(model.entities, counts, default_rules(model.spark)).unionByName(requires_field(model.entities, "definition", "Thing"))
 
 
@@ -191,8 +196,7 @@ def all_gaps(user: DataFrame, defaults: DataFrame) -> DataFrame:
 def gaps_for_changes(model, added: DataFrame) -> DataFrame:
     """The default link rules for entities (map_id, uri) that were just added."""
     fresh = model.entities.join(added.select("map_id", "uri").distinct(), ["map_id", "uri"], "left_semi")
-    touching = model.links.join(added.withColumnRenamed("uri", "source_uri"), ["map_id", "source_uri"], "left_semi").unionByName(model.links.join(added.withColumnRenamed("uri", "target_uri"), ["map_id", "target_uri"], "left_semi")).dropDuplicates(["map_id", "uri"])
-    return requires_entity_links(fresh, link_counts(touching), default_rules(model.spark))
+    return requires_entity_links(fresh, model.linked(ASKED), default_rules(model.spark))
 
 
 def rollup(gaps: DataFrame, entities: DataFrame) -> DataFrame:
@@ -212,9 +216,17 @@ def top_gaps(gaps: DataFrame, n: int = 5) -> DataFrame:
     return first.withColumn("more", F.lit(max(gaps.count() - n, 0)).cast("long"))
 
 
+#: Entities of a task.
+SHARE = 250_000
+
+
 def orphan_entities(entities: DataFrame, links: DataFrame) -> DataFrame:
-    ends = links.select("map_id", F.explode(F.array("source_uri", "target_uri")).alias("uri")).distinct()
-    return entities.join(ends, ["map_id", "uri"], "left_anti")
+    """Entities that no link touches; links as such or as ends (map_id, id; an end may occur more than once)."""
+    both = F.explode(F.array("source_uri", "target_uri")).alias("uri")
+    ends = links.select("map_id", F.col("id").alias("uri")) if "id" in links.columns else links.select("map_id", both).distinct()
+    # As many parts as the entities need, so that a task's share doesn't grow with them.
+    parts = max(1, -(-entities.count() // SHARE))
+    return entities.repartition(parts, "map_id", "uri").join(ends.repartition(parts, "map_id", "uri").hint("shuffle_hash"), ["map_id", "uri"], "left_anti")
 
 
 def port_patterns(ports: DataFrame, links: DataFrame) -> DataFrame:

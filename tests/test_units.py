@@ -404,3 +404,28 @@ def test_compacted_log_gives_the_same_state(spark):
         kept = spark.createDataFrame(log.compact(part if kept is None else kept.unionByName(part)).collect(), schema)
         assert state(kept) == state(spark.createDataFrame(rows[: at + 80], schema))
         assert kept.count() <= 10 * 3
+
+
+def test_walks_and_ends_of_the_model(spark):
+    """Ends are those of the links, once per predicate and direction, and no plan groups pairs; a walk's edges may repeat."""
+    from quillgraph.jobs.model import Model
+    from quillgraph.operators.joins import link_counts
+
+    m = Model(spark, "/root/testdata/sf0.001")
+    key = ["map_id", "id", "predicate", "direction"]
+    found = [tuple(r) for r in m.linked().select(*key).collect()]
+    assert len(found) == len(set(found)) and set(found) == {tuple(r) for r in link_counts(m.links).select(*key).collect()}
+    assert {tuple(r) for r in m.walks().select("uri").collect()} == {tuple(r) for r in m.links.select("uri").collect()}
+    assert "Aggregate" not in m.walks("stewards", "performs", "reads")._jdf.queryExecution().optimizedPlan().toString()
+    only = m.linked({("reads", "outgoing")})
+    assert {(r.predicate, r.direction) for r in only.collect()} == {("reads", "outgoing")} and only._jdf.queryExecution().optimizedPlan().toString().count("Aggregate") == 1
+
+
+@pytest.mark.parametrize("edges", [[("a", "b"), ("b", "c"), ("x", "c"), ("c", "d"), ("d", "e")], [("a", "b"), ("b", "c"), ("c", "a"), ("x", "a")], [("a", "b"), ("a", "c"), ("c", "d")], [("a", "a")]])
+def test_closure_of_chains(spark, monkeypatch, edges):
+    rows = spark.createDataFrame(edges, "node string, up string")
+    want = sorted(map(tuple, graph.closure(rows).select("node", "ancestor", "depth").collect()))
+    assert sorted(map(tuple, graph.chain_closure(rows).select("node", "ancestor", "depth").collect())) == want
+    if len(edges) == 5:  # chains alone need no grouping of pairs
+        monkeypatch.setattr(graph, "closure", None)
+        assert sorted(map(tuple, graph.chain_closure(rows).select("node", "ancestor", "depth").collect())) == want
