@@ -187,10 +187,12 @@ def lift_attachments(flat: dict[str, DataFrame]) -> dict[str, DataFrame]:
         each = F.transform(F.expr(f"try_variant_get(try_parse_json(fields['{name}']), '$', 'array<variant>')"), lambda v: F.when(F.schema_of_variant(v) == "STRING", F.concat(F.lit('{"description":'), F.to_json(v), F.lit(',"type":"text"}'))).otherwise(F.to_json(v)))
         changed = F.when((F.col("facet_key") == "actions") & each.isNotNull(), F.concat(F.lit("["), F.array_join(each, ","), F.lit("]"))).otherwise(f(name))
         lifted = lifted.withColumn("fields", _sets(F.col("fields"), **{name: changed}))
+    # Written once: marks and links meet plain columns, no filter is pushed into (and copies) the expressions above.
+    lifted = durable(lifted.select(*entities.columns), "lifted")
     first = F.get_json_object(f("attachments"), "$[0].attachmentId")
     marks = lifted.where("not is_custom and facet_key in ('symbols', 'interfaces')").select("map_id", F.col("uri").alias("source_uri"), first.alias("_mark")).where("_mark != ''").dropDuplicates(["map_id", "source_uri"])
     links = flat["links"].join(marks, ["map_id", "source_uri"], "left")
     stamp = (F.col("predicate") == "annotates") & F.col("_mark").isNotNull() & (F.coalesce(F.get_json_object("metadata", "$.attachmentId"), F.lit("")) == "")
     metadata = F.when(stamp, _with(F.col("metadata"), "attachmentId", F.col("_mark"))).otherwise(F.col("metadata"))
     links = links.withColumn("metadata", metadata).withColumn("fields", F.when(stamp, _sets(F.col("fields"), metadata=F.col("metadata"))).otherwise(F.col("fields")))
-    return flat | {"entities": lifted.select(*entities.columns), "links": links.select(*flat["links"].columns)}
+    return flat | {"entities": lifted, "links": links.select(*flat["links"].columns)}
