@@ -5,6 +5,7 @@ from __future__ import annotations
 import pytest
 
 from quillgraph.jobs.queries import ORACLES, QUERIES
+from quillgraph.operators import triples
 from tests.compare import rows_of, rows_of_sql
 
 SF = "/root/testdata/sf0.001"
@@ -14,7 +15,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["attachment_lifts"])
+@pytest.mark.parametrize("name", ["attachment_lifts", "sink_trig"])
 def test_same_rows(spark, name):
     assert rows_of(QUERIES[name](spark, SF)) == rows_of_sql(SF, ORACLES[name])
 
@@ -22,3 +23,13 @@ def test_same_rows(spark, name):
 def test_lifted_attachments_are_made_once(spark):
     """The links' plan reads the lifted facets, it doesn't repeat what lifts them (ids are sha2 of the owner)."""
     assert "sha2(" not in plan(QUERIES["attachment_lifts"](spark, SF))
+
+
+def test_graphs_are_written_apart(spark, tmp_path):
+    """A folder a graph, from lines that carry no graph to be sorted by."""
+    one = lambda s, o: spark.createDataFrame([(s, "rdf:type", o)], "s string, p string, o string")
+    graphs = triples.trig(one("tag:a", "bm:Tag"), one("bm:a", "bm:Thing"), one("bm:i", "x").where("s is null"))
+    assert all(lines.columns == ["value"] for lines in graphs.values())
+    triples.write_trig(graphs, str(tmp_path / "trig"))
+    found = spark.read.text(str(tmp_path / "trig")).collect()
+    assert sorted(r.graph for r in found) == ["model", "vocabulary"] and all("#type> <" in r.value for r in found)
