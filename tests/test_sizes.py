@@ -15,7 +15,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["attachment_lifts", "sink_trig"])
+@pytest.mark.parametrize("name", ["attachment_lifts", "sink_trig", "prune_dangling_links"])
 def test_same_rows(spark, name):
     assert rows_of(QUERIES[name](spark, SF)) == rows_of_sql(SF, ORACLES[name])
 
@@ -33,3 +33,8 @@ def test_graphs_are_written_apart(spark, tmp_path):
     triples.write_trig(graphs, str(tmp_path / "trig"))
     found = spark.read.text(str(tmp_path / "trig")).collect()
     assert sorted(r.graph for r in found) == ["model", "vocabulary"] and all("#type> <" in r.value for r in found)
+
+
+def test_links_are_pruned_before_pairs_are_grouped(spark):
+    """Lines aren't moved to be grouped by pairs and moved again to meet their ends."""
+    assert "Aggregate [l_" not in plan(QUERIES["prune_dangling_links"](spark, SF))
