@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-import heapq
 import re
+from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,32 +17,56 @@ LEGACY = r"@\[([^\[\]]+)\]\(([a-zA-Z]+):([^()\s]+)\)"
 _CANONICAL, _LEGACY = re.compile(CANONICAL), re.compile(LEGACY, re.ASCII)  # white space as in Java's patterns
 
 
-_MENTION = "array<struct<start: int, token: string, kind: string, label: string, id: string, context: string>>"
-
-
-def _mentioned(texts: pd.Series) -> pd.Series:
-    """The mentions of each text, in one pass over it: both patterns side by side from left to right, a legacy match only where
-    no canonical one lies in it or over it (both lists are in order, so each is walked once)."""
-
-    def of(text: str | None) -> list[dict]:
-        if not text or "@[" not in text:
-            return []
-        found = [(m.start(), m.end(), m.group(), m.group(1), m.group(2), m.group(3), m.group(4)) for m in _CANONICAL.finditer(text)]
-        at, legacy = 0, []
-        for m in _LEGACY.finditer(text):
-            while at < len(found) and found[at][1] <= m.start():
-                at += 1
-            if at == len(found) or found[at][0] >= m.end():
-                legacy.append((m.start(), m.end(), m.group(), m.group(2), m.group(1), m.group(3), None))
-        return [{"start": s + 1, "token": token, "kind": kind, "label": label, "id": id_, "context": context} for s, _, token, kind, label, id_, context in heapq.merge(found, legacy)]
-
-    return texts.map(of)
+_MENTION = {"start": pa.int32(), "token": pa.string(), "kind": pa.string(), "label": pa.string(), "id": pa.string(), "context": pa.string()}
+#: Characters of texts, or mentions, whose Python objects are made at a time (one text at least).
+CHARACTERS, MENTIONS = 1 << 22, 1 << 16
+
+
+def _mentioned(text: str) -> Iterator[tuple]:
+    """The mentions of a text, in one pass over it: both patterns side by side from left to right, a legacy match only where no
+    canonical one lies in it or over it. Each match is made when it is due, so no list of a text's mentions is kept."""
+    canonical, legacy = _CANONICAL.finditer(text), _LEGACY.finditer(text)
+    c, old = next(canonical, None), next(legacy, None)
+    while c or old:
+        if old is None or c is not None and c.end() <= old.start():
+            yield c.start() + 1, c.group(), c.group(1), c.group(2), c.group(3), c.group(4)
+            c = next(canonical, None)
+        elif c is None or c.start() >= old.end():
+            yield old.start() + 1, old.group(), old.group(2), old.group(1), old.group(3), None
+            old = next(legacy, None)
+        else:
+            old = next(legacy, None)
+
+
+def _all_mentions(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of (key, text) as batches of (key, mention's fields), for a few texts or mentions at a time."""
+
+    def made(batch: pa.RecordBatch, at: list[int], rows: list[tuple]) -> pa.RecordBatch:
+        columns = [pa.array(values, kind) for values, kind in zip(zip(*rows, strict=True), _MENTION.values(), strict=True)]
+        return pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at)), *columns], names=[batch.schema.names[0], *_MENTION])
+
+    for batch in batches:
+        at, rows, read = [], [], 0
+        for k in range(batch.num_rows):
+            text = batch.column(1)[k].as_py()
+            read += len(text)
+            for row in _mentioned(text):
+                at.append(k)
+                rows.append(row)
+                if len(rows) >= MENTIONS:
+                    yield made(batch, at, rows)
+                    at, rows = [], []
+            if read >= CHARACTERS and rows:
+                yield made(batch, at, rows)
+                at, rows, read = [], [], 0
+        if rows:
+            yield made(batch, at, rows)
 
 
 def mentions(texts: DataFrame, key: str = "uri", text: str = "content") -> DataFrame:
     """key, start (from 1), token, kind, label, id, context: canonical mentions, and legacy ones that overlap none."""
-    rows = texts.where(F.col(text).contains("@[")).select(key, F.explode(F.pandas_udf(_mentioned, _MENTION)(F.col(text))).alias("m"))
-    return rows.select(key, "m.*")
+    rows = texts.where(F.col(text).contains("@[")).select(key, F.col(text).cast("string").alias(text))
+    return rows.mapInArrow(_all_mentions, f"`{key}` {rows.schema[key].dataType.simpleString()}, start int, token string, kind string, label string, id string, context string")
 
 
 def mention_token(kind: Column, label: Column, id_: Column, context: Column) -> Column:

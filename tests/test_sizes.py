@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 import pytest
 
+from quillgraph.functions import text as texts
 from quillgraph.jobs.queries import ORACLES, QUERIES
 from quillgraph.operators import triples
 from tests.compare import rows_of, rows_of_sql
@@ -15,7 +17,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["attachment_lifts", "sink_trig", "prune_dangling_links"])
+@pytest.mark.parametrize("name", ["attachment_lifts", "sink_trig", "prune_dangling_links", "whole_mentions"])
 def test_same_rows(spark, name):
     assert rows_of(QUERIES[name](spark, SF)) == rows_of_sql(SF, ORACLES[name])
 
@@ -38,3 +40,16 @@ def test_graphs_are_written_apart(spark, tmp_path):
 def test_links_are_pruned_before_pairs_are_grouped(spark):
     """Lines aren't moved to be grouped by pairs and moved again to meet their ends."""
     assert "Aggregate [l_" not in plan(QUERIES["prune_dangling_links"](spark, SF))
+
+
+def test_mentions_leave_in_parts(monkeypatch):
+    """A text's mentions leave Python by MENTIONS rows, whatever its length; none is lost at a part's end."""
+    monkeypatch.setattr(texts, "MENTIONS", 3)
+    monkeypatch.setattr(texts, "CHARACTERS", 20)
+    said = ["@[T:a:1] and @[Old](x:2) " * 4, "none @[", "@[T:b:3:c]", "@[N:M](e:4)@[T:d:5]"]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2, 3, 4]), pa.array(said)], names=["uri", "content"])
+    parts = list(texts._all_mentions(iter([batch])))
+    assert max(p.num_rows for p in parts) <= 3
+    rows = [tuple(r.values()) for p in parts for r in p.to_pylist()]
+    first = [(1, 25 * k + start, token, kind, label, id_, None) for k in range(4) for start, token, kind, label, id_ in ((1, "@[T:a:1]", "T", "a", "1"), (14, "@[Old](x:2)", "x", "Old", "2"))]
+    assert rows == [*first, (3, 1, "@[T:b:3:c]", "T", "b", "3", "c"), (4, 1, "@[N:M](e:4)", "e", "N:M", "4", None), (4, 12, "@[T:d:5]", "T", "d", "5", None)]
