@@ -6,6 +6,8 @@ import pyarrow as pa
 import pytest
 
 from quillgraph.functions import text as texts
+from quillgraph.jobs import queries_mapping
+from quillgraph.jobs.model import Model
 from quillgraph.jobs.queries import ORACLES, QUERIES
 from quillgraph.operators import triples
 from tests.compare import rows_of, rows_of_sql
@@ -17,7 +19,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["attachment_lifts", "sink_trig", "prune_dangling_links", "whole_mentions"])
+@pytest.mark.parametrize("name", ["attachment_lifts", "sink_trig", "prune_dangling_links", "whole_mentions", "document_changes", "document_merge"])
 def test_same_rows(spark, name):
     assert rows_of(QUERIES[name](spark, SF)) == rows_of_sql(SF, ORACLES[name])
 
@@ -53,3 +55,11 @@ def test_mentions_leave_in_parts(monkeypatch):
     rows = [tuple(r.values()) for p in parts for r in p.to_pylist()]
     first = [(1, 25 * k + start, token, kind, label, id_, None) for k in range(4) for start, token, kind, label, id_ in ((1, "@[T:a:1]", "T", "a", "1"), (14, "@[Old](x:2)", "x", "Old", "2"))]
     assert rows == [*first, (3, 1, "@[T:b:3:c]", "T", "b", "3", "c"), (4, 1, "@[N:M](e:4)", "e", "N:M", "4", None), (4, 12, "@[T:d:5]", "T", "d", "5", None)]
+
+
+def test_versions_lie_in_parts_by_customers(spark, monkeypatch):
+    """150 customers at 40 to a part: every side of a version's join has four parts, however few Spark would take."""
+    monkeypatch.setattr(queries_mapping, "CUSTOMERS", 40)
+    rows = queries_mapping.versioned(Model(spark, SF), "ours")
+    assert rows.rdd.getNumPartitions() == 1 + 150 // 40
+    assert rows.groupBy("kind", "uri").count().where("count > 1").isEmpty()
