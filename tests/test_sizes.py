@@ -9,7 +9,7 @@ from quillgraph.functions import text as texts
 from quillgraph.jobs import queries_mapping
 from quillgraph.jobs.model import Model
 from quillgraph.jobs.queries import ORACLES, QUERIES
-from quillgraph.operators import triples
+from quillgraph.operators import search, triples
 from tests.compare import rows_of, rows_of_sql
 
 SF = "/root/testdata/sf0.001"
@@ -19,7 +19,7 @@ def plan(df) -> str:
     return df._jdf.queryExecution().optimizedPlan().toString()
 
 
-@pytest.mark.parametrize("name", ["attachment_lifts", "sink_trig", "prune_dangling_links", "whole_mentions", "document_changes", "document_merge"])
+@pytest.mark.parametrize("name", ["attachment_lifts", "sink_trig", "prune_dangling_links", "whole_mentions", "document_changes", "document_merge", "search_index"])
 def test_same_rows(spark, name):
     assert rows_of(QUERIES[name](spark, SF)) == rows_of_sql(SF, ORACLES[name])
 
@@ -63,3 +63,14 @@ def test_versions_lie_in_parts_by_customers(spark, monkeypatch):
     rows = queries_mapping.versioned(Model(spark, SF), "ours")
     assert rows.rdd.getNumPartitions() == 1 + 150 // 40
     assert rows.groupBy("kind", "uri").count().where("count > 1").isEmpty()
+
+
+def test_trigrams_are_numbers(monkeypatch):
+    """A trigram of any code points is one long, once a row, and leaves Python in parts."""
+    monkeypatch.setattr(search, "GATHERED", 2)
+    said = ["abab", "ab", None, "\U0001f600é\U0010ffff", "aaaa"]
+    batch = pa.RecordBatch.from_arrays([pa.array([10, 11, 12, 13, 14]), pa.array([0] * 5, pa.int32()), pa.array(said)], names=["row", "row_bucket", "searched"])
+    parts = list(search._posted(iter([batch])))
+    whole = lambda g: "".join(chr(g >> by & (1 << 21) - 1) for by in (42, 21, 0))
+    assert [(r["row"], whole(r["gram"])) for p in parts for r in p.to_pylist()] == [(10, "aba"), (10, "bab"), (13, "\U0001f600é\U0010ffff"), (14, "aaa")]
+    assert len(parts) == 2
