@@ -142,8 +142,9 @@ class Mix:
         return (meet(keyed, known, ["_key"], _ID) if self.many else keyed.join(F.broadcast(known), "_key")).drop("_key")
 
     def documents(self) -> DataFrame:
-        """_qg_id, _qg_row, size, s, source_size, target, width, start (its words' place in the source's stream)."""
-        return running_start(self.named(self.sized.where("size > 0")), "s", "size", [_ID, "size", _ROW], "start")
+        """_qg_id, _qg_row, size, s, source_size, target, width, start (its words' place in the source's stream); written, so
+        that the driver doesn't hold their exchanges beside those of what is joined with them."""
+        return materialize(running_start(self.named(self.sized.where("size > 0")), "s", "size", [_ID, "size", _ROW], "start"), "starts")
 
     def slots(self) -> DataFrame:
         """shard, s, j, round, block: every slot of the mix."""

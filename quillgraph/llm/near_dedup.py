@@ -170,6 +170,7 @@ def estimates(signs: np.ndarray, one: np.ndarray) -> np.ndarray:
 def sets_of(documents: DataFrame, wanted: DataFrame) -> DataFrame:
     """doc_id, shingles of the wanted documents (doc_id, distinct). Texts aren't shuffled: a bitmap of the ids' hashes, of at
     most MOST_BITS bits, goes to all tasks, which make sets of what it lets through; a full bitmap lets all through."""
+    wanted = materialize(wanted, "wanted")
     n = wanted.count()
     bits = min(MOST_BITS, max(1 << 16, 1 << (16 * n).bit_length()))
     place = F.pmod(F.xxhash64("doc_id"), F.lit(bits))
@@ -199,7 +200,8 @@ def confirmed(pairs: DataFrame, documents: DataFrame, threshold: int) -> DataFra
     sets = sets_of(documents, pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct())
     left = sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa"))
     right = sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb"))
-    both = meet(pairs.join(right, "b"), left, ["a"], "b")
+    parts = pairs.groupBy("a").agg(parts_of("b"))
+    both = meet(pairs.join(right, "b"), left.join(parts, "a"), ["a"], "b")
     shared = F.size(F.array_intersect("sa", "sb"))
     return materialize(both.where(100 * shared >= threshold * (F.size("sa") + F.size("sb") - shared)).select("a", "b"), "confirmed")
 
@@ -209,11 +211,14 @@ def blocked(members: DataFrame) -> DataFrame:
     side tells whether a row is of block i, j or both.
 
     A component of more than BLOCK members has blocks of its own, smaller ones share blocks. Blocks of one component are
-    never paired, so a star with one stray costs its members once, not once for each of its blocks.
+    never paired, so a star with one stray costs its members once, not once for each of its blocks. What several branches
+    of the plan need is written once, for the driver holds every exchange and broadcast of a plan at the same time.
     """
-    sizes = members.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("_m"), parts_of("doc_id"))
-    large = sizes.where(F.col("_m") > BLOCK).select("hub", "component", F.ceil(F.col("_m") / BLOCK).cast("int").alias("_k"))
-    small = sizes.where(F.col("_m") <= BLOCK).groupBy("hub").agg(F.ceil(F.sum("_m") / BLOCK).cast("int").alias("_n"))
+    sizes = materialize(members.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("_m"), parts_of("doc_id")), "sizes")
+    sizes = sizes.withColumn("_k", F.when(F.col("_m") > BLOCK, F.ceil(F.col("_m") / BLOCK).cast("int")))
+    few = F.sum(F.when(F.col("_k").isNull(), F.col("_m")))
+    hubs = materialize(sizes.groupBy("hub").agg(F.ceil(few / BLOCK).cast("int").alias("_n"), parts_of("component")), "hubs")
+    large, small = sizes.where("_k is not null").select("hub", "component", "_k"), hubs.where("_n is not null").select("hub", "_n")
     # A block is (component, number); the shared ones are of component null, written as 'x'.
     name = lambda component, number: F.concat_ws(":", component.cast("string"), number.cast("string"))
     counted = lambda k: F.sequence(F.lit(0), F.col(k) - 1)
@@ -226,12 +231,12 @@ def blocked(members: DataFrame) -> DataFrame:
     apart = large.join(other, "hub").where(F.col("component") < F.col("_c")).select("hub", "component", "_c", F.explode(counted("_k")).alias("p"), "_o").select("hub", "component", "_c", "p", F.explode(counted("_o")).alias("q"))
     pairs = pairs.union(apart.select("hub", name(F.col("component"), F.col("p")), name(F.col("_c"), F.col("q"))))
 
-    known = meet(sizes.join(large, ["hub", "component"], "left"), small, ["hub"], "component", "left").drop("_m")
+    known = meet(sizes.drop("_m"), hubs, ["hub"], "component", "left")
     placed = meet(members, known, ["hub", "component"], "doc_id")
     number = lambda key, k: F.pmod(F.xxhash64(key), F.col(k))
     own = F.when(F.col("_k").isNotNull(), name(F.col("component"), number("doc_id", "_k"))).otherwise(name(shared, number("component", "_n")))
     placed = placed.withColumn("side", own).drop("_k", "_n")
-    either = pairs.select("hub", F.col("i").alias("side"), "i", "j").union(pairs.where("i != j").select("hub", F.col("j"), "i", "j"))
+    either = pairs.select("hub", F.explode(F.array_distinct(F.array("i", "j"))).alias("side"), "i", "j")
     return placed.join(either, ["hub", "side"])
 
 
@@ -308,6 +313,7 @@ def components(links: DataFrame, known: DataFrame | None = None) -> DataFrame:
     while True:
         around = meet(both, labels.withColumnRenamed("node", "b"), ["b"], "a").groupBy(F.col("a").alias("node")).agg(F.min("component").alias("near"))
         closer = labels.join(around, "node").select("node", F.least("component", "near").alias("via"), F.col("component").alias("old"), F.col("_bits").alias("bits"))
+        closer = materialize(closer, "closer")
         roots = labels.select(F.col("node").alias("via"), F.col("component").alias("far"))
         new = materialize(meet(closer, roots, ["via"], "node", "left").select("node", F.least(F.col("via"), F.coalesce("far", "via")).alias("component"), "old", F.col("bits").alias("_bits")), "labels")
         labels = new.select("node", "component", "_bits")
@@ -322,7 +328,7 @@ def cluster(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     classes = materialize(classes, "classes")
     signature = [f"s{k}" for k in range(LONGS)]
     firsts = signed_docs.join(classes.select(F.col("key").alias("k"), "first"), (F.col("key") == F.col("k")) & (F.col("doc_id") == F.col("first")))
-    firsts = firsts.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in ("key", "n_shingles", "bands", *signature)])
+    firsts = materialize(firsts.groupBy("doc_id").agg(*[F.first(c).alias(c) for c in ("n_shingles", "bands", *signature)]), "firsts")
     members = firsts.select("doc_id", "n_shingles", *signature, F.posexplode("bands").alias("band", "bucket"))
     sizes = members.groupBy("band", "bucket").agg(F.min("doc_id").alias("hub"), F.count(F.lit(1)).alias("m"), parts_of("doc_id")).where("m > 1")
     crowded = materialize(meet(members, sizes.drop("m"), ["band", "bucket"], "doc_id"), "buckets")
@@ -331,6 +337,7 @@ def cluster(documents: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     own = [F.max(F.when(F.col("doc_id") == F.col("hub"), F.col(c))).alias(c) for c in ("n_shingles", *signature)]
     hubs = crowded.groupBy("hub").agg(*own, parts_of("doc_id"))
     stars = crowded.where("doc_id != hub").select("hub", "doc_id", "n_shingles", *signature).dropDuplicates(["hub", "doc_id"])
+    stars = materialize(stars, "stars")
     alike = f"{estimate('x', 'y')} >= {least_estimate(threshold)} and 100 * least(x.n_shingles, y.n_shingles) >= {threshold} * greatest(x.n_shingles, y.n_shingles)"
     center = hubs.select("hub", F.struct("n_shingles", *signature).alias("y"), "_bits")
     pairs = meet(stars.select("hub", "doc_id", F.struct("n_shingles", *signature).alias("x")), center, ["hub"], "doc_id").where(alike).select(F.col("hub").alias("a"), F.col("doc_id").alias("b"))
